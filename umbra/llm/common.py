@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -86,6 +88,12 @@ def _arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def worker_cache(name: str) -> dict:
+    """A dictionary that later tasks of the same Python worker find again."""
+    holder = sys.modules.setdefault("umbra_worker_cache", types.ModuleType("umbra_worker_cache"))
+    return holder.__dict__.setdefault(name, {})
+
+
 def key_column(*columns: str | Column) -> Column:
     """A non-null key of any columns; nulls and empty strings differ."""
     return F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), F.lit("\x00null")) for c in columns]))

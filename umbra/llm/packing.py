@@ -12,8 +12,8 @@ are then assigned to the documents ranked within their class, in parallel.
 from __future__ import annotations
 
 import os
+import re
 import struct
-import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, materialise
+from .common import arrow_pass, materialise, worker_cache
 
 SEQ = 2048
 #: Lengths are rounded up to this many tokens for the size classes.
@@ -32,9 +32,9 @@ BUCKETS = 256
 #: Closes each document.
 END_ID = 1
 
-# The pre-tokenizer of word_bpe_49k.json; its words do not influence one another (fixed value).
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+#: Ends of words that the tokenizer's pattern always separates from letters.
+TAIL = ".,;:!?"
 
 
 def default_tokenizer() -> str:
@@ -46,31 +46,58 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Token ids as little-endian unsigned 32-bit bytes; each distinct word is encoded once.
 
-    Texts whose words are not independent after normalisation (special-token strings, letters
-    whose lower case depends on context) go through the tokenizer whole.
+    The tokenizer normalises characters by themselves and its pattern never crosses white
+    space, so that a text's ids are those of its words one after another.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = regex.compile(WORDS)
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = worker_cache(f"ids of {path}")
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        # Python splits at these, the tokenizer doesn't.
+        self.odd = re.compile("[\x1c-\x1f]")
+
+    def fill(self, words: list[str]) -> None:
+        for w, enc in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            self.cache[w] = struct.pack(f"<{len(enc.ids)}I", *enc.ids)
 
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def fill_letters(self, words: list[str]) -> None:
+        """As ``fill`` for words of letters: they go through the tokenizer as one text, cut where a token ends a word."""
+        ids = np.asarray(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words):
+            return self.fill(words)
+        data, at = ids.tobytes(), 0
+        for w, end in zip(words, (4 * ends).tolist()):
+            self.cache[w] = data[at:end]
+            at = end
+
+    def learn(self, words: set[str]) -> None:
+        """Put new words in the cache: one of letters with stops behind it is made of two."""
+        parts, odd = {}, {""}
+        for w in words:
+            core = w.rstrip(TAIL)
+            if core.isalpha() and "İ" not in core:
+                parts[w] = (core.lower() if core.isascii() else core, w[len(core) :])
+            else:
+                odd.add(w)
+        self.fill_letters(list({core for core, _ in parts.values()}.difference(self.cache)))
+        self.fill(list({tail for _, tail in parts.values()}.union(odd).difference(self.cache)))
+        for w, (core, tail) in parts.items():
+            self.cache[w] = self.cache[core] + self.cache[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if "<|" in t or "Σ" in t or "İ" in t else self.words.findall(unicodedata.normalize("NFC", t).lower()) for t in texts]
+        split = [None if self.odd.search(t) else t.split() for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        new = list({w for words in split if words for w in words if w not in self.cache})
-        for w, enc in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.cache[w] = struct.pack(f"<{len(enc.ids)}I", *enc.ids)
+        self.learn({w for words in split if words for w in words}.difference(self.cache))
         look = self.cache.__getitem__
-        return [self.whole(t) if words is None else b"".join(map(look, words)) for t, words in zip(texts, split)]
+        return [struct.pack(f"<{len(ids)}I", *ids) if words is None else b"".join(map(look, words)) for words, ids in ((w, self.tokenizer.encode(t, add_special_tokens=False).ids if w is None else ()) for t, w in zip(texts, split))]
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
