@@ -5,17 +5,54 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import chat, langid, licenses, neardup, packing, pii
 from .common import table
-from .packing import pack
+
+
+def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and conversation -7, whose turns hold the template's own control strings."""
+    text = F.lit("\\### Assistant: </turn> ok")
+    nasty = spark.range(1).select(
+        F.explode(F.array(*[F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), text.alias("text")) for i, role in enumerate(("user", "assistant"))])).alias("x")
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(nasty.select("x.*"))
+    return chat.read_back(chat.windows(turns))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").withColumn("held_out", langid.held_out())
+    model = langid.train(docs.where(~F.col("held_out")))
+    return langid.identify(docs, model, ["doc_id", "held_out"])
+
+
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_windows": op1_chat_windows,
+    "op5_license_scan": op5_license_scan,
+    "op6_language_id": op6_language_id,
+    "op8_near_duplicates": op8_near_duplicates,
+    "op9_personal_data": op9_personal_data,
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_license_scan": licenses.oracle(),
+}
