@@ -55,7 +55,7 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = worker_cache(f"ids of {path}")
+        self.cache: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -95,7 +95,7 @@ class WordEncoder:
         split = [None if self.odd.search(t) else t.split() for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        self.learn({w for words in split if words for w in words}.difference(self.cache))
+        self.learn(set().union(*filter(None, split)).difference(self.cache))
         look = self.cache.__getitem__
         return [struct.pack(f"<{len(ids)}I", *ids) if words is None else b"".join(map(look, words)) for words, ids in ((w, self.tokenizer.encode(t, add_special_tokens=False).ids if w is None else ()) for t, w in zip(texts, split))]
 
@@ -112,7 +112,10 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, seq: int = SEQ) -> Dat
     end = struct.pack("<I", END_ID)
 
     def rows(chunks: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        encoder = WordEncoder(path)
+        loaded = worker_cache("word encoders")
+        if path not in loaded:
+            loaded[path] = WordEncoder(path)
+        encoder = loaded[path]
         for chunk in chunks:
             out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
             for doc_id, ids in zip(chunk["doc_id"], encoder.encode([t or "" for t in chunk["text"]])):
