@@ -8,10 +8,12 @@ made in order of time and stop once no signature slot can be improved, so that a
 late shingle costs little.  Two signatures agree in a slot with the probability of their
 weighted Jaccard similarity.
 
-Texts are handled once, however many documents hold them.  Texts that share a band meet at the
-smallest of their bucket, a star instead of all pairs; links are verified on the exact
-multisets.  Where a bucket still holds several components, the texts of different components
-are compared with one another as well, so that no link is lost to the choice of the centre.
+Texts are handled once, however many documents hold them.  Texts that share a band meet at one
+centre of their bucket, a star instead of all pairs: at the text whose buckets hold most texts,
+which in a family of copies is the original.  Links are verified on the exact multisets.  Where
+a bucket still holds several components, texts of different components are compared with one
+another as well, first by their lengths and signatures and then, if these allow similarity 0.8,
+by their multisets, so that no link is lost to the choice of the centre.
 """
 
 from __future__ import annotations
@@ -19,10 +21,11 @@ from __future__ import annotations
 import hashlib
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_pass, materialise
@@ -32,9 +35,14 @@ THRESHOLD = 0.8
 #: At similarity 0.8, 32 bands of 4 slots miss a pair with probability 5e-8.
 BANDS, BAND_SLOTS = 32, 4
 SLOTS = BANDS * BAND_SLOTS
-#: Equal slots of 128, by one byte each, that a pair of the second round needs before its texts
-#: are fetched: six standard deviations below what similarity 0.8 gives.
-LEAST_EQUAL_SLOTS = 75
+#: Equal slots, by five bits each, that a pair of the second round needs before its texts are
+#: fetched: six standard deviations below what similarity 0.8 gives.
+LEAST_EQUAL_SLOTS = 76
+#: Twelve five-bit fields fit a long; their high bits and the others.
+FIELDS = 12
+LONGS = -(-SLOTS // FIELDS)
+_HIGH = sum(16 << 5 * i for i in range(FIELDS))
+_REST = sum(15 << 5 * i for i in range(FIELDS))
 CACHE_WORDS = 500_000
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -119,6 +127,21 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def packed_slots(sig: np.ndarray) -> np.ndarray:
+    """Five bits of each slot, twelve slots in a long."""
+    bits = np.zeros((len(sig), LONGS * FIELDS), np.int64)
+    bits[:, :SLOTS] = (_mix(sig.view(np.uint64)) & np.uint64(31)).astype(np.int64)
+    return np.left_shift(bits.reshape(len(sig), LONGS, FIELDS), 5 * np.arange(FIELDS)).sum(axis=2)
+
+
+def equal_slots(p: str, q: str) -> Column:
+    """How many slots agree, of two columns of packed slots."""
+    differ = [F.col(p)[i].bitwiseXOR(F.col(q)[i]) for i in range(LONGS)]
+    # A field's high bit is set where the field is not zero.
+    unequal = [F.bit_count(((x.bitwiseAND(F.lit(_REST)) + F.lit(_REST)).bitwiseOR(x)).bitwiseAND(F.lit(_HIGH))) for x in differ]
+    return F.lit(SLOTS) - reduce(lambda a, b: a + b, unequal)
+
+
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two multisets."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -131,7 +154,7 @@ def text_digest(text: str) -> bytes:
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, digest of the text (null without words), number of shingles, band keys, one byte a slot.
+    """Per row: doc_id, digest of the text (null without words), number of shingles, band keys, packed slots.
 
     A task signs a text once; further rows with it have null keys.
     """
@@ -149,13 +172,13 @@ def sign(docs: DataFrame) -> DataFrame:
                     bags.append(shingler(text))
                     fresh.append(i)
             sig = signatures(bags)
-            keys, slots = band_keys(sig), _mix(sig.view(np.uint64)).astype(np.uint8)
+            keys, slots = band_keys(sig), packed_slots(sig)
             out: dict[str, list] = {"doc_id": chunk["doc_id"], "digest": digests} | {k: [None] * len(digests) for k in ("n", "bands", "slots")}
             for row, i in enumerate(fresh):
-                out["n"][i], out["bands"][i], out["slots"][i] = int(bags[row][1].sum()), keys[row], slots[row].tobytes()
+                out["n"][i], out["bands"][i], out["slots"][i] = int(bags[row][1].sum()), keys[row], slots[row]
             yield out
 
-    return arrow_pass(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows, "doc_id long, digest binary, n long, bands array<long>, slots binary")
+    return arrow_pass(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows, "doc_id long, digest binary, n long, bands array<long>, slots array<long>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -215,9 +238,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     signed = materialise(sign(docs))
     banded = signed.where("bands is not null").select("digest", F.explode("bands").alias("key"))
-    crowded = banded.groupBy("key").agg(F.min("digest").alias("centre"), F.max("digest").alias("last")).where("centre != last").select("key", "centre")
+    crowded = banded.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("key", "size")
     members = materialise(banded.join(crowded, "key"))
-    pairs = members.where("digest != centre").select(F.col("centre").alias("a"), F.col("digest").alias("b")).distinct()
+    reach = members.groupBy("digest").agg(F.sum("size").alias("reach"))
+    centres = members.select("key", "digest").join(reach, "digest").groupBy("key").agg(F.max(F.struct("reach", "digest")).alias("c")).select("key", F.col("c.digest").alias("centre"))
+    pairs = members.select("key", "digest").join(centres, "key").where("digest != centre").select(F.least("centre", "digest").alias("a"), F.greatest("centre", "digest").alias("b")).distinct()
     pairs = materialise(pairs)
 
     # The texts in question, each once; the documents are joined by id and text, so that copies do not meet in one task.
@@ -233,25 +258,19 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     # Buckets that still hold several components: compare across them.
     info = signed.where("bands is not null").select("digest", "n", "slots").join(asked, "digest", "left_semi").groupBy("digest").agg(F.max("n").alias("n"), F.max("slots").alias("slots"))
-    info = materialise(info.join(comp.withColumnRenamed("node", "digest"), "digest", "left").withColumn("comp", F.coalesce("comp", "digest")))
-    placed = members.select("key", "digest").distinct().join(info.select("digest", "n", "comp"), "digest")
+    info = info.join(comp.withColumnRenamed("node", "digest"), "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
+    placed = materialise(members.select("key", "digest").distinct().join(info, "digest"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    placed = materialise(placed.join(mixed, "key", "left_semi"))
+    placed = placed.join(mixed, "key", "left_semi")
     x, y = placed.alias("x"), placed.alias("y")
-    across = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n")))
-        .select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b"))
-        .distinct()
-        .join(pairs, ["a", "b"], "left_anti")
+    alike = (
+        (F.col("x.key") == F.col("y.key"))
+        & (F.col("x.comp") < F.col("y.comp"))
+        & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n"))
+        & (equal_slots("x.slots", "y.slots") >= LEAST_EQUAL_SLOTS)
     )
-    across = across.join(info.select(F.col("digest").alias("a"), F.col("slots").alias("p")), "a").join(info.select(F.col("digest").alias("b"), F.col("slots").alias("q")), "b")
-
-    def alike(chunks: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        for chunk in chunks:
-            near = [int((np.frombuffer(p, np.uint8) == np.frombuffer(q, np.uint8)).sum()) >= LEAST_EQUAL_SLOTS for p, q in zip(chunk["p"], chunk["q"])]
-            yield {k: [v for v, keep in zip(chunk[k], near) if keep] for k in ("a", "b")}
-
-    more = materialise(arrow_pass(across, alike, "a binary, b binary"))
+    across = x.join(y, alike).select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")).distinct()
+    more = materialise(across.join(pairs, ["a", "b"], "left_anti"))
     if more.limit(1).count():
         links = links.union(verify(more, texts, threshold))
         comp = materialise(components(links))
