@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, licenses, neardup, packing, pii, quality, warc
+from . import chat, langid, licenses, media, mixing, neardup, packing, pii, quality, warc
 from .common import table
 
 
@@ -21,6 +21,11 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.windows(turns))
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents: which are taken, how often and in which block."""
+    return mixing.plan(table(spark, sf_dir, "documents")).drop("key")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rules(table(spark, sf_dir, "documents"))
 
@@ -40,6 +45,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, ["doc_id", "held_out"])
 
 
+def op7_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
@@ -54,10 +63,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_windows": op1_chat_windows,
+    "op2_source_mix": op2_source_mix,
     "op3_quality_rules": op3_quality_rules,
     "op4_warc": op4_warc,
     "op5_license_scan": op5_license_scan,
     "op6_language_id": op6_language_id,
+    "op7_media_chunks": op7_media_chunks,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_personal_data": op9_personal_data,
     "op10_packing": op10_packing,
