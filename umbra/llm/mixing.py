@@ -29,7 +29,8 @@ SEED = 20
 
 
 def words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"\S+"))
+    pieces = F.split(text, r"\s+")
+    return F.size(pieces) - F.when(F.get(pieces, F.lit(0)) == "", 1).otherwise(0) - F.when((F.size(pieces) > 1) & (F.element_at(pieces, -1) == ""), 1).otherwise(0)
 
 
 def bisect(shares: DataFrame, reached, rising: bool) -> float:
