@@ -97,3 +97,13 @@ def worker_cache(name: str) -> dict:
 def key_column(*columns: str | Column) -> Column:
     """A non-null key of any columns; nulls and empty strings differ."""
     return F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), F.lit("\x00null")) for c in columns]))
+
+
+#: A table up to this many rows is broadcast; a larger one is joined by shuffling.
+BROADCAST_ROWS = 20_000
+
+
+def join_small(rows: DataFrame, table: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join with a table that is usually small: broadcast after its size has been checked, shuffled otherwise."""
+    small = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(table) if small else table, on, how)

@@ -16,15 +16,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import join_small, materialise
 
 MAX_REPEATS = 2.0
 BLOCK_TOKENS = 1 << 20
 BUCKETS_LOG2 = 12
 #: Bisection: halvings in one pass (their 2^n - 1 points at once) and passes.
 HALVINGS, PASSES = 5, 8
-#: A table of sources up to this many rows is broadcast; a larger one is joined by shuffling.
-BROADCAST_SOURCES = 20_000
 SEED = 20
 
 
@@ -93,11 +91,6 @@ def weights(counts: DataFrame, target_entropy: float | None = None, max_repeats:
     return materialise(weighted.union(none))
 
 
-def _joined(rows: DataFrame, table: DataFrame, on: Column) -> DataFrame:
-    small = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    return rows.join(F.broadcast(table) if small else table, on)
-
-
 def units(docs: DataFrame, tokens=words) -> DataFrame:
     """Rows that agree in id, source and text, as one: (key, doc_id, source, n_tokens of one, n_rows)."""
     key = unit_key()
@@ -124,7 +117,7 @@ def plan(docs: DataFrame, target_entropy: float | None = None, max_repeats: floa
     mass = (F.col("n_tokens") * F.col("n_rows")).alias("mass")
     table = weights(rows.groupBy("source").agg(F.sum(mass).alias("tokens")), target_entropy, max_repeats, budget)
     table = table.select(F.col("source").alias("s"), F.col("tokens").alias("held"), "weight", "quota")
-    taken = _joined(rows, table, F.col("source") == F.col("s")).drop("s")
+    taken = join_small(rows, table, F.col("source") == F.col("s")).drop("s")
     # A hair of rounding must not open another epoch.
     epochs = F.when(F.col("held") > 0, F.greatest(F.lit(1), F.ceil(F.col("quota") / F.col("held") - 1e-9).cast("int"))).otherwise(F.lit(1))
     laid = taken.withColumn("epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))

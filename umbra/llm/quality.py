@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, materialise, worker_cache
+from .common import arrow_pass, join_small, materialise, worker_cache
 
 # A word, the counted symbols, the base limits.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -124,7 +124,7 @@ def judge(measured: DataFrame, group: Column) -> DataFrame:
     for c, least in LEAST_SPREAD.items():
         spread = F.greatest(F.col(c)[1] - F.col(c)[0], F.lit(least)) * REACH
         edges += [F.col(c)[0].alias(f"{c}_low"), F.col(c)[1].alias(f"{c}_high"), spread.alias(f"{c}_far")]
-    joined = rows.join(bands.select(own, *edges), own, "left")
+    joined = join_small(rows, materialise(bands.select(own, *edges)), own, "left")
     wider = F.sqrt(1 + SHORT / F.greatest("n_tokens", F.lit(1)))
     above = lambda c: F.col(c) >= F.col(f"{c}_low") - F.col(f"{c}_far") * wider
     below = lambda c: F.col(c) <= F.col(f"{c}_high") + F.col(f"{c}_far") * wider
