@@ -68,7 +68,8 @@ class WordEncoder:
 
     def fill_letters(self, words: list[str]) -> None:
         """As ``fill`` for words of letters: they go through the tokenizer as one text, cut where a token ends a word."""
-        ids = np.asarray(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        (whole,) = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.asarray(whole.ids, "<u4")
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(words):
             return self.fill(words)
@@ -92,12 +93,27 @@ class WordEncoder:
             self.cache[w] = self.cache[core] + self.cache[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.odd.search(t) else t.split() for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        self.learn(set().union(*filter(None, split)).difference(self.cache))
-        look = self.cache.__getitem__
-        return [struct.pack(f"<{len(ids)}I", *ids) if words is None else b"".join(map(look, words)) for words, ids in ((w, self.tokenizer.encode(t, add_special_tokens=False).ids if w is None else ()) for t, w in zip(texts, split))]
+        out: list[bytes | list] = []
+        gaps: list[tuple[list, list[str], list[int]]] = []
+        look = self.cache.get
+        for text in texts:
+            if self.odd.search(text):
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                out.append(struct.pack(f"<{len(ids)}I", *ids))
+                continue
+            words = text.split()
+            found = list(map(look, words))
+            if None in found:
+                gaps.append((found, words, [i for i, x in enumerate(found) if x is None]))
+            out.append(found)
+        if gaps:
+            self.learn({words[i] for _, words, missing in gaps for i in missing})
+            for found, words, missing in gaps:
+                for i in missing:
+                    found[i] = look(words[i])
+        return [x if isinstance(x, bytes) else b"".join(x) for x in out]
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
