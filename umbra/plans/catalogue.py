@@ -121,15 +121,15 @@ def detect_dotenv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-with m as (select doc_id, regexp_extract_all(text, '[A-Za-z]+') as found, regexp_split_to_array(text, '[A-Za-z]+') as gaps from documents)
+with m as (select doc_id, regexp_extract_all(text, '[A-Z][a-z]+') as found, regexp_split_to_array(text, '[A-Z][a-z]+') as gaps from documents)
 select doc_id, len(found) as n, list_sum(list_transform(found, lambda x: length(x))) as chars,
   list_sum(list_transform(range(1, len(found) + 1), lambda i: list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0))) as starts
-from m where len(found) between 1 and 400
+from m where len(found) > 0
 """)
 def spans_with_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words with their positions; short documents, as the SQL is quadratic."""
+    """Capitalised words with their positions."""
     docs = _documents(spark, sf_dir)
-    found = docs.select("doc_id", find_all(F.col("text"), "[A-Za-z]+").alias("m")).where(F.size("m").between(1, 400))
+    found = docs.select("doc_id", find_all(F.col("text"), "[A-Z][a-z]+").alias("m")).where(F.size("m") > 0)
     add = lambda f: F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a + f(x))
     return found.select("doc_id", F.size("m").cast("long").alias("n"), add(lambda x: x["end"] - x["start"]).alias("chars"), add(lambda x: x["start"]).alias("starts"))
 
@@ -343,12 +343,12 @@ def walk_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walk.leaves(spread(requests), "conv_id").select("conv_id", F.col("ord").cast("long").alias("ord"), "text")
 
 
-@query("select event_id, 'input.k' as path, 'user ' || user_id as text from events where event_id % 5 = 0")
+@query("select event_id, 'input.k' as path, 'user ' || user_id as text from events")
 def json_in_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arguments that are JSON in a string are walked as user data."""
     inner = F.to_json(F.struct(F.struct(F.concat(F.lit("user "), "user_id").alias("k")).alias("input")))
     body = F.to_json(F.struct(F.lit("m").alias("model"), F.array(F.struct(F.struct(inner.alias("arguments")).alias("function"))).alias("calls")))
-    rows = table(spark, sf_dir, "events").where("event_id % 5 = 0").select("event_id", body.alias("body"))
+    rows = table(spark, sf_dir, "events").select("event_id", body.alias("body"))
     found = walk.leaves(spread(rows), "event_id", dialect=walk.CHAT).where("encoded")
     return found.select("event_id", F.regexp_extract("path", r"arguments\.(.*)$", 1).alias("path"), "text")
 
@@ -597,13 +597,13 @@ def route_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- streams -----------------------------------------------------------------------------------------
 
 
-@query("select doc_id, length(text) as n_chars, md5(text) as digest from (select doc_id, concat('mail a', doc_id, '@mail.com or [x] ', left(text, 500)) as text from documents)")
+@query("select doc_id, length(text) as n_chars, md5(text) as digest from (select doc_id, concat('mail a', doc_id, '@mail.com or [x] ', text) as text from documents)")
 def stream_chunks_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts redacted, cut into pieces of seven characters, and restored piece by piece."""
+    """Texts redacted, cut into pieces of eleven characters, and restored piece by piece."""
     docs = _documents(spark, sf_dir)
-    text = F.concat(F.lit("mail [REDACTED_EMAIL_1] or [x] "), F.substring("text", 1, 500))
+    text = F.concat(F.lit("mail [REDACTED_EMAIL_1] or [x] "), "text")
     values = F.create_map(F.lit("[REDACTED_EMAIL_1]"), F.concat(F.lit("a"), "doc_id", F.lit("@mail.com")))
-    pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.length(text) / 7).cast("int") - 1), lambda i: F.substring(text, i * 7 + 1, 7))
+    pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.length(text) / 11).cast("int") - 1), lambda i: F.substring(text, i * 11 + 1, 11))
     cut = docs.select(F.col("doc_id").alias("stream"), values.alias("values"), F.posexplode(pieces).alias("seq", "text"))
     whole = chunks.restore_batch(cut).groupBy("stream").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "out"))), lambda x: x["out"]), "").alias("text"))
     return whole.select(F.col("stream").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
