@@ -12,8 +12,10 @@ Texts are handled once, however many documents hold them.  Texts that share a ba
 centre of their bucket, a star instead of all pairs: at the text whose buckets hold most texts,
 which in a family of copies is the original.  Links are verified on the exact multisets.  Where
 a bucket still holds several components, texts of different components are compared with one
-another as well, first by their lengths and signatures and then, if these allow similarity 0.8,
-by their multisets, so that no link is lost to the choice of the centre.
+another as well, so that no link is lost to the choice of the centre.  Of these pairs only those
+are made whose lengths, signatures and shingles allow similarity 0.8.  Shingles that no other
+text in question holds cannot be shared, and what either of two texts lacks of their common
+centre they cannot share either; both bound the overlap from above, and lose no pair.
 """
 
 from __future__ import annotations
@@ -35,14 +37,13 @@ THRESHOLD = 0.8
 #: At similarity 0.8, 32 bands of 4 slots miss a pair with probability 5e-8.
 BANDS, BAND_SLOTS = 32, 4
 SLOTS = BANDS * BAND_SLOTS
-#: Equal slots, by five bits each, that a pair of the second round needs before its texts are
+#: Equal slots, by two bits each, that a pair of the second round needs before its texts are
 #: fetched: six standard deviations below what similarity 0.8 gives.
-LEAST_EQUAL_SLOTS = 76
-#: Twelve five-bit fields fit a long; their high bits and the others.
-FIELDS = 12
-LONGS = -(-SLOTS // FIELDS)
-_HIGH = sum(16 << 5 * i for i in range(FIELDS))
-_REST = sum(15 << 5 * i for i in range(FIELDS))
+LEAST_EQUAL_SLOTS = 84
+#: Two-bit fields of a long, and their low bits.
+FIELDS = 32
+LONGS = SLOTS // FIELDS
+_LOW = 0x5555555555555555
 CACHE_WORDS = 500_000
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -82,9 +83,13 @@ class Shingler:
 
 
 def signatures(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """BagMinHash: a row of ``SLOTS`` times for each multiset (hashes, multiplicities), none of them empty."""
+    """BagMinHash: a row of ``SLOTS`` times for each multiset (hashes, multiplicities), none of them empty.
+
+    Times are whole numbers of 2^-44: their sums do not depend on how many points are made at
+    once, so that a point has the same time in every text.
+    """
     n = len(bags)
-    sig = np.full(n * SLOTS, np.inf)
+    sig = np.full(n * SLOTS, np.iinfo(np.int64).max)
     if not n:
         return sig.reshape(0, SLOTS)
     hashes = np.concatenate([b[0] for b in bags])
@@ -99,13 +104,13 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     with np.errstate(over="ignore"):
         seed = _mix(hashes[item] + block.astype(np.uint64) * _GOLD)
     below = weights[item] - low  # steps of the block that lie under the weight
-    owner, time, at = owner[item], np.zeros(len(item)), 0
+    owner, time, at = owner[item], np.zeros(len(item), np.int64), 0
     while len(seed):
         k = int(np.clip(65536 // len(seed), 1, 32))
         with np.errstate(over="ignore"):
             bits = _mix(seed[:, None] + np.arange(at + 1, at + k + 1, dtype=np.uint64) * _GOLD)
             where = _mix(bits + _GOLD)
-        gaps = -np.log(((bits >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / (SLOTS * size)[:, None]
+        gaps = (-np.log(((bits >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) * (2.0**44 / (SLOTS * size))[:, None]).astype(np.int64) + 1
         times = time[:, None] + np.cumsum(gaps, axis=1)
         step = (where >> np.uint64(16)).astype(np.int64) & np.int64(2**40 - 1)
         counts = step % size[:, None] < below[:, None]
@@ -128,25 +133,22 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def packed_slots(sig: np.ndarray) -> np.ndarray:
-    """Five bits of each slot, twelve slots in a long."""
-    bits = np.zeros((len(sig), LONGS * FIELDS), np.int64)
-    bits[:, :SLOTS] = (_mix(sig.view(np.uint64)) & np.uint64(31)).astype(np.int64)
-    return np.left_shift(bits.reshape(len(sig), LONGS, FIELDS), 5 * np.arange(FIELDS)).sum(axis=2)
+    """Two bits of each slot, 32 slots in a long."""
+    bits = (_mix(sig.view(np.uint64)) & np.uint64(3)).reshape(len(sig), LONGS, FIELDS)
+    return np.bitwise_or.reduce(np.left_shift(bits, 2 * np.arange(FIELDS, dtype=np.uint64)), axis=2).view(np.int64)
 
 
 def equal_slots(p: str, q: str) -> Column:
     """How many slots agree, of two columns of packed slots."""
     differ = [F.col(p)[i].bitwiseXOR(F.col(q)[i]) for i in range(LONGS)]
-    # A field's high bit is set where the field is not zero.
-    unequal = [F.bit_count(((x.bitwiseAND(F.lit(_REST)) + F.lit(_REST)).bitwiseOR(x)).bitwiseAND(F.lit(_HIGH))) for x in differ]
+    unequal = [F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(_LOW))) for x in differ]
     return F.lit(SLOTS) - reduce(lambda a, b: a + b, unequal)
 
 
-def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two multisets."""
+def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """The mass that two multisets share."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = int(np.minimum(a[1][i], b[1][j]).sum())
-    return both / max(1, int(a[1].sum() + b[1].sum()) - both)
+    return int(np.minimum(a[1][i], b[1][j]).sum())
 
 
 def text_digest(text: str) -> bytes:
@@ -181,8 +183,22 @@ def sign(docs: DataFrame) -> DataFrame:
     return arrow_pass(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows, "doc_id long, digest binary, n long, bands array<long>, slots array<long>")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) of digests whose texts reach the threshold; ``texts(digest, text)`` has each digest once."""
+#: Longs of the bitmap in which a text's lacks, against its centre, are hashed; collisions only loosen the bound.
+LACK_LONGS = 4
+
+
+def lacks(text: tuple[np.ndarray, np.ndarray], centre: tuple[np.ndarray, np.ndarray]) -> list[int]:
+    """A bitmap of the centre's shingles that the text does not hold as often."""
+    at = np.minimum(np.searchsorted(text[0], centre[0]), max(0, len(text[0]) - 1))
+    held = np.where(text[0][at] == centre[0], text[1][at], 0) if len(text[0]) else np.zeros(len(centre[0]), np.int64)
+    missing = centre[0][held < centre[1]]
+    bits = np.zeros(64 * LACK_LONGS, np.uint8)
+    bits[(_mix(missing) % np.uint64(64 * LACK_LONGS)).astype(np.int64)] = 1
+    return np.packbits(bits).view(">i8").astype(np.int64).tolist()
+
+
+def compare(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``pairs(a, b)`` of digests with linked, their shared mass, and what b lacks of a; ``texts(digest, text)`` has each digest once."""
 
     def rows(chunks: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         shingler = Shingler()
@@ -196,12 +212,22 @@ def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) ->
             return recent[digest]
 
         for chunk in chunks:
-            linked = [overlap(bag(a, s), bag(b, t)) >= threshold for a, b, s, t in zip(chunk["a"], chunk["b"], chunk["text"], chunk["other"])]
-            yield {k: [x for x, keep in zip(chunk[k], linked) if keep] for k in ("a", "b")}
+            out: dict[str, list] = {"a": chunk["a"], "b": chunk["b"], "linked": [], "shared": [], "lacks": []}
+            for a, b, s, t in zip(chunk["a"], chunk["b"], chunk["text"], chunk["other"]):
+                p, q = bag(a, s), bag(b, t)
+                shared = overlap(p, q)
+                out["linked"].append(shared >= threshold * (int(p[1].sum() + q[1].sum()) - shared))
+                out["shared"].append(shared)
+                out["lacks"].append(lacks(q, p))
+            yield out
 
-    with_b = pairs.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("other")), "b")
+    with_b = pairs.select("a", "b").join(texts.select(F.col("digest").alias("b"), F.col("text").alias("other")), "b")
     both = with_b.join(texts.select(F.col("digest").alias("a"), "text"), "a")
-    return materialise(arrow_pass(both.select("a", "b", "text", "other"), rows, "a binary, b binary"))
+    return materialise(arrow_pass(both.select("a", "b", "text", "other"), rows, "a binary, b binary, linked boolean, shared long, lacks array<long>"))
+
+
+def linked(compared: DataFrame) -> DataFrame:
+    return compared.where("linked").select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -229,6 +255,30 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.union(edges.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()
 
 
+def shareable(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(digest, n, common) for ``asked(digest, n)``: of each text's shingles, how many another of these texts holds too."""
+
+    def rows(chunks: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        shingler = Shingler()
+        for chunk in chunks:
+            bags = [shingler(t) for t in chunk["text"]]
+            sizes = [len(b[0]) for b in bags]
+            halves = np.frombuffer(b"".join(chunk["digest"]), ">i8").reshape(-1, 2).astype(np.int64)
+            yield {
+                "shingle": np.concatenate([b[0] for b in bags]).view(np.int64),
+                "d1": np.repeat(halves[:, 0], sizes),
+                "d2": np.repeat(halves[:, 1], sizes),
+                "mass": np.concatenate([b[1] for b in bags]),
+            }
+
+    each = arrow_pass(texts.join(asked.select("digest"), "digest", "left_semi").select("digest", "text"), rows, "shingle long, d1 long, d2 long, mass long")
+    alone = each.groupBy("shingle").agg(F.count("*").alias("texts"), F.min("d1").alias("d1"), F.min("d2").alias("d2"), F.min("mass").alias("mass")).where("texts = 1")
+    lonely = alone.groupBy("d1", "d2").agg(F.sum("mass").alias("lonely"))
+    half = lambda c, at: F.conv(F.substring(F.hex(c), at, 16), 16, -10).cast("long")
+    keyed = asked.withColumn("d1", half(F.col("digest"), 1)).withColumn("d2", half(F.col("digest"), 17))
+    return materialise(keyed.join(lonely, ["d1", "d2"], "left").select("digest", "n", (F.col("n") - F.coalesce("lonely", F.lit(0))).alias("common")))
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Near-duplicate classes of ``docs(doc_id, text)``: (doc_id, digest, class_id, class_size), a row per document.
 
@@ -241,9 +291,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     crowded = banded.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("key", "size")
     members = materialise(banded.join(crowded, "key"))
     reach = members.groupBy("digest").agg(F.sum("size").alias("reach"))
-    centres = members.select("key", "digest").join(reach, "digest").groupBy("key").agg(F.max(F.struct("reach", "digest")).alias("c")).select("key", F.col("c.digest").alias("centre"))
-    pairs = members.select("key", "digest").join(centres, "key").where("digest != centre").select(F.least("centre", "digest").alias("a"), F.greatest("centre", "digest").alias("b")).distinct()
-    pairs = materialise(pairs)
+    centres = members.select("key", "digest").join(reach, "digest").groupBy("key").agg(F.max(F.struct("reach", "digest")).alias("c")).select("key", F.col("c.digest").alias("a"), F.col("c.reach").alias("reach"))
+    pairs = materialise(members.select("key", F.col("digest").alias("b")).join(centres, "key").where("a != b").select("a", "b", "reach").distinct())
 
     # The texts in question, each once; the documents are joined by id and text, so that copies do not meet in one task.
     asked = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
@@ -253,26 +302,44 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     keyed = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.unhex(F.md5("text")).alias("digest")).select("digest", "text", key.alias("key"))
     texts = materialise(keyed.join(wanted, "key", "left_semi").select("digest", "text").dropDuplicates(["digest"]))
 
-    links = verify(pairs, texts, threshold)
+    stars = compare(pairs, texts, threshold)
+    links = linked(stars)
     comp = materialise(components(links))
 
     # Buckets that still hold several components: compare across them.
     info = signed.where("bands is not null").select("digest", "n", "slots").join(asked, "digest", "left_semi").groupBy("digest").agg(F.max("n").alias("n"), F.max("slots").alias("slots"))
-    info = info.join(comp.withColumnRenamed("node", "digest"), "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
+    info = materialise(info.join(comp.withColumnRenamed("node", "digest"), "digest", "left").withColumn("comp", F.coalesce("comp", "digest")))
     placed = materialise(members.select("key", "digest").distinct().join(info, "digest"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    placed = placed.join(mixed, "key", "left_semi")
+    placed = materialise(placed.join(mixed, "key", "left_semi"))
+    # A text's home is the centre of most reach that it has been compared with; a centre is at home with itself.
+    away = stars.join(pairs, ["a", "b"]).groupBy(F.col("b").alias("digest")).agg(F.max(F.struct("reach", F.col("a").alias("home"), "shared", "lacks")).alias("h")).select("digest", "h.home", "h.shared", "h.lacks")
+    away = away.join(placed.select("digest").distinct(), "digest", "left_semi")
+    homes = away.select(F.col("home").alias("digest")).distinct()
+    common = shareable(texts, placed.select("digest", "n").union(info.join(homes, "digest", "left_semi").select("digest", "n")).distinct())
+    sizes = common.select(F.col("digest").alias("home"), F.col("n").alias("home_n"))
+    outside = away.join(sizes, "home").join(common.select("digest", "common"), "digest").select("digest", "home", "home_n", "lacks", (F.col("common") - F.col("shared")).alias("beside"))
+    facts = common.select("digest", "common").join(outside, "digest", "left").join(placed.groupBy("digest").agg(F.collect_set("key").alias("keys")), "digest")
+    placed = placed.join(materialise(facts), "digest")
     x, y = placed.alias("x"), placed.alias("y")
+    enough = lambda mass: mass * (1 + threshold) >= threshold * (F.col("x.n") + F.col("y.n")) - 1e-6
+    together = reduce(lambda a, b: a + b, [F.bit_count(F.col("x.lacks")[i].bitwiseOR(F.col("y.lacks")[i])) for i in range(LACK_LONGS)])
+    same_home = F.col("x.home_n") - together + F.least("x.beside", "y.beside")
     alike = (
         (F.col("x.key") == F.col("y.key"))
         & (F.col("x.comp") < F.col("y.comp"))
         & (F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n"))
+        & enough(F.least("x.common", "y.common"))
+        & (F.coalesce(F.col("x.home") != F.col("y.home"), F.lit(True)) | enough(same_home))
         & (equal_slots("x.slots", "y.slots") >= LEAST_EQUAL_SLOTS)
+        # Of the buckets that a pair shares, the first alone gives it.
+        & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key"))
     )
-    across = x.join(y, alike).select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")).distinct()
-    more = materialise(across.join(pairs, ["a", "b"], "left_anti"))
+    across = x.join(y, alike).select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b"))
+    known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = materialise(across.join(known, ["a", "b"], "left_anti"))
     if more.limit(1).count():
-        links = links.union(verify(more, texts, threshold))
+        links = links.union(linked(compare(more, texts, threshold)))
         comp = materialise(components(links))
 
     # From texts to documents: one row a text, then one a class, map-side first.
