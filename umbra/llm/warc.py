@@ -23,7 +23,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from .common import shared_dir
@@ -239,11 +239,11 @@ class WarcReader(DataSourceReader):
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         for f in filters:
-            column = f.attribute[0] if isinstance(f, (EqualTo, In, StringStartsWith)) and len(f.attribute) == 1 else None
+            column = f.attribute[0] if isinstance(f, (EqualTo, In, IsNotNull, StringStartsWith)) and len(f.attribute) == 1 else None
             if column not in HEADERS:
                 yield f
-            elif isinstance(f, StringStartsWith):
-                self.tests.append((column, "starts", (f.value,)))
+            elif isinstance(f, (IsNotNull, StringStartsWith)):
+                self.tests.append((column, "starts", ("" if isinstance(f, IsNotNull) else f.value,)))
             else:
                 self.tests.append((column, "in", tuple(f.value) if isinstance(f, In) else (f.value,)))
 
