@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import tempfile
 import types
@@ -57,8 +59,10 @@ def arrow_pass(df: DataFrame, rows: Callable[[Iterator[dict[str, list]]], Iterat
     """
     small_batches(df.sparkSession)
     out_schema = _arrow_schema(schema)
+    owner = f"{rows.__module__}.{rows.__qualname__}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker(owner)
         for out in rows(_chunks(batches)):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in out_schema], schema=out_schema)
 
@@ -88,10 +92,28 @@ def _arrow_schema(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def _worker() -> dict:
+    return sys.modules.setdefault("umbra_worker_cache", types.ModuleType("umbra_worker_cache")).__dict__
+
+
+def own_worker(owner: str) -> None:
+    """A Python worker serves one pass after another: what another pass has cached goes, and its memory with it."""
+    state = _worker()
+    if state.get("owner") != owner:
+        held = state.pop("caches", None)
+        state["owner"] = owner
+        if held:
+            held.clear()
+            gc.collect()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass
+
+
 def worker_cache(name: str) -> dict:
-    """A dictionary that later tasks of the same Python worker find again."""
-    holder = sys.modules.setdefault("umbra_worker_cache", types.ModuleType("umbra_worker_cache"))
-    return holder.__dict__.setdefault(name, {})
+    """A dictionary that later tasks of the same pass find again in the same Python worker."""
+    return _worker().setdefault("caches", {}).setdefault(name, {})
 
 
 def key_column(*columns: str | Column) -> Column:

@@ -44,7 +44,7 @@ LEAST_EQUAL_SLOTS = 84
 FIELDS = 32
 LONGS = SLOTS // FIELDS
 _LOW = 0x5555555555555555
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -169,7 +169,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 digest = text_digest(text) if text and not text.isspace() else None
                 digests.append(digest)
                 if digest is not None and digest not in seen:
-                    if len(seen) < 1_000_000:
+                    if len(seen) < 300_000:
                         seen.add(digest)
                     bags.append(shingler(text))
                     fresh.append(i)

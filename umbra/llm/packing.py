@@ -32,7 +32,7 @@ BUCKETS = 256
 #: Closes each document.
 END_ID = 1
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 #: Ends of words that the tokenizer's pattern always separates from letters.
 TAIL = ".,;:!?"
 
