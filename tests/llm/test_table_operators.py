@@ -116,7 +116,7 @@ def test_packing_holds_every_id_once(spark):
     from tokenizers import Tokenizer
 
     rng = np.random.default_rng(3)
-    texts = ["", None, "Hello, WORLD's 12 İstanbul ΣΑΣ <|endoftext|> \x1c x", "naïve café, don't", "word " * 3000, "x" * 5000] + [words(rng, int(n)) for n in rng.integers(1, 900, 60)]
+    texts = ["", None, "Hello, WORLD's 12 İstanbul ΣΑΣ <|endoftext|> \x1c x", "naïve café, don't", "Ab\u00a0cd\u0085ef x².y, 12.5 É,ß", "a,.b .. ,c", "e\u0301 \u1e9b\u0323", "word " * 3000, "x" * 5000] + [words(rng, int(n)) for n in rng.integers(1, 900, 60)]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "nobody"), (7, texts[7])]
     got = packing.pack(docs(spark, rows).withColumn("offset", F.lit("clash"))).toPandas()
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())

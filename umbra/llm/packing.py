@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +33,10 @@ BUCKETS = 256
 #: Closes each document.
 END_ID = 1
 
-CACHE_WORDS = 600_000
+# Fixed value: the words of the tokenizer's pre-tokenizer.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words in each of the two generations of the cache; a word that is met again moves to the younger one.
+CACHE_WORDS = 450_000
 #: Ends of words that the tokenizer's pattern always separates from letters.
 TAIL = ".,;:!?"
 
@@ -46,21 +50,28 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """Token ids as little-endian unsigned 32-bit bytes; each distinct word is encoded once.
 
-    The tokenizer normalises characters by themselves and its pattern never crosses white
-    space, so that a text's ids are those of its words one after another.
+    The tokenizer normalises characters by themselves and encodes the words of its pattern by
+    themselves, so that a text's ids are those of its words one after another.
     """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        # Python splits at these, the tokenizer doesn't.
-        self.odd = re.compile("[\x1c-\x1f]")
+        # The tokenizer's own pattern of words; and what does not fall into words of it one by one:
+        # strings of special tokens, letters whose lower case depends on others.
+        self.words = regex.compile(WORDS)
+        self.whole = re.compile("<[|]|[\u03a3\u0130]")
+        # Texts of Latin-1 letters, digits, blanks and lone stops, of which far fewer distinct words have to be kept.
+        marks = "".join(re.escape(chr(c)) for c in range(0x100) if not chr(c).isalnum() and chr(c) not in ".," and (not chr(c).isspace() or 0x1C <= c < 0x20))
+        self.marks = re.compile(f"[{marks}]")
 
     def fill(self, words: list[str]) -> None:
         for w, enc in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
@@ -81,7 +92,9 @@ class WordEncoder:
     def learn(self, words: set[str]) -> None:
         """Put new words in the cache: one of letters with stops behind it is made of two."""
         parts, odd = {}, {""}
-        for w in words:
+        known = words.intersection(self.old)
+        self.cache.update((w, self.old[w]) for w in known)
+        for w in words - known:
             core = w.rstrip(TAIL)
             if core.isalpha() and "İ" not in core:
                 parts[w] = (core.lower() if core.isascii() else core, w[len(core) :])
@@ -92,18 +105,29 @@ class WordEncoder:
         for w, (core, tail) in parts.items():
             self.cache[w] = self.cache[core] + self.cache[tail]
 
+    def plain(self, text: str) -> bool:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return not (".." in text or ",," in text or ".," in text or ",." in text or self.marks.search(text))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
+            self.old, self.cache = self.cache, {}
         out: list[bytes | list] = []
         gaps: list[tuple[list, list[str], list[int]]] = []
         look = self.cache.get
         for text in texts:
-            if self.odd.search(text):
+            plain = self.plain(text)
+            if not plain and self.whole.search(text):
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
                 out.append(struct.pack(f"<{len(ids)}I", *ids))
                 continue
-            words = text.split()
+            if plain:  # a stop is always a word of its own, and case is lost anyway
+                words = text.lower().replace(",", " , ").replace(".", " . ").split()
+            else:
+                words = self.words.findall(unicodedata.normalize("NFC", text).lower())
             found = list(map(look, words))
             if None in found:
                 gaps.append((found, words, [i for i, x in enumerate(found) if x is None]))
