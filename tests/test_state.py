@@ -2,6 +2,7 @@ import datetime as dt
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from umbra.operators import admission, metrics, state
@@ -95,6 +96,9 @@ def test_files(spark, tmp_path):
     (tmp_path / "terms").write_text("Orion\n")
     held = files.Reloaded(spark, f"{tmp_path}/terms", lambda p: files.read_terms(spark, p))
     assert held.get().count == 1
+    (tmp_path / "bad").write_text("Orion\n[ALLOW]\nmail.com\nmy password: hunter22\n")
+    with pytest.raises(ValueError, match="terms line 4: ALLOW entry looks like"):
+        files.read_terms(spark, f"{tmp_path}/bad")
     (tmp_path / "terms").write_text("xx\n")
     assert held.get().count == 1 and held.error
 
