@@ -15,7 +15,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_pass, join_small, materialise, worker_cache
@@ -27,6 +27,8 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 
 REACH = 3.0
+#: The measures' bins.
+GRID = 0.001
 #: Short texts scatter more: the distances grow by sqrt(1 + SHORT / tokens).
 SHORT = 300
 #: Of characters per token, byte share and entropy.
@@ -114,17 +116,31 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
 
 
+def quartiles(rows: DataFrame, group: str) -> DataFrame:
+    """For each measure c of each group the columns c_low and c_high, its quartiles to ``GRID``, and c_far, how far a band reaches.
+
+    Counted in bins, so that the result does not depend on the order of rows; bins of a group
+    are few, whatever the number of documents.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.round(F.col(c) / GRID).cast("long").alias("bin")) for c in LEAST_SPREAD])).alias("x")
+    counts = rows.select(group, each).where("x.bin is not null").groupBy(group, "x.c", "x.bin").count()
+    own = Window.partitionBy(group, "c")
+    below = F.sum("count").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = counts.withColumn("below", below).withColumn("all", F.sum("count").over(own))
+    at = ranked.groupBy(group, "c").agg(*[F.min(F.when(F.col("below") >= q * F.col("all"), F.col("bin"))).alias(k) for k, q in (("low", 0.25), ("high", 0.75))])
+    out = []
+    for c, least in LEAST_SPREAD.items():
+        low, high = (F.max(F.when(F.col("c") == c, F.col(k) * GRID)) for k in ("low", "high"))
+        out += [low.alias(f"{c}_low"), high.alias(f"{c}_high"), (F.greatest(high - low, F.lit(least)) * REACH).alias(f"{c}_far")]
+    return at.groupBy(group).agg(*out)
+
+
 def judge(measured: DataFrame, group: Column) -> DataFrame:
     """``measured`` with base_failed and kept: the bands of each group come from all its rows that pass the base rules."""
     own = "__umbra_group"
     rows = measured.withColumn("base_failed", base_failed()).withColumn(own, F.coalesce(group.cast("string"), F.concat(F.lit("script "), F.col("script"))))
-    quartiles = lambda c: F.percentile_approx(c, [0.25, 0.75], 10000).alias(c)
-    bands = rows.where(~F.col("base_failed")).groupBy(own).agg(*[quartiles(c) for c in LEAST_SPREAD])
-    edges = []
-    for c, least in LEAST_SPREAD.items():
-        spread = F.greatest(F.col(c)[1] - F.col(c)[0], F.lit(least)) * REACH
-        edges += [F.col(c)[0].alias(f"{c}_low"), F.col(c)[1].alias(f"{c}_high"), spread.alias(f"{c}_far")]
-    joined = join_small(rows, materialise(bands.select(own, *edges)), own, "left")
+    bands = materialise(quartiles(rows.where(~F.col("base_failed")), own))
+    joined = join_small(rows, bands, own, "left")
     wider = F.sqrt(1 + SHORT / F.greatest("n_tokens", F.lit(1)))
     above = lambda c: F.col(c) >= F.col(f"{c}_low") - F.col(f"{c}_far") * wider
     below = lambda c: F.col(c) <= F.col(f"{c}_high") + F.col(f"{c}_far") * wider
