@@ -191,3 +191,13 @@ def test_splits_of_a_placeholder():
             done, pending = chunks.feed(pending, part, values)
             out += done
         assert out + chunks.flush(pending, values) == whole
+
+
+def test_literal_places_overlap_and_are_linear(spark):
+    text = "-a-a-a -a-a \\E(x) " + "long text " * 30_000 + "-a-a"
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    values = spark.createDataFrame([(1, "-a-a", "SECRET"), (1, "\\E(x)", "SECRET"), (1, "none", "SECRET")], "doc_id int, value string, kind string")
+    got = vault.literal_hits(df, values, ["doc_id"], ["doc_id"]).first()["known"]
+    want = [i for v in ("-a-a", "\\E(x)") for i in range(len(text)) if text.startswith(v, i)]
+    kept = [s["start"] for s in got]
+    assert sorted(kept) == sorted(i for i in want if not (text[i] == "-" and text[i + 4 : i + 5].isalpha()))

@@ -90,13 +90,16 @@ def literal_hits(docs: DataFrame, vault: DataFrame, scope: Sequence[str], key: S
     values = vault.where(F.length("value") >= LEAST_LITERAL).select(*scope, F.col("value").alias("__value"), F.col("kind").alias("__kind"))
     pairs = docs.select(*scope, *key, text).join(values, list(scope)).where(F.contains(F.col(text), F.col("__value")))
     body, v = F.col(text), F.col("__value")
-    # Places by stepping through locate() from one past the last hit.
-    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - F.length(v) + 1))
-    places = F.aggregate(
-        F.filter(steps, lambda i: F.substring(body, i, F.length(v)) == v),
-        F.array().cast("array<int>"),
-        lambda acc, i: F.concat(acc, F.array(i - 1)),
+    # A split before every place, overlapping ones too: the pieces' lengths add up to the places.
+    quoted = F.concat(F.lit(r"(?=\Q"), F.replace(v, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    starts = F.aggregate(
+        F.split(body, quoted, -1),
+        start,
+        lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
+        lambda acc: acc["out"],
     )
+    places = F.when(body.startswith(v), starts).otherwise(F.slice(starts, 2, 2**31 - 2))
     whole = F.filter(places, lambda s: whole_word(body, s, s + F.length(v)))
     spans = F.transform(whole, lambda s: F.struct(s.cast("int").alias("start"), (s + F.length(v)).cast("int").alias("end"), F.col("__kind").alias("kind"), F.lit("known").alias("rule"), F.lit(P.PRIORITY["literal"]).alias("priority"), F.lit(300).alias("ord")))
     return pairs.select(*key, spans.alias("known")).groupBy(*key).agg(F.flatten(F.collect_list("known")).cast(f"array<{SPAN}>").alias("known"))
