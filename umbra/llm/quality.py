@@ -109,7 +109,7 @@ def measure(docs: DataFrame, keep: list[str], tokenizer: str | None = None) -> D
                     out[name].append(value)
             yield out
 
-    return arrow_pass(docs.select(*keep, "text"), rows, ddl)
+    return arrow_pass(docs.select(*dict.fromkeys([*keep, "text"])), rows, ddl)
 
 
 def base_failed() -> Column:
@@ -162,12 +162,10 @@ def rules(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 def keep_good(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the same columns.
 
-    Verdicts meet their rows by id and text, so that repeated rows share one; the texts are
-    measured once and shuffled once.
+    The measures are written beside the rows, which are then filtered by their group's bands:
+    texts are read and measured once and never shuffled.
     """
-    own = "__umbra_row"
-    key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col("lang"), F.lit("\x00null")), F.md5("text")))
-    keyed = docs.select(key.alias(own), "lang", "text")
-    measured = materialise(measure(keyed, [own, "lang"], tokenizer))
-    kept = judge(measured, F.col("lang")).where("kept").select(own)
-    return docs.withColumn(own, key).join(kept, own, "left_semi").drop(own)
+    names = {c: "text" if c == "text" else f"__umbra_{i}" for i, c in enumerate(docs.columns)}  # own names can't clash with the measures'
+    rows = docs.select(*[F.col(c).alias(n) for c, n in names.items()])
+    measured = materialise(measure(rows, list(names.values()), tokenizer))
+    return judge(measured, F.col(names["lang"])).where("kept").select(*[F.col(n).alias(c) for c, n in names.items()])
