@@ -85,6 +85,17 @@ def test_one_of_each_class_stays(spark, copies):
     assert {i for i in ids if i is not None} == want and ids[0] == 1 and ids[None] <= 2
 
 
+def test_unlike_texts_without_id_or_under_one_id_all_stay(spark):
+    rng = np.random.default_rng(23)
+    alone, twins = [words(rng, 60) for _ in range(6)], [words(rng, 60) for _ in range(2)]
+    near = words(rng, 150)
+    rows = [(None, t) for t in alone] + [(4, t) for t in twins] + [(None, near), (None, near + " end"), (None, alone[0]), (9, alone[5])]
+    kept = Counter((r["doc_id"], r["text"]) for r in neardup.keep_one(docs(spark, rows)).collect())
+    one = {k for k in kept if k[1] in (near, near + " end")}
+    assert len(one) == 1
+    assert kept == Counter([(None, t) for t in alone[:5]] + [(9, alone[5])] + [(4, t) for t in twins] + list(one))
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(5)
     errors = []

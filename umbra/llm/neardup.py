@@ -286,6 +286,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     their own (class_id their doc_id).  A null doc_id takes part by its text and only names a
     class that has no other.  Equal texts are one class whatever their number.
     """
+    return components_of(docs, threshold).drop("comp")
+
+
+def components_of(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """As ``classes``, with comp: the digest that stands for the class, null for blank texts.
+
+    Unlike class_id, which is null for all classes without an id and may be shared where one id
+    has several texts, comp tells every class from the others.
+    """
     signed = materialise(sign(docs))
     banded = signed.where("bands is not null").select("digest", F.explode("bands").alias("key"))
     crowded = banded.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("key", "size")
@@ -346,9 +355,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     by_text = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("docs"))
     by_text = materialise(by_text.join(comp.withColumnRenamed("node", "digest"), "digest", "left").withColumn("comp", F.coalesce("comp", "digest")))
     by_comp = by_text.groupBy("comp").agg(F.min("least").alias("class_id"), F.sum("docs").alias("class_size"))
-    named = by_text.join(by_comp, "comp").select("digest", "class_id", "class_size")
-    blank = signed.where("digest is null").select("doc_id", "digest", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    return signed.where("digest is not null").select("doc_id", "digest").join(named, "digest").select("doc_id", "digest", "class_id", "class_size").union(blank)
+    named = by_text.join(by_comp, "comp").select("digest", "class_id", "class_size", "comp")
+    blank = signed.where("digest is null").select("doc_id", "digest", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(None).cast("binary").alias("comp"))
+    return signed.where("digest is not null").select("doc_id", "digest").join(named, "digest").select("doc_id", "digest", "class_id", "class_size", "comp").union(blank)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -358,10 +367,10 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     own = "__umbra_row"
     key = lambda doc_id, digest: F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("null")), F.lower(F.coalesce(digest, F.lit("blank")))))
-    found = classes(docs, threshold)
+    found = components_of(docs, threshold)
     stay = found.where(F.col("digest").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id")))
-    # One text of each class, should an id come with several texts.
-    stay = stay.groupBy("class_id").agg(F.min("digest").alias("digest")).select(key(F.col("class_id"), F.hex("digest")).alias(own))
+    # One text of each class, should its smallest id come with several of its texts.
+    stay = stay.groupBy("comp").agg(F.min(F.struct("digest", "doc_id")).alias("s")).select(key(F.col("s.doc_id"), F.hex("s.digest")).alias(own))
     worded = F.col("text").rlike(r"[^\s\x{1c}-\x{1f}\x{85}\p{Z}]")
     rows = docs.where(worded).withColumn(own, key(F.col("doc_id").cast("long"), F.md5("text"))).join(stay, own, "left_semi").dropDuplicates([own]).drop(own)
     return rows.union(docs.where(F.col("text").isNull() | ~worded))
