@@ -148,6 +148,20 @@ def test_language_edges(spark):
     assert langid.identify(df.limit(0), model, ["doc_id"]).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(12)
+    letters = np.array([chr(c) for c in range(0x4E00, 0x9F00)])
+    own = {f"l{k:02}": ["".join(rng.choice(letters[k * 200 : (k + 1) * 200], 5)) for _ in range(40)] for k in range(70)}
+    # 68 languages of four rows; one of two rows, one of a single row.
+    few = {"l68": 2, "l69": 1}
+    rows = [(lang, " ".join(rng.choice(v, 40))) for lang, v in own.items() for _ in range(few.get(lang, 4))]
+    model = langid.train(docs(spark, [(i, t, lang) for i, (lang, t) in enumerate(rows)]))
+    assert model.languages == sorted(own) and len(model.more) == 1
+    asked = {lang: " ".join(rng.choice(v, 40)) for lang, v in own.items()}
+    rates = model.false_rates()
+    assert {lang: model.predict(t, rates)[0] for lang, t in asked.items()} == {lang: lang for lang in own}
+
+
 def test_filter_finds_all_it_holds_and_few_others():
     rng = np.random.default_rng(0)
     held = {k: rng.integers(0, 2**63, 20_000).astype(np.uint64) for k in ("a", "b")}

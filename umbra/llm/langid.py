@@ -20,11 +20,11 @@ from .common import arrow_pass, small_batches
 
 #: Labelled documents of each language that training reads, at most; picked by a hash.
 SAMPLE_DOCS = 3000
-#: N-grams kept of each language, the most frequent first; they must be in this many documents.
+#: N-grams kept of each language, the most frequent first; they must be in this many documents, unless the language has none such.
 GRAMS, LEAST_DOCS = 20_000, 3
 SIZES = (2, 3, 4)
-#: Bloom filter: positions (a power of two) and probes.  8 bytes a position: 64 languages.
-POSITIONS, PROBES, MAX_LANGUAGES = 1 << 20, 3, 64
+#: Bloom filter: positions (a power of two) and probes.  8 bytes a position for every 64 languages.
+POSITIONS, PROBES, WORD_LANGUAGES = 1 << 20, 3, 64
 UNDETERMINED = "und"
 
 _TABLES: list[np.ndarray] = []
@@ -80,18 +80,25 @@ def _probes(hashes: np.ndarray) -> list[np.ndarray]:
 class Model:
     languages: list[str]
     masks: np.ndarray  # POSITIONS, bit l: language l
+    more: tuple[np.ndarray, ...] = ()  # as masks, for each further 64 languages
+
+    @property
+    def words(self) -> tuple[np.ndarray, ...]:
+        return (self.masks, *self.more)
 
     @classmethod
     def build(cls, by_language: dict[str, np.ndarray]) -> "Model":
-        masks = np.zeros(POSITIONS, np.uint64)
         languages = sorted(by_language)
-        for bit, lang in enumerate(languages):
+        words = [np.zeros(POSITIONS, np.uint64) for _ in range(max(1, -(-len(languages) // WORD_LANGUAGES)))]
+        for i, lang in enumerate(languages):
+            word, bit = divmod(i, WORD_LANGUAGES)
             for at in _probes(by_language[lang]):
-                masks[at] |= np.uint64(1 << bit)
-        return cls(languages, masks)
+                words[word][at] |= np.uint64(1 << bit)
+        return cls(languages, words[0], tuple(words[1:]))
 
     def false_rates(self) -> np.ndarray:
-        fill = np.array([np.count_nonzero(self.masks & np.uint64(1 << b)) for b in range(len(self.languages))]) / POSITIONS
+        places = (divmod(i, WORD_LANGUAGES) for i in range(len(self.languages)))
+        fill = np.array([np.count_nonzero(self.words[word] & np.uint64(1 << bit)) for word, bit in places]) / POSITIONS
         return fill**PROBES
 
     def predict(self, text: str | None, rates: np.ndarray) -> tuple[str, float]:
@@ -99,11 +106,13 @@ class Model:
         for at in range(0, len(text or ""), 1 << 18):  # long texts in parts, all of them
             hashes = grams(text[at : at + (1 << 18)])
             total += len(hashes)
-            found = np.full(len(hashes), ~np.uint64(0))
-            for probe in _probes(hashes):
-                found &= self.masks[probe]
-            for bit in range(len(counts)):
-                counts[bit] += np.count_nonzero(found & np.uint64(1 << bit))
+            probes = _probes(hashes)
+            for first, masks in zip(range(0, len(counts), WORD_LANGUAGES), self.words):
+                found = np.full(len(hashes), ~np.uint64(0))
+                for probe in probes:
+                    found &= masks[probe]
+                for bit in range(min(WORD_LANGUAGES, len(counts) - first)):
+                    counts[first + bit] += np.count_nonzero(found & np.uint64(1 << bit))
         if not total or not len(counts):
             return UNDETERMINED, 0.0
         share = np.clip((counts / total - rates) / (1 - rates), 0, 1)
@@ -114,12 +123,13 @@ class Model:
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Fit on the rows of ``docs(doc_id, text, lang)`` that have a language and a text.
 
-    At most about ``sample_docs`` rows of each language are read, chosen by a hash of the text;
-    of more than 64 languages the 64 with most rows are learned.
+    At most about ``sample_docs`` rows of each language are read, chosen by a hash of the text.
+    Every language with letters in its rows is learned, however many there are and however few
+    rows one has.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     # One row a language reaches the driver.
-    per_lang = [(r["lang"], r["count"]) for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    per_lang = [(r["lang"], r["count"]) for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
     if not per_lang:
         return Model([], np.zeros(POSITIONS, np.uint64))
     share = F.create_map(*[F.lit(x) for lang, n in per_lang for x in (lang, min(1.0, sample_docs / n))])
@@ -141,15 +151,17 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
 
     counted = arrow_pass(sample, rows, "lang string, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
     # The most frequent n-grams by their count's histogram: no sort of a language's n-grams in one task.
-    counted = counted.where(F.col("docs") >= LEAST_DOCS).persist()
+    counted = counted.persist()
     histogram: dict[str, list[tuple[int, int]]] = {}
     for lang, n, c in counted.groupBy("lang", "docs").count().orderBy(F.desc("docs")).collect():  # at most sample_docs rows a language
         histogram.setdefault(lang, []).append((n, c))
     least = {}
     for lang, steps in histogram.items():
+        # A language of few or short documents, no n-gram of which is in as many, keeps what it has.
+        enough = LEAST_DOCS if steps[0][0] >= LEAST_DOCS else 1
         total = 0
         for n, c in steps:
-            if total and total + c > GRAMS:
+            if n < enough or total and total + c > GRAMS:
                 break
             total, least[lang] = total + c, n
     if not least:
@@ -163,8 +175,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
 def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``keep`` columns with ``lang_pred`` and ``score`` of every whole text.
 
-    Null text, and text without letters, is undetermined with score 0.  The model's size is
-    fixed (8 MB), so that it travels as a broadcast variable.
+    Null text, and text without letters, is undetermined with score 0.  The model has
+    8 MB for every 64 languages and travels as a broadcast variable.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [f for f in docs.select(*keep).schema.fields]
