@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from umbra.functions import rescans
+from umbra.functions.tlds import ROOT_ZONE
 from umbra.operators import detect, vault
 from umbra.operators.terms import Finder, Literals, TermsError, parse
 from umbra.sources import files
@@ -201,3 +202,13 @@ def test_literal_places_overlap_and_are_linear(spark):
     want = [i for v in ("-a-a", "\\E(x)") for i in range(len(text)) if text.startswith(v, i)]
     kept = [s["start"] for s in got]
     assert sorted(kept) == sorted(i for i in want if not (text[i] == "-" and text[i + 4 : i + 5].isalpha()))
+
+
+def test_every_name_of_the_root_zone_is_a_tld_and_no_other(spark):
+    plain = [t for t in ROOT_ZONE if t.isalpha()]
+    others = ["zz", "xq", "qz", "nosuchzone", "berli"]
+    rows = [(t, f"mail jo@mail.{t} or https://www.mail.{t}/x") for t in [*plain, *others]]
+    df = spark.createDataFrame(rows, "tld string, text string").repartition(8)
+    got = {r["tld"]: [s["kind"] for s in r["spans"]] for r in detect.detect_rules(df, ("email", "domain")).collect()}
+    assert len(ROOT_ZONE) == 1438 and {"berlin", "london", "nyc", "swiss", "google"} <= set(plain)
+    assert got == {t: ["EMAIL", "DOMAIN"] for t in plain} | {t: [] for t in others}

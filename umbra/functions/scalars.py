@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
+from .tlds import ROOT_ZONE
 
 # How secret keys end.
 DOTENV_ENDS = ("KEY", "SECRET", "TOKEN", "PASSWORD", "PASSWD", "PWD", "CREDENTIAL", "CREDENTIALS", "AUTH", "DSN", "CONNECTION_STRING")
@@ -37,10 +38,10 @@ def high_entropy(value: Column) -> Column:
 
 
 def is_tld(label: Column, tlds: Sequence[str] | None = None) -> Column:
-    low = F.lower(label)
-    if tlds is not None:
-        return low.isin([t.lower() for t in tlds] + P.PRIVATE_TLDS)
-    return low.rlike("^[a-z]{2}$") | low.isin(P.GENERIC_TLDS + P.PRIVATE_TLDS)
+    """Whether a label is one of ``tlds`` (the root zone's) or names a private network."""
+    known = [t.lower() for t in (ROOT_ZONE if tlds is None else tlds)] + P.PRIVATE_TLDS
+    # One literal, where a list would put more than a thousand into every plan; no label has a blank.
+    return F.lit(f" {' '.join(known)} ").contains(F.concat(F.lit(" "), F.lower(label), F.lit(" ")))
 
 
 def is_domain(text: Column, start: Column, value: Column, tlds: Sequence[str] | None = None) -> Column:
