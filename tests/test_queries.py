@@ -49,3 +49,32 @@ def test_requests_leak_nothing(spark):
 def test_documents_are_redacted(spark):
     got = QUERIES["redact_text"](spark, SF)
     assert got.count() == 200 and got.where("n_spans > 0 and not contains(redacted, '[REDACTED_')").count() == 0
+
+
+HEX = "3f7a9c2e5b8d1046af37c9e2b5d80164"
+PLANTED = [
+    "mail jo@mail.com, again jo@mail.com\nand di@mail.com at 192.0.2.17",
+    "host db.corp.internal up\nkey sk-" + "ant-" + HEX + " in /home/jo.doe/x",
+    "see 2001:db8::7a1 ok, write to PO Box 77\n\n-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY----- end",
+    "password=hunter22\n",
+    "my password: hunter23, nothing else",
+    None,
+    "plain text",
+]
+KINDS = {"EMAIL": 3, "IPV4": 1, "DOMAIN": 1, "TOKEN": 1, "USER": 1, "IPV6": 1, "ADDRESS": 1, "PRIVATE_KEY": 1, "SECRET": 1, "PASSWORD": 1}
+
+
+@pytest.fixture(scope="module")
+def planted(spark, tmp_path_factory):
+    folder = f"{tmp_path_factory.mktemp('planted')}"
+    spark.createDataFrame(list(enumerate(PLANTED)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def test_all_kinds_are_counted_numbered_and_restored(spark, planted):
+    counts = {r["kind"]: r["n"] for r in QUERIES["redact_counts_by_kind"](spark, planted).collect()}
+    assert counts == KINDS
+    assert QUERIES["scan_summary"](spark, planted).first()["summary"] == " ".join(f"{k}={n}" for k, n in sorted(KINDS.items()))
+    numbers = {r["kind"]: (r["n_values"], r["greatest"]) for r in QUERIES["vault_numbering"](spark, planted).collect()}
+    assert numbers == {k: (n, n) for k, n in (KINDS | {"EMAIL": 2}).items()}
+    assert {r["doc_id"]: r["restored"] for r in QUERIES["restore_roundtrip"](spark, planted).collect()} == dict(enumerate(PLANTED))
