@@ -1,5 +1,6 @@
 import hashlib
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -127,6 +128,18 @@ def test_licenses_against_brute_force(spark):
     assert licenses.scan(twice.limit(0)).count() == 0
 
 
+def test_wrapped_license_notices(spark):
+    wrap = lambda t, prefix: "\n".join(textwrap.wrap("Here follows what holds for it. " + t, 40, initial_indent=prefix, subsequent_indent=prefix))
+    texts = [wrap(t, p) for _, t in licenses.TEMPLATES for p in ("", " * ", "# ")]
+    bsd = dict((label, t) for label, t in licenses.TEMPLATES)["bsd"].split()
+    # Nothing to find: half a notice, the other half in another paragraph, or far behind.
+    far = "\n".join(["other words of this line"] * 12)
+    none = ["\n \n".join([" ".join(bsd[:10]), " ".join(bsd[10:])]), "\n".join([" ".join(bsd[:10]), far, " ".join(bsd[10:])]), " ".join(bsd[:10])]
+    got = [r["labels"].split(",") for r in licenses.scan(docs(spark, [(i, t) for i, t in enumerate(texts + none)])).orderBy("doc_id").collect()]
+    assert all(label in got[3 * i + k] for i, (label, _) in enumerate(licenses.TEMPLATES) for k in range(3))
+    assert got[len(texts) :] == [[""]] * 3
+
+
 # ---- languages -------------------------------------------------------------------------------------
 
 

@@ -1,16 +1,19 @@
 """License scans, in DataFrame functions only: named phrases, and license texts by an exact set-similarity join.
 
-A text block (a line) matches a template if it holds at least ``CONTAINMENT`` of the template's
-distinct words.  The join is exact: the template's words are ordered by their count over all
-blocks, rarest first, and a match must hold one of the first ``|T| - need + 1`` of them (prefix
-filter), have at least ``need`` distinct words (length filter), and still have ``need`` words of
-the template from its first shared word on (positional filter).  The templates are a fixed
-parameter of a few hundred words; only their words' counts reach the driver.
+A text block (a paragraph) matches a template if a line of it, or a run of about as many words as
+the template has, wherever its lines break, holds at least ``CONTAINMENT`` of the template's
+distinct words; so a wrapped notice is found as one on a single line is.  The join is exact: the template's words are ordered by their count over all blocks, rarest first, and a
+match must hold one of the first ``|T| - need + 1`` of them (prefix filter), have at least
+``need`` distinct words (length filter), and still have ``need`` words of the template from its
+first shared word on (positional filter).  Only blocks that hold enough words of a template are
+cut into lines and runs.  The templates are a fixed parameter of a few hundred words; only their words'
+counts reach the driver.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -66,26 +69,47 @@ class Template:
     number: int
     label: str
     words: tuple[str, ...]  # distinct, rarest in the corpus first
+    length: int  # in words, repeated ones too
 
     @property
     def need(self) -> int:
         return max(1, math.ceil(CONTAINMENT * len(self.words) - 1e-9))
 
+    @property
+    def span(self) -> int:
+        """Words on end among which a notice is looked for: its own, and some of comment marks between them."""
+        return math.ceil(self.length / CONTAINMENT)
+
     @property
     def prefix(self) -> tuple[str, ...]:
         return self.words[: len(self.words) - self.need + 1]
 
 
 def _split(text: str) -> list[str]:
-    import re
-
     return list(dict.fromkeys(re.findall(WORD, text.lower())))
 
 
 def blocks(docs: DataFrame, key: str) -> DataFrame:
-    """(key, block, words): the lines of each text, with their words in order."""
-    lines = docs.where("text is not null").select(F.col(key).alias("key"), F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    return lines.select("key", "block", words(F.col("line")).alias("words"))
+    """(key, block, paragraph, words): the paragraphs of each text (runs of lines that are not blank), with their words in order."""
+    cut = docs.where("text is not null").select(F.col(key).alias("key"), F.posexplode(F.split("text", r"\n[ \t\r\f\n]*\n")).alias("block", "paragraph"))
+    return cut.select("key", "block", "paragraph", words(F.col("paragraph")).alias("words"))
+
+
+def closest(paragraph: Column, template: Column, need: Column, span: Column) -> Column:
+    """The most distinct words of a template in a line, or in ``span`` words on end about one of its rarest words, if that is enough."""
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  # the value is worked out once
+    shared = lambda held: F.size(F.array_intersect(held, template))
+    by_line = F.array_max(F.transform(F.split(paragraph, "\n"), lambda line: shared(words(line))))
+
+    def by_run(held: Column) -> Column:
+        rarest = F.slice(template, F.lit(1), F.size(template) - need + 1)  # a run with enough words holds one of them
+        places = F.filter(F.sequence(F.lit(1), F.size(held)), lambda i: F.array_contains(rarest, F.get(held, i - 1)))
+        near = F.transform(places, lambda i: F.slice(held, F.greatest(F.lit(1), i - span + 1), 2 * span - 1))
+        runs = lambda some: F.array_max(F.transform(F.sequence(F.lit(1), F.size(some)), lambda k: shared(F.slice(some, k, span))))
+        return F.coalesce(F.array_max(F.transform(near, runs)), F.lit(0))
+
+    run = once(F.filter(words(paragraph), lambda w: w != ""), by_run)
+    return once(by_line, lambda n: F.when(n == F.size(template), n).otherwise(F.greatest(n, run)))
 
 
 def ordered_templates(docs: DataFrame, templates=TEMPLATES) -> list[Template]:
@@ -99,7 +123,7 @@ def ordered_templates(docs: DataFrame, templates=TEMPLATES) -> list[Template]:
         .count()
     )
     count = {r["word"]: r["count"] for r in counts.collect()}  # a row for each template word at most
-    return [Template(i, label, tuple(sorted(_split(text), key=lambda w: (count.get(w, 0), w)))) for i, (label, text) in enumerate(templates)]
+    return [Template(i, label, tuple(sorted(_split(text), key=lambda w: (count.get(w, 0), w))), len(re.findall(WORD, text.lower()))) for i, (label, text) in enumerate(templates)]
 
 
 def _values(df: DataFrame, schema: str, rows: list[tuple]) -> DataFrame:
@@ -119,15 +143,19 @@ def containment_join(docs: DataFrame, key: str, templates=TEMPLATES) -> DataFram
     """All (key, block, label, containment) of text blocks that hold a template: exact, and without a shuffle of texts."""
     ordered = ordered_templates(docs, templates)
     # One row for each template and word of its prefix: at most the templates' words, whatever the corpus.
-    index = [(w, t.number, t.label, at, t.need, t.words) for t in ordered for at, w in enumerate(t.prefix)]
-    prefixes = F.broadcast(_values(docs, "word string, template int, label string, at int, need int, template_words array<string>", index))
+    index = [(w, t.number, t.label, at, t.need, t.span, t.words) for t in ordered for at, w in enumerate(t.prefix)]
+    prefixes = F.broadcast(_values(docs, "word string, template int, label string, at int, need int, span int, template_words array<string>", index))
     least = min(t.need for t in ordered)
-    held = blocks(docs, key).where(F.size("words") >= least).select("key", "block", "words", F.explode("words").alias("word")).join(prefixes, "word")
+    # Of a block's words only the templates' go on, each once.
+    known = F.array(*[F.lit(w) for w in sorted({w for t in ordered for w in t.words})])
+    known_of = blocks(docs, key).select("key", "block", "paragraph", F.array_intersect("words", known).alias("words")).where(F.size("words") >= least)
+    held = known_of.select("key", "block", "paragraph", "words", F.explode("words").alias("word")).join(prefixes, "word")
     # Length and position: words enough in the block, and words enough of the template from this one on.
     held = held.where((F.size("words") >= F.col("need")) & (F.size("template_words") - F.col("at") >= F.col("need")))
     # A block meets a template at the first prefix word that it holds.
     held = held.where(~F.arrays_overlap("words", F.expr("slice(template_words, 1, at)")) | (F.col("at") == 0))
-    held = held.withColumn("shared", F.size(F.array_intersect("words", "template_words"))).where("shared >= need")
+    held = held.where(F.size(F.array_intersect("words", "template_words")) >= F.col("need"))
+    held = held.withColumn("shared", closest(F.col("paragraph"), F.col("template_words"), F.col("need"), F.col("span"))).where("shared >= need")
     return held.select("key", "block", "label", (F.col("shared") / F.size("template_words")).alias("containment")).distinct()
 
 
@@ -173,7 +201,7 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
 
 
 def oracle(templates=TEMPLATES) -> str:
-    """DuckDB SQL for ``scan`` over the view documents, comparing every block with every template."""
+    """DuckDB SQL for ``scan`` over the view documents, comparing every line with every template; it does not see wrapped notices."""
     values = ", ".join(f"('{label}', {_split(text)!r})" for label, text in templates)
     phrase = " union all ".join(
         f"select r, i - 1 as place, '{label}' as label from tokens, unnest(range(1, len(w) + 1)) as u(i) where "
