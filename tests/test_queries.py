@@ -78,3 +78,29 @@ def test_all_kinds_are_counted_numbered_and_restored(spark, planted):
     numbers = {r["kind"]: (r["n_values"], r["greatest"]) for r in QUERIES["vault_numbering"](spark, planted).collect()}
     assert numbers == {k: (n, n) for k, n in (KINDS | {"EMAIL": 2}).items()}
     assert {r["doc_id"]: r["restored"] for r in QUERIES["restore_roundtrip"](spark, planted).collect()} == dict(enumerate(PLANTED))
+
+
+def test_every_span_of_every_document_is_explained(spark, planted):
+    values = {
+        0: [("EMAIL", "jo@mail.com"), ("EMAIL", "jo@mail.com"), ("EMAIL", "di@mail.com"), ("IPV4", "192.0.2.17")],
+        1: [("DOMAIN", "db.corp.internal"), ("TOKEN", "sk-" + "ant-" + HEX), ("USER", "jo.doe")],
+        2: [("IPV6", "2001:db8::7a1"), ("ADDRESS", "PO Box 77"), ("PRIVATE_KEY", "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----")],
+        3: [("SECRET", "hunter22")],
+        4: [("PASSWORD", "hunter23")],
+    }
+    want = set()
+    for i, found in values.items():
+        end = 0
+        for n, (kind, value) in enumerate(found):
+            at = PLANTED[i].index(value, end)
+            before, end = PLANTED[i][:at], at + len(value)
+            want.add((i, n, before.count("\n") + 1, at - before.rfind("\n"), kind, value))
+    got = [tuple(r) for r in QUERIES["explain_spans"](spark, planted).drop("rule").collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_all_hosts_of_an_address_are_filtered(spark, tmp_path):
+    urls = ["https://a.test.com/?next=https://b.test.org/x", "https://www.example.com/?u=https://c.test.net", "https://d.test.com/?u=https://img.example.com"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in QUERIES["allow_filter"](spark, str(tmp_path)).collect())
+    assert got == [(0, "a.test.com"), (0, "b.test.org"), (1, "c.test.net"), (2, "d.test.com")]

@@ -249,11 +249,18 @@ select doc_id, length(b) - length(replace(b, chr(10), '')) + 1 as line, length(s
 from (select d.doc_id, v, substr(text, 1, strpos(text, v) - 1) as b from documents d join one using (doc_id))
 """)
 def explain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line and column of the documents' only e-mail addresses."""
+    """Line and column of the documents' only e-mail addresses; ``explain_spans`` has all spans of all documents."""
     found = detect.detect_rules(_documents(spark, sf_dir), ("email",)).where(F.size("spans") == 1)
     return files.explain(found, ["doc_id"]).select("doc_id", F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("col"), "value")
 
 
+@query()
+def explain_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line and column of every span of every document."""
+    found = files.explain(_detected(spark, sf_dir), ["doc_id"])
+    return found.select("doc_id", F.col("n").cast("long").alias("n"), F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("col"), "kind", "rule", "value")
+
+
 @query(f"""
 with {_KINDS_SQL.strip()}, a as (select 'EMAIL' as kind, * from em union all select 'IPV4', * from ip union all select 'PASSWORD', * from kw)
 select kind, count(distinct v) as n_values, count(distinct v) as greatest from a group by kind
@@ -326,9 +333,9 @@ with p as (select page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) as host f
 select page_id, host from p where not (host like '%.example.com') and {_TLD_SQL.replace('(t)', "(string_split(host, '.')[-1])")}
 """)
 def allow_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hosts in pages' addresses but for the allowed ones."""
+    """Hosts in pages' addresses, all of each, but for the allowed ones."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("text"))
-    found = files.explain(detect.detect_rules(spread(pages), ("domain",)), ["page_id"]).where("n = 0")
+    found = files.explain(detect.detect_rules(spread(pages), ("domain",)), ["page_id"])
     return found.where(~F.lower("value").endswith(".example.com")).select("page_id", F.col("value").alias("host"))
 
 
