@@ -45,7 +45,7 @@ STAGES = [
     ("pack_sequences", pack_sequences),
 ]
 
-#: Tokenisers, signatures and the linear program are beyond SQL; the tests compare with a brute-force version.
+#: Tokenisers, signatures and the linear program are beyond SQL; the tests check invariants of the stages' rows, no brute-force version.
 ORACLE_SQL = None
 
 
