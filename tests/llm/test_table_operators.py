@@ -147,6 +147,32 @@ def test_packing_holds_every_id_once(spark):
     assert isinstance(got, pd.DataFrame) and packing.pack(docs(spark, []).limit(0)).count() == 0
 
 
+def test_ids_are_the_tokenizers_for_every_code_point_and_mixtures():
+    import struct
+
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    encoder, tokenizer = packing.WordEncoder(path), Tokenizer.from_file(path)
+    rng = np.random.default_rng(9)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(map(chr, points[i : i + 1])) + "a" for i in range(0, len(points), 3)]
+    pools = [list(map(chr, p)) for p in (range(0x20, 0x250), range(0x300, 0x3FF), range(0x0900, 0x1000), range(0x1E00, 0x2100), range(0xAC00, 0xAD00))]
+    pools.append(["<|endoftext|>", "'s", "'LL", "..", ", ", " ", "\n", "Σ", "ς", "İ", "ǅ", "a\u0301", "\u1100\u1161", "12", "_"])
+    texts += ["".join(rng.choice(pools[k]) for k in rng.integers(0, len(pools), n)) for n in rng.integers(2, 9, 40_000)]
+    texts += ["\u0378", "x\u0558y", "a \u088f b" * 50]
+    want = [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [t for t, x, y in zip(texts, encoder.encode(texts), want) if x != y] == []
+
+
+def test_full_pieces_are_sequences_by_themselves(spark):
+    rows = [(i, "word " * n) for i, n in enumerate([2047, 4095, 6143, 1, 0, 2048, 10_000])] + [(None, "word " * 2047)]
+    got = packing.pack(docs(spark, rows).repartition(3)).toPandas()
+    full = got[got.length == 2048]
+    assert len(full) == 1 + 2 + 3 + 1 + 4 + 1 and (full.offset == 0).all() and (got.groupby("sequence_id").length.sum() <= 2048).all()
+    assert sorted(got.sequence_id.unique()) == list(range(got.sequence_id.nunique())) and got.length.sum() == sum(len((t or "").split()) + 1 for _, t in rows)
+
+
 def test_column_generation_is_near_the_bound():
     rng = np.random.default_rng(8)
     h = np.bincount(np.clip(rng.lognormal(4, 0.9, 30_000).astype(int), 1, 256), minlength=257)

@@ -20,10 +20,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, materialise, worker_cache
+from .common import arrow_pass, join_small, materialise, worker_cache
 
 SEQ = 2048
 #: Lengths are rounded up to this many tokens for the size classes.
@@ -47,11 +48,29 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def unassigned() -> str:
+    """The code points that this Python's Unicode has not assigned, as ranges of a character class.
+
+    Libraries of other Unicode versions may take them for letters, digits or marks.
+    """
+    holes, start = [], None
+    for c in range(0x110001):
+        hole = c < 0x110000 and unicodedata.category(chr(c)) == "Cn"
+        if hole and start is None:
+            start = c
+        elif not hole and start is not None:
+            holes.append(f"{re.escape(chr(start))}-{re.escape(chr(c - 1))}")
+            start = None
+    return "".join(holes)
+
+
 class WordEncoder:
     """Token ids as little-endian unsigned 32-bit bytes; each distinct word is encoded once.
 
-    The tokenizer normalises characters by themselves and encodes the words of its pattern by
-    themselves, so that a text's ids are those of its words one after another.
+    The tokenizer normalises a text and then encodes the words of its pattern by themselves, so
+    that a text's ids are those of its words one after another.  What that does
+    not hold for goes to the tokenizer as a whole text: strings of special tokens, letters whose
+    lower case depends on others, and code points that libraries may class differently.
     """
 
     def __init__(self, path: str):
@@ -60,15 +79,15 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.normalise = self.tokenizer.normalizer.normalize_str
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        # The tokenizer's own pattern of words; and what does not fall into words of it one by one:
-        # strings of special tokens, letters whose lower case depends on others.
+        # The tokenizer's own pattern of words; and what sends a text to the tokenizer as a whole.
         self.words = regex.compile(WORDS)
-        self.whole = re.compile("<[|]|[\u03a3\u0130]")
+        self.whole = re.compile(f"<[|]|[\u03a3\u0130{unassigned()}]")
         # Texts of Latin-1 letters, digits, blanks and lone stops, of which far fewer distinct words have to be kept.
         marks = "".join(re.escape(chr(c)) for c in range(0x100) if not chr(c).isalnum() and chr(c) not in ".," and (not chr(c).isspace() or 0x1C <= c < 0x20))
         self.marks = re.compile(f"[{marks}]")
@@ -127,7 +146,7 @@ class WordEncoder:
             if plain:  # a stop is always a word of its own, and case is lost anyway
                 words = text.lower().replace(",", " , ").replace(".", " . ").split()
             else:
-                words = self.words.findall(unicodedata.normalize("NFC", text).lower())
+                words = self.words.findall(self.normalise(text))
             found = list(map(look, words))
             if None in found:
                 gaps.append((found, words, [i for i, x in enumerate(found) if x is None]))
@@ -141,12 +160,15 @@ class WordEncoder:
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+#: Names a full piece, which needs no company: its task, and its number there.  Null for others.
+PLACE = "part long, nth long"
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, seq: int = SEQ) -> DataFrame:
     """Tokenise ``docs(doc_id, text)`` and cut each document into pieces of at most ``seq`` tokens.
 
-    Null text is empty text: a piece of the closing id alone.  No text is read twice.
+    Null text is empty text: a piece of the closing id alone.  No text is read twice.  Full
+    pieces are numbered within their task (part, nth).
     """
     path = tokenizer or default_tokenizer()
     end = struct.pack("<I", END_ID)
@@ -156,18 +178,21 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, seq: int = SEQ) -> Dat
         if path not in loaded:
             loaded[path] = WordEncoder(path)
         encoder = loaded[path]
+        part, full = TaskContext.get().partitionId(), 0
         for chunk in chunks:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}
+            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth")}
             for doc_id, ids in zip(chunk["doc_id"], encoder.encode([t or "" for t in chunk["text"]])):
                 data = memoryview(ids + end)
                 total = len(data) // 4
                 for start in range(0, total, seq):
                     stop = min(start + seq, total)
-                    for name, value in zip(out, (doc_id, start, stop - start, zlib.crc32(data[4 * start : 4 * stop]), total)):
+                    place = (part, full) if stop - start == seq else (None, None)
+                    full += stop - start == seq
+                    for name, value in zip(out, (doc_id, start, stop - start, zlib.crc32(data[4 * start : 4 * stop]), total, *place)):
                         out[name].append(value)
             yield out
 
-    return arrow_pass(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows, PIECES)
+    return arrow_pass(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows, f"{PIECES}, {PLACE}")
 
 
 # ---- the linear program -------------------------------------------------------------------
@@ -291,10 +316,13 @@ def pack(docs: DataFrame, tokenizer: str | None = None, seq: int = SEQ, unit: in
     id of every row lies in exactly one piece; offsets in a sequence are gapless from 0.
 
     Nulls: null text is empty; null doc_id is kept.  Repeated rows are packed once each, ties in
-    rank only swap equal pieces.  An empty table gives no rows.  Other columns are ignored.
+    rank only swap equal pieces.  An empty table gives no rows.  Other columns are ignored.  A
+    text of any length is cut into full pieces, which are sequences by themselves and are neither
+    ranked nor shuffled, and a rest.
     """
-    cut = materialise(
-        pieces(docs, tokenizer, seq)
+    whole = materialise(pieces(docs, tokenizer, seq))
+    cut = (
+        whole.where("nth is null")
         .withColumn("size_class", F.ceil(F.col("length") / F.lit(unit)).cast("int"))
         .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(BUCKETS)).cast("int"))
     )
@@ -321,4 +349,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, seq: int = SEQ, unit: in
     ranked = cut.withColumn("rn", F.row_number().over(Window.partitionBy("size_class", "bucket").orderBy("doc_id", "start", "ids_crc32")))
     placed = arrow_pass(ranked, rows, PIECES + ", sequence_id long, rank long")
     within = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return placed.withColumn("offset", F.sum("length").over(within) - F.col("length")).select(*names, "sequence_id", "offset")
+    packed = placed.withColumn("offset", F.sum("length").over(within) - F.col("length")).select(*names, "sequence_id", "offset")
+    # Full pieces follow the packed sequences, task by task: a row for each task is all that is ordered.
+    full = whole.where("nth is not null")
+    each = full.groupBy("part").count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = each.select("part", (before + plan.sequences).alias("begin"))
+    alone = join_small(full, begins, "part").select(*names, (F.col("begin") + F.col("nth")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return packed.unionByName(alone)
