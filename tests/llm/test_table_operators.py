@@ -160,7 +160,7 @@ def test_ids_are_the_tokenizers_for_every_code_point_and_mixtures():
     pools = [list(map(chr, p)) for p in (range(0x20, 0x250), range(0x300, 0x3FF), range(0x0900, 0x1000), range(0x1E00, 0x2100), range(0xAC00, 0xAD00))]
     pools.append(["<|endoftext|>", "'s", "'LL", "..", ", ", " ", "\n", "Σ", "ς", "İ", "ǅ", "a\u0301", "\u1100\u1161", "12", "_"])
     texts += ["".join(rng.choice(pools[k]) for k in rng.integers(0, len(pools), n)) for n in rng.integers(2, 9, 40_000)]
-    texts += ["\u0378", "x\u0558y", "a \u088f b" * 50]
+    texts += ["\u0378", "x\u0558y", "a \u088f b" * 50, "I\u0307\u1abdL"]
     want = [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     assert [t for t, x, y in zip(texts, encoder.encode(texts), want) if x != y] == []
 

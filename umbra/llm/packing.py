@@ -87,7 +87,7 @@ class WordEncoder:
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         # The tokenizer's own pattern of words; and what sends a text to the tokenizer as a whole.
         self.words = regex.compile(WORDS)
-        self.whole = re.compile(f"<[|]|[\u03a3\u0130{unassigned()}]")
+        self.whole = re.compile(f"<[|]|[\u03a3\u0130\u0307{unassigned()}]")
         # Texts of Latin-1 letters, digits, blanks and lone stops, of which far fewer distinct words have to be kept.
         marks = "".join(re.escape(chr(c)) for c in range(0x100) if not chr(c).isalnum() and chr(c) not in ".," and (not chr(c).isspace() or 0x1C <= c < 0x20))
         self.marks = re.compile(f"[{marks}]")
