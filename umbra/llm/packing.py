@@ -48,29 +48,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def unassigned() -> str:
-    """The code points that this Python's Unicode has not assigned, as ranges of a character class.
-
-    Libraries of other Unicode versions may take them for letters, digits or marks.
-    """
-    holes, start = [], None
-    for c in range(0x110001):
-        hole = c < 0x110000 and unicodedata.category(chr(c)) == "Cn"
-        if hole and start is None:
-            start = c
-        elif not hole and start is not None:
-            holes.append(f"{re.escape(chr(start))}-{re.escape(chr(c - 1))}")
-            start = None
-    return "".join(holes)
-
-
 class WordEncoder:
     """Token ids as little-endian unsigned 32-bit bytes; each distinct word is encoded once.
 
     The tokenizer normalises a text and then encodes the words of its pattern by themselves, so
-    that a text's ids are those of its words one after another.  What that does
-    not hold for goes to the tokenizer as a whole text: strings of special tokens, letters whose
-    lower case depends on others, and code points that libraries may class differently.
+    that a text's ids are those of its words one after another.  What that does not hold for goes
+    to the tokenizer as a whole text: strings of special tokens, letters whose lower case depends
+    on others, and code points that this Python's Unicode has not assigned, which other libraries
+    may take for letters, digits or marks.
     """
 
     def __init__(self, path: str):
@@ -85,9 +70,9 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        # The tokenizer's own pattern of words; and what sends a text to the tokenizer as a whole.
+        # The tokenizer's own pattern of words, and the characters met so far that do nothing to others.
         self.words = regex.compile(WORDS)
-        self.whole = re.compile(f"<[|]|[\u03a3\u0130\u0307{unassigned()}]")
+        self.simple: set[str] = set()
         # Texts of Latin-1 letters, digits, blanks and lone stops, of which far fewer distinct words have to be kept.
         marks = "".join(re.escape(chr(c)) for c in range(0x100) if not chr(c).isalnum() and chr(c) not in ".," and (not chr(c).isspace() or 0x1C <= c < 0x20))
         self.marks = re.compile(f"[{marks}]")
@@ -124,6 +109,25 @@ class WordEncoder:
         for w, (core, tail) in parts.items():
             self.cache[w] = self.cache[core] + self.cache[tail]
 
+    def words_of(self, text: str) -> list[str] | None:
+        """The words of a text, None if it must be encoded as a whole.
+
+        Normal forms differ between versions of Unicode in marks only, so that texts with marks
+        are normalised by the tokenizer itself.
+        """
+        if "<|" in text:
+            return None
+        marks = False
+        for c in set(text).difference(self.simple):
+            kind = unicodedata.category(c)
+            if kind == "Cn" or c in "\u03a3\u0130\u0307":
+                return None
+            if kind[0] == "M":
+                marks = True
+            else:
+                self.simple.add(c)
+        return self.words.findall(self.normalise(text) if marks else unicodedata.normalize("NFC", text).lower())
+
     def plain(self, text: str) -> bool:
         try:
             text.encode("latin-1")
@@ -138,15 +142,14 @@ class WordEncoder:
         gaps: list[tuple[list, list[str], list[int]]] = []
         look = self.cache.get
         for text in texts:
-            plain = self.plain(text)
-            if not plain and self.whole.search(text):
+            if self.plain(text):  # a stop is always a word of its own, and case is lost anyway
+                words = text.lower().replace(",", " , ").replace(".", " . ").split()
+            else:
+                words = self.words_of(text)
+            if words is None:
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
                 out.append(struct.pack(f"<{len(ids)}I", *ids))
                 continue
-            if plain:  # a stop is always a word of its own, and case is lost anyway
-                words = text.lower().replace(",", " , ").replace(".", " . ").split()
-            else:
-                words = self.words.findall(self.normalise(text))
             found = list(map(look, words))
             if None in found:
                 gaps.append((found, words, [i for i, x in enumerate(found) if x is None]))
