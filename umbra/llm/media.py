@@ -5,7 +5,7 @@ least 512 and at most 16384 bytes apart, so that an insertion moves only the cut
 Writing tasks append the deflated chunks to packs in the shared folder, a chunk once a task,
 and return each row's chunk list.  A Spark join by digest then points every list at one copy of
 each chunk, and reading follows the lists, checks every chunk against its digest and every
-payload against its length.  Packs of failed attempts are never pointed at.
+payload against its length and its own digest.  Packs of failed attempts are never pointed at.
 """
 
 from __future__ import annotations
@@ -26,6 +26,10 @@ from .common import arrow_pass, materialise, shared_dir
 LEAST, BITS, MOST = 512, 12, 16384
 DIGEST_BYTES = 20
 PACK_BYTES = 256 << 20
+#: Digests that a writing task remembers; beyond it starts anew, which only stores some chunks again.
+SEEN = 1_000_000
+#: Payload bytes that a reading task should rebuild, and rows of a list block that stay together.
+READ_BYTES, READ_ROWS = 32 << 20, 500
 #: A text's bytes are filled up with 255 to a positive multiple of this.
 UNIT = 576
 MAGIC = b"CDC1"
@@ -70,7 +74,7 @@ def text_payload(text: str | None) -> tuple[bytes, int]:
     return raw + b"\xff" * (max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw)), len(raw)
 
 
-LISTED = "doc_id long, n_bytes long, home string, row long, chunks array<struct<digest:binary,length:int,pack:string,start:long,stored:int>>"
+LISTED = "doc_id long, n_bytes long, payload_bytes long, payload_digest binary, home string, row long, chunks array<struct<digest:binary,length:int,pack:string,start:long,stored:int>>"
 
 
 def _system(path: str):
@@ -92,7 +96,7 @@ def store(docs: DataFrame, path: str) -> DataFrame:
         gear, seen = _gear(), {}
         out, pack, at, home, row = None, "", 0, None, 0
         for batch in chunks:
-            listed: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "home", "row", "chunks")}
+            listed: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "payload_bytes", "payload_digest", "home", "row", "chunks")}
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 payload, n = text_payload(text)
                 mine, begin = [], 0
@@ -107,15 +111,15 @@ def store(docs: DataFrame, path: str) -> DataFrame:
                             out = system.open_output_stream(f"{root}/{pack}", compression=None)
                         data = zlib.compress(chunk, 1)
                         out.write(data)
-                        if len(seen) > 1_000_000:
+                        if len(seen) >= SEEN:
                             seen.clear()
                         seen[digest] = {"digest": digest, "length": len(chunk), "pack": pack, "start": at, "stored": len(data)}
                         at += len(data)
                     mine.append(seen[digest])
                     begin = end
                 home = home or pack
-                for name, value in (("doc_id", doc_id), ("n_bytes", n), ("home", home), ("row", row), ("chunks", mine)):
-                    listed[name].append(value)
+                for column, value in zip(listed.values(), (doc_id, n, len(payload), digest_of(payload), home, row, mine)):
+                    column.append(value)
                 row += 1
             yield listed
         if out is not None:
@@ -125,15 +129,24 @@ def store(docs: DataFrame, path: str) -> DataFrame:
 
 
 def deduplicate(lists: DataFrame) -> DataFrame:
-    """The same lists, every digest at the one place that all rows use; kept apart by home pack and in its order."""
-    refs = lists.select("home", "row", "doc_id", "n_bytes", F.posexplode("chunks").alias("pos", "c"))
-    places = refs.groupBy("c.digest").agg(F.min(F.struct("c.pack", "c.start", "c.stored")).alias("at"))
-    # Rows whose chunks no other pack holds need no join: only digests in several packs change places.
-    moved = refs.groupBy("c.digest").agg(F.min("c.pack").alias("lo"), F.max("c.pack").alias("hi")).where("lo != hi").select("digest")
-    places = places.join(moved, "digest", "left_semi").select(F.col("digest").alias("moved"), "at")
-    placed = refs.join(places, F.col("c.digest") == F.col("moved"), "left")
+    """The same lists, every digest at the one place that all rows use.
+
+    A task has a digest at one place or a few, so that references are first reduced to a row for
+    each task and digest: a chunk that a third of all payloads hold is met by as many rows as
+    there are tasks.  Lists are dealt out in blocks of rows of one task, in its order, by the
+    payload bytes that they stand for.
+    """
+    refs = lists.select("home", "row", "doc_id", "n_bytes", "payload_bytes", "payload_digest", F.posexplode("chunks").alias("pos", "c"))
+    own = materialise(refs.groupBy("home", F.col("c.digest").alias("digest")).agg(F.min(F.struct("c.pack", "c.start", "c.stored")).alias("at")))
+    shared = own.groupBy("digest").agg(F.min("at").alias("at"), F.count("*").alias("tasks")).where("tasks > 1").select("digest", "at")
+    # Only digests that several tasks have stored change places.
+    moved = materialise(own.select("home", "digest").join(shared, "digest").select(F.col("home").alias("h"), F.col("digest").alias("moved"), "at"))
+    placed = refs.join(moved, (F.col("home") == F.col("h")) & (F.col("c.digest") == F.col("moved")), "left")
     chunk = F.struct("pos", F.col("c.digest").alias("digest"), F.col("c.length").alias("length"), *[F.coalesce(F.col(f"at.{k}"), F.col(f"c.{k}")).alias(k) for k in ("pack", "start", "stored")])
-    whole = placed.repartition("home").groupBy("home", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_bytes").alias("n_bytes"), F.sort_array(F.collect_list(chunk)).alias("chunks"))
+    total = lists.agg(F.sum("payload_bytes")).first()[0] or 0
+    dealt = placed.withColumn("block", F.floor(F.col("row") / READ_ROWS)).repartition(max(1, -(-total // READ_BYTES)), "home", "block")
+    facts = [F.first(c).alias(c) for c in ("doc_id", "n_bytes", "payload_bytes", "payload_digest")]
+    whole = dealt.groupBy("home", "block", "row").agg(*facts, F.sort_array(F.collect_list(chunk)).alias("chunks"))
     return whole.sortWithinPartitions("home", "row")
 
 
@@ -173,7 +186,7 @@ def rebuild(lists: DataFrame, path: str, made: Callable[[bytes, int, bytes], tup
         packs = Packs(path)
         for batch in chunks:
             out: dict[str, list] = {"doc_id": [], "n_bytes": []} | {k: [] for k in names}
-            for doc_id, n, listed in zip(batch["doc_id"], batch["n_bytes"], batch["chunks"]):
+            for doc_id, n, size, digest, listed in zip(*(batch[k] for k in ("doc_id", "n_bytes", "payload_bytes", "payload_digest", "chunks"))):
                 recipe, parts, kept = [MAGIC, len(listed).to_bytes(4, "big")], [], []
                 for c in listed:
                     data = packs.read(c["pack"], c["start"], c["stored"])
@@ -183,13 +196,16 @@ def rebuild(lists: DataFrame, path: str, made: Callable[[bytes, int, bytes], tup
                     recipe.append(c["length"].to_bytes(4, "big") + c["digest"])
                     parts.append(chunk)
                     kept.append(data)
+                payload = b"".join(parts)
+                if len(payload) != size or digest_of(payload) != digest:
+                    raise ValueError(f"the chunk list of a payload of {size} bytes is damaged")
                 out["doc_id"].append(doc_id)
                 out["n_bytes"].append(n)
-                for name, value in zip(names, made(b"".join(parts), n, b"".join(recipe + kept))):
+                for name, value in zip(names, made(payload, n, b"".join(recipe + kept))):
                     out[name].append(value)
             yield out
 
-    return arrow_pass(lists.select("doc_id", "n_bytes", "chunks"), rows, "doc_id long, n_bytes long, " + schema)
+    return arrow_pass(lists.select("doc_id", "n_bytes", "payload_bytes", "payload_digest", "chunks"), rows, "doc_id long, n_bytes long, " + schema)
 
 
 def features(payload: bytes, ends: list[int]) -> str:
@@ -202,8 +218,9 @@ def features(payload: bytes, ends: list[int]) -> str:
 def digest(docs: DataFrame) -> DataFrame:
     """Store every whole text as media, read it back, and describe what was read: a row for each row.
 
-    Null text is an empty payload of padding; a null doc_id is kept; equal texts have equal
-    values; an empty table gives no rows; other columns are ignored.
+    Null text is an empty payload of padding; a null doc_id is kept; repeated rows and ties have
+    equal values, as equal texts have; a text of any length is stored whole, in chunks; an empty
+    table gives no rows; other columns, whatever their names, are ignored.
     """
     path = shared_dir(docs.sparkSession)
 
