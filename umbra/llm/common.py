@@ -125,7 +125,7 @@ def key_column(*columns: str | Column) -> Column:
 BROADCAST_ROWS = 20_000
 
 
-def join_small(rows: DataFrame, table: DataFrame, on, how: str = "inner") -> DataFrame:
+def join_small(rows: DataFrame, table: DataFrame, on, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a table that is usually small: broadcast after its size has been checked, shuffled otherwise."""
-    small = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    small = table.limit(most + 1).count() <= most
     return rows.join(F.broadcast(table) if small else table, on, how)

@@ -3,7 +3,8 @@
 Reading plans partitions of whole files of about ``maxPartitionBytes``, parses a record's
 headers before anything else and decides on them: predicates on the record type and the other
 header columns are pushed down, and a record that fails them, or whose payload nobody asked for
-(option ``payload`` is ``false``), is stepped over without inflating its block.  Members written
+(option ``payload`` is ``false``: a Python source is not told which columns are read), is
+stepped over without inflating its block.  Members written
 here say their length in the gzip extra field ``SL``; others are inflated to find their end.
 Plain (uncompressed) files are stepped over by Content-Length.
 
@@ -18,6 +19,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .common import shared_dir
+from .common import join_small, materialise, shared_dir
 
 #: What a reader returns and a writer takes; every column but the last two is a header.
 COLUMNS = "record_id string, record_type string, target_uri string, date string, refers_to string, payload_digest string, payload_bytes long, payload binary"
@@ -43,17 +45,24 @@ PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LENGTH = b"X-Payload-Length"
 DATE = "2000-01-01T00:00:00Z"
 REVISIT_BYTES = 1000
+#: Lengths from here on do not fit into the extra field; such members are inflated to find their end.
+SAID_BELOW = 1 << 32
+#: A writing task begins another file beyond so many bytes, as a file is read by one task.
+FILE_BYTES = 256 << 20
 
 
 # ---- bytes --------------------------------------------------------------------------------
 
 
 def member(record: bytes, level: int = 1) -> bytes:
-    """A gzip member that says its own length."""
+    """A gzip member that says its own length, if the field's 32 bits can hold it."""
     squeeze = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = squeeze.compress(record) + squeeze.flush()
     total = 12 + 12 + len(body) + 8
-    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", 12) + b"SL" + struct.pack("<HII", 8, total & 0xFFFFFFFF, len(record) & 0xFFFFFFFF)
+    if max(total, len(record)) < SAID_BELOW:
+        head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", 12) + b"SL" + struct.pack("<HII", 8, total, len(record))
+    else:
+        head = b"\x1f\x8b\x08\0\0\0\0\0\0\xff"
     return head + body + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
 
 
@@ -85,8 +94,15 @@ def parse_head(head: bytes) -> dict[bytes, bytes]:
     return found
 
 
+CUT = "the file ends within a record"
+
+
 class Stream:
-    """Records of one open file: first the headers, then, if wanted, the block."""
+    """Records of one open file: first the headers, then, if wanted, the block.
+
+    A file that ends within a record is an error, whether that record's block is wanted or not:
+    neither is the record left out nor its payload given short.
+    """
 
     FIRST = 4096
 
@@ -101,12 +117,16 @@ class Stream:
         while self.at < self.size:
             self.start = self._read(self.at, self.FIRST)
             step = self._gzip() if self.start[:2] == b"\x1f\x8b" else self._plain()
-            if step is None:
+            if step is None:  # blank lines at the end
                 return
+            if self.next is not None and self.next - self.slack > self.size:
+                raise ValueError(CUT)
             yield step, self
             self._advance()
 
     def _gzip(self) -> dict[bytes, bytes] | None:
+        if len(self.start) < 28:  # shorter than any member with a record in it
+            raise ValueError(CUT)
         flags = self.start[3]
         at, self.next = 10, None
         if flags & 4:
@@ -123,10 +143,10 @@ class Stream:
         while b"\r\n\r\n" not in self.text:
             more = self._more(self.FIRST)
             if not more:
-                return None
+                raise ValueError(CUT)
             self.text += more
         self.headers, _, self.body = self.text.partition(b"\r\n\r\n")
-        self.gzip = True
+        self.gzip, self.slack = True, 0
         return parse_head(self.headers)
 
     def _more(self, most: int) -> bytes:
@@ -135,7 +155,7 @@ class Stream:
             if not self.pending:
                 chunk = self._read(self._next_chunk, 1 << 16)
                 if not chunk:
-                    raise ValueError("the file ends within a record")
+                    raise ValueError(CUT)
                 self._next_chunk += len(chunk)
                 self.pending = chunk
             elif self.pending is self.start:
@@ -154,10 +174,10 @@ class Stream:
         while b"\r\n\r\n" not in text:
             more = self._read(self.at + len(text), self.FIRST)
             if not more:
-                return None
+                raise ValueError(CUT)
             text += more
         self.headers, _, _ = text.partition(b"\r\n\r\n")
-        self.gzip = False
+        self.gzip, self.slack = False, 4  # the blank lines behind the block may be missing
         found = parse_head(self.headers)
         self.block_at = self.at + len(self.headers) + 4
         self.length = int(found.get(b"content-length", b"0"))
@@ -171,6 +191,8 @@ class Stream:
         while have < length and (more := self._more(1 << 20)):
             parts.append(more)
             have += len(more)
+        if have < length:
+            raise ValueError(CUT)
         return b"".join(parts)[:length]
 
     def _advance(self) -> None:
@@ -206,7 +228,7 @@ class Files(InputPartition):
 
 @dataclass
 class Written(WriterCommitMessage):
-    path: str | None
+    paths: list[str]
     records: int
 
 
@@ -296,24 +318,27 @@ class WarcReader(DataSourceReader):
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.overwrite = options["path"], overwrite
-        self.level = int(options.get("level", 1))
+        self.level, self.most = int(options.get("level", 1)), int(options.get("maxFileBytes", FILE_BYTES))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, root = _files(self.path)
-        name = f"{root}/_temporary/{uuid.uuid4().hex}.warc.gz"
-        out, count = None, 0
+        names, out, count, size = [], None, 0, 0
         for batch in iterator:
             for row in batch.to_pylist():
-                if out is None:
+                if out is None or size > self.most:
+                    if out is not None:
+                        out.close()
                     system.create_dir(f"{root}/_temporary", recursive=True)
-                    out = system.open_output_stream(name, compression=None)
+                    names.append(f"{root}/_temporary/{uuid.uuid4().hex}.warc.gz")
+                    out, size = system.open_output_stream(names[-1], compression=None), 0
                     info = b"software: umbra\r\nformat: WARC File Format 1.1\r\n"
                     out.write(member(b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:%s>\r\nWARC-Date: %s\r\nContent-Type: application/warc-fields\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (str(uuid.uuid4()).encode(), DATE.encode(), len(info), info)))
-                out.write(member(record(row), self.level))
-                count += 1
+                data = member(record(row), self.level)
+                out.write(data)
+                count, size = count + 1, size + len(data)
         if out is not None:
             out.close()
-        return Written(name if count else None, count)
+        return Written(names, count)
 
     def commit(self, messages: list[Written | None]) -> None:
         from pyarrow import fs
@@ -324,9 +349,8 @@ class WarcWriter(DataSourceArrowWriter):
             for f in system.get_file_info(fs.FileSelector(root)):
                 if f.type == fs.FileType.File:
                     system.delete_file(f.path)
-        for m in messages:
-            if m and m.path:
-                system.move(m.path, f"{root}/{m.path.rpartition('/')[2]}")
+        with ThreadPoolExecutor(16) as pool:
+            list(pool.map(lambda p: system.move(p, f"{root}/{p.rpartition('/')[2]}"), [p for m in messages if m for p in m.paths]))
         self._clean(system, root)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -352,27 +376,34 @@ def register(spark: SparkSession) -> None:
 def records(pages: DataFrame) -> DataFrame:
     """``pages(page_id, url, html)`` as records: of equal payloads of ``REVISIT_BYTES`` bytes or more, the one of the largest page_id is a response, the others revisit it.
 
-    Null html is an empty payload.  Rows that repeat that largest page_id are responses too; a
-    null page_id revisits any other and is a response if there is none.  Payloads meet by their
-    digest, counted map-side; the small ones keep keys of their own and meet nobody.
+    Null html is an empty payload, a null url is left out of the record.  Rows that repeat that
+    largest page_id are responses too; a null page_id revisits any other and is a response if
+    there is none.  An empty table gives no records; other columns, whatever their names, are
+    ignored; a payload of any length is one record.
+
+    Who revisits whom is worked out on ids and digests alone, so that the copies of a common page
+    do not meet with their html; revisits have no payload and never fetch one.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("n", F.length("payload").cast("long"))
-    large = F.col("n") >= REVISIT_BYTES
-    latest = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies")).where("copies > 1 and keeper is not null").select(F.col("digest").alias("key"), "keeper")
-    keyed = rows.withColumn("key", F.when(large, F.col("digest")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")))))
-    joined = keyed.join(latest, "key", "left")
-    revisit = F.col("keeper").isNotNull() & F.coalesce(F.col("page_id") < F.col("keeper"), F.lit(True))
-    urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
-    return joined.select(
-        F.coalesce(urn(F.col("page_id")), F.lit("<urn:page:null>")).alias("record_id"),
+    ids = materialise(rows.where(F.col("n") >= REVISIT_BYTES).drop("payload"))
+    latest = ids.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("copies")).where("copies > 1 and keeper is not null").select("digest", "keeper")
+    copies = join_small(ids, materialise(latest), "digest").where(F.coalesce(F.col("page_id") < F.col("keeper"), F.lit(True)))
+    copies = materialise(copies.select("page_id", "url", "digest", "n", "keeper"))
+    gone = copies.select(F.col("page_id").alias("gone_id"), F.col("digest").alias("gone")).distinct()
+    kept = join_small(rows, gone, (F.col("digest") == F.col("gone")) & F.col("page_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    urn = lambda c: F.coalesce(F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">")), F.lit("<urn:page:null>"))
+    every = kept.withColumn("keeper", F.lit(None).cast("long")).unionByName(copies.withColumn("payload", F.lit(None).cast("binary")))
+    revisit = F.col("keeper").isNotNull()
+    return every.select(
+        urn(F.col("page_id")).alias("record_id"),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.col("url").alias("target_uri"),
         F.lit(DATE).alias("date"),
         F.when(revisit, urn(F.col("keeper"))).alias("refers_to"),
         F.concat(F.lit("sha1:"), F.col("digest")).alias("payload_digest"),
         F.col("n").alias("payload_bytes"),
-        F.when(~revisit, F.col("payload")).alias("payload"),
+        "payload",
     )
 
 
@@ -387,7 +418,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     path = shared_dir(spark)
     archive(pages, path)
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
-    read = spark.read.format("warc").load(path)
+    # Partitions of files as large as those of the session's other sources.
+    read = spark.read.format("warc").option("maxPartitionBytes", spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()).load(path)
     response = F.col("record_type") == "response"
     return read.select(
         page(F.col("record_id")).alias("page_id"),
