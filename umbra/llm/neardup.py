@@ -34,11 +34,11 @@ from .common import arrow_pass, materialise
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
-#: At similarity 0.8, 32 bands of 4 slots miss a pair with probability 5e-8.
+#: At similarity 0.8, 32 bands of 4 slots miss a pair with probability 4.7e-8.
 BANDS, BAND_SLOTS = 32, 4
 SLOTS = BANDS * BAND_SLOTS
 #: Equal slots, by two bits each, that a pair of the second round needs before its texts are
-#: fetched: six standard deviations below what similarity 0.8 gives.
+#: fetched: at similarity 0.8 a pair has fewer with probability 1.4e-8, less than the 4.7e-8 that the bands miss.
 LEAST_EQUAL_SLOTS = 84
 #: Two-bit fields of a long, and their low bits.
 FIELDS = 32
@@ -158,7 +158,8 @@ def text_digest(text: str) -> bytes:
 def sign(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, digest of the text (null without words), number of shingles, band keys, packed slots.
 
-    A task signs a text once; further rows with it have null keys.
+    A task signs a text once; further rows with it have null keys.  It remembers the digests of
+    300,000 texts; of others it signs each copy, which only costs time.
     """
 
     def rows(chunks: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
@@ -231,7 +232,25 @@ def linked(compared: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges(a, b)``: (node, comp), comp the smallest node; large-star and small-star rounds."""
+    """Connected components of ``edges(a, b)``: (node, comp), comp one of the component's nodes.
+
+    Edges are stars in the main, a centre a with thousands of texts b.  Each b is hung on the
+    least of its centres, whose other centres are tied to that one; only the ties go through the
+    rounds, so that a large family is a few edges between centres there.
+    """
+    edges = edges.where("a != b")
+    hung = materialise(edges.groupBy("b").agg(F.min("a").alias("m")))
+    tops = materialise(edges.select("a").distinct())
+    ties = edges.join(hung, "b").where("a != m").select("a", F.col("m").alias("b"))
+    above = hung.join(tops.select(F.col("a").alias("b")), "b", "left_semi").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    found = materialise(_starred(materialise(ties.union(above).distinct()))).select(F.col("node").alias("m"), "comp")
+    leaves = hung.join(tops.select(F.col("a").alias("b")), "b", "left_anti").select(F.col("b").alias("node"), "m")
+    placed = leaves.union(tops.select(F.col("a").alias("node"), F.col("a").alias("m")))
+    return placed.join(found, "m", "left").select("node", F.coalesce("comp", "m").alias("comp"))
+
+
+def _starred(edges: DataFrame) -> DataFrame:
+    """(node, comp), comp the smallest node, by large-star and small-star rounds."""
 
     def starred(e: DataFrame) -> DataFrame:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -284,7 +303,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     class_id is the smallest doc_id of the class.  Null and blank texts are in no class but
     their own (class_id their doc_id).  A null doc_id takes part by its text and only names a
-    class that has no other.  Equal texts are one class whatever their number.
+    class that has no other.  Equal texts, and repeated rows, are one class whatever their
+    number; texts of any length are compared whole; ties between centres go to the greater
+    digest, and change no class.  An empty table gives no rows; other columns, whatever their
+    names, are ignored.
     """
     return components_of(docs, threshold).drop("comp")
 
@@ -297,11 +319,12 @@ def components_of(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     signed = materialise(sign(docs))
     banded = signed.where("bands is not null").select("digest", F.explode("bands").alias("key"))
+    # Counts and centres are tables of their own, so that the joins with them can be split where a bucket is hot.
     crowded = banded.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("key", "size")
-    members = materialise(banded.join(crowded, "key"))
+    members = materialise(banded.join(materialise(crowded), "key"))
     reach = members.groupBy("digest").agg(F.sum("size").alias("reach"))
     centres = members.select("key", "digest").join(reach, "digest").groupBy("key").agg(F.max(F.struct("reach", "digest")).alias("c")).select("key", F.col("c.digest").alias("a"), F.col("c.reach").alias("reach"))
-    pairs = materialise(members.select("key", F.col("digest").alias("b")).join(centres, "key").where("a != b").select("a", "b", "reach").distinct())
+    pairs = materialise(members.select("key", F.col("digest").alias("b")).join(materialise(centres), "key").where("a != b").select("a", "b", "reach").distinct())
 
     # The texts in question, each once; the documents are joined by id and text, so that copies do not meet in one task.
     asked = pairs.select(F.col("a").alias("digest")).union(pairs.select(F.col("b").alias("digest"))).distinct()
@@ -320,7 +343,7 @@ def components_of(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     info = materialise(info.join(comp.withColumnRenamed("node", "digest"), "digest", "left").withColumn("comp", F.coalesce("comp", "digest")))
     placed = materialise(members.select("key", "digest").distinct().join(info, "digest"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    placed = materialise(placed.join(mixed, "key", "left_semi"))
+    placed = materialise(placed.join(materialise(mixed), "key", "left_semi"))
     # A text's home is the centre of most reach that it has been compared with; a centre is at home with itself.
     away = stars.join(pairs, ["a", "b"]).groupBy(F.col("b").alias("digest")).agg(F.max(F.struct("reach", F.col("a").alias("home"), "shared", "lacks")).alias("h")).select("digest", "h.home", "h.shared", "h.lacks")
     away = away.join(placed.select("digest").distinct(), "digest", "left_semi")
@@ -354,8 +377,9 @@ def components_of(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # From texts to documents: one row a text, then one a class, map-side first.
     by_text = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("docs"))
     by_text = materialise(by_text.join(comp.withColumnRenamed("node", "digest"), "digest", "left").withColumn("comp", F.coalesce("comp", "digest")))
-    by_comp = by_text.groupBy("comp").agg(F.min("least").alias("class_id"), F.sum("docs").alias("class_size"))
-    named = by_text.join(by_comp, "comp").select("digest", "class_id", "class_size", "comp")
+    by_comp = materialise(by_text.groupBy("comp").agg(F.min("least").alias("class_id"), F.sum("docs").alias("class_size")))
+    # Tables of their own again: a text may have very many copies, a class very many texts.
+    named = materialise(by_text.join(by_comp, "comp").select("digest", "class_id", "class_size", "comp"))
     blank = signed.where("digest is null").select("doc_id", "digest", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(None).cast("binary").alias("comp"))
     return signed.where("digest is not null").select("doc_id", "digest").join(named, "digest").select("doc_id", "digest", "class_id", "class_size", "comp").union(blank)
 
