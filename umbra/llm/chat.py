@@ -1,11 +1,15 @@
 """Chat formatting in budgeted windows, in DataFrame functions only.
 
-Conversations are handled in segments of ``SEGMENT`` turn numbers, so that no task ever gathers
-a whole conversation of unbounded length.  Within a segment, prefix sums of the turns' tokens
-choose windows of whole turns: a window takes turns as long as the retained system turn, the
-repeated history and the turns themselves stay within the budget.  Each later window begins
-with the conversation's system turn and repeats at most ``HISTORY_TURNS`` turns of at most
-``HISTORY_TOKENS`` tokens before its own; repeated assistant turns are not targets again.
+Turns are sorted over range partitions and numbered through, so that neither a long conversation
+nor many turns of one number meet in one task.  Prefix sums of the turns' tokens choose windows of
+whole turns: a window takes turns as long as the retained system turn, the repeated history and
+the turns themselves stay within the budget.  Where a window ends follows from where it begins;
+this is worked out for every turn, page by page of turns, from token counts alone, and only the
+pages' transitions (from a first turn in the page to the first window behind it) are followed in
+order along a conversation.  Texts are then fetched by the turns' numbers and gathered window by
+window.  Each later window begins with the conversation's system turn and repeats at most
+``HISTORY_TURNS`` turns of at most ``HISTORY_TOKENS`` tokens before its own; repeated assistant
+turns are not targets again.
 
 A turn is written as ``### role: text</turn>`` and a line end.  Texts and roles are escaped so
 that neither marker can occur in them: backslash, ``###`` and ``</turn>`` become ``\\b``,
@@ -15,15 +19,20 @@ followed by one of these letters, replacing them in the opposite order restores
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import join_small, materialise
+
 BUDGET = 1024
 HISTORY_TURNS, HISTORY_TOKENS = 2, 256
-SEGMENT = 64
+#: Turns that are looked at together; more if a window can hold more.
+PAGE = 256
 OPEN, CLOSE = "### ", "</turn>\n"
 #: Tokens that a turn's markers count.
 MARKER_TOKENS = 6
+#: Characters of a text that decide its range; of monotonic ids, the bits of the place in the partition; rows of a partition table that may be broadcast.
+RANGE_CHARS, PLACE_BITS, PARTITIONS = 64, 33, 1_000_000
 _ESCAPES = (("\\", "\\b"), ("</turn>", "\\t"), ("###", "\\h"))
 
 
@@ -52,75 +61,122 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"))
 
 
+def numbered(turns: DataFrame, tokens=word_tokens) -> DataFrame:
+    """(at, conv_id, turn, role, text, k): all turns of all conversations numbered through from 0, in order; k are a turn's tokens."""
+    text = F.coalesce("text", F.lit(""))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), text.alias("text"), (tokens(text) + MARKER_TOKENS).cast("long").alias("k"))
+    ranged = rows.repartitionByRange("conv_id", "turn", "role", F.substring("text", 1, RANGE_CHARS)).sortWithinPartitions("conv_id", "turn", "role", "text")
+    # The sort covers all columns: whatever order rows arrive in, a partition numbers them alike.
+    rows = materialise(ranged.withColumn("id", F.monotonically_increasing_id()))
+    part = F.shiftright("id", PLACE_BITS)
+    # A row for each partition.
+    sizes = rows.groupBy(part.alias("part")).count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = materialise(sizes.select("part", before.alias("begin")))
+    placed = join_small(rows.withColumn("part", part), begins, "part", most=PARTITIONS)
+    return placed.select((F.col("id").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)) + F.col("begin")).alias("at"), "conv_id", "turn", "role", "text", "k")
+
+
+def spans(turns: DataFrame, budget: int, history_turns: int, history_tokens: int, page: int) -> DataFrame:
+    """(conv_id, page, first, h, s, e, system): of each window the turns h..e-1 that it holds, of which s..e-1 are its own.
+
+    ``turns`` are numbered; first is the conversation's first number, system whether a system
+    turn is to be retained in front.  No text is touched.
+    """
+    most = max(1, budget // MARKER_TOKENS)  # turns of a window, at least so long each
+    page = max(page, most + 1)
+    slim = turns.select("conv_id", "at", "k", (F.col("role") == "system").alias("is_system"))
+    convs = slim.groupBy("conv_id").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    opening = convs.join(slim.where("is_system").select(F.col("at").alias("first"), F.col("k").alias("system")), "first", "left")
+    opening = opening.select(F.col("conv_id").alias("c"), "first", "last", F.coalesce("system", F.lit(0).cast("long")).alias("system"))
+    # A page also sees the turns before it that its first windows may repeat, and those that its last windows may reach.
+    own, inside = F.floor(F.col("at") / page).cast("long"), F.pmod("at", F.lit(page))
+    seen = F.concat(F.array(own), F.when(inside < most, F.array(own - 1)).otherwise(F.array().cast("array<bigint>")), F.when(inside >= page - history_turns, F.array(own + 1)).otherwise(F.array().cast("array<bigint>")))
+    pages = slim.select("conv_id", "at", "k", F.explode(seen).alias("page")).groupBy("conv_id", "page").agg(F.sort_array(F.collect_list(F.struct("at", "k"))).alias("t"))
+    pages = pages.join(opening, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
+    # low: the number of the array's first turn; begin, end: the page's own turns as places in it.
+    begin, end = F.greatest(F.col("page") * page, "first"), F.least((F.col("page") + 1) * page - 1, "last") + 1
+    pages = pages.where(begin < end).withColumn("low", F.get("t", F.lit(0))["at"]).withColumn("begin", (begin - F.col("low")).cast("int")).withColumn("end", (end - F.col("low")).cast("int"))
+    sums = F.aggregate("t", F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["k"])))
+    pages = pages.select("conv_id", "page", "first", "last", "system", "low", "begin", "end", sums.alias("sums"))
+
+    def window(i: Column) -> Column:
+        """The window whose first own turn is in place i; its system turn needs no copy if its history reaches back to it."""
+        upto = lambda x: F.get("sums", x)
+        held = lambda h: F.when(F.col("low") + h == F.col("first"), F.lit(0).cast("long")).otherwise(F.col("system"))
+        options = F.sequence(F.greatest(F.lit(0), i - history_turns), i)
+        fits = F.filter(options, lambda h: (h == i) | (upto(i) - upto(h) <= history_tokens) & (held(h) + upto(i + 1) - upto(h) <= budget))
+        began = lambda h: F.struct(h.alias("h"), (budget - held(h) + upto(h)).alias("limit"))
+        chosen = F.transform(F.slice(fits, 1, 1), began)
+        # Sums rise, so that as many turns follow as sums stay within the limit.
+        ends = F.transform(chosen, lambda w: F.struct((F.col("low") + w["h"]).alias("h"), (F.col("low") + i).alias("s"), (F.col("low") + i + 1 + F.size(F.filter(F.slice("sums", i + 3, most), lambda x: x <= w["limit"]))).alias("e")))
+        return F.get(ends, F.lit(0))
+
+    pages = materialise(pages.select("conv_id", "page", "first", "last", "system", "low", "begin", F.transform(F.sequence("begin", F.col("end") - 1), window).alias("w")))
+    return _followed(pages, page)
+
+
+def _followed(pages: DataFrame, page: int) -> DataFrame:
+    """The windows that come to be, of those that could begin at each turn of each page."""
+    long = F.floor(F.col("last") / page) != F.floor(F.col("first") / page)
+    start = F.col("low") + F.col("begin")
+    # From the back: where the window that begins here leads to, behind the page.
+    past = start + F.size("w")
+    leads = F.aggregate(F.reverse("w"), F.array().cast("array<bigint>"), lambda acc, x: F.concat(F.array(F.when(x["e"] >= past, x["e"]).otherwise(F.get(acc, (x["e"] - x["s"] - 1).cast("int")))), acc))
+    # Of conversations over several pages, 8 bytes a turn meet in order; windows of others begin with their first turn.
+    gathered = pages.where(long).select("conv_id", "page", "first", start.alias("start"), leads.alias("leads")).groupBy("conv_id", "first").agg(F.sort_array(F.collect_list(F.struct("page", "start", "leads"))).alias("p"))
+    opened = F.struct(F.col("first").alias("at"), F.array().cast("array<struct<page:bigint,entry:bigint>>").alias("out"))
+    entries = F.aggregate(
+        "p",
+        opened,
+        lambda acc, x: F.struct(F.get(x["leads"], (acc["at"] - x["start"]).cast("int")).alias("at"), F.concat(acc["out"], F.array(F.struct(x["page"].alias("page"), acc["at"].alias("entry")))).alias("out")),
+        lambda acc: acc["out"],
+    )
+    entered = gathered.select(F.col("first").alias("f"), F.inline(entries)).withColumnRenamed("page", "p")
+    placed = pages.join(entered, (F.col("first") == F.col("f")) & (F.col("page") == F.col("p")), "left").withColumn("entry", F.coalesce("entry", "first"))
+    begun = F.struct(F.col("entry").alias("at"), F.array().cast("array<struct<h:bigint,s:bigint,e:bigint>>").alias("out"))
+    taken = F.aggregate(
+        "w",
+        begun,
+        lambda acc, x: F.when(x["s"] == acc["at"], F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(x)).alias("out"))).otherwise(acc),
+        lambda acc: acc["out"],
+    )
+    return placed.select("conv_id", "page", "first", "last", "system", F.inline(taken)).withColumn("system", (F.col("system") > 0) & (F.col("h") > F.col("first")))
+
+
 def windows(
     turns: DataFrame,
     budget: int = BUDGET,
     history_turns: int = HISTORY_TURNS,
     history_tokens: int = HISTORY_TOKENS,
-    segment: int = SEGMENT,
+    page: int = PAGE,
     tokens=word_tokens,
 ) -> DataFrame:
     """Windows of ``turns(conv_id, turn, role, text)``: one row for each.
 
-    conv_id, segment, window, formatted (the text), repeated (turns at its start that are not
-    its own: system turn and history), n_turns, n_tokens, over_budget (a single turn that does
-    not fit is a window by itself, uncut), loss_spans (array of start, length in code points of
-    the formatted text: the escaped assistant texts that are targets).
+    conv_id, window (the place of its first own turn in the conversation, from 0), formatted
+    (the text), repeated (turns at its start that are not its own: system turn and history),
+    n_turns, n_tokens, over_budget (a single turn that does not fit is a window by itself,
+    uncut), loss_spans (array of start, length in code points of the formatted text: the escaped
+    assistant texts that are targets).
 
     Nulls: null role and text are empty, a null turn sorts first, a null conv_id is a
     conversation.  Ties in turn are ordered by role, then text; repeated rows are turns of
-    their own.  An empty table gives no windows.  Other columns are ignored.
+    their own.  Turn numbers may be negative or leave gaps.  A text of any length stays whole.
+    An empty table gives no windows.  Other columns, whatever their names, are ignored.
     """
-    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t"), (tokens(F.coalesce("text", F.lit(""))) + MARKER_TOKENS).cast("long").alias("k"))
-    number = F.coalesce(F.col("t.turn"), F.lit(0).cast("long"))
-    own = F.floor(number / F.lit(segment)).cast("long")
-    # The last turns of a segment also go to the next one, as history only.
-    carried = F.pmod(number, F.lit(segment)) >= segment - history_turns
-    placed = rows.select("conv_id", F.explode(F.when(carried, F.array(own, own + 1)).otherwise(F.array(own))).alias("segment"), "t", "k", own.alias("own"))
-    parts = placed.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_list(F.struct((F.col("own") == F.col("segment")).alias("own"), "t", "k"))).alias("turns")).where(F.exists("turns", lambda x: x["own"]))
-
-    # The conversation's first turn, if it is the system's.
-    first = rows.groupBy("conv_id").agg(F.min(F.struct("t", "k")).alias("first")).where("first.t.role = 'system'").select(F.col("conv_id").alias("c"), "first")
-    parts = parts.join(first, F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
-
-    # From the second window of the conversation on, the system turn is repeated: it is not if the window begins with it.
-    system = F.coalesce(F.col("first.k"), F.lit(0).cast("long"))
-    sums = F.aggregate("turns", F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["k"])))
-    parts = parts.withColumn("sums", sums).withColumn("begin", F.coalesce(F.size("turns") - F.size(F.filter("turns", lambda x: x["own"])), F.lit(0)))
-    # sums[i]: tokens before turn i.  A span: h..e are written, s..e are its own.
-    span = lambda h, s, e: F.struct(h.cast("int").alias("h"), s.cast("int").alias("s"), e.cast("int").alias("e"))
-
-    def back(s: Column, need: Column) -> Column:
-        """The first turn of the history of a window whose first own turn is s, of which ``need`` tokens must fit besides."""
-        options = F.sequence(F.greatest(F.lit(0), s - history_turns), s)
-        fits = F.filter(options, lambda h: (F.get("sums", s) - F.get("sums", h) <= history_tokens) & (F.get("sums", s) - F.get("sums", h) + need <= budget))
-        return F.coalesce(F.get(fits, F.lit(0)), s)
-
-    def step(acc: Column, i: Column) -> Column:
-        last = F.element_at(acc, -1)
-        upto = F.get("sums", i + 1)
-        # The very first turn of a conversation that opens with the system turn needs no retained copy.
-        held = F.when((F.get("turns", last["h"])["t"] == F.col("first.t")), F.lit(0).cast("long")).otherwise(system)
-        fits = held + upto - F.get("sums", last["h"]) <= budget
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(span(last["h"], last["s"], i + 1)))
-        opened = F.concat(acc, F.array(span(back(i, system + upto - F.get("sums", i)), i, i + 1)))
-        return F.when(fits, grown).otherwise(opened)
-
-    begin = F.col("begin")
-    opening = span(back(begin, system + F.get("sums", begin + 1) - F.get("sums", begin)), begin, begin + 1)
-    more = F.when(begin + 1 < F.size("turns"), F.sequence(begin + 1, F.size("turns") - 1)).otherwise(F.array().cast("array<int>"))
-    spans = F.aggregate(more, F.array(opening), step)
-    cut = parts.select("conv_id", "segment", "turns", "first", "sums", F.posexplode(spans).alias("window", "w"))
-
-    retained = F.coalesce(F.col("first").isNotNull() & (F.get("turns", F.col("w.h"))["t"] != F.col("first.t")), F.lit(False))
-    item = lambda x, mine: F.struct(x["t"]["role"].alias("role"), x["t"]["text"].alias("text"), mine.alias("mine"))
-    listed = F.concat(
-        F.when(retained, F.array(item(F.col("first"), F.lit(False)))).otherwise(F.array().cast("array<struct<role:string,text:string,mine:boolean>>")),
-        F.transform(F.slice("turns", F.col("w.h") + 1, F.col("w.e") - F.col("w.h")), lambda x, i: item(x, i + F.col("w.h") >= F.col("w.s"))),
-    )
+    rows = numbered(turns, tokens)
+    cut = materialise(spans(rows, budget, history_turns, history_tokens, page))
+    listed = cut.select("conv_id", "first", F.col("s").alias("own"), F.explode(F.sequence("h", F.col("e") - 1)).alias("at"))
+    texts = listed.join(rows.select("at", "role", "text", "k"), "at").withColumn("mine", F.col("at") >= F.col("own"))
+    # The system turn goes to every page of its conversation, and there to the windows.
+    kept = cut.where("system")
+    opening = kept.groupBy("first", "page").agg(F.count("*").alias("n")).select(F.col("first").alias("at"), "page").join(rows.select("at", "role", "text", "k"), "at").withColumnRenamed("at", "first")
+    system = kept.select("conv_id", "first", "page", F.col("s").alias("own")).join(opening, ["first", "page"])
+    pieces = texts.select("conv_id", "first", "own", "at", "role", "text", "k", "mine").unionByName(system.select("conv_id", "first", "own", F.lit(-1).cast("long").alias("at"), "role", "text", "k", F.lit(False).alias("mine")))
+    gathered = pieces.groupBy("conv_id", "first", "own").agg(F.sort_array(F.collect_list(F.struct("at", "role", "text", "k", "mine"))).alias("t"))
     written = F.transform(
-        listed,
+        "t",
         lambda x: F.struct(
             F.concat(F.lit(OPEN), escape_role(x["role"]), F.lit(": ")).alias("head"),
             escape(x["text"]).alias("body"),
@@ -128,13 +184,12 @@ def windows(
             x["mine"].alias("mine"),
         ),
     )
-    out = cut.select("conv_id", "segment", "window", "w", (F.get("sums", F.col("w.e")) - F.get("sums", F.col("w.h")) + F.when(retained, F.col("first.k")).otherwise(0)).alias("n_tokens"), written.alias("x"))
+    out = gathered.select("conv_id", (F.col("own") - F.col("first")).alias("window"), F.aggregate("t", F.lit(0).cast("long"), lambda n, x: n + x["k"]).alias("n_tokens"), written.alias("x"))
     ends = F.aggregate("x", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(x["head"]) + F.length(x["body"]) + len(CLOSE))))
     out = out.withColumn("ends", ends)
     loss = F.filter(F.transform("x", lambda x, i: F.struct((F.get("ends", i) + F.length(x["head"])).alias("start"), F.length(x["body"]).alias("length"), x["target"].alias("target"))), lambda s: s["target"])
     return out.select(
         "conv_id",
-        "segment",
         "window",
         F.array_join(F.transform("x", lambda x: F.concat(x["head"], x["body"], F.lit(CLOSE))), "").alias("formatted"),
         F.size(F.filter("x", lambda x: ~x["mine"])).alias("repeated"),
@@ -158,10 +213,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
     head = lambda p: F.substring_index(p, ":", 1)
     told = F.transform(own, lambda p: F.concat(unescape_role(F.substring(head(p), len(OPEN) + 1, 2**31 - 1)), F.lit("\n"), unescape(F.substring(p, F.length(head(p)) + 3, 2**31 - 1)), F.lit("\n")))
     loss = F.transform("loss_spans", lambda s: unescape(F.substring("formatted", s["start"] + 1, s["length"])))
-    parts = formatted.select("conv_id", "segment", "window", F.array_join(told, "").alias("told"), F.size(own).alias("n"), F.array_join(loss, "").alias("loss"), F.length("formatted").alias("chars"))
+    parts = formatted.select("conv_id", "window", F.array_join(told, "").alias("told"), F.size(own).alias("n"), F.array_join(loss, "").alias("loss"), F.length("formatted").alias("chars"))
     whole = parts.groupBy("conv_id").agg(
         F.sum("n").cast("long").alias("n_turns"),
-        F.sort_array(F.collect_list(F.struct("segment", "window", "told", "loss"))).alias("parts"),
+        F.sort_array(F.collect_list(F.struct("window", "told", "loss"))).alias("parts"),
         F.sum("chars").cast("long").alias("formatted_chars"),
         F.count("*").alias("n_windows"),
     )
