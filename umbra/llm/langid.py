@@ -26,6 +26,8 @@ SIZES = (2, 3, 4)
 #: Bloom filter: positions (a power of two) and probes.  8 bytes a position for every 64 languages.
 POSITIONS, PROBES, WORD_LANGUAGES = 1 << 20, 3, 64
 UNDETERMINED = "und"
+#: Characters of a text that are looked at together.
+PART = 1 << 18
 
 _TABLES: list[np.ndarray] = []
 
@@ -45,11 +47,31 @@ def _letters() -> np.ndarray:
 
 def grams(text: str) -> np.ndarray:
     """64-bit hashes of the n-grams of all words, each word padded by one space on either side."""
-    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    c = _letters()[raw]
-    # Runs of other characters count as one space.
-    keep = (c > 0) | np.concatenate(([False], c[:-1] > 0))
-    c = np.concatenate((np.zeros(1, np.uint32), c[keep], np.zeros(1, np.uint32))).astype(np.uint64) + np.uint64(1)
+    return np.concatenate(list(gram_parts(text)))
+
+
+def gram_parts(text: str, part: int = PART) -> Iterator[np.ndarray]:
+    """The n-grams of a text of any length, in parts of ``part`` characters: together the same as in one.
+
+    A part begins with what the one before has left of unfinished n-grams, so that no word is
+    cut.
+    """
+    carry = np.zeros(0, np.uint64)
+    for at in range(0, max(1, len(text)), part):
+        raw = np.frombuffer(text[at : at + part].encode("utf-32-le", "surrogatepass"), "<u4")
+        c = _letters()[raw]
+        # Runs of other characters count as one space, which is 1 from here on; letters are above.
+        blank = not at or carry[-1] == 1
+        keep = (c > 0) | np.concatenate(([not blank], c[:-1] > 0))[: len(c)]
+        edge = [np.ones(1, np.uint64)] * (at == 0)
+        last = [np.ones(1, np.uint64)] * (at + part >= len(text))
+        c = np.concatenate([carry, *edge, c[keep].astype(np.uint64) + np.uint64(1), *last])
+        yield _grams(c, len(carry))
+        carry = c[1 - max(SIZES) :]
+
+
+def _grams(c: np.ndarray, done: int) -> np.ndarray:
+    """Those of the n-grams that end behind the first ``done`` characters."""
     out = []
     with np.errstate(over="ignore"):
         h = c
@@ -57,6 +79,7 @@ def grams(text: str) -> np.ndarray:
             h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + c[n - 1 :]
             if n in SIZES:
                 inner = np.ones(len(h), bool)
+                inner[: max(0, done - n + 1)] = False
                 for k in range(1, n - 1):  # no n-gram spans two words
                     inner &= c[k : k + len(h)] != 1
                 if n == 2:
@@ -103,8 +126,7 @@ class Model:
 
     def predict(self, text: str | None, rates: np.ndarray) -> tuple[str, float]:
         total, counts = 0, np.zeros(len(self.languages))
-        for at in range(0, len(text or ""), 1 << 18):  # long texts in parts, all of them
-            hashes = grams(text[at : at + (1 << 18)])
+        for hashes in gram_parts(text or ""):
             total += len(hashes)
             probes = _probes(hashes)
             for first, masks in zip(range(0, len(counts), WORD_LANGUAGES), self.words):
@@ -125,7 +147,10 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
 
     At most about ``sample_docs`` rows of each language are read, chosen by a hash of the text.
     Every language with letters in its rows is learned, however many there are and however few
-    rows one has.
+    rows one has.  Repeated rows are drawn together and count each; n-grams that tie at the last
+    place kept are left out together; rows without a language or a text teach nothing; an empty
+    table gives a model that knows no language.  Long texts are read whole; other columns,
+    whatever their names, are ignored.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     # One row a language reaches the driver.
@@ -175,8 +200,10 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
 def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``keep`` columns with ``lang_pred`` and ``score`` of every whole text.
 
-    Null text, and text without letters, is undetermined with score 0.  The model has
-    8 MB for every 64 languages and travels as a broadcast variable.
+    Null text, and text without letters, is undetermined with score 0.  Of languages that tie
+    the first by name is told; repeated rows are told alike; a text of any length is read whole,
+    in parts; an empty table gives no rows, and other columns than ``keep`` and text are ignored.
+    The model has 8 MB for every 64 languages and travels as a broadcast variable.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [f for f in docs.select(*keep).schema.fields]
