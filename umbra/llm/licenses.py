@@ -159,6 +159,13 @@ def containment_join(docs: DataFrame, key: str, templates=TEMPLATES) -> DataFram
     return held.select("key", "block", "label", (F.col("shared") / F.size("template_words")).alias("containment")).distinct()
 
 
+def _places(pieces: Column, words_of_phrase: int) -> Column:
+    """Of a text split at a phrase: how often it stands there, and its first and last place; each piece is counted once."""
+    n = F.size(pieces) - 1
+    behind = F.aggregate(F.slice(pieces, 1, n), F.lit(0).cast("long"), lambda at, p: at + count_words(p))
+    return F.struct(n.cast("long").alias("n"), count_words(F.get(pieces, F.lit(0))).alias("first"), (behind + (n - 1) * words_of_phrase).alias("last"))
+
+
 def _phrase(phrase: str) -> str:
     return f"(?<!{_INSIDE})(?i:{_BETWEEN.join(phrase.split())})(?!{_INSIDE})"
 
@@ -166,26 +173,23 @@ def _phrase(phrase: str) -> str:
 def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Nulls: null text is empty, a null doc_id is kept.  Equal rows give equal rows.  A text of
-    any length is scanned whole.  The score is the best containment of a block, 1 where a phrase
-    stands, 0 without a label.  Other columns are ignored.
+    Nulls: null text is empty, a null doc_id is kept.  Equal rows give equal rows; templates that
+    tie all give their labels.  A text of any length is scanned whole, in time that grows with
+    its length.  The score is the best containment of a block, 1 where a phrase stands, 0 without
+    a label.  An empty table gives no rows.  Other columns, whatever their names, are ignored.
     """
     key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5("text")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", key)
     maybe = F.col("text").rlike("(?i)license")  # every phrase ends in it
     out = rows.withColumn("n_words", count_words(F.col("text")))
-    places = []
-    for phrase, _ in PHRASES:
-        n = len(phrase.split())
+    for i, (phrase, _) in enumerate(PHRASES):
+        # The phrase stands between the pieces: the first behind the first piece, the last before the last one.
         pieces = F.split("text", _phrase(phrase), -1)
-        # Places k = 0, 1, ...: the words of the pieces before, and those of the phrases between them.
-        at = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p, k: count_words(p) + F.when(k > 0, n).otherwise(0))
-        sums = F.transform(at, lambda x, k: F.aggregate(F.slice(at, 1, k + 1), F.lit(0).cast("long"), lambda a, b: a + b))
-        places.append(F.when(maybe & F.col("text").rlike(_phrase(phrase)), sums).otherwise(F.array().cast("array<long>")))
-    out = out.select("key", "doc_id", "n_words", *[p.alias(f"p{i}") for i, p in enumerate(places)])
-    every = F.concat(*[F.col(f"p{i}") for i in range(len(PHRASES))])
-    base = F.array_compact(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(PHRASES)]))
-    out = out.select("key", "doc_id", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).alias("first_word"), F.array_max(every).alias("last_word"), base.alias("base"))
+        out = out.withColumn(f"p{i}", F.when(maybe & F.col("text").rlike(_phrase(phrase)), _places(pieces, len(phrase.split()))))
+    every = [F.col(f"p{i}") for i in range(len(PHRASES))]
+    base = F.array_compact(F.array(*[F.when(p.isNotNull(), F.lit(label)) for p, (_, label) in zip(every, PHRASES)]))
+    n_base = sum((F.coalesce(p["n"], F.lit(0).cast("long")) for p in every[1:]), F.coalesce(every[0]["n"], F.lit(0).cast("long")))
+    out = out.select("key", "doc_id", "n_words", n_base.alias("n_base"), F.least(*[p["first"] for p in every]).alias("first_word"), F.greatest(*[p["last"] for p in every]).alias("last_word"), base.alias("base"))
     matched = containment_join(rows, "key", templates).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     none = F.array().cast("array<string>")
     return out.join(matched, "key", "left").select(
