@@ -6,7 +6,9 @@ that reaches a target entropy, or the smallest that keeps any source from being
 than a limit times as often as another.  The weights are realised on whole documents: each
 source lays its documents out in a permutation for each epoch, by a hash, and takes its budget
 from the front.  Positions are prefix sums in hash buckets, so that a hot source is counted in
-parallel.  A document's block follows from its position and its source's quota of a block.
+parallel.  A document's block follows from its position and its source's quota of a block.  The
+mixed rows lie in order of their blocks, and permuted within each, in every file: files that are
+read side by side give one block after another, each with the sources in their weights.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from .common import join_small, materialise
 
 MAX_REPEATS = 2.0
 BLOCK_TOKENS = 1 << 20
-BUCKETS_LOG2 = 12
+#: Documents that a hash bucket should hold, and the least number of buckets.
+BUCKET_DOCS, BUCKETS_LOG2 = 1 << 14, 12
 #: Bisection: halvings in one pass (their 2^n - 1 points at once) and passes.
 HALVINGS, PASSES = 5, 8
 SEED = 20
@@ -111,9 +114,11 @@ def plan(docs: DataFrame, target_entropy: float | None = None, max_repeats: floa
 
     Nulls: a null source is the source ""; null text has no tokens and is taken once; a null
     doc_id is kept.  Repeated rows are one unit, taken together.  Ties of the hash are ordered
-    by key.  An empty table gives no rows.
+    by key.  A text of any length is taken whole, though it may exceed its source's share of a
+    block.  An empty table gives no rows.  Other columns, whatever their names, are ignored.
     """
     rows = units(docs, tokens)
+    bits = max(BUCKETS_LOG2, math.ceil(math.log2(max(1, rows.count()) / BUCKET_DOCS)))
     mass = (F.col("n_tokens") * F.col("n_rows")).alias("mass")
     table = weights(rows.groupBy("source").agg(F.sum(mass).alias("tokens")), target_entropy, max_repeats, budget)
     table = table.select(F.col("source").alias("s"), F.col("tokens").alias("held"), "weight", "quota")
@@ -121,9 +126,9 @@ def plan(docs: DataFrame, target_entropy: float | None = None, max_repeats: floa
     # A hair of rounding must not open another epoch.
     epochs = F.when(F.col("held") > 0, F.greatest(F.lit(1), F.ceil(F.col("quota") / F.col("held") - 1e-9).cast("int"))).otherwise(F.lit(1))
     laid = taken.withColumn("epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
-    laid = laid.withColumn("h", F.xxhash64("key", "epoch", F.lit(SEED))).withColumn("bucket", F.shiftrightunsigned("h", 64 - BUCKETS_LOG2)).withColumn("mass", mass)
+    laid = laid.withColumn("h", F.xxhash64("key", "epoch", F.lit(SEED))).withColumn("bucket", F.shiftrightunsigned("h", 64 - bits)).withColumn("mass", mass)
     sums = laid.groupBy("source", "epoch", "bucket").agg(F.sum("mass").alias("in_bucket"))
-    # At most 2^BUCKETS_LOG2 rows of a source and epoch meet here.
+    # A row for each bucket of a source and epoch meets here.
     before = Window.partitionBy("source", "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source", "epoch", "bucket", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("source", "epoch", "bucket").orderBy("h", "key").rowsBetween(Window.unboundedPreceding, -1)
@@ -134,8 +139,12 @@ def plan(docs: DataFrame, target_entropy: float | None = None, max_repeats: floa
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` as often as the plan takes them, with the same columns; texts are shuffled once."""
-    own, times = "__umbra_row", "__umbra_times"
-    copies = plan(docs, **how).groupBy(F.col("key").alias(own)).agg(F.count("*").cast("int").alias(times))
-    rows = docs.withColumn(own, unit_key()).join(copies, own)
-    return rows.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
+    """The rows of ``docs`` as often as the plan takes them, with the same columns, in order of block; texts are shuffled once.
+
+    Nulls, ties, repeated rows, long texts and empty tables as in ``plan``; every column of a row
+    comes along unchanged.
+    """
+    own, block, order = "__umbra_row", "__umbra_block", "__umbra_order"
+    taken = plan(docs, **how).select(F.col("key").alias(own), F.col("block").alias(block), F.xxhash64("key", "epoch", F.lit(SEED + 1)).alias(order))
+    rows = docs.withColumn(own, unit_key()).join(taken, own)
+    return rows.sortWithinPartitions(block, order).select(*docs.columns)
