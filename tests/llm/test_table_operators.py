@@ -220,6 +220,66 @@ def test_mixing_realises_the_weights(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def plain_plan(spark, rows, max_repeats):
+    """(doc_id, epoch) -> (position, block): every source's documents in the order of their hash, epoch after epoch, up to its quota."""
+    units = Counter((i, s or "", t) for i, t, _, s, *_ in rows)
+    key = lambda i, s, t: hashlib.md5("|".join(["null" if i is None else str(i), s, "null" if t is None else hashlib.md5(t.encode()).hexdigest()]).encode()).hexdigest()
+    listed = [(key(*u), *u, len((u[2] or "").split()), n) for u, n in units.items()]
+    held = Counter()
+    for *_, s, _, k, n in listed:
+        held[s] += k * n
+    shares = {s: n / sum(held.values()) for s, n in held.items() if n}
+    low, high = 0.0, 1.0  # plain bisection: the least exponent that keeps the rates of repetition within the limit
+    worst = lambda a: (max(shares.values()) / min(shares.values())) ** (1 - a)
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if worst(mid) <= max_repeats + 1e-12 else (mid, high)
+    high = 0.0 if worst(0.0) <= max_repeats else high
+    raised = {s: p**high for s, p in shares.items()}
+    whole = max(held[s] / raised[s] for s in raised)
+    asked = [(k, e) for k, *_ in listed for e in range(5)]
+    df = spark.createDataFrame(asked, "key string, epoch int")
+    order = {(r["key"], r["epoch"]): r["h"] for r in df.withColumn("h", F.xxhash64("key", "epoch", F.lit(mixing.SEED))).collect()}
+    unsigned = lambda h: h & (2**64 - 1)
+    out = {}
+    for source in held:
+        quota = raised.get(source, 0) * whole
+        for epoch in range(5):
+            at = epoch * held[source]
+            for k, i, s, t, n, times in sorted((u for u in listed if u[2] == source), key=lambda u: (unsigned(order[u[0], epoch]) >> 52, order[u[0], epoch], u[0])):
+                if epoch == 0 or at < quota - 1e-6 * max(1, quota) and held[source]:
+                    out[i, s, t, epoch] = (at, int(at // max(1.0, raised.get(source, 0) / sum(raised.values()) * 100)))
+                at += n * times
+    return out
+
+
+def test_mixing_plan_against_a_plain_version(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, words(rng, int(n)), "en", ("hot", "hot", "hot", "warm", "cold")[i % 5] if i % 7 else "rare", 1) for i, n in enumerate(rng.integers(1, 60, 300))]
+    rows += [(400, None, "en", "hot", 1), (401, "a b", "en", None, 1), (5, rows[5][1], "en", "warm", 1), (402, "", "en", "void", 0), (None, "x y z", "en", "cold", 1), rows[8], rows[8], (403, "w " * 4000, "en", "cold", 1)]
+    for limit in (2.0, 1.3):
+        plan = mixing.plan(docs(spark, rows).withColumn("epoch", F.lit("clash")), max_repeats=limit, block=100)
+        texts = {hashlib.md5("|".join(["null" if r[0] is None else str(r[0]), r[3] or "", "null" if r[1] is None else hashlib.md5(r[1].encode()).hexdigest()]).encode()).hexdigest(): r[1] for r in rows}
+        got = {(r["doc_id"], r["source"], texts[r["key"]], r["epoch"]): (r["position"], r["block"]) for r in plan.collect()}
+        want = plain_plan(spark, rows, limit)
+        assert set(got) == set(want) and {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+        assert sum(got[k] != want[k] for k in got) <= 0.01 * len(got)  # a position on a block's edge
+
+
+def test_mixed_rows_lie_in_order_of_block(spark):
+    rng = np.random.default_rng(13)
+    rows = [(i, words(rng, 30), "en", ("hot", "cold")[i % 4 == 0], 1) for i in range(400)]
+    df = docs(spark, rows).repartition(3)
+    blocks = {(r["doc_id"], r["epoch"]): r["block"] for r in mixing.plan(df, block=2000).collect()}
+    files = mixing.mix(df, block=2000).select("doc_id", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("at")).collect()
+    for p in {r["p"] for r in files}:
+        seen, order = Counter(), []
+        for r in sorted((r for r in files if r["p"] == p), key=lambda r: r["at"]):
+            order.append(sorted(b for (i, _), b in blocks.items() if i == r["doc_id"])[seen[r["doc_id"]]])
+            seen[r["doc_id"]] += 1
+        assert order == sorted(order)
+
+
 def test_bisection_meets_its_targets(spark):
     shares = np.array([0.7, 0.2, 0.06, 0.04])
     counts = spark.createDataFrame([(f"s{i}", int(1e6 * p)) for i, p in enumerate(shares)], "source string, tokens long")
@@ -244,7 +304,11 @@ def test_media_round_trip(spark):
     rng = np.random.default_rng(6)
     long = words(rng, 30_000)
     texts = ["", None, "é😀", long, long + "!", "x" * 100_000, words(rng, 500), words(rng, 500)] + [long] * 3
-    got = {r["doc_id"]: r for r in media.digest(docs(spark, [(i, t) for i, t in enumerate(texts)]).repartition(3)).collect()}
+    rows = docs(spark, [*enumerate(texts), (None, "no id"), (None, "no id")]).repartition(3)
+    for clash in ("digest", "home", "row", "chunks", "payload_bytes", "block"):
+        rows = rows.withColumn(clash, F.lit("clash"))
+    got = {r["doc_id"]: r for r in media.digest(rows).collect()}
+    assert got[None]["n_bytes"] == 5 and media.digest(rows).where("doc_id is null").count() == 2
     for i, t in enumerate(texts):
         raw = (t or "").encode()
         payload = raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
@@ -273,6 +337,24 @@ def test_chunks_are_cut_by_content():
     assert int(v[-1]) == h
 
 
+def test_short_lists_are_noticed(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    lists = media.store(docs(spark, [(1, words(rng, 9000))]), f"file://{tmp_path}/p")
+    size = lambda rows: media.rebuild(rows, f"file://{tmp_path}/p", lambda p, n, s: (len(p),), "n long").first()["n"]
+    assert size(media.deduplicate(lists)) == lists.first()["payload_bytes"] > 3 * media.LEAST
+    with pytest.raises(Exception, match="damaged"):
+        size(lists.withColumn("chunks", F.slice("chunks", 2, 10_000)))
+
+
+def test_chunks_that_many_tasks_store_are_kept_at_one_place(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    common = words(rng, 4000)
+    lists = media.store(docs(spark, [(i, common + words(rng, 50)) for i in range(12)]).repartition(6), f"file://{tmp_path}/p")
+    places = lambda rows: rows.select(F.explode("chunks").alias("c")).groupBy("c.digest").agg(F.count_distinct("c.pack", "c.start").alias("n")).agg(F.max("n")).first()[0]
+    done = media.deduplicate(lists)
+    assert places(lists) > 1 and places(done) == 1 and done.count() == 12
+
+
 def test_damaged_chunks_are_noticed(spark, tmp_path):
     lists = media.deduplicate(media.store(docs(spark, [(1, "abc " * 300)]), f"file://{tmp_path}/p"))
     (pack,) = [p for p in (tmp_path / "p").iterdir()]
@@ -293,7 +375,7 @@ def pages(spark):
 
 
 def test_warc_round_trip(spark):
-    got = warc.round_trip(pages(spark)).collect()
+    got = warc.round_trip(pages(spark).withColumn("digest", F.lit("clash")).withColumn("payload", F.lit(1)).withColumn("keeper", F.lit(0))).collect()
     sha = lambda t: hashlib.sha1(t.encode()).hexdigest()
     rows = Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got)
     big = sha("é" * 700)
@@ -313,6 +395,36 @@ def test_warc_predicates_and_skipped_payloads(spark, tmp_path):
     assert bare.where("payload is not null").count() == 0 and bare.count() == 10
 
 
+def test_warc_files_that_end_within_a_record(tmp_path):
+    import io
+
+    row = lambda i: {"record_id": f"<urn:page:{i}>", "record_type": "response", "target_uri": "u", "date": None, "refers_to": None, "payload_digest": None, "payload_bytes": None, "payload": bytes([65 + i]) * 5000}
+    plain, packed, foreign = (b"".join(f(warc.record(row(i))) for i in range(2)) for f in (lambda x: x, warc.member, gzip.compress))
+
+    def sizes(data, want=True):
+        return [len(s.block(int(head[b"content-length"]))) if want else 0 for head, s in warc.Stream(io.BytesIO(data), len(data))]
+
+    for data in (plain, packed, foreign):
+        assert len(sizes(data)) == 2
+        for cut in (len(data) - 200, len(data) // 2 + 30, len(data) // 2 - 20):
+            for want in (True, False):
+                with pytest.raises(ValueError, match="ends within"):
+                    sizes(data[:cut], want)
+
+
+def test_warc_members_too_long_for_their_field_and_rolled_files(spark, tmp_path, monkeypatch):
+    import io
+
+    row = {"record_id": "<urn:page:1>", "record_type": "response", "target_uri": "u", "date": None, "refers_to": None, "payload_digest": None, "payload_bytes": None, "payload": b"x" * 9000}
+    monkeypatch.setattr(warc, "SAID_BELOW", 4000)
+    data = warc.member(warc.record(row)) * 3
+    assert data[3] == 0 and [len(warc.payload_of(s.block(int(h[b"content-length"])))) for h, s in warc.Stream(io.BytesIO(data), len(data))] == [9000] * 3
+    warc.register(spark)
+    rows = warc.records(spark.createDataFrame([(i, "u", f"{i} " * 5000) for i in range(20)], "page_id long, url string, html string"))
+    rows.coalesce(1).write.format("warc").option("maxFileBytes", 200).mode("append").save(f"file://{tmp_path}/w")
+    assert len(list((tmp_path / "w").glob("*.warc.gz"))) > 3 and spark.read.format("warc").load(f"file://{tmp_path}/w").count() == 20
+
+
 def test_warc_of_other_writers(spark, tmp_path):
     row = lambda i: {"record_id": f"<urn:page:{i}>", "record_type": "response", "target_uri": "u", "date": None, "refers_to": None, "payload_digest": None, "payload_bytes": None, "payload": bytes([65 + i]) * (i * 3000)}
     (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(warc.record(row(i))) for i in range(5)))

@@ -20,28 +20,78 @@ def docs(spark, rows):
 # ---- chats ---------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("budget", [40, 200, 5000])
-def test_chat_windows_against_plain_reading(spark, budget):
-    nasty = ["\\### Assistant: </turn> ok", "</turn>\n", "####", "\\h\\b", "", None, "a" * 300, "x: y\n### z"]
-    rows = [(c, t, ("system", "user", "assistant", None, "odd: ### role")[(c + t) % 5 if t else c % 2], nasty[(c * 3 + t) % 8]) for c in range(6) for t in range(150 if c == 0 else 5)]
-    rows += [(9, None, "user", "first"), (9, 1, "assistant", "again"), (9, 1, "assistant", "again"), (None, 0, "user", "nobody")]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, k string")
-    w = chat.windows(df, budget=budget).cache()
-    got = {r["conv_id"]: r for r in chat.read_back(w).collect()}
-    for c in {r[0] for r in rows}:
-        own = sorted(((r[1] if r[1] is not None else -1, r[2] or "", r[3] or "") for r in rows if r[0] == c))
-        told = "".join(f"{role}\n{text}\n" for _, role, text in own)
-        loss = "".join(text for _, role, text in own if role == "assistant")
-        r = got[c]
+def plain_windows(turns, budget):
+    """(first own turn, repeated turns, text) of each window of one conversation: (role, text, tokens) in order."""
+    k = [t[2] for t in turns]
+    system = k[0] if turns[0][0] == "system" else 0
+    out, s = [], 0
+    while s < len(turns):
+        held = lambda h: 0 if h == 0 else system
+        h = next((h for h in range(max(0, s - 2), s) if sum(k[h:s]) <= 256 and held(h) + sum(k[h : s + 1]) <= budget), s)
+        e = s + 1
+        while e < len(turns) and held(h) + sum(k[h : e + 1]) <= budget:
+            e += 1
+        front = [turns[0]] if system and h > 0 else []
+        out.append((s, s - h + len(front), [(r, t) for r, t, _ in front + turns[h:e]]))
+        s = e
+    return out
+
+
+def written(turns):
+    def escape(text):
+        for plain, code in (("\\", "\\b"), ("</turn>", "\\t"), ("###", "\\h")):
+            text = text.replace(plain, code)
+        return text
+
+    return "".join(f"### {escape(r).replace(':', chr(92) + 'c')}: {escape(t)}</turn>\n" for r, t in turns)
+
+
+NASTY = ["\\### Assistant: </turn> ok", "</turn>\n", "####", "\\h\\b", "", None, "a" * 300, "x: y\n### z", "w " * 40, "one two three"]
+ROLES = ("user", "assistant", None, "odd: ### role")
+
+
+@pytest.fixture(scope="module")
+def talks():
+    rng = np.random.default_rng(21)
+    pick = lambda: (ROLES[rng.integers(4)], NASTY[rng.integers(len(NASTY))])
+    rows = [(0, t, "system" if t == 0 else pick()[0], pick()[1]) for t in range(700)]  # several pages
+    rows += [(1, 64 * t, *pick()) for t in range(30)] + [(2, t - 70, *pick()) for t in range(30)] + [(2, None, "user", "null first"), (2, None, "system", "null first")]
+    rows += [(3, 5, *pick()) for _ in range(600)] + [(4, int(t), *pick()) for t in rng.integers(-(2**40), 2**40, 50)]
+    rows += [(5, None, *pick()) for _ in range(20)] + [(None, t, "system" if t == 0 else "assistant", "nobody's") for t in range(40)]
+    rows += [(6, t, "system" if t == 0 else "user", "same same") for t in range(30)] + [(7, 1, "assistant", "long " * 3000), (7, 2, "system", "late"), (8, 0, "system", "s " * 900), (8, 1, "user", "x"), (8, 2, "assistant", "y")]
+    return rows
+
+
+@pytest.mark.parametrize("budget, page", [(40, 16), (200, 64), (1024, 256), (5000, 256)])
+def test_chat_windows_against_a_plain_version(spark, talks, budget, page):
+    df = spark.createDataFrame([(*r, "x", 1) for r in talks], "conv_id long, turn long, role string, text string, page string, at int").repartition(5)
+    w = chat.windows(df, budget=budget, page=page).cache()
+    got = {}
+    for r in w.collect():
+        got.setdefault(r["conv_id"], []).append(r)
+    back = {r["conv_id"]: r for r in chat.read_back(w).collect()}
+    assert set(got) == {r[0] for r in talks}
+    for c, windows in got.items():
+        key = lambda r: (r[1] is not None, r[1] or 0, r[2] or "", (r[3] or "").encode())
+        own = [(r[2] or "", r[3] or "", 6 + len(re.findall(r"[^\W_]+|[^\w\s]|_", r[3] or ""))) for r in sorted((r for r in talks if r[0] == c), key=key)]
+        want = [(s, n, written(turns)) for s, n, turns in plain_windows(own, budget)]
+        assert sorted((r["window"], r["repeated"], r["formatted"]) for r in windows) == want, c
+        assert all(r["n_tokens"] <= budget or r["over_budget"] and r["n_turns"] - r["repeated"] == 1 for r in windows)
+        told, loss = "".join(f"{role}\n{text}\n" for role, text, _ in own), "".join(text for role, text, _ in own if role == "assistant")
+        r = back[c]
         assert (r["n_turns"], r["turns_sha256"]) == (len(own), hashlib.sha256(told.encode()).hexdigest())
-        assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    for x in w.collect():
-        assert x["n_tokens"] <= budget or x["over_budget"]
-        if x["conv_id"] == 0 and rows[0][2] == "system" and x["window"] + x["segment"] > 0:
-            assert x["formatted"].startswith("### system: ")
+        assert (r["loss_chars"], r["loss_sha256"], r["n_windows"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(windows))
     assert chat.windows(df.limit(0)).count() == 0
 
 
+def test_chat_windows_of_a_very_long_conversation(spark):
+    rng = np.random.default_rng(4)
+    turns = [("system" if i == 0 else ("user", "assistant")[i % 2], "w " * int(n)) for i, n in enumerate(rng.integers(1, 60, 20_000))]
+    df = spark.createDataFrame([(1, i, *t) for i, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    got = sorted((r["window"], r["repeated"]) for r in chat.windows(df).select("window", "repeated").collect())
+    assert got == [(s, n) for s, n, _ in plain_windows([(r, t, 6 + len(t.split())) for r, t in turns], chat.BUDGET)]
+
+
 def test_chat_history_is_repeated_but_no_target(spark):
     rows = [(1, t, "assistant" if t % 2 else "user", " ".join([f"w{t}"] * 10)) for t in range(8)]
     w = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=64).orderBy("window").collect()
@@ -124,10 +174,22 @@ def test_licenses_against_brute_force(spark):
     for i, t in enumerate(texts):
         assert got[i] == pytest.approx(naive_license(t)), t
     twice = docs(spark, [(1, "MIT License"), (1, "MIT License"), (None, "MIT License")])
+    for clash in ("key", "words", "label", "block", "base", "p0"):
+        twice = twice.withColumn(clash, F.lit("clash"))
     assert [r["labels"] for r in licenses.scan(twice).collect()] == ["mit"] * 3
     assert licenses.scan(twice.limit(0)).count() == 0
 
 
+def test_license_phrases_of_a_long_text_in_linear_time(spark):
+    import time
+
+    text = "the MIT license, an Apache License and the general public license. " * 30_000
+    began = time.perf_counter()
+    r = licenses.scan(docs(spark, [(1, text)])).first()
+    assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (330_000, 90_000, 1, 330_000 - 3, "apache,gpl,mit")
+    assert time.perf_counter() - began < 120
+
+
 def test_wrapped_license_notices(spark):
     wrap = lambda t, prefix: "\n".join(textwrap.wrap("Here follows what holds for it. " + t, 40, initial_indent=prefix, subsequent_indent=prefix))
     texts = [wrap(t, p) for _, t in licenses.TEMPLATES for p in ("", " * ", "# ")]
@@ -161,6 +223,39 @@ def test_language_edges(spark):
     assert langid.identify(df.limit(0), model, ["doc_id"]).count() == 0
 
 
+def test_ngrams_against_plain_counting():
+    from collections import Counter
+
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        text = "".join(rng.choice(list("abcÄß .,1\u0301\n"), rng.integers(0, 120)))
+        # Words are runs of letters; a space stands between them and at either end.
+        line = " " + "".join(c.lower() if c.isalpha() else "." for c in text)
+        line = re.sub(r"\.+", " ", line) + " "
+        runs = [line[i : i + n] for n in (2, 3, 4) for i in range(len(line) - n + 1) if " " not in line[i + 1 : i + n - 1] and line[i : i + n] != "  "]
+        whole = langid.grams(text)
+        assert len(whole) == len(runs) and sorted(Counter(whole.tolist()).values()) == sorted(Counter(runs).values())
+        for part in (1, 2, 3, 5, 50):  # the same n-grams wherever the parts end
+            assert sorted(np.concatenate(list(langid.gram_parts(text, part))).tolist()) == sorted(whole.tolist())
+
+
+def test_language_of_long_texts_ties_repeats_and_clashes(spark):
+    rng = np.random.default_rng(3)
+    own = {"de": "der die das und nicht ist".split(), "en": "the and of to in that".split()}
+    rows = [(i, " ".join(rng.choice(own[lang], 60)), lang) for i, lang in enumerate(["de", "en"] * 20)]
+    model = langid.train(docs(spark, rows).withColumn("gram", F.lit("clash")).withColumn("docs", F.lit(1)))
+    rates = model.false_rates()
+    long = " ".join(rng.choice(own["de"], 200_000)) + " " + " ".join(rng.choice(own["en"], 100_000))
+    counts = lambda parts: sum(len(p) for p in parts)
+    assert len(long) > 3 * langid.PART and counts(langid.gram_parts(long)) == counts(langid.gram_parts(long, 1 << 30))
+    assert model.predict(long, rates)[0] == "de"
+    same = langid.Model.build({"b": langid.grams("abc abd"), "a": langid.grams("abc abd")})
+    assert same.predict("abc", same.false_rates())[0] == "a"
+    df = docs(spark, [(1, long, "en"), (2, "the and", None), (2, "the and", None), (None, "und nicht", "x")]).withColumn("lang_pred", F.lit("clash")).withColumn("score", F.lit("clash"))
+    got = sorted(((r["doc_id"] or 0, r["lang_pred"]) for r in langid.identify(df, model, ["doc_id"]).collect()))
+    assert got == [(0, "de"), (1, "de"), (2, "en"), (2, "en")]
+
+
 def test_every_language_is_learned(spark):
     rng = np.random.default_rng(12)
     letters = np.array([chr(c) for c in range(0x4E00, 0x9F00)])
@@ -221,8 +316,35 @@ def test_pii_checksums_scores_and_masks(spark):
     assert len(pii.detect(df.select("doc_id", "text"), ["doc_id"]).where("doc_id = 1").first()["pii"]) == 5
 
 
+def test_pii_context_decides_what_could_be_anything(spark):
+    accepted = {
+        "her SSN is 123-45-6789.": ("ssn", "123-45-6789"),
+        "call (020) 7946 0018 today": ("local_phone", "(020) 7946 0018"),
+        "she was born on 14 May 1987 in Ulm": ("birth_date", "14 May 1987"),
+        "date of birth: 1987-05-14": ("birth_date", "1987-05-14"),
+        "passport C1234567": ("document_id", "C1234567"),
+    }
+    refused = ["part 123-45-6789", "a sum of 020 7946 0018", "published on 14 May 1987", "code C1234567", "SSN 000-45-6789", "SSN 1123-45-6789", "born 1200-05-14", "phone version 1.555.1234.99", "call serial 555-1234", "passport C1111111"]
+    for text, (kind, value) in accepted.items():
+        found = pii.spans(text)
+        assert {k: [text[s:e] for s, e in v] for k, v in found.items() if v} == {kind: [value]}, text
+        assert pii.score(text, kind, *found[kind][0]) >= pii.ACCEPT
+    for text in refused:
+        assert not any(pii.spans(text).values()), text
+    # A confirmed span is not told twice.
+    text = "phone +1 (212) 555-0100"
+    assert {k for k, v in pii.spans(text).items() if v} == {"phone"}
+    rows = [(1, "her SSN is 123-45-6789, IP 10.0.0.1", "en"), (None, None, "en"), (2, "", "en"), (2, "", "en")]
+    df = docs(spark, rows)
+    for clash in ("spans", "score", "pii", "kind"):
+        df = df.withColumn(clash, F.lit("clash"))
+    got = pii.digest(df).orderBy(F.desc_nulls_last("n_ip"), "doc_id").collect()
+    assert (got[0]["spans"], got[0]["scores"]) == ("ip:27:35,ssn:11:22", f"0.8,{got[0]['scores'].split(',')[1]}") and len(got) == 4 and got[1]["score"] is None
+    assert pii.digest(df.limit(0)).count() == 0 and pii.mask(df).where("doc_id = 1").first()["text"] == "her SSN is [SSN], IP [IP]"
+
+
 def test_pii_is_linear_in_long_runs():
-    for text in ("a" * 300_000 + " @", "1" * 300_000, "1." * 150_000, "+1" + "(" * 300_000):
+    for text in ("born 12-34-" * 60_000, "call 12 345 " * 60_000, "a" * 300_000 + " @", "1" * 300_000, "1." * 150_000, "+1" + "(" * 300_000):
         pii.spans(text)
 
 
