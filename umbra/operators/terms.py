@@ -9,15 +9,20 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+import pyarrow.compute as pc
+
 DEFAULT_SECTION = "TERM"
 LEAST_CHARACTERS = 3
 LONGEST_LINE = 1 << 20
 SECTION = re.compile(r"[A-Z][A-Z0-9_]*\Z")
 COMMENT = re.compile(r"(?:^|(?<=[ \t]))#.*", re.S)
 _SPACE = re.compile(r"\s+")
+#: Runs of ASCII white space that are not one blank already.
+_BLANKS = re.compile(r"[ \t\n\f\r]{2,}|[\t\n\f\r]")
 
 
 class TermsError(ValueError):
@@ -89,17 +94,32 @@ def pattern_problem(pattern: str) -> str | None:
     if not pattern:
         return "empty regex"
     try:
-        compiled = compile_pattern(pattern)
-    except Exception:
+        empty = pc.match_substring_regex(pa.array([""]), pattern)[0].as_py()
+    except pa.ArrowInvalid:
         return "invalid regex"
-    return "regex matches the empty string" if compiled.search("") else None
-
-
-def compile_pattern(pattern: str):
-    """A pattern with ASCII classes and Unicode properties, as linear-time engines read it."""
-    import regex
-
-    return regex.compile(pattern, regex.ASCII)
+    return "regex matches the empty string" if empty else None
+
+
+def matches(texts: list[str | None], pattern: str) -> list[list[tuple[int, int]]]:
+    """The places of a pattern in each text, leftmost and not overlapping, in time linear in the texts.
+
+    Arrow marks the matches; the marks are code points that are no characters and that none of the
+    texts holds.
+    """
+    held = "".join(t or "" for t in texts)
+    begin, end = [c for c in map(chr, range(0xFDD0, 0xFDF0)) if c not in held][:2]
+    marked = pc.replace_substring_regex(pa.array(texts, pa.string()), pattern=f"({pattern})", replacement=f"{begin}\\1{end}")
+    out = []
+    for text in marked.to_pylist():
+        spans, at = [], 0
+        first, *rest = (text or "").split(begin)
+        at = len(first)
+        for piece in rest:
+            match, _, gap = piece.partition(end)
+            spans.append((at, at + len(match)))
+            at += len(match) + len(gap)
+        out.append(spans)
+    return out
 
 
 def is_word(c: str) -> bool:
@@ -111,63 +131,107 @@ def whole_word(text: str, start: int, end: int) -> bool:
     return not (start > 0 and glued(start, start - 1) or end < len(text) and glued(end - 1, end))
 
 
-class Finder:
-    """Finds terms: at each place the longest literal of a section that is a whole word there."""
+def fold(text: str) -> str:
+    """``text`` without case, a character for each."""
+    if text.isascii():
+        return text.lower()
+    one = lambda c: x if len(x := c.casefold()) == 1 else x if len(x := c.lower()) == 1 else c
+    known = {c: one(c) for c in set(text)}
+    return "".join(map(known.__getitem__, text))
 
-    def __init__(self, terms: Terms):
-        self.sections = []
-        for section, literals in terms.literals.items():
-            by_length = sorted(literals, key=lambda s: -len(s.encode()))
-            alternatives = [r"\s+".join(map(re.escape, s.split(" "))) for s in by_length]
-            self.sections.append((section, re.compile("|".join(alternatives), re.I), [re.compile(a, re.I) for a in alternatives]))
-        self.patterns = [(section, compile_pattern(p)) for section, p in terms.patterns]
-
-    def __call__(self, text: str):
-        """(start, end, kind, rule) of every candidate."""
-        for section, any_of, each in self.sections:
-            at = 0
-            while m := any_of.search(text, at):
-                ends = [x.end() for p in each if (x := p.match(text, m.start())) and whole_word(text, m.start(), x.end())]
-                if ends:
-                    yield m.start(), max(ends), section, "terms"
-                    at = max(ends)
-                else:
-                    at = m.start() + 1
-        for section, p in self.patterns:
-            for m in p.finditer(text):
-                yield *m.span(), section, "terms-re"
 
+class Automaton:
+    """All places of many strings in one pass over a text, overlaps included."""
 
-class Literals:
-    """Finds given values as plain text, case-sensitively and as whole words, overlaps included; of a value given twice the last kind counts."""
-
-    LEAST = 4
-
-    def __init__(self, values: list[tuple[str, str]]):
-        self.kinds = {v: k for k, v in values if len(v) >= self.LEAST}
+    def __init__(self, strings: Iterable[str]):
+        self.strings = set(strings)
         self.automaton = None
         try:
             import ahocorasick
         except ImportError:
             return
-        if self.kinds:
+        if self.strings:
             self.automaton = ahocorasick.Automaton()
-            for v in self.kinds:
-                self.automaton.add_word(v, v)
+            for s in self.strings:
+                self.automaton.add_word(s, s)
             self.automaton.make_automaton()
 
-    def hits(self, text: str):
+    def hits(self, text: str) -> Iterator[tuple[int, int, str]]:
         if self.automaton is not None:
-            for last, v in self.automaton.iter(text):
-                yield last - len(v) + 1, last + 1, v
+            for last, s in self.automaton.iter(text):
+                yield last - len(s) + 1, last + 1, s
             return
-        for v in self.kinds:
-            at = text.find(v)
+        for s in self.strings:
+            at = text.find(s)
             while at >= 0:
-                yield at, at + len(v), v
-                at = text.find(v, at + 1)
+                yield at, at + len(s), s
+                at = text.find(s, at + 1)
+
+
+class Finder:
+    """Finds terms: at each place the longest literal of a section that is a whole word there.
+
+    Literals are looked for without case, and a blank in them stands for any run of blanks and
+    line ends: both are evened out in the text before one automaton goes over it.  Patterns run
+    in Arrow's engine, whose time grows with the text alone, over a batch of texts at once.
+    """
 
-    def __call__(self, text: str):
-        for start, end, v in self.hits(text):
+    def __init__(self, terms: Terms):
+        self.sections = {section: {fold(_SPACE.sub(" ", s)) for s in literals} for section, literals in terms.literals.items()}
+        self.automaton = Automaton(s for literals in self.sections.values() for s in literals)
+        self.patterns = terms.patterns
+
+    def literals(self, text: str) -> Iterator[tuple[int, int, str, str]]:
+        even, places = text, None
+        if self.automaton.strings and (_BLANKS.search(text)):
+            pieces, places, at = [], [], 0
+            for m in _BLANKS.finditer(text):
+                pieces += [text[at : m.start()], " "]
+                places += range(at, m.start() + 1)
+                at = m.end()
+            even = "".join([*pieces, text[at:]])
+            places += range(at, len(text) + 1)
+        longest: dict[str, dict[int, int]] = {}
+        for s, e, literal in self.automaton.hits(fold(even)):
+            start, end = (s, e) if places is None else (places[s], places[e - 1] + 1)
             if whole_word(text, start, end):
-                yield start, end, self.kinds[v], "known"
+                for section, literals in self.sections.items():
+                    if literal in literals:
+                        ends = longest.setdefault(section, {})
+                        ends[start] = max(end, ends.get(start, 0))
+        for section, ends in longest.items():
+            free = 0
+            for start in sorted(ends):
+                if start >= free:
+                    free = ends[start]
+                    yield start, free, section, "terms"
+
+    def find_in(self, texts: list[str | None]) -> list[list[tuple[int, int, str, str]]]:
+        """For each text (start, end, kind, rule) of every candidate."""
+        found = [list(self.literals(t)) if t else [] for t in texts]
+        for section, pattern in self.patterns:
+            for spans, places in zip(found, matches(texts, pattern)):
+                spans += [(s, e, section, "terms-re") for s, e in places]
+        return found
+
+    def __call__(self, text: str) -> list[tuple[int, int, str, str]]:
+        return self.find_in([text])[0]
+
+
+class Literals:
+    """Finds given values as plain text, case-sensitively and as whole words, overlaps included; of a value given twice the last kind counts."""
+
+    LEAST = 4
+
+    def __init__(self, values: list[tuple[str, str]]):
+        self.kinds = {v: k for k, v in values if len(v) >= self.LEAST}
+        self.automaton = Automaton(self.kinds)
+
+    def hits(self, text: str) -> Iterator[tuple[int, int, str]]:
+        return self.automaton.hits(text)
+
+    def find_in(self, texts: list[str | None]) -> list[list[tuple[int, int, str, str]]]:
+        return [[(s, e, self.kinds[v], "known") for s, e, v in self.hits(t) if whole_word(t, s, e)] if t else [] for t in texts]
+
+    def __call__(self, text: str) -> list[tuple[int, int, str, str]]:
+        return self.find_in([text])[0]
