@@ -62,7 +62,7 @@ RULES = (
     Rule("bearer", "TOKEN", PRIORITY["known-token"], rf"(?i){B}bearer{S}+([A-Za-z0-9._~+/-]{{16,}}=*)", r"(?i)\bbearer\s+([A-Za-z0-9._~+/-]{16,}=*)", ("earer", "EARER"), True),
     Rule("url-password", "PASSWORD", PRIORITY["url-password"], rf"(?i){B}[a-z][a-z0-9+.-]*://[^ \t\n\f\r/:@]+:([^ \t\n\f\r/@]+)@", r"(?i)\b[a-z][a-z0-9+.-]*://[^\s/:@]+:([^\s/@]+)@", ("://",), True, 1),
     Rule("keyword", "PASSWORD", PRIORITY["keyword"], rf"(?i)(?:{B}|_){_KEYWORDS}{E}[\"']?{S}*[:=]{S}*[\"']?([^ \t\n\f\r\"',;]{{4,}})", rf"(?i)(?:\b|_){_KEYWORDS}\b[\"']?\s*[:=]\s*[\"']?([^\s\"',;]{{4,}})", ("=", ":"), True),
-    Rule("entropy", "TOKEN", PRIORITY["entropy"], r"[A-Za-z0-9+/=_-]{32,}", r"[A-Za-z0-9+/=_-]{32,}"),
+    Rule("entropy", "TOKEN", PRIORITY["entropy"], r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{32,}+", r"[A-Za-z0-9+/=_-]{32,}"),
     Rule("email", "EMAIL", PRIORITY["email"], rf"(?i)[a-z0-9._%+-]+@((?:[a-z0-9-]+\.)+([a-z]{{2,63}})){E}", r"(?i)[a-z0-9._%+-]+@((?:[a-z0-9-]+\.)+([a-z]{2,63}))\b", ("@",)),
     Rule("ipv4", "IPV4", PRIORITY["ip"], rf"{B}[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}{E}", r"\b\d{1,3}(?:\.\d{1,3}){3}\b", (".",)),
     Rule("domain", "DOMAIN", PRIORITY["domain"], rf"(?i){B}(?:[a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?\.)+[a-z]{{2,63}}{E}", r"(?i)\b(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}\b", (".",)),

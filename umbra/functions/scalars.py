@@ -18,9 +18,9 @@ FLAG_WORDS = ("true", "false", "yes", "no", "null", "0", "1")
 
 def shannon(value: Column) -> Column:
     """Bits of entropy a character; characters in ascending order, so that equal texts sum equally."""
-    chars = F.filter(F.split(value, ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
-    parts = F.transform(F.array_sort(F.array_distinct(chars)), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
+    chars = F.array_sort(F.array_distinct(F.filter(F.split(value, ""), lambda c: c != "")))
+    n = F.length(value).cast("double")
+    parts = F.transform(chars, lambda c: (n - F.length(F.replace(value, c, F.lit("")))) / n)
     return F.when(n == 0, F.lit(0.0)).otherwise(F.aggregate(parts, F.lit(0.0), lambda h, p: h - p * F.log2(p)))
 
 
@@ -37,11 +37,14 @@ def high_entropy(value: Column) -> Column:
     return F.when(mixed & ~path_word, (shannon(value) >= 4.0) & (wordish(value) < 0.6)).otherwise(F.lit(False))
 
 
+def among(word: Column, words: Sequence[str]) -> Column:
+    """Whether a word without blanks is one of ``words``: one literal, where a list would put each into every plan."""
+    return F.lit(f" {' '.join(words)} ").contains(F.concat(F.lit(" "), word, F.lit(" ")))
+
+
 def is_tld(label: Column, tlds: Sequence[str] | None = None) -> Column:
     """Whether a label is one of ``tlds`` (the root zone's) or names a private network."""
-    known = [t.lower() for t in (ROOT_ZONE if tlds is None else tlds)] + P.PRIVATE_TLDS
-    # One literal, where a list would put more than a thousand into every plan; no label has a blank.
-    return F.lit(f" {' '.join(known)} ").contains(F.concat(F.lit(" "), F.lower(label), F.lit(" ")))
+    return among(F.lower(label), [t.lower() for t in (ROOT_ZONE if tlds is None else tlds)] + P.PRIVATE_TLDS)
 
 
 def is_domain(text: Column, start: Column, value: Column, tlds: Sequence[str] | None = None) -> Column:
@@ -51,7 +54,7 @@ def is_domain(text: Column, start: Column, value: Column, tlds: Sequence[str] |
     before = F.when(start > 0, F.substring(text, start, 1)).otherwise("")
     scheme = F.when(start > 2, F.substring(text, start - 2, 3)).otherwise("")
     after = F.substring(text, start + F.length(value) + 1, 1)
-    refused = (before == ".") | (after == "(") | ((F.size(labels) == 2) & F.lower(tld).isin(P.AMBIGUOUS_TLDS)) | ((tld != F.lower(tld)) & (tld != F.upper(tld)))
+    refused = (before == ".") | (after == "(") | ((F.size(labels) == 2) & among(F.lower(tld), P.AMBIGUOUS_TLDS)) | ((tld != F.lower(tld)) & (tld != F.upper(tld)))
     return is_tld(tld, tlds) & ((scheme == "://") | (before == "@") | ~refused)
 
 

@@ -6,6 +6,8 @@ is the rule's place in the order of rules and breaks the last ties.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,46 +17,66 @@ SPAN = "struct<start:int,end:int,kind:string,rule:string,priority:int,ord:int>"
 NONE = f"array<{SPAN}>"
 
 
+#: Code points that are no characters: the marks around matches, and what stands for them in texts.
+_MARKS, _NO_MARK = ("\ufdd0", "\ufdd1", "\ufdd2"), "\ufdd3"
+
+
 def no_spans() -> Column:
     return F.array().cast(NONE)
 
 
+def _marked(text: Column, pattern: str, group: bool = False) -> Column:
+    """``text`` with every match between marks: the match, its value behind another mark, and the end mark.
+
+    Marks are code points that are no characters; a text that holds them has them exchanged for
+    another such before.
+    """
+    begin, inner, end = _MARKS
+    return F.regexp_replace(F.translate(text, "".join(_MARKS), _NO_MARK * len(_MARKS)), pattern, f"{begin}$0{inner}${int(group)}{end}")
+
+
+def _places(marked: Column, tail: Column) -> Column:
+    """The matches of a marked text as ``array<struct<start, end, value>>``: between the marks lie the pieces, so that positions are prefix sums of lengths."""
+    begin, inner, end = _MARKS
+    pieces = F.split(marked, begin)
+    start = F.struct(F.length(F.get(pieces, F.lit(0))).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        head = F.substring_index(piece, end, 1)
+        value, match = F.substring_index(head, inner, -1), F.length(F.substring_index(head, inner, 1))
+        stop = acc["at"] + match - tail
+        found = F.struct((stop - F.length(value)).alias("start"), stop.alias("end"), value.alias("value"))
+        gap = F.length(piece) - F.length(head) - 1
+        return F.struct((acc["at"] + match + gap).alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
+
+    return F.aggregate(F.slice(pieces, 2, 2**31 - 2), start, step, lambda acc: acc["out"])
+
+
 def find_all(text: Column, pattern: str, group: bool = False, tail: int = 0) -> Column:
-    """All matches as ``array<struct<start, end, value>>``.
+    """All matches as ``array<struct<start, end, value>>``, by one pass of the pattern, which must not match the empty string."""
+    return _places(_marked(text, pattern, group), F.lit(tail))
 
-    Between the matches lie the pieces of a split, so that positions are prefix sums of lengths;
-    a pattern must not match the empty string.
+
+def candidates(text: Column, rules: list[tuple[int, Rule]], keep) -> Column:
+    """The spans of rules with their places in the order; ``keep(span with value)`` may refuse some.
+
+    Only texts with a hint are searched, and only where the pattern is found are matches marked.
+    What follows from the marks is one expression for all rules.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if group else found
-    gaps = F.split(text, pattern, -1)
-    lengths = F.zip_with(F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"))), values, lambda x, v: F.struct(x["g"].alias("g"), x["m"].alias("m"), v.alias("v")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + x["g"] + x["m"]
-        stop = end - tail
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct((stop - F.length(x["v"])).alias("start"), stop.alias("end"), x["v"].alias("value")))).alias("out"))
-
-    return F.aggregate(lengths, start, step, lambda acc: acc["out"])
-
-
-def rule_spans(text: Column, rule: Rule, ord: int, keep=None) -> Column:
-    """The spans of one rule; ``keep(start, end, value)`` may refuse some.  Only texts with a hint are searched."""
-    found = find_all(text, rule.java, rule.group, rule.tail)
-    if keep is not None:
-        found = F.filter(found, lambda m: keep(m["start"], m["end"], m["value"]))
-    made = F.transform(
-        found,
-        lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(rule.kind).alias("kind"), F.lit(rule.name).alias("rule"), F.lit(rule.priority).alias("priority"), F.lit(ord).alias("ord")),
-    )
-    if rule.hint:
-        hint = text.contains(rule.hint[0])
-        for h in rule.hint[1:]:
-            hint = hint | text.contains(h)
-        # The pattern itself is the cheaper test before positions are worked out.
-        return F.when(hint & text.rlike(rule.java), made).otherwise(no_spans())
-    return F.when(text.rlike(rule.java), made).otherwise(no_spans())
+
+    def searched(order: int, rule: Rule) -> Column:
+        gate = text.rlike(rule.java)
+        if rule.hint:
+            gate = reduce(lambda a, b: a | b, [text.contains(h) for h in rule.hint]) & gate
+        facts = f"'{rule.kind}' as kind, '{rule.name}' as rule, {rule.priority} as priority, {order} as ord, {rule.tail} as tail"
+        return F.struct(F.expr(f"struct({facts})").alias("r"), F.when(gate, _marked(text, rule.java, rule.group)).alias("marked"))
+
+    found = F.filter(F.array(*[searched(order, rule) for order, rule in rules]), lambda x: x["marked"].isNotNull())
+    fields = ("kind", "rule", "priority", "ord")
+    spans = F.flatten(F.transform(found, lambda x: F.transform(_places(x["marked"], x["r"]["tail"]), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), *[x["r"][c].alias(c) for c in fields], m["value"].alias("value")))))
+    kept = F.filter(spans, keep)
+    made = F.transform(kept, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "end", *fields)]))
+    return F.when(F.size(found) == 0, no_spans()).otherwise(made)
 
 
 def resolve(candidates: Column) -> Column:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -20,6 +21,14 @@ def spread(df: DataFrame, columns: int = 1) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= least else df.repartition(least)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` with its columns worked out once: what filters or explodes them later is not pushed below and works them out anew.
+
+    The node that observes the rows stops the optimizer there.
+    """
+    return df.observe(f"rows-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("n"))
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table below ``spark.checkpoint.dir``, read back; only a local session without that setting gets a temporary folder."""
     spark = df.sparkSession
