@@ -212,3 +212,59 @@ def test_every_name_of_the_root_zone_is_a_tld_and_no_other(spark):
     got = {r["tld"]: [s["kind"] for s in r["spans"]] for r in detect.detect_rules(df, ("email", "domain")).collect()}
     assert len(ROOT_ZONE) == 1438 and {"berlin", "london", "nyc", "swiss", "google"} <= set(plain)
     assert got == {t: ["EMAIL", "DOMAIN"] for t in plain} | {t: [] for t in others}
+
+
+def test_terms_against_a_plain_search():
+    from umbra.operators.terms import Terms, fold, whole_word
+
+    rng = random.Random(9)
+    words = ["ab", "Ab c", "abc", "c d", "É", "éa b", ".net", "b", "a  b"]
+    for _ in range(300):
+        terms = Terms(literals={"X": rng.sample(words, 4), "Y": rng.sample(words, 3)})
+        text = "".join(rng.choice(["a", "b", "c", "d", " ", "  ", "\n", "é", "É", ".net", "Ab", "_"]) for _ in range(rng.randint(0, 25)))
+        want = set()
+        for section, literals in terms.literals.items():
+            at = 0
+            while at < len(text):
+                ends = []
+                for literal in literals:
+                    parts = [fold(p) for p in literal.split()]
+                    for end in range(at + 1, len(text) + 1):
+                        piece = text[at:end]
+                        if not piece[0].isspace() and not piece[-1].isspace() and [fold(p) for p in piece.split()] == parts and whole_word(text, at, end):
+                            ends.append(end)
+                if ends:
+                    want.add((at, max(ends), section, "terms"))
+                at = max(ends, default=at + 1)
+        assert set(Finder(terms)(text)) == want, (terms, text)
+
+
+def test_user_patterns_take_linear_time_and_follow_their_engine():
+    import time
+
+    from umbra.operators.terms import matches, pattern_problem
+
+    began = time.perf_counter()
+    assert matches(["a" * 200_000], "(a|aa)+!") == [[]] and time.perf_counter() - began < 5
+    assert matches(["x1 é22\ufdd0333", None, ""], r"\d+") == [[(1, 2), (4, 6), (7, 10)], [], []]
+    assert pattern_problem("(?=x)") == "invalid regex" and pattern_problem("a|") == "regex matches the empty string" and pattern_problem(r"(?i)t-\d+") is None
+
+
+def test_many_terms_in_a_long_text():
+    import time
+
+    terms = parse("\n".join(f"term number {i}" for i in range(10_000)))
+    text = "a term  number 77 and Term number 9999\n" * 5_000
+    began = time.perf_counter()
+    found = Finder(terms)(text)
+    assert len(found) == 10_000 and text[found[0][0] : found[0][1]] == "term  number 77" and time.perf_counter() - began < 20
+
+
+def test_texts_worth_scanning_are_all_that_hold_something(spark):
+    rng = random.Random(14)
+    parts = ["12", "3A", "Old", "Mill Road", " ", ", ", "\n", "IL 62704", "PO Box 7", "C:\\Users\\", "/mnt/c/Users/", "jo", "::1", "2001:db8:", ":7a1", "a:b:c:d:e:f:1:2", "kind: Secret\ndata:\n  k: v\n", "API_KEY=", "abc", "     1\t", "→", "export ", '"auths": {"auth": "x"}', '"serial":1,"lineage":2,"token": "x"', "client-key-data: x", "SW1A 1AA", "P.O. BOX\t12", '{"kind": "Secret", "data": {"k": "v"}}']
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(6000)] + [t for t, _, _ in POSITIVE]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    worth = {r["i"] for r in df.where(rescans.worth_scanning(F.col("text"))).select("i").collect()}
+    held = {i for i, t in enumerate(texts) if any(rescans.scan(t))}
+    assert held <= worth and len(held) > 1000

@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from umbra.operators import admission, metrics, state
+from umbra.operators import admission, metrics, state, vault
 from umbra.sources import files
+from umbra.streaming import stores
 
 T0 = dt.datetime(2024, 1, 1)
 at = lambda minutes: T0 + dt.timedelta(minutes=minutes)
@@ -113,3 +114,83 @@ def test_entropy_is_that_of_bytes(spark):
     for r in spark.createDataFrame(rows, "v string").select("v", scalars.shannon(F.col("v")).alias("h")).collect():
         n = [r["v"].count(c) / 40 for c in sorted(set(r["v"]))]
         assert abs(r["h"] + sum(p * math.log2(p) for p in n)) < 1e-9
+
+
+def test_down_spans_against_a_plain_version(spark):
+    rng = random.Random(2)
+    rows = [(f"n{rng.randint(0, 2)}", T0 + dt.timedelta(seconds=rng.randint(0, 9000))) for _ in range(600)]
+    want = set()
+    for node in {n for n, _ in rows}:
+        until = T0
+        for t in sorted(t for n, t in rows if n == node):
+            if t >= until:
+                until = t + dt.timedelta(seconds=10)
+                want.add((node, t, until))
+    got = {tuple(r) for r in state.down_spans(spark.createDataFrame(rows, "node string, ts timestamp")).select("node", "began", "until").collect()}
+    assert got == want
+
+
+def test_nodes_that_are_down_are_passed_over(spark):
+    nodes = ["10.0.0.1", "10.0.0.2"]
+    downs = spark.createDataFrame([("10.0.0.1", at(1), at(1) + dt.timedelta(seconds=10)), ("10.0.0.2", at(5), at(5) + dt.timedelta(seconds=10))], "node string, began timestamp, until timestamp")
+    times = [at(0), at(1), at(1) + dt.timedelta(seconds=9), at(1) + dt.timedelta(seconds=10), at(5)]
+    rows = [(i, f"c{c}", "/r", t) for i, t in enumerate(times) for c in range(20)]
+    got = state.owners_up(spark.createDataFrame(rows, "i int, client string, route string, ts timestamp"), nodes, downs).collect()
+    free = {c: n for c, n in ((r["client"], r["owner"]) for r in got if r["i"] == 0)}
+    assert set(free.values()) == set(nodes) and all(r["owner"] == free[r["client"]] for r in got if r["i"] in (0, 3))
+    assert all(r["owner"] == "10.0.0.2" for r in got if r["i"] in (1, 2)) and all(r["owner"] == "10.0.0.1" for r in got if r["i"] == 4)
+
+
+def test_vaults_continue_along_branching_chains(spark):
+    links = spark.createDataFrame([("a", None), ("b", "a"), ("c", "a"), ("d", "c"), ("x", None), ("y", "x")], "id string, parent string")
+    found = spark.createDataFrame([("a", 0, "E", "v1"), ("a", 5, "E", "v2"), ("b", 0, "E", "v3"), ("b", 9, "S", "v1"), ("c", 0, "E", "v4"), ("d", 3, "E", "v3"), ("d", 1, "S", "v5"), ("y", 0, "E", "v1")], "id string, start int, kind string, value string")
+    got = {(r["id"], r["value"]): (r["root"], r["placeholder"]) for r in vault.number_chains(found, links).collect()}
+    assert got == {
+        ("a", "v1"): ("a", "[REDACTED_E_1]"), ("a", "v2"): ("a", "[REDACTED_E_2]"), ("b", "v3"): ("a", "[REDACTED_E_3]"), ("c", "v4"): ("a", "[REDACTED_E_3]"),
+        ("d", "v5"): ("a", "[REDACTED_S_1]"), ("d", "v3"): ("a", "[REDACTED_E_4]"), ("y", "v1"): ("x", "[REDACTED_E_1]"),
+    }
+
+
+def test_streaming_stores_equal_batch(spark, tmp_path):
+    rng = random.Random(8)
+    minutes = sorted(rng.sample(range(600), 150))
+    rows = [("c", "/r", at(m), None if i % 3 == 0 else f"v{rng.randint(0, 9)}", None if i % 3 == 0 else "SECRET", i if i % 3 == 0 else None) for i, m in enumerate(minutes)]
+    schema = "client string, route string, ts timestamp, value string, kind string, request long"
+    for k in range(3):
+        spark.createDataFrame(rows[k * 50 : (k + 1) * 50], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    q = stores.known_values(source, most_values=5).writeStream.format("memory").queryName("known").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    assert q.awaitTermination(90)
+    got = {(r["request"], r["value"], r["rank"]) for r in spark.table("known").collect()}
+    every = spark.createDataFrame(rows, schema)
+    batch = state.live_values_at(every.where("request is null"), every.where("request is not null").select("client", "ts", "request"), ["client"], "request", most_values=5)
+    assert got and got == {(r["request"], r["value"], r["rank"]) for r in batch.collect()}
+
+    chains = [("c", "/r", f"r{i % 4}", t, f"vault{i}" if i % 2 else None, None if i % 2 else i) for i, (_, _, t, *_) in enumerate(rows)]
+    schema = "client string, route string, response_id string, ts timestamp, vault string, request long"
+    spark.createDataFrame(chains, schema).coalesce(1).write.parquet(f"{tmp_path}/chains")
+    source = spark.readStream.schema(schema).parquet(f"{tmp_path}/chains")
+    q = stores.chain_vaults(source).writeStream.format("memory").queryName("chains").outputMode("append").option("checkpointLocation", f"{tmp_path}/d").trigger(availableNow=True).start()
+    assert q.awaitTermination(90)
+    every = spark.createDataFrame(chains, schema)
+    batch = state.chain_hits(every.where("request is not null").select("client", "response_id", "ts", "request"), every.where("request is null"), ["client"])
+    assert {(r["request"], r["hit"]) for r in spark.table("chains").collect()} == {(r["request"], r["put_ts"] is not None) for r in batch.collect()}
+
+
+def test_many_files_are_one_scan_and_redacted_texts_are_written(spark, tmp_path):
+    from umbra.operators import detect
+
+    paths = []
+    for i in range(30):
+        (tmp_path / f"f +%{i}.txt").write_text(f"mail a{i}@mail.com")
+        paths.append(f"{tmp_path}/f +%{i}.txt")
+    docs = files.read_texts(spark, [*paths, paths[3]])
+    assert docs.inputFiles() and len(docs._jdf.queryExecution().optimizedPlan().collectLeaves().toString().split("Relation")) - 1 == 1
+    rows = sorted((r["file_ord"], r["file"], r["text"]) for r in docs.collect())
+    assert [(i, p) for i, p, _ in rows] == [*enumerate(paths), (30, paths[3])] and rows[30][2] == rows[3][2] == "mail a3@mail.com"
+    found = detect.detect(docs)
+    numbered = vault.number_all(vault.appearances(found, [], ["file_ord"]), ["file_ord"])
+    counts = files.write_redacted(vault.redact_all(found, numbered, ["file_ord"]), f"{tmp_path}/out")
+    assert {tuple(r) for r in counts.collect()} == {("EMAIL", 31)}
+    back = {r["file_ord"]: r["redacted"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert back[0] == "mail [REDACTED_EMAIL_1]" and back[3] == back[30] and len(set(back.values())) == 30

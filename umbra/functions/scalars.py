@@ -91,10 +91,6 @@ def kind_of_placeholder(placeholder: Column) -> Column:
     return F.regexp_extract(placeholder, r"^\[REDACTED_(.*)_\d+\]$", 1)
 
 
-def token_hash(token: Column) -> Column:
-    return F.sha2(token, 256)
-
-
 def squeeze(text: Column) -> Column:
     """White space normalised to single blanks."""
     return F.trim(F.regexp_replace(text, r"[\p{Z}\s]+", " "))

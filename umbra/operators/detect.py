@@ -55,9 +55,9 @@ def keeps(rules: Sequence[str], text: Column, tlds: Sequence[str] | None):
     return keep
 
 
-def pattern_candidates(text: Column, rules: Sequence[str] | None = None, tlds: Sequence[str] | None = None) -> Column:
-    """Candidates of the column rules (all that are registered, or those named)."""
-    wanted = [(i, r) for i, r in enumerate(P.RULES) if rules is None or r.name in rules]
+def pattern_candidates(text: Column, rules: Sequence[str] | None = None, tlds: Sequence[str] | None = None, more: Sequence[P.Rule] = ()) -> Column:
+    """Candidates of the column rules (all, or those named), and of ``more``, which come after them in order."""
+    wanted = [(i, r) for i, r in enumerate(P.RULES) if rules is None or r.name in rules] + [(len(P.RULES) + i, r) for i, r in enumerate(more)]
     return candidates(text, wanted, keeps([r.name for _, r in wanted], text, tlds))
 
 
@@ -84,8 +84,8 @@ def with_scans(docs: DataFrame, column: str, out: str, terms: Terms | None = Non
     return docs.withColumn(out, scan(text if terms or literals else F.when(rescans.worth_scanning(text), text)))
 
 
-def detect(docs: DataFrame, text: str = "text", out: str = "spans", terms: Terms | None = None, allow: Sequence[str] = (), tlds: Sequence[str] | None = None, candidates: str | None = None) -> DataFrame:
-    """``docs`` with the resolved spans of every text in ``out``.
+def detect(docs: DataFrame, text: str = "text", out: str = "spans", terms: Terms | None = None, allow: Sequence[str] = (), tlds: Sequence[str] | None = None, candidates: str | None = None, more: Sequence[P.Rule] = ()) -> DataFrame:
+    """``docs`` with the resolved spans of every text in ``out``, by all rules and those of ``more``.
 
     ``candidates`` names a column to keep the unresolved candidates in, for a second pass.
     Null text has no spans.  ``allow`` and the terms' own list are compared without case.
@@ -93,7 +93,7 @@ def detect(docs: DataFrame, text: str = "text", out: str = "spans", terms: Terms
     held = candidates or "__candidates"
     scanned = with_scans(docs, text, "__scanned", terms)
     allowed = sorted({a.lower() for a in allow} | (terms.allow if terms else set()))
-    both = scanned.withColumn(held, F.coalesce(F.concat(pattern_candidates(F.col(text), tlds=tlds), F.col("__scanned")), no_spans())).drop("__scanned")
+    both = scanned.withColumn(held, F.coalesce(F.concat(pattern_candidates(F.col(text), tlds=tlds, more=more), F.col("__scanned")), no_spans())).drop("__scanned")
     done = settled(both.withColumn(out, F.coalesce(drop_allowed(F.col(text), resolve(F.col(held)), allowed), no_spans())))
     return done if candidates else done.drop(held)
 

@@ -75,12 +75,26 @@ def rate(log: DataFrame, width: str, by: Sequence[str] = (), ts: str = "ts", val
     return rows.select(F.col("w.start").alias("window_start"), *by, "n", (F.col("n") / long).alias("per_second"))
 
 
+def failure_rate(log: DataFrame, width: str, by: Sequence[str] = (), ts: str = "ts") -> DataFrame:
+    """As ``rate``, of the requests that were answered with a server error."""
+    return rate(labelled(log).where(F.col("status").rlike("^5..$")), width, by, ts)
+
+
+def log_lines(log: DataFrame, counts: DataFrame, key: str) -> DataFrame:
+    """(key, line): a JSON line for each request, with its redactions by kind in order, and no value of any text.
+
+    ``log(key, client, route, method, path, status, seconds)``, ``counts(key, kind, n)``; a
+    request without redactions says nothing of them.
+    """
+    redacted = counts.where("n > 0").groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("kind", "n")))).alias("redacted"))
+    line = F.to_json(F.struct("client", "route", "method", "path", F.when(F.coalesce("status", F.lit(0)) == 0, 200).otherwise(F.col("status")).alias("status"), F.col("seconds").alias("dur"), "redacted"))
+    return log.join(redacted, key, "left").select(key, line.alias("line"))
+
+
 def by_kind_and_route(redactions: DataFrame) -> DataFrame:
     """Redactions in all, by kind, and by kind and route, in one pass: (level, kind, route, n)."""
-    redactions.createOrReplaceTempView("__redactions")
-    return redactions.sparkSession.sql(
-        "select grouping_id(kind, route) as level, kind, route, sum(n) as n from __redactions group by grouping sets ((), (kind), (kind, route))"
-    )
+    kind, route = F.col("kind"), F.col("route")
+    return redactions.groupingSets([[], [kind], [kind, route]], kind, route).agg(F.grouping_id(kind, route).alias("level"), F.sum("n").alias("n")).select("level", "kind", "route", "n")
 
 
 def exposition(requests: DataFrame, histogram: DataFrame, redactions: DataFrame, prefix: str = "umbra") -> DataFrame:

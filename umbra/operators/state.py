@@ -12,6 +12,8 @@ MOST_VALUES, MOST_BYTES = 4096, 1 << 20
 IDLE = "INTERVAL 1 HOUR"
 CHAIN_TTL = "INTERVAL 1 HOUR"
 MOST_CHAINS = 10_000
+#: A node that has failed is passed over for so long.
+DOWN = "INTERVAL 10 SECONDS"
 
 
 def alive_spans(adds: DataFrame, scope: Sequence[str], ts: str = "ts", idle: str = IDLE) -> DataFrame:
@@ -41,19 +43,52 @@ def live_values(adds: DataFrame, scope: Sequence[str], at: Column, ts: str = "ts
     return ranked.where((F.col("rank") <= most_values) & (F.col("bytes") <= most_bytes)).drop("bytes")
 
 
+def live_values_at(adds: DataFrame, requests: DataFrame, scope: Sequence[str], request: str, ts: str = "ts", value: str = "value", kind: str = "kind", idle: str = IDLE, most_values: int = MOST_VALUES, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """What the sets hold at the time of each request: (request, value, kind, last_seen, rank).
+
+    ``requests(scope, request, ts)`` see the additions up to their time, of the life that is then
+    current.  Each addition of a value holds until the value's next one, so that a request meets
+    every value of its set once; a value longer than ``most_bytes`` is not kept.
+    """
+    order = Window.partitionBy(*scope).orderBy(ts)
+    fresh = F.lag(ts).over(order).isNull() | (F.col(ts) >= F.lag(ts).over(order) + F.expr(idle))
+    kept = adds.where(F.octet_length(value) <= most_bytes)
+    # Equal times of one value are one addition.
+    lived = adds.withColumn("life", F.sum(fresh.cast("int")).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))).select(*scope, ts, "life").distinct()
+    once = kept.groupBy(*scope, value, ts).agg(F.max(kind).alias(kind)).join(lived, [*scope, ts])
+    until = F.lead(ts).over(Window.partitionBy(*scope, "life", value).orderBy(ts))
+    steps = once.withColumn("until", until).withColumnRenamed(ts, "last_seen")
+    lives = lived.groupBy(*scope, "life").agg(F.min(ts).alias("began"), F.max(ts).alias("last_add"))
+    following = F.lead("began").over(Window.partitionBy(*scope).orderBy("life"))
+    lives = lives.withColumn("following", following)
+    # A life is current from its first addition to the next life's; whether it still lives depends on the additions before the request.
+    asked = requests.select(*scope, request, F.col(ts).alias("asked")).join(lives, list(scope)).where((F.col("began") <= F.col("asked")) & (F.col("following").isNull() | (F.col("asked") < F.col("following"))))
+    met = asked.select(*scope, request, "asked", "life").join(steps, [*scope, "life"]).where((F.col("last_seen") <= F.col("asked")) & (F.col("until").isNull() | (F.col("asked") < F.col("until"))))
+    recent = Window.partitionBy(request).orderBy(F.desc("last_seen"), value)
+    latest = F.max("last_seen").over(Window.partitionBy(request))
+    alive = met.withColumn("latest", latest).where(F.col("asked") < F.col("latest") + F.expr(idle))
+    ranked = alive.withColumn("rank", F.row_number().over(recent)).withColumn("bytes", F.sum(F.octet_length(value)).over(recent.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return ranked.where((F.col("rank") <= most_values) & (F.col("bytes") <= most_bytes)).select(request, value, kind, "last_seen", "rank")
+
+
 def chain_hits(gets: DataFrame, puts: DataFrame, scope: Sequence[str], id: str = "response_id", ts: str = "ts", ttl: str = CHAIN_TTL) -> DataFrame:
-    """``gets(scope, id, ts)`` with ``put_ts`` of the latest put before it that is still valid; null is a miss."""
-    p = puts.select(*[F.col(c).alias(f"p_{c}") for c in (*scope, id)], F.col(ts).alias("put_ts"))
-    same = [F.col(c) == F.col(f"p_{c}") for c in (*scope, id)]
-    joined = gets.join(p, [*same, F.col("put_ts") <= F.col(ts), F.col(ts) < F.col("put_ts") + F.expr(ttl)], "left")
-    return joined.groupBy(*gets.columns).agg(F.max("put_ts").alias("put_ts"))
+    """``gets(scope, id, ts)`` with ``put_ts`` of the latest put before it that is still valid; null is a miss.
+
+    Puts and gets of an entry lie in one order of time, in which each get looks back at the last
+    put: no pairs are made.
+    """
+    held = [*gets.columns]
+    asked = gets.select(*scope, id, F.col(ts).alias("__at"), F.lit(1).alias("__get"), F.struct(*held).alias("__row"))
+    put = puts.select(*scope, id, F.col(ts).alias("__at"), F.lit(0).alias("__get"), F.lit(None).cast(asked.schema["__row"].dataType).alias("__row"))
+    before = Window.partitionBy(*scope, id).orderBy("__at", "__get").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(F.col("__get") == 0, F.col("__at")), ignorenulls=True).over(before)
+    seen = asked.unionByName(put).withColumn("put_ts", last).where("__get = 1")
+    return seen.select("__row.*", F.when(F.col("__at") < F.col("put_ts") + F.expr(ttl), F.col("put_ts")).alias("put_ts"))
 
 
 def chain_misses(gets: DataFrame, puts: DataFrame, scope: Sequence[str], id: str = "response_id", ts: str = "ts", ttl: str = CHAIN_TTL) -> DataFrame:
     """The gets that no valid put answers."""
-    g, p = gets.alias("g"), puts.alias("p")
-    on = [F.col(f"g.{c}") == F.col(f"p.{c}") for c in (*scope, id)]
-    return g.join(p, [*on, F.col(f"p.{ts}") <= F.col(f"g.{ts}"), F.col(f"g.{ts}") < F.col(f"p.{ts}") + F.expr(ttl)], "left_anti")
+    return chain_hits(gets, puts, scope, id, ts, ttl).where("put_ts is null").drop("put_ts")
 
 
 def kept_chains(puts: DataFrame, by: Sequence[str] = (), ts: str = "ts", most: int = MOST_CHAINS) -> DataFrame:
@@ -83,14 +118,43 @@ def authenticate(requests: DataFrame, tokens: DataFrame, token: str = "token") -
     return joined.withColumn("status", F.when(F.col("client").isNull(), 401).otherwise(200))
 
 
-def owners(keys: DataFrame, nodes: Sequence[str], parts: Sequence[str] = ("client", "route"), out: str = "owner") -> DataFrame:
+def down_spans(failures: DataFrame, node: str = "node", ts: str = "ts", down: str = DOWN) -> DataFrame:
+    """(node, began, until) in which a node is passed over: ``down`` from a failure on; failures meanwhile prolong nothing."""
+    spans = F.aggregate(
+        F.array_sort(F.collect_list(ts)),
+        F.array().cast("array<struct<began:timestamp,until:timestamp>>"),
+        lambda acc, t: F.when((F.size(acc) == 0) | (t >= F.element_at(acc, -1)["until"]), F.concat(acc, F.array(F.struct(t.cast("timestamp").alias("began"), (t + F.expr(down)).cast("timestamp").alias("until"))))).otherwise(acc),
+    )
+    # In pieces of an hour a node's failures are few; a span that reaches into the next hour takes those that it covers there.
+    hourly = failures.groupBy(node, F.date_trunc("hour", ts).alias("hour")).agg(spans.alias("s")).select(node, F.inline("s"))
+    order = Window.partitionBy(node).orderBy("began")
+    return hourly.withColumn("before", F.lag("until").over(order)).where(F.col("before").isNull() | (F.col("began") >= F.col("before"))).drop("before")
+
+
+def owners_up(requests: DataFrame, nodes: Sequence[str], downs: DataFrame, parts: Sequence[str] = ("client", "route"), ts: str = "ts", out: str = "owner") -> DataFrame:
+    """As ``owners`` at each request's time, minus the nodes that are then down (``downs(node, began, until)``).
+
+    Requests and spans meet by the minute; spans are seconds long.
+    """
+    minute = lambda c: F.date_trunc("minute", c)
+    every = F.expr("explode(sequence(date_trunc('minute', began), date_trunc('minute', until), interval 1 minute))")
+    spans = downs.select(F.col("node").alias("__node"), "began", "until", every.alias("__minute"))
+    met = requests.withColumn("__minute", minute(F.col(ts)))
+    met = met.join(spans.groupBy("__minute").agg(F.collect_list(F.struct("__node", "began", "until")).alias("__down")), "__minute", "left")
+    out_now = F.transform(F.filter(F.coalesce("__down", F.array().cast("array<struct<__node:string,began:timestamp,until:timestamp>>")), lambda d: (d["began"] <= F.col(ts)) & (F.col(ts) < d["until"])), lambda d: d["__node"])
+    return owners(met.withColumn("__out", out_now), nodes, parts, out, "__out").drop("__minute", "__down", "__out")
+
+
+def owners(keys: DataFrame, nodes: Sequence[str], parts: Sequence[str] = ("client", "route"), out: str = "owner", without: str | None = None) -> DataFrame:
     """Rendezvous placement: the node with the greatest digest of node and key, the first of equals.
 
     The nodes are the members of a cluster, a short list, so that each key weighs them in its own
-    row and nothing is shuffled.
+    row and nothing is shuffled.  ``without`` names a column with nodes to pass over.
     """
     key = F.concat_ws("\0", *parts)
     weigh = lambda n: F.struct(F.substring(F.sha2(F.concat(F.lit(n + "\0"), key).cast("binary"), 256), 1, 16).alias("w"), F.lit(n).alias("node"))
     weighed = F.array(*[weigh(n) for n in sorted(set(nodes))])
+    if without:
+        weighed = F.filter(weighed, lambda w: ~F.array_contains(without, w["node"]))
     best = F.aggregate(F.slice(weighed, 2, max(1, len(set(nodes)))), F.get(weighed, F.lit(0)), lambda a, b: F.when(b["w"] > a["w"], b).otherwise(a))
     return keys.withColumn(out, best["node"])

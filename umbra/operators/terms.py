@@ -219,7 +219,7 @@ class Finder:
 
 
 class Literals:
-    """Finds given values as plain text, case-sensitively and as whole words, overlaps included; of a value given twice the last kind counts."""
+    """Finds given (kind, value) as plain text, case-sensitively and as whole words, overlaps included; of a value given twice the last kind counts."""
 
     LEAST = 4
 

@@ -6,13 +6,16 @@ first seen; numbers count per scope and kind.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import ChainMap
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..sources.tables import written
+from ..sources.tables import settled, written
+from .terms import Literals
 from ..functions.spans import SPAN, resolve, restore, substitute, value_of
 
 LEAST_LITERAL = 4
@@ -79,37 +82,96 @@ def redact_row(text: Column, spans: Column) -> Column:
     return substitute(text, spans, placeholder)
 
 
+def scope_values(vault: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """(scope, known_values): the values of each scope's vault that are long enough to be looked for."""
+    values = vault.where(F.length("value") >= LEAST_LITERAL)
+    return values.groupBy(*scope).agg(F.sort_array(F.collect_list(F.struct("value", "kind"))).alias("known_values"))
+
+
+def _known(text: Column, values: Column) -> Column:
+    """Where the values stand in a text as whole words, overlapping places too, as candidate spans; one automaton for each set of values."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("rule", pa.string()), ("priority", pa.int32()), ("ord", pa.int32())]))
+        held, finder = None, None
+        for texts, sets in batches:
+            out = []
+            for t, pairs in zip(texts.to_pylist(), sets.to_pylist()):
+                if not t or not pairs:
+                    out.append([])
+                    continue
+                if pairs != held:  # texts of a scope follow one another
+                    held, finder = pairs, Literals([(p["kind"], p["value"]) for p in pairs])
+                out.append([{"start": s, "end": e, "kind": k, "rule": r, "priority": P.PRIORITY["literal"], "ord": 300} for s, e, k, r in finder(t)])
+            yield pa.array(out, kind)
+
+    return F.arrow_udf(run, f"array<{SPAN}>")(text, values)
+
+
 def literal_hits(docs: DataFrame, vault: DataFrame, scope: Sequence[str], key: Sequence[str], text: str = "text") -> DataFrame:
-    """Where values of a scope's vault stand as plain text: (key, known), known an array of candidate spans.
+    """Where values of a scope's vault stand as plain text: (key, known), known an array of candidate spans; only texts with any.
 
-    Equi-join on the scope, then containment; all places count, overlapping ones too, if they
-    are whole words.
+    All places count, overlapping ones too, if they are whole words.
+    """
+    joined = docs.select(*scope, *[k for k in key if k not in scope], text).join(scope_values(vault, scope), list(scope))
+    return joined.select(*key, _known(F.col(text), F.col("known_values")).alias("known")).where(F.size("known") > 0)
+
+
+def second_pass(docs: DataFrame, vault: DataFrame, scope: Sequence[str], text: str = "text", candidates: str = "candidates", spans: str = "spans") -> DataFrame:
+    """``docs`` with spans resolved anew from the candidates and the vault's literals; texts meet their scope's values once."""
+    joined = docs.join(scope_values(vault, scope), list(scope), "left")
+    found = joined.withColumn("__known", _known(F.col(text), F.col("known_values"))).drop("known_values")
+    return settled(found.withColumn(spans, F.when(F.size("__known") == 0, F.col(spans)).otherwise(resolve(F.concat(candidates, "__known")))).drop("__known"))
+
+
+def redact_all(docs: DataFrame, vault: DataFrame, key: Sequence[str], text: str = "text", spans: str = "spans", out: str = "redacted") -> DataFrame:
+    """``docs`` redacted with one vault for everything, however large.
+
+    Spans meet the vault by value, a row each, and go back to their document as a list of
+    placeholders in order; neither the vault nor a scope of it is gathered anywhere.
+    """
+    each = docs.select(*key, text, F.posexplode(spans).alias("__n", "__s")).select(*key, "__n", value_of(F.col(text), F.col("__s")).alias("value"))
+    placed = each.join(vault.select("value", "placeholder"), "value").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("__n", "placeholder"))).alias("__p"))
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"p.{k}")) for k in key]
+    joined = docs.alias("d").join(placed.alias("p"), same, "left").select("d.*", "p.__p")
+    pairs = F.transform(F.zip_with(F.col(spans), F.col("__p"), lambda s, p: F.struct(s["start"].alias("start"), s["end"].alias("end"), p["placeholder"].alias("put"))), lambda x: x)
+    return joined.withColumn(out, F.when(F.col("__p").isNull(), F.col(text)).otherwise(substitute(F.col(text), pairs, lambda s: s["put"]))).drop("__p")
+
+
+def number_chains(found: DataFrame, links: DataFrame, key: str = "id", order: Sequence[str] = ()) -> DataFrame:
+    """Vaults that continue along chains: for each request the values that are new in it, (key, root, value, kind, n, placeholder).
+
+    ``links(key, parent)`` says which request's vault a request continues (null: none), ``found``
+    are the requests' appearances (key, order..., start, kind, value).  A request's vault is
+    what is new in it and in the requests before it; its numbers go on from theirs, and two
+    requests that continue the same one count on independently.  A conversation, all that goes
+    back to one request, is handled as one group: the store that holds chains bounds it.
     """
-    from ..functions.scalars import whole_word
-
-    values = vault.where(F.length("value") >= LEAST_LITERAL).select(*scope, F.col("value").alias("__value"), F.col("kind").alias("__kind"))
-    pairs = docs.select(*scope, *key, text).join(values, list(scope)).where(F.contains(F.col(text), F.col("__value")))
-    body, v = F.col(text), F.col("__value")
-    # A split before every place, overlapping ones too: the pieces' lengths add up to the places.
-    quoted = F.concat(F.lit(r"(?=\Q"), F.replace(v, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    starts = F.aggregate(
-        F.split(body, quoted, -1),
-        start,
-        lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
-        lambda acc: acc["out"],
-    )
-    places = F.when(body.startswith(v), starts).otherwise(F.slice(starts, 2, 2**31 - 2))
-    whole = F.filter(places, lambda s: whole_word(body, s, s + F.length(v)))
-    spans = F.transform(whole, lambda s: F.struct(s.cast("int").alias("start"), (s + F.length(v)).cast("int").alias("end"), F.col("__kind").alias("kind"), F.lit("known").alias("rule"), F.lit(P.PRIORITY["literal"]).alias("priority"), F.lit(300).alias("ord")))
-    return pairs.select(*key, spans.alias("known")).groupBy(*key).agg(F.flatten(F.collect_list("known")).cast(f"array<{SPAN}>").alias("known"))
-
-
-def second_pass(docs: DataFrame, vault: DataFrame, scope: Sequence[str], key: Sequence[str], text: str = "text", candidates: str = "candidates", spans: str = "spans") -> DataFrame:
-    """``docs`` with spans resolved anew from the candidates and the vault's literals."""
-    hits = literal_hits(docs, vault, scope, key, text)
-    joined = docs.join(hits, list(key), "left")
-    return joined.withColumn(spans, F.when(F.col("known").isNull(), F.col(spans)).otherwise(resolve(F.concat(candidates, "known")))).drop("known")
+    from .state import chain_roots
+
+    roots = chain_roots(links.select(F.col(key).alias("id"), F.col("parent")))
+    first = found.groupBy(key, "value").agg(F.min(F.struct(*order, "start", "kind")).alias("f"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*[f"f.{c}" for c in order], "f.start", "value"))
+    values = first.select(F.col(key).alias("id"), F.struct(place.alias("at"), "value", F.col("f.kind").alias("kind")).alias("v")).groupBy("id").agg(F.sort_array(F.collect_list("v")).alias("values"))
+    rows = roots.join(links.select(F.col(key).alias("id"), "parent"), "id").join(values, "id", "left").select("id", "parent", "root", "depth", "values")
+    kind = dict(links.dtypes)[key]
+
+    def number(table: pa.Table) -> pa.Table:
+        vaults: dict = {}  # request -> (numbers by kind, values known), shared with what it continues
+        out: dict[str, list] = {c: [] for c in ("id", "root", "value", "kind", "n")}
+        for row in sorted(table.to_pylist(), key=lambda r: r["depth"]):
+            counts, known = vaults.get(row["parent"], ({}, ChainMap()))
+            counts, known = dict(counts), known.new_child()
+            for v in row["values"] or ():
+                if v["value"] not in known:
+                    known[v["value"]] = counts[v["kind"]] = counts.get(v["kind"], 0) + 1
+                    for c, x in zip(out.values(), (row["id"], row["root"], v["value"], v["kind"], counts[v["kind"]])):
+                        c.append(x)
+            vaults[row["id"]] = counts, known
+        return pa.table(out, pa.schema([("id", table.schema.field("id").type), ("root", table.schema.field("root").type), ("value", pa.string()), ("kind", pa.string()), ("n", pa.int32())]))
+
+    made = rows.groupBy("root").applyInArrow(number, f"id {kind}, root {kind}, value string, kind string, n int")
+    return made.withColumnRenamed("id", key).withColumn("placeholder", F.format_string("[REDACTED_%s_%d]", "kind", "n"))
 
 
 def restored(docs: DataFrame, vault: DataFrame, scope: Sequence[str], text: str = "redacted", out: str = "restored") -> DataFrame:

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -60,6 +60,28 @@ RESPONSES = Dialect(
 DIALECTS = {d.name: d for d in (MESSAGES, CHAT, RESPONSES)}
 
 
+def register_dialect(dialect: Dialect) -> Dialect:
+    """Make a further dialect known by its name; ``streaming.events.register_handler`` adds its event streams."""
+    DIALECTS[dialect.name] = dialect
+    return dialect
+
+
+def chain_ref(body: Column, dialect: Dialect) -> Column:
+    """``struct<ref, ok>``: the id of the response that a request continues (null: none), and whether it is a text or not there at all."""
+    if not dialect.chain_key:
+        return F.struct(F.lit(None).cast("string").alias("ref"), F.lit(True).alias("ok"))
+    value = F.variant_get(F.try_parse_json(body), f"$.{dialect.chain_key}", "variant")
+    kind = F.schema_of_variant(value)
+    none = value.isNull() | F.is_variant_null(value) | (kind == "VOID")
+    return F.struct(F.when(~none & (kind == "STRING"), F.nullif(value.cast("string"), F.lit(""))).alias("ref"), (F.try_parse_json(body).isNotNull() & (none | (kind == "STRING"))).alias("ok"))
+
+
+def response_id(body: Column) -> Column:
+    """The id that a response's body says, null without one."""
+    value = F.variant_get(F.try_parse_json(body), "$.id", "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", F.nullif(value.cast("string"), F.lit("")))
+
+
 class Number(str):
     """A number as it was written."""
 
@@ -248,7 +270,7 @@ def redact_requests(requests: DataFrame, key: str, body: str = "body", dialect:
     secret = F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), F.lit("SECRET").alias("kind"), F.lit("field").alias("rule"), F.lit(0).alias("priority"), F.lit(0).alias("ord")))
     found = written(found.withColumn("spans", F.when(F.col("whole"), secret).otherwise(F.col("spans"))))
     vault = written(V.number(V.appearances(found, [key], ["ord"]), [key], ["ord"]))
-    again = V.second_pass(found.where(~F.col("whole")), vault, [key], [key, "ord"]).unionByName(found.where("whole"))
+    again = V.second_pass(found.where(~F.col("whole")), vault, [key]).unionByName(found.where("whole"))
     done = V.redact(again, vault, [key], out="new")
     hidden = vault.select(key).distinct().withColumn("hidden", F.lit(True))
     texts = done.select(key, "ord", "new").join(hidden, key, "left").withColumn("hidden", F.coalesce("hidden", F.lit(False)))
@@ -269,6 +291,22 @@ def restore_body(body: str, values: dict[str, str], dialect: Dialect) -> str:
     return encode(walk(decode(body)))
 
 
+def restore_bodies(responses: DataFrame, body: str, values: str, dialect: Dialect, out: str = "restored") -> DataFrame:
+    """``responses`` with their bodies restored from maps of placeholders; null and bodies that are no JSON stay."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, vaults in batches:
+            done = []
+            for text, held in zip(texts.to_pylist(), vaults.to_pylist()):
+                try:
+                    done.append(text and restore_body(text, dict(held or ()), dialect))
+                except ValueError:
+                    done.append(text)
+            yield pa.array(done, pa.string())
+
+    return responses.withColumn(out, F.arrow_udf(run, "string")(F.col(body), F.col(values)))
+
+
 def bodies(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     """Requests of whole conversations: (key, body), the turns in order as messages."""
     message = F.struct(F.col("role"), F.col("text").alias("content"))

@@ -212,18 +212,18 @@ def detect_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- span algebra, scanning, vaults ------------------------------------------------------------
 
 
-def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.detect(_documents(spark, sf_dir))
 
 
 @query()
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document redacted with a vault of its own, and its counts."""
-    found = _detected(spark, sf_dir)
+    found = detected(spark, sf_dir)
     return found.select("doc_id", vault.redact_row(F.col("text"), F.col("spans")).alias("redacted"), F.size("spans").cast("long").alias("n_spans"), F.length("text").cast("long").alias("n_chars"))
 
 
-_KINDS_SQL = f"""
+KINDS_SQL = f"""
 em as (select doc_id, v from (select doc_id, v, string_split(v, '.')[-1] as t from (select doc_id, unnest(regexp_extract_all(text, {_q(P.BY_NAME['email'].re2)})) as v from documents)) where {_TLD_SQL}),
 ip as (select doc_id, v from (select doc_id, unnest(regexp_extract_all(text, {_q(P.BY_NAME['ipv4'].re2)})) as v from documents) where regexp_matches(v, {_q(P.STRICT_IPV4)}) and v not in {_sql_list(P.ALLOWED_IPS)}),
 kw as (select doc_id, v from (select doc_id, unnest(regexp_extract_all(text, {_q(P.BY_NAME['keyword'].re2)}, 1)) as v from documents) where not regexp_matches(v, {_q(P.VARIABLE)}))
@@ -231,19 +231,19 @@ kw as (select doc_id, v from (select doc_id, unnest(regexp_extract_all(text, {_q
 _MAIN_RULES = ("keyword", "email", "ipv4")
 
 
-@query(f"with {_KINDS_SQL} select kind, count(*) as n from (select 'EMAIL' as kind from em union all select 'IPV4' from ip union all select 'PASSWORD' from kw) group by kind")
+@query(f"with {KINDS_SQL} select kind, count(*) as n from (select 'EMAIL' as kind from em union all select 'IPV4' from ip union all select 'PASSWORD' from kw) group by kind")
 def redact_counts_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of all rules by kind; the SQL knows three kinds, which are all that the smaller tables hold."""
-    return files.kind_counts(_detected(spark, sf_dir))
+    return files.kind_counts(detected(spark, sf_dir))
 
 
-@query(f"with {_KINDS_SQL} select string_agg(kind || '=' || n, ' ' order by kind) as summary from (select kind, count(*) as n from (select 'EMAIL' as kind from em union all select 'IPV4' from ip union all select 'PASSWORD' from kw) group by kind)")
+@query(f"with {KINDS_SQL} select string_agg(kind || '=' || n, ' ' order by kind) as summary from (select kind, count(*) as n from (select 'EMAIL' as kind from em union all select 'IPV4' from ip union all select 'PASSWORD' from kw) group by kind)")
 def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.summary(redact_counts_by_kind(spark, sf_dir))
 
 
 @query(f"""
-with {_KINDS_SQL.strip()},
+with {KINDS_SQL.strip()},
 one as (select doc_id, v from em where doc_id in (select doc_id from em group by doc_id having count(*) = 1))
 select doc_id, length(b) - length(replace(b, chr(10), '')) + 1 as line, length(string_split(b, chr(10))[-1]) + 1 as col, v as value
 from (select d.doc_id, v, substr(text, 1, strpos(text, v) - 1) as b from documents d join one using (doc_id))
@@ -257,17 +257,17 @@ def explain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def explain_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line and column of every span of every document."""
-    found = files.explain(_detected(spark, sf_dir), ["doc_id"])
+    found = files.explain(detected(spark, sf_dir), ["doc_id"])
     return found.select("doc_id", F.col("n").cast("long").alias("n"), F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("col"), "kind", "rule", "value")
 
 
 @query(f"""
-with {_KINDS_SQL.strip()}, a as (select 'EMAIL' as kind, * from em union all select 'IPV4', * from ip union all select 'PASSWORD', * from kw)
+with {KINDS_SQL.strip()}, a as (select 'EMAIL' as kind, * from em union all select 'IPV4', * from ip union all select 'PASSWORD', * from kw)
 select kind, count(distinct v) as n_values, count(distinct v) as greatest from a group by kind
 """)
 def vault_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One vault for the whole run: each kind's numbers have no gaps."""
-    found = _detected(spark, sf_dir)
+    found = detected(spark, sf_dir)
     numbered = vault.number_all(vault.appearances(found, [], ["doc_id"]), ["doc_id"])
     return numbered.groupBy("kind").agg(F.count("*").alias("n_values"), F.max("n").cast("long").alias("greatest"))
 
@@ -301,13 +301,13 @@ def literal_join_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "customer")).select("c_custkey", text.alias("text"))
     found = docs.withColumn("candidates", detect.pattern_candidates(F.col("text"), _MAIN_RULES)).withColumn("spans", resolve(F.col("candidates")))
     numbered = vault.number(vault.appearances(found, ["c_custkey"], []), ["c_custkey"], [])
-    again = vault.second_pass(found, numbered, ["c_custkey"], ["c_custkey"])
+    again = vault.second_pass(found, numbered, ["c_custkey"])
     return vault.redact(again, numbered, ["c_custkey"]).select("c_custkey", "redacted")
 
 
 @query("select doc_id, text as restored from documents")
 def restore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _detected(spark, sf_dir)
+    found = detected(spark, sf_dir)
     numbered = written(vault.number(vault.appearances(found, ["doc_id"], []), ["doc_id"], []))
     return vault.restored(vault.redact(found, numbered, ["doc_id"]), numbered, ["doc_id"]).select("doc_id", "restored")
 
@@ -457,28 +457,28 @@ def token_auth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.authenticate(requests, tokens).select("c_custkey", "client", "status")
 
 
-_NODES = [f"10.0.0.{i}" for i in range(1, 6)]
+NODES = [f"10.0.0.{i}" for i in range(1, 6)]
 _OWNER_SQL = "select c_custkey, arg_max(n, sha256(n || chr(0) || 'c' || c_custkey || chr(0) || c_mktsegment)[1:16]) as owner from customer, (select unnest({nodes}) as n) group by c_custkey"
 
 
-@query(_OWNER_SQL.format(nodes=_NODES))
+@query(_OWNER_SQL.format(nodes=NODES))
 def rendezvous_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("c"), "c_custkey").alias("client"), F.col("c_mktsegment").alias("route"))
-    return state.owners(keys, _NODES).select("c_custkey", "owner")
+    return state.owners(keys, NODES).select("c_custkey", "owner")
 
 
-@query(f"with a as ({_OWNER_SQL.format(nodes=_NODES)}), b as ({_OWNER_SQL.format(nodes=_NODES[:-1])}) select a.owner as was, b.owner as now, count(*) as n from a join b using (c_custkey) group by 1, 2")
+@query(f"with a as ({_OWNER_SQL.format(nodes=NODES)}), b as ({_OWNER_SQL.format(nodes=NODES[:-1])}) select a.owner as was, b.owner as now, count(*) as n from a join b using (c_custkey) group by 1, 2")
 def rendezvous_movement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Only the keys of a node that leaves move."""
     keys = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("c"), "c_custkey").alias("client"), F.col("c_mktsegment").alias("route"))
-    both = state.owners(state.owners(keys, _NODES, out="was"), _NODES[:-1], out="now")
+    both = state.owners(state.owners(keys, NODES, out="was"), NODES[:-1], out="now")
     return both.groupBy("was", "now").agg(F.count("*").alias("n"))
 
 
 # ---- metrics -----------------------------------------------------------------------------------------
 
 
-def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     methods = F.array(*map(F.lit, ("GET", "POST", "BREW", "PUT")))
     codes = F.array(*map(F.lit, (200, 0, 404, 503, 700)))
@@ -495,7 +495,7 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_LOG = """
+LOG_SQL = """
 log as (select event_id, ts, case when event_type = 'error' then 'unmatched' else '/' || event_type end as route,
   (['GET', 'POST', 'OTHER', 'PUT'])[event_id % 4 + 1] as method, (['200', '200', '404', '503', 'OTHER'])[event_id % 5 + 1] as status,
   case when event_id % 3 = 0 then 'forwarded' else 'local' end as handling, value as seconds,
@@ -504,61 +504,65 @@ log as (select event_id, ts, case when event_type = 'error' then 'unmatched' els
 _BOUNDS_SQL = "(select unnest([" + ", ".join(f"'{b:g}'" for b in metrics.BOUNDS) + ", '+Inf']) as le, unnest([" + ", ".join(f"{b}::double" for b in metrics.BOUNDS) + ", 'infinity'::double]) as bound)"
 
 
-@query(f"with {_LOG} select route, method, status, handling, count(*) as n from log group by all")
+@query(f"with {LOG_SQL} select route, method, status, handling, count(*) as n from log group by all")
 def requests_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.requests_total(_log(spark, sf_dir))
+    return metrics.requests_total(log(spark, sf_dir))
 
 
-@query(f"with {_LOG} select route, kind, sum(n)::bigint as n from log group by all having sum(n) > 0")
+@query(f"with {LOG_SQL} select route, kind, sum(n)::bigint as n from log group by all having sum(n) > 0")
 def redactions_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.redactions_total(metrics.labelled(_log(spark, sf_dir)))
+    return metrics.redactions_total(metrics.labelled(log(spark, sf_dir)))
 
 
-@query(f"with {_LOG} select route, handling, le, count(*) filter (seconds <= bound) as count from log, {_BOUNDS_SQL} group by route, handling, le")
+@query(f"with {LOG_SQL} select route, handling, le, count(*) filter (seconds <= bound) as count, round(sum(seconds), 4) as sum from log, {_BOUNDS_SQL} group by route, handling, le")
 def duration_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.duration_histogram(_log(spark, sf_dir)).select("route", "handling", "le", "count")
+    return metrics.duration_histogram(log(spark, sf_dir)).select("route", "handling", "le", "count", F.round("sum", 4).alias("sum"))
 
 
 @query(f"""
-with {_LOG}, s as (select ts as t, 1 as d from log union all select ts + to_microseconds((round(seconds * 1e6))::bigint), -1 from log),
+with {LOG_SQL}, s as (select ts as t, 1 as d from log union all select ts + to_microseconds((round(seconds * 1e6))::bigint), -1 from log),
 g as (select t, sum(d) as d from s group by t) select t, (sum(d) over (order by t))::bigint as in_flight from g
 """)
 def in_flight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.in_flight(_log(spark, sf_dir)).select("t", F.col("in_flight").cast("long").alias("in_flight"))
+    return metrics.in_flight(log(spark, sf_dir)).select("t", F.col("in_flight").cast("long").alias("in_flight"))
 
 
 @query(f"""
-with {_LOG}, h as (select route, bound, count(*) filter (seconds <= bound) as c from log, {_BOUNDS_SQL} group by route, bound),
+with {LOG_SQL}, h as (select route, bound, count(*) filter (seconds <= bound) as c from log, {_BOUNDS_SQL} group by route, bound),
 r as (select *, coalesce(lag(bound) over (partition by route order by bound), 0) as low, coalesce(lag(c) over (partition by route order by bound), 0) as u, 0.95 * max(c) over (partition by route) as rank from h),
 k as (select *, row_number() over (partition by route order by bound) as i from r where c >= rank and rank > 0)
 select route, round(case when bound = 'infinity'::double then low else low + (bound - low) * (rank - u) / (c - u) end, 6) as p95 from k where i = 1
 """)
 def p95_by_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = metrics.quantile(metrics.duration_histogram(_log(spark, sf_dir)), ["route"])
+    found = metrics.quantile(metrics.duration_histogram(log(spark, sf_dir)), ["route"])
     return found.select("route", F.round("quantile", 6).alias("p95"))
 
 
-@query(f"with {_LOG} select time_bucket(interval 15 minutes, ts) as window_start, kind, sum(n)::bigint as n, round(sum(n) / 900, 9) as per_second from log group by 1, 2")
+@query(f"with {LOG_SQL} select time_bucket(interval 15 minutes, ts) as window_start, kind, sum(n)::bigint as n, round(sum(n) / 900, 9) as per_second from log group by 1, 2")
 def rate_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.rate(_log(spark, sf_dir), "15 minutes", ["kind"], value=F.col("n")).withColumn("per_second", F.round("per_second", 9))
+    return metrics.rate(log(spark, sf_dir), "15 minutes", ["kind"], value=F.col("n")).withColumn("per_second", F.round("per_second", 9))
 
 
-@query(f"with {_LOG} select count(distinct kind) filter (n > 0) as kinds from log where ts >= timestamp '2024-01-01 06:00:00' and ts < timestamp '2024-01-01 18:00:00'")
+@query(f"with {LOG_SQL} select count(distinct kind) filter (n > 0) as kinds from log where ts >= timestamp '2024-01-01 06:00:00' and ts < timestamp '2024-01-01 18:00:00'")
 def kinds_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    window = _log(spark, sf_dir).where("ts >= timestamp '2024-01-01 06:00:00' and ts < timestamp '2024-01-01 18:00:00' and n > 0")
+    window = log(spark, sf_dir).where("ts >= timestamp '2024-01-01 06:00:00' and ts < timestamp '2024-01-01 18:00:00' and n > 0")
     return window.agg(F.count_distinct("kind").alias("kinds"))
 
 
-@query(f"with {_LOG} select grouping(kind, route)::bigint as level, kind, route, sum(n)::bigint as n from log group by grouping sets ((), (kind), (kind, route))")
+@query(f"with {LOG_SQL} select grouping(kind, route)::bigint as level, kind, route, sum(n)::bigint as n from log group by grouping sets ((), (kind), (kind, route))")
 def kind_by_route_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.by_kind_and_route(metrics.labelled(_log(spark, sf_dir))).withColumn("level", F.col("level").cast("long"))
+    return metrics.by_kind_and_route(metrics.labelled(log(spark, sf_dir))).withColumn("level", F.col("level").cast("long"))
 
 
-@query(f"""with {_LOG} select 'umbra_http_requests_total{{route="' || route || '",method="' || method || '",status="' || status || '",handling="' || handling || '"}} ' || count(*) as line from log group by route, method, status, handling""")
+@query(f"""
+with {LOG_SQL}
+select 1 as family, 'umbra_http_requests_total{{route="' || route || '",method="' || method || '",status="' || status || '",handling="' || handling || '"}} ' || count(*) as line from log group by route, method, status, handling
+union all select 2, 'umbra_http_request_duration_seconds_bucket{{route="' || route || '",handling="' || handling || '",le="' || le || '"}} ' || count(*) filter (seconds <= bound) from log, {_BOUNDS_SQL} group by route, handling, le
+union all select 3, 'umbra_redactions_total{{route="' || route || '",kind="' || kind || '"}} ' || sum(n)::bigint from log group by route, kind having sum(n) > 0
+""")
 def exposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = _log(spark, sf_dir)
-    lines = metrics.exposition(metrics.requests_total(log), metrics.duration_histogram(log), metrics.redactions_total(metrics.labelled(log)))
-    return lines.where("family = 1").select("line")
+    rows = log(spark, sf_dir)
+    return metrics.exposition(metrics.requests_total(rows), metrics.duration_histogram(rows), metrics.redactions_total(metrics.labelled(rows)))
 
 
 # ---- admission ---------------------------------------------------------------------------------------

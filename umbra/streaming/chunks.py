@@ -12,7 +12,9 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.walk import restore_text
@@ -44,20 +46,28 @@ def flush(pending: str, values: dict[str, str], escaped: bool = False) -> str:
 
 
 def restore_batch(chunks: DataFrame, stream: str = "stream", seq: str = "seq", text: str = "text", values: str = "values") -> DataFrame:
-    """(stream, seq, out) for ``chunks`` that carry their vault as a map; what is left at the end goes with the last chunk."""
-    kinds = dict(chunks.dtypes)
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(seq, kind="stable")
-        out, pending, known = [], "", {}
-        for chunk, held in zip(rows[text], rows[values]):
-            known = dict(held) if held is not None else {}
-            done, pending = feed(pending, chunk or "", known)
-            out.append(done)
-        out[-1] += flush(pending, known)
-        return pd.DataFrame({stream: rows[stream], seq: rows[seq], "out": out})
-
-    return chunks.select(stream, seq, text, values).groupBy(stream).applyInPandas(fold, f"{stream} {kinds[stream]}, {seq} {kinds[seq]}, out string")
+    """(stream, seq, out) for ``chunks`` that carry their vault as a map; what is left at the end goes with the last chunk.
+
+    A stream's chunks become one row with its vault once, which is folded in order.
+    """
+
+    def fold(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for parts, vaults in batches:
+            done = []
+            for pieces, held in zip(parts.to_pylist(), vaults.to_pylist()):
+                known, pending, out = dict(held or ()), "", []
+                for piece in pieces:
+                    if pending or piece and "[" in piece:
+                        piece, pending = feed(pending, piece or "", known)
+                    out.append(piece or "")
+                out[-1] += flush(pending, known)
+                done.append(out)
+            yield pa.array(done, pa.list_(pa.string()))
+
+    ordered = F.sort_array(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(text).alias("text"))))
+    rows = chunks.groupBy(stream).agg(ordered.alias("__parts"), F.any_value(values, True).alias("__values"))
+    folded = rows.withColumn("__out", F.arrow_udf(fold, "array<string>")(F.col("__parts")["text"], F.col("__values")))
+    return folded.select(stream, F.inline(F.arrays_zip(F.col("__parts")["seq"].alias("seq"), F.col("__out").alias("out")))).toDF(stream, seq, "out")
 
 
 class Restorer(StatefulProcessor):

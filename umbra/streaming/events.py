@@ -192,6 +192,11 @@ def responses(session: Session, event: Event) -> list[Event]:
 HANDLERS = {"anthropic-messages": messages, "openai-chat": chat, "openai-responses": responses}
 
 
+def register_handler(dialect: str, handler: Callable[[Session, Event], list[Event]]) -> None:
+    """Say how a dialect's events are restored."""
+    HANDLERS[dialect] = handler
+
+
 def restore(body: str, values: dict[str, str], dialect: Dialect) -> tuple[str, str | None]:
     """A whole event stream restored, and the response's id if it says one."""
     session = Session(dialect, values)
