@@ -250,7 +250,7 @@ select c_custkey, {_FIELD_SQL} as field_secret,
   v = '' or regexp_matches(v, '^[$=]') or lower(v) in ('true', 'false', 'yes', 'no', 'null', '0', '1') as skipped,
   regexp_extract('[REDACTED_' || upper(regexp_replace(k, '[^A-Za-z]', '', 'g')) || '_' || c_custkey || ']', '^\\[REDACTED_(.*)_\\d+\\]$', 1) as kind,
   trim(regexp_replace(' a  ' || k || chr(9) || ' b ', '\\s+', ' ', 'g')) as squeezed,
-  trim(regexp_replace(k || '#' || v || ' # ' || k, '(^|[ \t])#.*', '\1')) as uncommented
+  trim(regexp_replace(k || '#' || v || ' # ' || k, '(^|[ \\t])#.*', '\\1')) as uncommented
 from r
 """)
 def scalar_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
