@@ -116,11 +116,6 @@ def worker_cache(name: str) -> dict:
     return _worker().setdefault("caches", {}).setdefault(name, {})
 
 
-def key_column(*columns: str | Column) -> Column:
-    """A non-null key of any columns; nulls and empty strings differ."""
-    return F.md5(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string") if isinstance(c, str) else c.cast("string"), F.lit("\x00null")) for c in columns]))
-
-
 #: A table up to this many rows is broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 20_000
 

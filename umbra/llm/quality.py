@@ -1,18 +1,21 @@
-"""Quality rules: base counts of a text, and its fertility under a public tokenizer.
-
-Three measures say how well a vocabulary fits a text: characters per token, the share of
-byte-fallback tokens, and the entropy of the token distribution.  Each language (a document
-without one: each script) has its own bands.  They follow from all its documents' quartiles: a
-text is rejected that lies more than ``REACH`` interquartile ranges below the lower or above
-the upper quartile of characters per token, below that of the entropy, or above that of the
-byte share.  The spread counts as ``LEAST_SPREAD`` at least, so that uniform groups don't lose
-ordinary texts.
+"""Quality rules: base counts of a text, and its fertility under public vocabularies.
+
+Two vocabularies are laid on a text, one of pieces with byte fallback and one of bytes for many
+languages.  Under each, characters per token and the share of tokens that are single bytes say
+how well it fits; the entropy of the token distribution says how the first is used.  Each
+language (a document without one: each script) has its own bands.  They follow from all its
+documents' quartiles: a text is rejected that lies more than ``REACH`` interquartile ranges
+outside those of a vocabulary's characters per token, above that of its byte share, or below that
+of the entropy.  The spread counts as ``LEAST_SPREAD`` at least, so that uniform groups don't
+lose ordinary texts.
 """
 
 from __future__ import annotations
 
+import base64
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -31,16 +34,32 @@ REACH = 3.0
 GRID = 0.001
 #: Short texts scatter more: the distances grow by sqrt(1 + SHORT / tokens).
 SHORT = 300
-#: Of characters per token, byte share and entropy.
-LEAST_SPREAD = {"chars_per_token": 0.05, "byte_share": 0.03, "entropy": 0.25}
+#: Of characters per token, byte share and entropy; and which side of the quartiles is judged.
+LEAST_SPREAD = {"chars_per_token": 0.05, "byte_share": 0.03, "entropy": 0.25, "multi_chars_per_token": 0.05, "multi_byte_share": 0.03}
+SIDES = {"chars_per_token": ("below", "above"), "byte_share": ("above",), "entropy": ("below",), "multi_chars_per_token": ("below", "above"), "multi_byte_share": ("above",)}
 #: Upper bounds of the code points of some scripts, in order; other characters count as "other".
 SCRIPTS = ((0x02B0, "latin"), (0x0370, None), (0x0400, "greek"), (0x0530, "cyrillic"), (0x0590, "armenian"), (0x0600, "hebrew"), (0x0780, "arabic"), (0x0900, None), (0x0980, "devanagari"), (0x0E00, "indic"), (0x0E80, "thai"), (0x1100, None), (0x1200, "hangul"), (0x1E00, None), (0x2000, "latin"), (0x3040, None), (0x3100, "kana"), (0x4E00, None), (0xA000, "han"), (0xAC00, None), (0xD7B0, "hangul"), (0x110000, None))
 
 
-def default_tokenizer() -> str:
+def default_vocabularies() -> tuple[str, str, str]:
+    """Files of the vocabulary of pieces and of that of bytes, and the latter's pattern of words."""
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def load_vocabularies(pieces: str, ranks: str, pattern: str):
+    """The two encoders, and which of their ids are single bytes."""
+    import tiktoken
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=pieces)
+    with open(ranks, "rb") as lines:
+        table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    single = np.zeros(max(table.values()) + 1, bool)
+    single[[rank for token, rank in table.items() if len(token) == 1]] = True
+    encoding = tiktoken.Encoding("multi", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+    return model, np.array([model.is_byte(i) for i in range(model.get_piece_size())]), encoding, single
 
 
 def repeated_words(words: list[str]) -> int:
@@ -76,34 +95,32 @@ def script(text: str) -> str:
     return max(sorted(total), key=lambda k: total[k]) if counts.any() else "other"
 
 
-MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double, script string"
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double, multi_chars_per_token double, multi_byte_share double, script string"
 
 
-def measure(docs: DataFrame, keep: list[str], tokenizer: str | None = None) -> DataFrame:
+def measure(docs: DataFrame, keep: list[str], vocabularies: tuple[str, str, str] | None = None) -> DataFrame:
     """``keep`` columns and the measures of every whole text; null text has no words and no tokens."""
-    path = tokenizer or default_tokenizer()
+    files = vocabularies or default_vocabularies()
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields) + ", " + MEASURES
     names = [part.split()[0] for part in MEASURES.split(", ")]
 
     def rows(chunks: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        from sentencepiece import SentencePieceProcessor
-
-        loaded = worker_cache("sentencepiece")
-        if path not in loaded:
-            model = SentencePieceProcessor(model_file=path)
-            loaded[path] = model, np.array([model.is_byte(i) for i in range(model.get_piece_size())])
-        model, is_byte = loaded[path]
+        loaded = worker_cache("vocabularies")
+        if files not in loaded:
+            loaded[files] = load_vocabularies(*files)
+        model, is_byte, encoding, single = loaded[files]
         for chunk in chunks:
             out: dict[str, list] = {k: chunk[k] for k in keep} | {k: [] for k in names}
             texts = [t or "" for t in chunk["text"]]
             for text, ids in zip(texts, model.encode(texts, num_threads=1)):
                 words = WORD.findall(text)
-                ids = np.asarray(ids, np.int64)
-                n = len(ids)
+                ids, other = np.asarray(ids, np.int64), np.asarray(encoding.encode_ordinary(text), np.int64)
+                n, m = len(ids), len(other)
                 p = np.unique(ids, return_counts=True)[1] / max(1, n)
                 found = (
                     len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeated_words(words),
-                    n, len(text) / n if n else None, float(is_byte[ids].mean()) if n else None, float(-(p * np.log2(p)).sum()) if n else None, script(text),
+                    n, len(text) / n if n else None, float(is_byte[ids].mean()) if n else None, float(-(p * np.log2(p)).sum()) if n else None,
+                    len(text) / m if m else None, float(single[other].mean()) if m else None, script(text),
                 )
                 for name, value in zip(names, found):
                     out[name].append(value)
@@ -142,30 +159,30 @@ def judge(measured: DataFrame, group: Column) -> DataFrame:
     bands = materialise(quartiles(rows.where(~F.col("base_failed")), own))
     joined = join_small(rows, bands, own, "left")
     wider = F.sqrt(1 + SHORT / F.greatest("n_tokens", F.lit(1)))
-    above = lambda c: F.col(c) >= F.col(f"{c}_low") - F.col(f"{c}_far") * wider
-    below = lambda c: F.col(c) <= F.col(f"{c}_high") + F.col(f"{c}_far") * wider
-    fits = above("chars_per_token") & below("chars_per_token") & below("byte_share") & above("entropy")
+    sides = {"below": lambda c: F.col(c) >= F.col(f"{c}_low") - F.col(f"{c}_far") * wider, "above": lambda c: F.col(c) <= F.col(f"{c}_high") + F.col(f"{c}_far") * wider}
+    fits = reduce(lambda a, b: a & b, [sides[side](c) for c, judged in SIDES.items() for side in judged])
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(fits, F.lit(False))).drop(own, *[f"{c}_{e}" for c in LEAST_SPREAD for e in ("low", "high", "far")])
 
 
-def rules(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def rules(docs: DataFrame, vocabularies: tuple[str, str, str] | None = None) -> DataFrame:
     """Verdicts on ``docs(doc_id, text, lang)``, a row for each row.
 
-    Null text fails the base rules; a null language is judged with its script; repeated rows are
-    judged alike; other columns are ignored; an empty table gives no rows.
+    Null text fails the base rules; a null language is judged with its script; a null doc_id is
+    kept; repeated rows are judged alike, and so are texts that tie; a text of any length is
+    measured whole; an empty table gives no rows; other columns, whatever their names, are ignored.
     """
-    measured = materialise(measure(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"), ["doc_id", "lang"], tokenizer))
+    measured = materialise(measure(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text"), ["doc_id", "lang"], vocabularies))
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return judge(measured, F.col("lang")).select(*first, "n_tokens", "chars_per_token", "byte_share", "entropy")
+    return judge(measured, F.col("lang")).select(*first, "n_tokens", *LEAST_SPREAD)
 
 
-def keep_good(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with the same columns.
+def keep_good(docs: DataFrame, vocabularies: tuple[str, str, str] | None = None) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with the same columns; nulls, ties, repeated rows and long texts as in ``rules``.
 
     The measures are written beside the rows, which are then filtered by their group's bands:
     texts are read and measured once and never shuffled.
     """
     names = {c: "text" if c == "text" else f"__umbra_{i}" for i, c in enumerate(docs.columns)}  # own names can't clash with the measures'
     rows = docs.select(*[F.col(c).alias(n) for c, n in names.items()])
-    measured = materialise(measure(rows, list(names.values()), tokenizer))
+    measured = materialise(measure(rows, list(names.values()), vocabularies))
     return judge(measured, F.col(names["lang"])).where("kept").select(*[F.col(n).alias(c) for c, n in names.items()])
