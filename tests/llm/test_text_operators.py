@@ -141,6 +141,54 @@ def test_quality_keeps_plain_text_and_refuses_noise(spark):
     assert quality.keep_good(df.limit(0)).count() == 0
 
 
+def plain_verdicts(rows):
+    """(measures, verdict) of (text, lang) rows: bands by plain quartiles over each language's texts."""
+    pieces, is_byte, multi, single = quality.load_vocabularies(*quality.default_vocabularies())
+    found = []
+    for text, lang in rows:
+        text = text or ""
+        n_words, *_, repeated = naive_base(text)
+        ids, other = pieces.encode(text), multi.encode_ordinary(text)
+        share = [ids.count(i) / len(ids) for i in set(ids)]
+        m = {
+            "chars_per_token": len(text) / len(ids), "byte_share": sum(bool(is_byte[i]) for i in ids) / len(ids), "entropy": -sum(p * np.log2(p) for p in share),
+            "multi_chars_per_token": len(text) / len(other), "multi_byte_share": sum(bool(single[i]) for i in other) / len(other),
+        } if ids else {}
+        found.append((m, n_words < 50 or 100 * repeated > 50 * n_words, lang or "script " + quality.script(text), len(ids)))
+    verdicts = []
+    for m, failed, group, n in found:
+        kept = not failed
+        for c, least in quality.LEAST_SPREAD.items():
+            if not kept:
+                break
+            held = sorted(round(o[c], 3) for o, f, g, _ in found if g == group and not f)
+            low, high = held[-(-len(held) // 4) - 1], held[-(-3 * len(held) // 4) - 1]
+            far = max(high - low, least) * quality.REACH * (1 + quality.SHORT / max(1, n)) ** 0.5
+            kept = not ("below" in quality.SIDES[c] and m[c] < low - far or "above" in quality.SIDES[c] and m[c] > high + far)
+        verdicts.append((m, kept))
+    return verdicts
+
+
+def test_quality_verdicts_against_a_plain_version(spark):
+    rng = np.random.default_rng(31)
+    english, german = "the of water house went under many people found little north garden stone light".split(), "der die das und nicht straße über mädchen größe wasser haus".split()
+    junk = lambda: " ".join("".join(map(chr, rng.integers(0x21, 0x7E, 8))) for _ in range(70))
+    rows = [(" ".join(rng.choice(english, rng.integers(40, 160))), "en") for _ in range(50)] + [(" ".join(rng.choice(german, rng.integers(55, 120))), "de") for _ in range(30)]
+    rows += [(junk(), "en") for _ in range(6)] + [(junk() + " ж中é" * 30, "de"), ("the " * 90, "en"), (None, "en"), ("", None)]
+    rows += [(" ".join(rng.choice(["вода", "дом", "большой", "люди", "камень", "свет"], 70)), None) for _ in range(12)] + [(" ".join(rng.choice(english, 30_000)), "en"), rows[0], rows[0]]
+    df = docs(spark, [(None if i == 3 else i, t, lang) for i, (t, lang) in enumerate(rows)])
+    for clash in ("kept", "entropy", "n_words", "script"):
+        df = df.withColumn(clash, F.lit("clash"))
+    got = {-1 if r["doc_id"] is None else r["doc_id"]: r for r in quality.rules(df).collect()}
+    want = plain_verdicts(rows)
+    assert {k for _, k in want} == {True, False} and sum(not k for _, k in want[:86]) >= 6
+    for i, (measures, kept) in enumerate(want):
+        r = got[-1 if i == 3 else i]
+        assert r["kept"] == kept, (i, rows[i][0][:60], measures)
+        for c, value in measures.items():
+            assert r[c] == pytest.approx(value, abs=1e-9)
+
+
 # ---- licenses --------------------------------------------------------------------------------------
 
 
