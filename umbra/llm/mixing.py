@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, materialise
+from .common import free_names, join_small, materialise
 
 MAX_REPEATS = 2.0
 BLOCK_TOKENS = 1 << 20
@@ -144,7 +144,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     Nulls, ties, repeated rows, long texts and empty tables as in ``plan``; every column of a row
     comes along unchanged.
     """
-    own, block, order = "__umbra_row", "__umbra_block", "__umbra_order"
+    own, block, order = free_names(docs, "__umbra_row", "__umbra_block", "__umbra_order")
     taken = plan(docs, **how).select(F.col("key").alias(own), F.col("block").alias(block), F.xxhash64("key", "epoch", F.lit(SEED + 1)).alias(order))
     rows = docs.withColumn(own, unit_key()).join(taken, own)
     return rows.sortWithinPartitions(block, order).select(*docs.columns)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, materialise
+from .common import arrow_pass, free_names, materialise
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -387,9 +387,12 @@ def components_of(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that stay when each class keeps the row with its smallest doc_id.
 
-    Repeated rows (one id, one text) stay once; null and blank texts stay.
+    Repeated rows (one id, one text) stay once; null and blank texts stay.  Of a class whose
+    smallest id has several of its texts the one with the smallest digest stays; texts without an
+    id stay if their class has none with one.  An empty table stays empty; other columns,
+    whatever their names, come along.
     """
-    own = "__umbra_row"
+    (own,) = free_names(docs, "__umbra_row")
     key = lambda doc_id, digest: F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("null")), F.lower(F.coalesce(digest, F.lit("blank")))))
     found = components_of(docs, threshold)
     stay = found.where(F.col("digest").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id")))
