@@ -18,6 +18,7 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark import TaskContext
@@ -138,9 +139,8 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.cache) > CACHE_WORDS:
             self.old, self.cache = self.cache, {}
-        out: list[bytes | list] = []
-        gaps: list[tuple[list, list[str], list[int]]] = []
-        look = self.cache.get
+        out: list[bytes | list[str]] = []
+        met: set[str] = set()
         for text in texts:
             if self.plain(text):  # a stop is always a word of its own, and case is lost anyway
                 words = text.lower().replace(",", " , ").replace(".", " . ").split()
@@ -149,17 +149,13 @@ class WordEncoder:
             if words is None:
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
                 out.append(struct.pack(f"<{len(ids)}I", *ids))
-                continue
-            found = list(map(look, words))
-            if None in found:
-                gaps.append((found, words, [i for i, x in enumerate(found) if x is None]))
-            out.append(found)
-        if gaps:
-            self.learn({words[i] for _, words, missing in gaps for i in missing})
-            for found, words, missing in gaps:
-                for i in missing:
-                    found[i] = look(words[i])
-        return [x if isinstance(x, bytes) else b"".join(x) for x in out]
+            else:
+                met.update(words)
+                out.append(words)
+        if new := met.difference(self.cache):
+            self.learn(new)
+        of = self.cache.__getitem__
+        return [x if isinstance(x, bytes) else b"".join(map(of, x)) for x in out]
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -201,43 +197,64 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, seq: int = SEQ) -> Dat
 # ---- the linear program -------------------------------------------------------------------
 
 
+@lru_cache(maxsize=4)
+def _halves(capacity: int) -> np.ndarray:
+    """For each room and each smaller half of it the larger half; where there is none, the place behind the last room."""
+    room, small = np.arange(capacity + 1)[:, None], np.arange(capacity // 2 + 1)[None, :]
+    return np.where(2 * small <= room, room - small, capacity + 1)
+
+
 def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The most valuable multiset of items within ``capacity``: (value, copies of each item)."""
+    """The most valuable multiset of items within ``capacity``: (value, copies of each item).
+
+    The dynamic program doubles the number of items: the best of at most 2n in each room are the
+    best of at most n in two rooms that fill it, until twice as many are worth no more.
+    """
+    single = np.full(capacity + 1, -1)
     best = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1)
-    order = np.argsort(sizes, kind="stable")
-    sorted_sizes = sizes[order]
-    for room in range(1, capacity + 1):
-        best[room] = best[room - 1]
-        fits = order[: np.searchsorted(sorted_sizes, room, "right")]
-        if len(fits):
-            gains = best[room - sizes[fits]] + values[fits]
-            k = int(gains.argmax())
-            if gains[k] > best[room] + 1e-12:
-                best[room], choice[room] = gains[k], fits[k]
+    for i in np.lexsort((values, sizes)):  # the most valuable of a size last
+        if sizes[i] <= capacity and values[i] > best[sizes[i]]:
+            best[sizes[i]], single[sizes[i]] = values[i], i
+    # The best within a room, not just of its size.
+    widest = np.maximum.accumulate(best)
+    single = single[np.maximum.accumulate(np.where(best == widest, np.arange(capacity + 1), 0))]
+    best, halves, splits = widest, _halves(capacity), []
+    while True:
+        both = best[None, : halves.shape[1]] + np.append(best, -np.inf)[halves]
+        split = both.argmax(axis=1)
+        twice = both[np.arange(capacity + 1), split]
+        if not (twice > best + 1e-12).any():
+            break
+        best = twice
+        splits.append(split)
     copies = np.zeros(len(sizes), int)
-    room = capacity
-    while room > 0:
-        if choice[room] < 0:
-            room -= 1
-        else:
-            copies[choice[room]] += 1
-            room -= sizes[choice[room]]
+    rooms = [(capacity, len(splits))]
+    while rooms:
+        room, level = rooms.pop()
+        if level:
+            small = int(splits[level - 1][room])
+            rooms += [(small, level - 1), (room - small, level - 1)]
+        elif single[room] >= 0:
+            copies[single[room]] += 1
     return float(best[capacity]), copies
 
 
 def relax(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Column generation: patterns (one column each) and their fractional counts.
 
-    Stops at an optimal basis, or once the knapsack's bound (objective over best price) shows
-    that the objective is within ``gap`` of the optimum.  Rounding errors can only cost a little
-    padding, as the caller never takes more of a class than there is.
+    Stops at an optimal basis, or once the objective is within ``gap`` of a bound of the optimum:
+    the demand's whole size over the capacity, or the knapsack's (objective over best price).
+    Rounding errors can only cost a little padding, as the caller never takes more of a class
+    than there is.
     """
     m = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))
     x = demand / np.diag(basis)
+    enough = float(demand @ sizes) / capacity * (1 + gap)
     for _ in range(40 * m + 100):
+        if x.sum() <= enough:
+            break
         duals = inverse.sum(axis=0)
         price, copies = knapsack(duals, sizes, capacity)
         if price <= 1 + gap:
