@@ -202,13 +202,18 @@ def naive_license(text):
         places += at
         labels |= {label} if at else set()
     base = sorted(labels)
-    for line in low.split("\n"):
-        held = set(re.findall(licenses.WORD, line))
+    for paragraph in re.split(r"\n[ \t\r\f\n]*\n", low):
+        inside = re.findall(licenses.WORD, paragraph)
+        held = [set(re.findall(licenses.WORD, line)) for line in paragraph.split("\n")]
         for label, template in licenses.TEMPLATES:
-            t = set(re.findall(licenses.WORD, template.lower()))
-            if len(t & held) >= licenses.CONTAINMENT * len(t) - 1e-9:
-                labels.add(label)
-                best = max(best, len(t & held) / len(t))
+            listed = re.findall(licenses.WORD, template.lower())
+            t, span = set(listed), -(-len(listed) * 10 // 9)
+            if len(t & set(inside)) < licenses.CONTAINMENT * len(t) - 1e-9:
+                continue
+            for words_there in held + [set(inside[i : i + span]) for i in range(len(inside))]:
+                if len(t & words_there) >= licenses.CONTAINMENT * len(t) - 1e-9:
+                    labels.add(label)
+                    best = max(best, len(t & words_there) / len(t))
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(base), ",".join(sorted(labels)), max(best, 1.0 if base else 0.0)
 
 
@@ -216,7 +221,8 @@ def test_licenses_against_brute_force(spark):
     rng = np.random.default_rng(2)
     pool = [w for _, t in licenses.TEMPLATES for w in t.split()] + ["MIT", "License", "APACHE", "General", "Public", "é", "İ", "K", "x1"]
     texts = ["".join(w + s for w, s in zip(rng.choice(pool, 60), rng.choice([" ", ", ", "\n", "-", "  "], 60, p=[0.7, 0.1, 0.05, 0.1, 0.05]))) for _ in range(60)]
-    texts += [None, "", "mit license mit license", "the MIT\nLicense.", "submit license", t[1] if (t := licenses.TEMPLATES[3]) else ""]
+    texts += [None, "", "mit license mit license", "the MIT\nLicense.", "submit license", licenses.TEMPLATES[3][1]]
+    texts += ["\n".join(textwrap.wrap(t, 30)) + "\n\n" + " ".join(rng.permutation(t.split())) for _, t in licenses.TEMPLATES]
     texts += [f"a b c {t.upper()} d" for _, t in licenses.TEMPLATES] + ["word " * 5000 + licenses.TEMPLATES[0][1]]
     got = {r["doc_id"]: tuple(r)[1:] for r in licenses.scan(docs(spark, [(i, t) for i, t in enumerate(texts)])).collect()}
     for i, t in enumerate(texts):
@@ -238,10 +244,26 @@ def test_license_phrases_of_a_long_text_in_linear_time(spark):
     assert time.perf_counter() - began < 120
 
 
+def test_license_sql_sees_wrapped_notices_too(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(8)
+    texts = ["\n".join(textwrap.wrap(f"Some words. {t} More words.", 35)) for _, t in licenses.TEMPLATES] + [None, "", "MIT License", "x\n\n" + " ".join(rng.permutation(licenses.TEMPLATES[1][1].split()))]
+    df = docs(spark, list(enumerate(texts)))
+    df.write.parquet(f"{tmp_path}/d.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/d.parquet/*.parquet')")
+    want = con.execute(licenses.oracle()).df().sort_values("doc_id").astype(object).where(lambda x: x.notna(), None)
+    got = licenses.scan(df).orderBy("doc_id").collect()
+    columns = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    assert [tuple(r[c] for c in columns) for r in got] == [pytest.approx(tuple(r)) for r in want[list(columns)].itertuples(index=False)]
+    assert all(label in got[i]["labels"].split(",") for i, (label, _) in enumerate(licenses.TEMPLATES))
+
+
 def test_wrapped_license_notices(spark):
     wrap = lambda t, prefix: "\n".join(textwrap.wrap("Here follows what holds for it. " + t, 40, initial_indent=prefix, subsequent_indent=prefix))
     texts = [wrap(t, p) for _, t in licenses.TEMPLATES for p in ("", " * ", "# ")]
-    bsd = dict((label, t) for label, t in licenses.TEMPLATES)["bsd"].split()
+    bsd = next(t for label, t in licenses.TEMPLATES if label == "bsd").split()
     # Nothing to find: half a notice, the other half in another paragraph, or far behind.
     far = "\n".join(["other words of this line"] * 12)
     none = ["\n \n".join([" ".join(bsd[:10]), " ".join(bsd[10:])]), "\n".join([" ".join(bsd[:10]), far, " ".join(bsd[10:])]), " ".join(bsd[:10])]

@@ -24,19 +24,32 @@ CONTAINMENT = 0.9
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: License notices by label; a block is compared with the distinct words of each.
+# License notices by label, as the public licenses have them, paragraph by paragraph, and
+# the short forms in which files name a license; a block is compared with the distinct words of each.
 TEMPLATES = (
     ("apache-2.0", "licensed under the apache license version 2.0"),
+    ("apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
+    ("apache-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
     ("lgpl", "licensed under the gnu lesser general public license"),
     ("cc-by-4.0", "this work is licensed under a creative commons attribution 4.0 international license"),
     ("cc-by-nc-4.0", "licensed under cc by nc 4.0"),
     ("cc-by-sa-4.0", "licensed under cc by sa 4.0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2.0"),
+    ("mpl-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
     ("proprietary", "all rights reserved no part of this publication may be reproduced without the prior written permission of the publisher"),
 )
 
@@ -145,11 +158,12 @@ def containment_join(docs: DataFrame, key: str, templates=TEMPLATES) -> DataFram
     # One row for each template and word of its prefix: at most the templates' words, whatever the corpus.
     index = [(w, t.number, t.label, at, t.need, t.span, t.words) for t in ordered for at, w in enumerate(t.prefix)]
     prefixes = F.broadcast(_values(docs, "word string, template int, label string, at int, need int, span int, template_words array<string>", index))
-    least = min(t.need for t in ordered)
-    # Of a block's words only the templates' go on, each once.
-    known = F.array(*[F.lit(w) for w in sorted({w for t in ordered for w in t.words})])
-    known_of = blocks(docs, key).select("key", "block", "paragraph", F.array_intersect("words", known).alias("words")).where(F.size("words") >= least)
-    held = known_of.select("key", "block", "paragraph", "words", F.explode("words").alias("word")).join(prefixes, "word")
+    some = lambda words: F.array(*[F.lit(w) for w in sorted(words)])
+    rarest, known = some({w for t in ordered for w in t.prefix}), some({w for t in ordered for w in t.words})
+    # Only blocks with a word of a prefix go on, and of their words only the templates', each once.
+    hit = blocks(docs, key).withColumn("rare", F.array_intersect("words", rarest)).where(F.size("rare") > 0)
+    hit = hit.select("key", "block", "paragraph", "rare", F.array_intersect("words", known).alias("words"))
+    held = hit.select("key", "block", "paragraph", "words", F.explode("rare").alias("word")).join(prefixes, "word")
     # Length and position: words enough in the block, and words enough of the template from this one on.
     held = held.where((F.size("words") >= F.col("need")) & (F.size("template_words") - F.col("at") >= F.col("need")))
     # A block meets a template at the first prefix word that it holds.
@@ -205,8 +219,8 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
 
 
 def oracle(templates=TEMPLATES) -> str:
-    """DuckDB SQL for ``scan`` over the view documents, comparing every line with every template; it does not see wrapped notices."""
-    values = ", ".join(f"('{label}', {_split(text)!r})" for label, text in templates)
+    """DuckDB SQL for ``scan`` over the view documents: every paragraph with every template, by its lines and by its runs of words."""
+    values = ", ".join(f"('{label}', {_split(text)!r}, {Template(0, label, (), len(re.findall(WORD, text.lower()))).span})" for label, text in templates)
     phrase = " union all ".join(
         f"select r, i - 1 as place, '{label}' as label from tokens, unnest(range(1, len(w) + 1)) as u(i) where "
         + " and ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split()))
@@ -217,13 +231,13 @@ with rows as (select row_number() over () as r, doc_id, translate(coalesce(text,
 tokens as (select r, regexp_extract_all(text, '{WORD}') as w from rows),
 places as ({phrase}),
 base as (select r, count(*) as n_base, min(place) as first_word, max(place) as last_word, list(distinct label) as base from places group by r),
-templates(label, words) as (values {values}),
-lines as (select r, list_distinct(regexp_extract_all(line, '{WORD}')) as w from (select r, unnest(string_split(text, chr(10))) as line from rows)),
-matched as (
-  select r, list(distinct label) as more, max(share) as best from (
-    select r, label, len(list_intersect(w, words)) / len(words) as share, len(list_intersect(w, words)) as n, len(words) as size
-    from lines, templates where len(w) > 0)
-  where n >= ceil({CONTAINMENT} * size - 1e-9) group by r)
+templates as (select label, words, span, ceil({CONTAINMENT} * len(words) - 1e-9) as need from (values {values}) as t(label, words, span)),
+paragraphs as (select r, p, regexp_extract_all(p, '{WORD}') as w from (select r, unnest(regexp_split_to_array(text, '\n[ \t\r\f\n]*\n')) as p from rows)),
+held as (select r, p, w, label, words, span, need from paragraphs, templates where len(list_intersect(list_distinct(w), words)) >= need),
+measured as (select r, label, need, len(words) as size, greatest(
+    list_max(list_transform(string_split(p, chr(10)), lambda x: len(list_intersect(list_distinct(regexp_extract_all(x, '{WORD}')), words)))),
+    list_max(list_transform(range(1, len(w) + 1), lambda i: len(list_intersect(list_distinct(w[i:i + span - 1]), words))))) as n from held),
+matched as (select r, list(distinct label) as more, max(n / size) as best from measured where n >= need group by r)
 select doc_id, len(w) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
   array_to_string(list_sort(coalesce(base, [])), ',') as base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(more, [])))), ',') as labels,
