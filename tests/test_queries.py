@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def plain(v):
-    if v is None or v is pd.NaT or isinstance(v, float) and math.isnan(v):
+    if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and math.isnan(v):
         return None
     if isinstance(v, pd.Timestamp):
         return str(v.tz_localize(None) if v.tzinfo else v)
