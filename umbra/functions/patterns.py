@@ -73,7 +73,7 @@ RULES = (
 )
 BY_NAME = {r.name: r for r in RULES}
 
-#: A value that only refers to a secret.
+# Fixed value: a value that only refers to a secret.
 VARIABLE = r"^(?:\$\{[A-Za-z_][A-Za-z0-9_]*\}|\$[A-Z_][A-Z0-9_]*)$"
 #: Strict dotted quads: no part over 255, none with a leading zero.
 QUAD = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
@@ -85,8 +85,7 @@ US_STATES = "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI M
 UK_AREAS = "AB AL B BA BB BD BF BH BL BN BR BS BT CA CB CF CH CM CO CR CT CV CW DA DD DE DG DH DL DN DT DY E EC EH EN EX FK FY G GL GU GY HA HD HG HP HR HS HU HX IG IM IP IV JE KA KT KW KY L LA LD LE LL LN LS LU M ME MK ML N NE NG NN NP NR NW OL OX PA PE PH PL PO PR RG RH RM S SA SE SG SK SL SM SN SO SP SR SS ST SW SY TA TD TF TN TQ TR TS TW UB W WA WC WD WF WN WR WS WV YO ZE".split()
 PROVINCES = "AB BC MB NB NL NS NT NU ON PE QC SK YT".split()
 
-# Top-level domains: the root zone (``tlds.ROOT_ZONE``) and the suffixes of private networks.
-# The generic ones listed here serve the SQL only, which takes every two-letter one besides.
-GENERIC_TLDS = "com net org edu gov mil int info biz name pro aero coop museum jobs mobi travel tel cat asia post app dev page cloud online site store shop blog tech xyz club live news media agency company email digital network systems solutions services software support group team work works world today zone space website host hosting domains email design studio photo photos pictures video audio music film games game play fun art gallery academy education school college university training institute health care clinic dental doctor hospital law legal lawyer attorney finance financial bank money fund capital credit insurance tax accountant accountants business enterprises industries international global consulting marketing social community chat link links click download run new zip mov pub fish show read save map data bot ai bio eco green energy solar house homes estate land property properties rent apartments hotel restaurant cafe bar pizza food coffee beer wine fashion shoes clothing jewelry".split()
+# Suffixes of private networks, and top-level domains (the root zone is in ``tlds``)
+# that are also the ends of file names and fields.
 PRIVATE_TLDS = "internal local localdomain lan corp home".split()
 AMBIGUOUS_TLDS = "md sh py rs pl pm cc so tf ps in am ml mk zip mov pub fish id name email info app run store data map page link local new save show read play live".split()

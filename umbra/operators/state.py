@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 # The bounds of the stores.
 MOST_VALUES, MOST_BYTES = 4096, 1 << 20
 IDLE = "INTERVAL 1 HOUR"
@@ -92,23 +94,26 @@ def chain_misses(gets: DataFrame, puts: DataFrame, scope: Sequence[str], id: str
 
 
 def kept_chains(puts: DataFrame, by: Sequence[str] = (), ts: str = "ts", most: int = MOST_CHAINS) -> DataFrame:
-    """The most recent ``most`` entries of a store."""
-    return puts.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(ts), *[c for c in puts.columns if c != ts]))).where(F.col("rank") <= most)
+    """The most recent ``most`` entries of a store, with their rank."""
+    order = [F.desc(ts), *[c for c in puts.columns if c != ts]]
+    # One store for all: each task keeps its most recent, and only those meet.
+    recent = puts if by else puts.orderBy(*order).limit(most)
+    return recent.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= most)
 
 
 def chain_roots(links: DataFrame, child: str = "id", parent: str = "parent", rounds: int = 32) -> DataFrame:
     """(id, root, depth): the chain's first response for each, by pointer jumping; every round doubles the reach."""
-    from ..sources.tables import written
-
-    at = links.select(F.col(child).alias("id"), F.coalesce(F.col(parent), F.col(child)).alias("root"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("depth"))
+    at = written(links.select(F.col(child).alias("id"), F.coalesce(F.col(parent), F.col(child)).alias("root"), F.when(F.col(parent).isNull(), 0).otherwise(1).cast("long").alias("depth")))
     for _ in range(rounds):
-        at = written(at)
         up = at.select(F.col("id").alias("u"), F.col("root").alias("next"), F.col("depth").alias("more"))
         stepped = at.join(up, F.col("root") == F.col("u"), "left")
-        if not stepped.where("next is not null and next != root").limit(1).count():
+        moved = F.coalesce(F.col("next") != F.col("root"), F.lit(False)).alias("moved")
+        # Tables of their own on both sides: many may hang on one root, and the join can be split there.
+        at = written(stepped.select("id", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.when(F.col("next") != F.col("root"), F.col("more")).otherwise(0)).alias("depth"), moved))
+        if not at.where("moved").limit(1).count():
             break
-        at = stepped.select("id", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-    return at
+        at = at.drop("moved")
+    return at.select("id", "root", "depth")
 
 
 def authenticate(requests: DataFrame, tokens: DataFrame, token: str = "token") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import scalars
+from ..functions.tlds import ROOT_ZONE
 from ..functions.spans import find_all, resolve, value_of
 from ..operators import admission, detect, metrics, state, vault, walk
 from ..operators.terms import Terms
@@ -44,7 +45,7 @@ def _q(pattern: str) -> str:
 
 # ---- detectors over the tables' own texts ---------------------------------------------------
 
-_TLD_SQL = f"(regexp_matches(lower(t), '^[a-z]{{2}}$') or lower(t) in {_sql_list(P.GENERIC_TLDS + P.PRIVATE_TLDS)})"
+_TLD_SQL = f"lower(t) in {_sql_list([*ROOT_ZONE, *P.PRIVATE_TLDS])}"
 _ENTROPY_SQL = """(select -sum(n / length(v) * log2(n / length(v))) from (select count(*)::double as n from (select unnest(string_split(v, '')) as c) where c != '' group by c))"""
 _WORDISH_SQL = "coalesce(list_sum(list_transform(regexp_extract_all(v, '[a-z]{3,}'), lambda x: length(x))), 0) / length(v)"
 
@@ -86,6 +87,20 @@ def detect_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(_documents(spark, sf_dir), "doc_id", ("keyword",))
 
 
+def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")))
+
+
+@query(_matches_sql("email", _TLD_SQL, "pages", "page_id", "html"))
+def detect_email_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(_html(spark, sf_dir), "page_id", ("email",))
+
+
+@query(_matches_sql("ipv4", f"regexp_matches(v, {_q(P.STRICT_IPV4)}) and v not in {_sql_list(P.ALLOWED_IPS)}", "pages", "page_id", "html"))
+def detect_ipv4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(_html(spark, sf_dir), "page_id", ("ipv4",))
+
+
 @query(_matches_sql("entropy", f"regexp_matches(v, '[A-Z]') and regexp_matches(v, '[a-z]') and regexp_matches(v, '[0-9]') and not (contains(v, '/') and regexp_matches(v, '(^|/)[a-z]{{3,}}(/|$)')) and {_ENTROPY_SQL} >= 4.0 and {_WORDISH_SQL} < 0.6", "(select doc_id, concat(text, ' aB3', sha256(text), 'Zq9/K') as text from documents)"))
 def detect_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", F.concat("text", F.lit(" aB3"), F.sha2("text", 256), F.lit("Zq9/K")).alias("text"))
