@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import join_small, materialise
+
 CONTAINMENT = 0.9
 # A word, and the phrases with their labels.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -206,7 +208,8 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     out = out.select("key", "doc_id", "n_words", n_base.alias("n_base"), F.least(*[p["first"] for p in every]).alias("first_word"), F.greatest(*[p["last"] for p in every]).alias("last_word"), base.alias("base"))
     matched = containment_join(rows, "key", templates).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     none = F.array().cast("array<string>")
-    return out.join(matched, "key", "left").select(
+    # A table of its own: of few rows as a rule, and rows of one id and text may be very many.
+    return join_small(out, materialise(matched), "key", "left").select(
         "doc_id",
         "n_words",
         "n_base",

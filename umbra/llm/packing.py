@@ -30,7 +30,7 @@ from .common import arrow_pass, join_small, materialise, worker_cache
 SEQ = 2048
 #: Lengths are rounded up to this many tokens for the size classes.
 UNIT = 8
-#: Ranks within a class are counted in this many hash buckets, so that a hot class is split.
+#: Ranks within a class are counted in this many buckets, so that a hot class is split, be all of it one row repeated.
 BUCKETS = 256
 #: Closes each document.
 END_ID = 1
@@ -159,8 +159,8 @@ class WordEncoder:
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Names a full piece, which needs no company: its task, and its number there.  Null for others.
-PLACE = "part long, nth long"
+#: The piece's task and, of full pieces, which need no company, the number there (else null); a bucket that every task deals out in turn.
+PLACE = "part long, nth long, bucket int"
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, seq: int = SEQ) -> DataFrame:
@@ -177,16 +177,16 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, seq: int = SEQ) -> Dat
         if path not in loaded:
             loaded[path] = WordEncoder(path)
         encoder = loaded[path]
-        part, full = TaskContext.get().partitionId(), 0
+        part, full, dealt = TaskContext.get().partitionId(), 0, 0
         for chunk in chunks:
-            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth")}
+            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth", "bucket")}
             for doc_id, ids in zip(chunk["doc_id"], encoder.encode([t or "" for t in chunk["text"]])):
                 data = memoryview(ids + end)
                 total = len(data) // 4
                 for start in range(0, total, seq):
                     stop = min(start + seq, total)
-                    place = (part, full) if stop - start == seq else (None, None)
-                    full += stop - start == seq
+                    place = (part, full if stop - start == seq else None, (part * 31 + dealt) % BUCKETS)
+                    full, dealt = full + (stop - start == seq), dealt + 1
                     for name, value in zip(out, (doc_id, start, stop - start, zlib.crc32(data[4 * start : 4 * stop]), total, *place)):
                         out[name].append(value)
             yield out
@@ -341,11 +341,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, seq: int = SEQ, unit: in
     ranked nor shuffled, and a rest.
     """
     whole = materialise(pieces(docs, tokenizer, seq))
-    cut = (
-        whole.where("nth is null")
-        .withColumn("size_class", F.ceil(F.col("length") / F.lit(unit)).cast("int"))
-        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(BUCKETS)).cast("int"))
-    )
+    cut = whole.where("nth is null").withColumn("size_class", F.ceil(F.col("length") / F.lit(unit)).cast("int"))
     # Bounded by seq / unit * BUCKETS rows, whatever the corpus.
     counted = cut.groupBy("size_class", "bucket").count().collect()
     counts = np.zeros((seq // unit + 1, BUCKETS), np.int64)
