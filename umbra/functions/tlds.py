@@ -1,4 +1,4 @@
-"""The root zone's top-level domains, version 2026093000, as the reference has them."""
+"""The root zone's top-level domains, version 2026093000."""
 
 # 1438 names.
 ROOT_ZONE = """
