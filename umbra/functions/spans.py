@@ -75,8 +75,7 @@ def candidates(text: Column, rules: list[tuple[int, Rule]], keep) -> Column:
     fields = ("kind", "rule", "priority", "ord")
     spans = F.flatten(F.transform(found, lambda x: F.transform(_places(x["marked"], x["r"]["tail"]), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), *[x["r"][c].alias(c) for c in fields], m["value"].alias("value")))))
     kept = F.filter(spans, keep)
-    made = F.transform(kept, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "end", *fields)]))
-    return F.when(F.size(found) == 0, no_spans()).otherwise(made)
+    return F.transform(kept, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "end", *fields)]))
 
 
 def resolve(candidates: Column) -> Column:
