@@ -227,11 +227,36 @@ def detect_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- span algebra, scanning, vaults ------------------------------------------------------------
 
 
+def _spans_sql() -> str:
+    """spans(doc_id, text, pos, len, v, kind, rule): where the three kinds stand that the tables' documents hold; positions are sums of the lengths of matches and gaps before."""
+    keep = {
+        "email": f"(select {_TLD_SQL} from (select string_split(v, '.')[-1] as t))",
+        "ipv4": f"regexp_matches(v, {_q(P.STRICT_IPV4)}) and v not in {_sql_list(P.ALLOWED_IPS)}",
+        "keyword": f"not regexp_matches(v, {_q(P.VARIABLE)})",
+    }
+    parts, names = [], []
+    for rule, holds in keep.items():
+        r = P.BY_NAME[rule]
+        group = 1 if r.group else 0
+        parts.append(f"""
+{rule}_found as (select doc_id, text, regexp_extract_all(text, {_q(r.re2)}) as m, regexp_extract_all(text, {_q(r.re2)}, {group}) as vs, regexp_split_to_array(text, {_q(r.re2)}) as gaps from documents),
+{rule}_each as (select doc_id, text, unnest(vs) as v, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(gaps[1:i], lambda g: length(g))) + list_sum(list_transform(m[1:i], lambda x: length(x))))) as stop from {rule}_found where len(m) > 0)""")
+        names.append(f"select doc_id, text, stop - length(v) as pos, length(v) as len, v, '{r.kind}' as kind, '{r.name}' as rule from {rule}_each where {holds}")
+    return ",".join(parts).strip() + ",\nspans as (" + " union all ".join(names) + ")"
+
+
 def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.detect(_documents(spark, sf_dir))
 
 
-@query()
+@query(f"""
+with {_spans_sql()},
+firsts as (select doc_id, v, arg_min(kind, pos) as kind, min(pos) as p from spans group by doc_id, v),
+numbers as (select doc_id, v, '[REDACTED_' || kind || '_' || row_number() over (partition by doc_id, kind order by p) || ']' as placeholder from firsts),
+parts as (select *, lag(pos + len, 1, 0) over (partition by doc_id order by pos) as gone from spans join numbers using (doc_id, v)),
+done as (select doc_id, string_agg(substr(text, (gone + 1)::bigint, (pos - gone)::bigint) || placeholder, '' order by pos) || substr(any_value(text), (max(pos + len) + 1)::bigint) as redacted, count(*) as n from parts group by doc_id)
+select d.doc_id, coalesce(redacted, text) as redacted, coalesce(n, 0) as n_spans, length(text) as n_chars from documents d left join done using (doc_id)
+""")
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document redacted with a vault of its own, and its counts."""
     found = detected(spark, sf_dir)
@@ -269,7 +294,10 @@ def explain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.explain(found, ["doc_id"]).select("doc_id", F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("col"), "value")
 
 
-@query()
+@query(f"""
+with {_spans_sql()}, s as (select *, substr(text, 1, pos::bigint) as b from spans)
+select doc_id, row_number() over (partition by doc_id order by pos) - 1 as n, length(b) - length(replace(b, chr(10), '')) + 1 as line, length(string_split(b, chr(10))[-1]) + 1 as col, kind, rule, v as value from s
+""")
 def explain_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line and column of every span of every document."""
     found = files.explain(detected(spark, sf_dir), ["doc_id"])
