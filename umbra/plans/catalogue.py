@@ -404,7 +404,11 @@ def json_in_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", F.regexp_extract("path", r"arguments\.(.*)$", 1).alias("path"), "text")
 
 
-@query()
+@query(f"""
+with t as (select conv_id, turn, role, case when turn = 0 then 'password=[REDACTED_SECRET_1]' || chr(10) || text else text || ' [REDACTED_SECRET_1]' end as said from conversations),
+b as (select conv_id, '{{"messages":[' || string_agg('{{"content":' || to_json(said)::varchar || ',"role":' || to_json(role)::varchar || '}}', ',' order by turn) || '],"model":"m","system":' || to_json({_q(walk.NOTE)})::varchar || '}}' as body, count(*) as n from t group by conv_id)
+select conv_id, length(body) as n_chars, n as n_placeholders, false as leaked from b
+""")
 def request_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole requests in two passes, with a password planted in each conversation's first turn."""
     turns = table(spark, sf_dir, "conversations")
