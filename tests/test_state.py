@@ -184,6 +184,8 @@ def test_many_files_are_one_scan_and_redacted_texts_are_written(spark, tmp_path)
     for i in range(30):
         (tmp_path / f"f +%{i}.txt").write_text(f"mail a{i}@mail.com")
         paths.append(f"{tmp_path}/f +%{i}.txt")
+    with pytest.raises(ValueError, match="one file"):
+        files.read_texts(spark, [f"{tmp_path}"])
     docs = files.read_texts(spark, [*paths, paths[3]])
     assert docs.inputFiles() and len(docs._jdf.queryExecution().optimizedPlan().collectLeaves().toString().split("Relation")) - 1 == 1
     rows = sorted((r["file_ord"], r["file"], r["text"]) for r in docs.collect())
