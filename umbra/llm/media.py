@@ -229,5 +229,5 @@ def digest(docs: DataFrame) -> DataFrame:
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), features(payload, found)
 
     gear = _gear()
-    lists = materialise(deduplicate(store(docs, path)))
-    return rebuild(lists, path, made, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    # Read back as dealt: a table between would be read by the size of the lists, which is small.
+    return rebuild(deduplicate(store(docs, path)), path, made, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
