@@ -39,8 +39,6 @@ END_ID = 1
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words in each of the two generations of the cache; a word that is met again moves to the younger one.
 CACHE_WORDS = 450_000
-#: Ends of words that the tokenizer's pattern always separates from letters.
-TAIL = ".,;:!?"
 
 
 def default_tokenizer() -> str:
@@ -61,11 +59,14 @@ class WordEncoder:
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.normalise = self.tokenizer.normalizer.normalize_str
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
@@ -83,32 +84,25 @@ class WordEncoder:
             self.cache[w] = struct.pack(f"<{len(enc.ids)}I", *enc.ids)
 
     def fill_letters(self, words: list[str]) -> None:
-        """As ``fill`` for words of letters: they go through the tokenizer as one text, cut where a token ends a word."""
-        (whole,) = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        """As ``fill`` for words of letters in their normal form: they go through the vocabulary as one text, cut where a token ends a word."""
+        (whole,) = self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)
         ids = np.asarray(whole.ids, "<u4")
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(words):
             return self.fill(words)
-        data, at = ids.tobytes(), 0
-        for w, end in zip(words, (4 * ends).tolist()):
-            self.cache[w] = data[at:end]
-            at = end
+        data = ids.tobytes()
+        ends *= 4
+        self.cache.update(zip(words, map(data.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist()))))
 
     def learn(self, words: set[str]) -> None:
-        """Put new words in the cache: one of letters with stops behind it is made of two."""
-        parts, odd = {}, {""}
+        """Put new words in the cache, of which those of letters alone need neither be normalised nor split any more."""
         known = words.intersection(self.old)
         self.cache.update((w, self.old[w]) for w in known)
-        for w in words - known:
-            core = w.rstrip(TAIL)
-            if core.isalpha() and "İ" not in core:
-                parts[w] = (core.lower() if core.isascii() else core, w[len(core) :])
-            else:
-                odd.add(w)
-        self.fill_letters(list({core for core, _ in parts.values()}.difference(self.cache)))
-        self.fill(list({tail for _, tail in parts.values()}.union(odd).difference(self.cache)))
-        for w, (core, tail) in parts.items():
-            self.cache[w] = self.cache[core] + self.cache[tail]
+        words = words - known
+        letters = list(filter(str.isalpha, words))
+        if letters:
+            self.fill_letters(letters)
+        self.fill(list(words.difference(letters)))
 
     def words_of(self, text: str) -> list[str] | None:
         """The words of a text, None if it must be encoded as a whole.
