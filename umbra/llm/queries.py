@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, intervals, langid, licenses, media, mixing, neardup, packing, pii, quality, warc
+from . import chat, intervals, langid, licenses, media, mixing, neardup, packing, periods, pii, quality, warc
 from .common import table
 
 
@@ -61,6 +61,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in all documents, of which a tenth are stretched first."""
+    return periods.digest(table(spark, sf_dir, "documents"))
+
+
 def op12_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales and the sessions of their clients, by relation."""
     return intervals.join_tables(spark, sf_dir)
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_personal_data": op9_personal_data,
     "op10_packing": op10_packing,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_interval_join": op12_interval_join,
 }
 
