@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, intervals, langid, licenses, media, mixing, neardup, packing, periods, pii, quality, warc
+from . import chat, intervals, langid, licenses, media, mixing, neardup, packing, periods, pii, quality, repeats, warc
 from .common import table
 
 
@@ -71,6 +71,11 @@ def op12_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.join_tables(spark, sf_dir)
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 400 bytes and more that repeat anywhere in the documents."""
+    return repeats.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_windows": op1_chat_windows,
     "op2_source_mix": op2_source_mix,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_interval_join": op12_interval_join,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
