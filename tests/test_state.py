@@ -119,15 +119,21 @@ def test_entropy_is_that_of_bytes(spark):
 def test_down_spans_against_a_plain_version(spark):
     rng = random.Random(2)
     rows = [(f"n{rng.randint(0, 2)}", T0 + dt.timedelta(seconds=rng.randint(0, 9000))) for _ in range(600)]
+    rows += [("steady", T0 - dt.timedelta(seconds=5 * k)) for k in range(-1500, 1500)]  # every five seconds, over hours
+    rows += [("dense", T0 + dt.timedelta(microseconds=rng.randint(0, 8_000_000_000))) for _ in range(5000)]
+    rows += [("once", T0), ("once", T0), (None, T0), ("n0", None)]
     want = set()
-    for node in {n for n, _ in rows}:
-        until = T0
-        for t in sorted(t for n, t in rows if n == node):
-            if t >= until:
+    for node in {n for n, _ in rows} - {None}:
+        until = None
+        for t in sorted(t for n, t in rows if n == node and t):
+            if until is None or t >= until:
                 until = t + dt.timedelta(seconds=10)
                 want.add((node, t, until))
-    got = {tuple(r) for r in state.down_spans(spark.createDataFrame(rows, "node string, ts timestamp")).select("node", "began", "until").collect()}
-    assert got == want
+    failures = spark.createDataFrame(rows, "node string, ts timestamp")
+    for piece in ("INTERVAL 1 HOUR", "INTERVAL 11 SECONDS"):
+        got = [tuple(r) for r in state.down_spans(failures, piece=piece).select("node", "began", "until").collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert state.down_spans(failures.limit(0)).count() == 0
 
 
 def test_nodes_that_are_down_are_passed_over(spark):

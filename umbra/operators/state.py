@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..sources.tables import written
 
@@ -123,17 +128,63 @@ def authenticate(requests: DataFrame, tokens: DataFrame, token: str = "token") -
     return joined.withColumn("status", F.when(F.col("client").isNull(), 401).otherwise(200))
 
 
-def down_spans(failures: DataFrame, node: str = "node", ts: str = "ts", down: str = DOWN) -> DataFrame:
-    """(node, began, until) in which a node is passed over: ``down`` from a failure on; failures meanwhile prolong nothing."""
-    spans = F.aggregate(
-        F.array_sort(F.collect_list(ts)),
-        F.array().cast("array<struct<began:timestamp,until:timestamp>>"),
-        lambda acc, t: F.when((F.size(acc) == 0) | (t >= F.element_at(acc, -1)["until"]), F.concat(acc, F.array(F.struct(t.cast("timestamp").alias("began"), (t + F.expr(down)).cast("timestamp").alias("until"))))).otherwise(acc),
-    )
-    # In pieces of an hour a node's failures are few; a span that reaches into the next hour takes those that it covers there.
-    hourly = failures.groupBy(node, F.date_trunc("hour", ts).alias("hour")).agg(spans.alias("s")).select(node, F.inline("s"))
-    order = Window.partitionBy(node).orderBy("began")
-    return hourly.withColumn("before", F.lag("until").over(order)).where(F.col("before").isNull() | (F.col("began") >= F.col("before"))).drop("before")
+def down_spans(failures: DataFrame, node: str = "node", ts: str = "ts", down: str = DOWN, piece: str = "INTERVAL 1 HOUR") -> DataFrame:
+    """(node, began, until) in which a node is passed over: ``down`` from a failure on; failures meanwhile prolong nothing.
+
+    Whether a failure counts depends on the span before it, and so on all before it.  Time is cut
+    into pieces.  A piece is a function from the time until which the node is down on entering it
+    to that on leaving it; it only depends on the first failure not before the entry, which lies
+    at the piece's begin or is the first behind.  Along a node these functions alone are composed,
+    a few numbers for each piece; then each piece is walked from its own entry.  Failures without
+    node or time are ignored, repeated ones count once.
+    """
+    kind = failures.schema[node].dataType.simpleString()
+    length, size = failures.sparkSession.range(1).select(*[F.expr(f"unix_micros(timestamp_micros(0) + {x})") for x in (down, piece)]).first()
+    if size <= length:
+        raise ValueError("a piece must be longer than the time a node is down")
+    times = failures.select(F.col(node).alias("node"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t")).where("node is not null and t is not null").distinct()
+    pieces = written(times.withColumn("piece", F.floor(F.col("t") / size)))
+
+    def chain(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each failure as the begin of a span: which failure begins the next one, and the end of the last span in the piece."""
+        after = np.searchsorted(t, t + length)
+        last = np.append(after, len(t))  # by doubling: the last span's begin, then its end
+        jump = np.where(last < len(t), last, np.arange(len(t) + 1))
+        while True:
+            further = jump[jump]
+            if (further == jump).all():
+                return after, t[jump[: len(t)]] + length
+            jump = further
+
+    def function(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        t = np.sort(group.column("t").to_numpy())
+        starts = int(np.searchsorted(t, key[1].as_py() * size + length)) + 1
+        leaving = chain(t)[1]
+        return pa.table({"node": [key[0].as_py()], "piece": [key[1].as_py()], "starts": [t[:starts]], "leaving": [leaving[:starts]]}, functions)
+
+    def compose(group: pa.Table) -> pa.Table:
+        rows, until, out = sorted(group.to_pylist(), key=lambda r: r["piece"]), None, []
+        for r in rows:
+            k = 0 if until is None else bisect_left(r["starts"], until)
+            if k < len(r["starts"]):
+                out.append((r["node"], r["piece"], r["starts"][k]))
+                until = r["leaving"][k]
+        return pa.table({c: [x[i] for x in out] for i, c in enumerate(("node", "piece", "entry"))}, entries)
+
+    def walk(group: pa.Table) -> pa.Table:
+        t = np.sort(group.column("t").to_numpy())
+        after, _ = chain(t)
+        k, began = int(np.searchsorted(t, group.column("entry")[0].as_py())), []
+        while k < len(t):
+            began.append(int(t[k]))
+            k = after[k]
+        return pa.table({"node": [group.column("node")[0].as_py()] * len(began), "t": began}, spans)
+
+    functions, entries, spans = (to_arrow_schema(StructType.fromDDL(f"node {kind}, {x}")) for x in ("piece long, starts array<long>, leaving array<long>", "piece long, entry long", "t long"))
+    found = pieces.groupBy("node", "piece").applyInArrow(function, f"node {kind}, piece long, starts array<long>, leaving array<long>")
+    entered = written(found.groupBy("node").applyInArrow(compose, f"node {kind}, piece long, entry long"))
+    made = pieces.join(entered, ["node", "piece"]).groupBy("node", "piece").applyInArrow(walk, f"node {kind}, t long")
+    return made.select(F.col("node").alias(node), F.timestamp_micros("t").alias("began"), (F.timestamp_micros("t") + F.expr(down)).alias("until"))
 
 
 def owners_up(requests: DataFrame, nodes: Sequence[str], downs: DataFrame, parts: Sequence[str] = ("client", "route"), ts: str = "ts", out: str = "owner") -> DataFrame:

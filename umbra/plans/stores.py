@@ -41,18 +41,37 @@ def known_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.groupBy("event_id").agg(F.count("*").alias("n_values"), F.sum(F.octet_length("value")).cast("long").alias("n_bytes"), F.max("last_seen").alias("last_seen"))
 
 
+#: The spans of a node, one after another: each begins with the first failure that is not before the end of the last.
+SPANS_SQL = """
+f as (select distinct '10.0.0.' || (user_id % 5 + 1) as node, ts from events where event_type = 'error'),
+spans as (select node, min(ts) as began from f group by node union all
+  select s.node, (select min(f.ts) from f where f.node = s.node and f.ts >= s.began + interval {down}) from spans s where s.began is not null)
+"""
+
+
+def node_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    failed = table(spark, sf_dir, "events").where("event_type = 'error'")
+    return failed.select(F.concat(F.lit("10.0.0."), F.col("user_id") % 5 + 1).alias("node"), "ts")
+
+
+@query(f"with recursive {SPANS_SQL.format(down='40 minute')} select node, began, began + interval 40 minute as until from spans where began is not null")
+def nodes_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When nodes are passed over, for forty minutes from a failure on."""
+    return state.down_spans(node_failures(spark, sf_dir), down="INTERVAL 40 MINUTES")
+
+
 @query(f"""
-with d as (select '10.0.0.' || (user_id % 5 + 1) as node, ts as began, ts + interval 10 second as until from events where event_type = 'error'),
+with recursive {SPANS_SQL.format(down='10 second')},
+d as (select node, began, began + interval 10 second as until from spans where began is not null),
 n as (select unnest({NODES}) as node),
 r as (select event_id, 'c' || user_id as client, event_type as route, ts from events where event_type != 'error'),
 up as (select r.*, n.node from r, n where not exists (select 1 from d where d.node = n.node and d.began <= r.ts and r.ts < d.until))
 select event_id, arg_max(node, sha256(node || chr(0) || client || chr(0) || route)[1:16]) as owner from up group by event_id
 """)
 def owners_without_down_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    failed = events.where("event_type = 'error'").select(F.concat(F.lit("10.0.0."), F.col("user_id") % 5 + 1).alias("node"), F.col("ts").alias("began"), (F.col("ts") + F.expr(state.DOWN)).alias("until"))
-    requests = events.where("event_type != 'error'").select("event_id", F.concat(F.lit("c"), "user_id").alias("client"), F.col("event_type").alias("route"), "ts")
-    return state.owners_up(requests, NODES, failed).select("event_id", "owner")
+    """Who serves a request while nodes that have failed are passed over."""
+    requests = table(spark, sf_dir, "events").where("event_type != 'error'").select("event_id", F.concat(F.lit("c"), "user_id").alias("client"), F.col("event_type").alias("route"), "ts")
+    return state.owners_up(requests, NODES, state.down_spans(node_failures(spark, sf_dir))).select("event_id", "owner")
 
 
 @query(f"with {LOG_SQL} select time_bucket(interval 1 hour, ts) as window_start, route, count(*) as n, round(count(*) / 3600, 9) as per_second from log where status = '503' group by 1, 2")
