@@ -6,8 +6,11 @@ is the rule's place in the order of rules and breaks the last ties.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,14 +81,29 @@ def candidates(text: Column, rules: list[tuple[int, Rule]], keep) -> Column:
     return F.transform(kept, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "end", *fields)]))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Candidates of one text up to which the fold stays in the JVM, where each step copies what is taken so far.
+FEW = 64
+
+
 def resolve(candidates: Column) -> Column:
     """Non-overlapping spans in order of start.
 
     Candidates are taken by priority, then length, then start, then rule order, unless they
     overlap one already taken.  A known secret takes the place of smaller spans wholly inside
-    it, but never of a placeholder.  Placeholders themselves are not returned.
+    it, but never of a placeholder.  Placeholders themselves are not returned.  Texts with few
+    candidates are resolved by a fold, others by ``resolve_many``, in time that grows with them.
     """
+    real = F.filter(candidates, lambda c: c["start"] < c["end"])
+    many = F.size(candidates) > FEW
+    return F.when(F.size(candidates) == 0, no_spans()).when(many, resolve_many(F.when(many, candidates))).when(~many, _fold(real))
+
 
+def _fold(real: Column) -> Column:
     def order(a: Column, b: Column) -> Column:
         keys = ((a["priority"], b["priority"]), (b["end"] - b["start"], a["end"] - a["start"]), (a["start"], b["start"]), (a["ord"], b["ord"]))
         out = F.lit(0)
@@ -100,10 +118,44 @@ def resolve(candidates: Column) -> Column:
         rest = F.filter(taken, lambda t: (t["start"] >= c["end"]) | (t["end"] <= c["start"]))
         return F.when(F.size(hit) == 0, F.concat(taken, F.array(c))).when(covers, F.concat(rest, F.array(c))).otherwise(taken)
 
-    real = F.filter(candidates, lambda c: c["start"] < c["end"])
     folded = F.aggregate(F.array_sort(real, order), no_spans(), step)
-    kept = F.array_sort(F.filter(folded, lambda t: t["kind"] != ""))
-    return F.when(F.size(real) == 0, no_spans()).otherwise(kept)
+    return F.array_sort(F.filter(folded, lambda t: t["kind"] != ""))
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("rule", pa.string()), ("priority", pa.int32()), ("ord", pa.int32())]))
+#: Width of the cells in which spans are found again.
+_CELL = 64
+
+
+def settle(candidates: list[dict]) -> list[dict]:
+    """As ``resolve``.  What is taken stands in every cell of the text that it touches, so that a candidate meets its neighbours alone."""
+    secret, cells, taken = set(SECRET_KINDS), defaultdict(dict), {}
+    real = [c for c in candidates if c["start"] < c["end"]]
+    for i, c in enumerate(sorted(real, key=lambda c: (c["priority"], c["start"] - c["end"], c["start"], c["ord"]))):
+        touched = range(c["start"] // _CELL, (c["end"] - 1) // _CELL + 1)
+        hit = {k: t for cell in touched if cell in cells for k, t in cells[cell].items() if t["start"] < c["end"] and t["end"] > c["start"]}
+        if hit:
+            replaces = c["rule"] == "known" and c["kind"] in secret
+            if not replaces or any(t["start"] < c["start"] or t["end"] > c["end"] or t["kind"] == "" for t in hit.values()):
+                continue
+            for k, t in hit.items():
+                del taken[k]
+                for cell in range(t["start"] // _CELL, (t["end"] - 1) // _CELL + 1):
+                    del cells[cell][k]
+        taken[i] = c
+        for cell in touched:
+            cells[cell][i] = c
+    return sorted((t for t in taken.values() if t["kind"] != ""), key=lambda t: t["start"])
+
+
+def resolve_many(candidates: Column) -> Column:
+    """``resolve`` for texts with many candidates; null stays null."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([None if c is None else settle(c) for c in batch.to_pylist()], _SPANS)
+
+    return F.arrow_udf(run, NONE)(candidates)
 
 
 def drop_allowed(text: Column, spans: Column, allow: list[str]) -> Column:

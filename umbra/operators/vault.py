@@ -6,7 +6,7 @@ first seen; numbers count per scope and kind.
 
 from __future__ import annotations
 
-from collections import ChainMap
+from collections import ChainMap, Counter
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..sources.tables import settled, written
 from .terms import Literals
-from ..functions.spans import SPAN, resolve, restore, substitute, value_of
+from ..functions.spans import FEW, SPAN, let, resolve, restore, substitute, value_of
 
 LEAST_LITERAL = 4
 
@@ -67,19 +67,46 @@ def redact(docs: DataFrame, vault: DataFrame, scope: Sequence[str], text: str =
 
 
 def redact_row(text: Column, spans: Column) -> Column:
-    """A text redacted with a vault of its own: numbers are worked out within the row."""
+    """A text redacted with a vault of its own: numbers are worked out within the row.
+
+    Rows with few spans stay in the JVM; those with many are folded by ``redact_many``.
+    """
+    many = F.size(spans) > FEW
     values = F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), value_of(text, s).alias("value")))
-    # The first span of each value, and among those the place within its kind.
-    firsts = F.filter(values, lambda v, i: ~F.exists(F.slice(values, F.lit(1), i), lambda u: u["value"] == v["value"]))
 
-    def placeholder(s: Column) -> Column:
-        value = value_of(text, s)
-        own = F.get(F.filter(firsts, lambda v: v["value"] == value), F.lit(0))
-        kind = own["kind"]
-        peers = F.transform(F.filter(firsts, lambda v: v["kind"] == kind), lambda v: v["value"])
-        return F.format_string("[REDACTED_%s_%d]", kind, F.array_position(peers, value))
+    def named(firsts: Column) -> Column:
+        """The vault: each value with its place among the values of its kind."""
+        place = lambda x, i: F.size(F.filter(F.slice(firsts, F.lit(1), i + 1), lambda y: y["kind"] == x["kind"]))
+        return F.transform(firsts, lambda x, i: F.struct(x["value"].alias("value"), F.format_string("[REDACTED_%s_%d]", x["kind"], place(x, i)).alias("put")))
+
+    def placeholders(seen: Column) -> Column:
+        firsts = F.filter(seen, lambda v, i: ~F.exists(F.slice(seen, F.lit(1), i), lambda u: u["value"] == v["value"]))
+        vault = lambda rows: F.transform(seen, lambda v: F.get(F.filter(rows, lambda r: r["value"] == v["value"]), F.lit(0))["put"])
+        return let(firsts, lambda f: let(named(f), vault))
+
+    put = F.zip_with(spans, let(values, placeholders), lambda s, p: F.struct(s["start"].alias("start"), s["end"].alias("end"), p.alias("put")))
+    return F.when(F.size(spans) == 0, text).when(many, redact_many(F.when(many, text), F.when(many, spans))).when(~many, substitute(text, put, lambda s: s["put"]))
+
+
+def redact_many(text: Column, spans: Column) -> Column:
+    """``redact_row`` in one pass over the spans, which carries the values met so far and a counter for each kind; null stays null."""
+
+    def redacted(t: str, found: list[dict]) -> str:
+        vault, counts, pieces, at = {}, Counter(), [], 0
+        for s in found:
+            value = t[s["start"] : s["end"]]
+            if value not in vault:
+                counts[s["kind"]] += 1
+                vault[value] = f"[REDACTED_{s['kind']}_{counts[s['kind']]}]"
+            pieces += (t[at : s["start"]], vault[value])
+            at = s["end"]
+        return "".join([*pieces, t[at:]])
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, sets in batches:
+            yield pa.array([None if t is None or s is None else redacted(t, s) for t, s in zip(texts.to_pylist(), sets.to_pylist())], pa.string())
 
-    return substitute(text, spans, placeholder)
+    return F.arrow_udf(run, "string")(text, spans)
 
 
 def scope_values(vault: DataFrame, scope: Sequence[str]) -> DataFrame:
