@@ -44,7 +44,7 @@ MOST_WINDOWS = 151
 #: Bytes that are searched for anchors at once.
 PIECE = 1 << 22
 #: Stretches of one gram that are sorted together at most, and symbols after which a suffix array is made.
-CROWD, SYMBOLS = 512, 1 << 15
+CROWD, SYMBOLS = 128, 1 << 13
 #: Symbols that one task should sort.
 TASK_SYMBOLS = 3_000_000
 _BASE = 0x9E3779B97F4A7C15
@@ -235,7 +235,7 @@ def unpack(at: int) -> tuple[int, int, int]:
     return at >> 16, ((at >> 8) & 255) + 1, at & 255
 
 
-SCANNED = "doc_id long, digest binary, n_bytes long, whole string, tid long, seed array<long>, hi array<long>, lo array<int>, at array<long>"
+SCANNED = "doc_id long, digest binary, n_bytes long, whole string, tid long, seed array<long>, span array<long>, at array<long>"
 
 
 def scan(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
@@ -252,7 +252,7 @@ def scan(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
             n = len(raw)
             digests = [hashlib.md5(r).digest() for r in raw]
             out: dict[str, list] = {"doc_id": chunk["doc_id"], "digest": digests, "n_bytes": [len(r) for r in raw], "whole": [hashlib.sha256(r).hexdigest() for r in raw]}
-            out |= {c: [None] * n for c in ("tid", "seed", "hi", "lo", "at")}
+            out |= {c: [None] * n for c in ("tid", "seed", "span", "at")}
             fresh = []
             for i, r in enumerate(raw):
                 if len(r) >= shape.least and digests[i] not in seen:
@@ -262,15 +262,15 @@ def scan(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
             if fresh:
                 data, ends = b"".join(raw[i] for i in fresh), np.cumsum([len(raw[i]) for i in fresh])
                 seed, place, first, last = anchors(data, ends, shape)
-                spans = b"".join(hashlib.blake2b(data[a : b + shape.least], digest_size=12).digest() for a, b in zip(first.tolist(), last.tolist()))
-                hashes = np.frombuffer(spans, np.dtype([("hi", ">i8"), ("lo", ">i4")]))
-                hi, lo = hashes["hi"].astype(np.int64), hashes["lo"].astype(np.int32)
+                # Eight bytes are enough: they only tell stretches of one gram apart.
+                spans = b"".join(hashlib.blake2b(data[a : b + shape.least], digest_size=8).digest() for a, b in zip(first.tolist(), last.tolist()))
+                span = np.frombuffer(spans, np.int64)
                 begins = np.concatenate([[0], ends[:-1]])
                 cuts = np.concatenate([np.searchsorted(first, begins), [len(first)]])
                 for k, i in enumerate(fresh):
                     mine = slice(cuts[k], cuts[k + 1])
                     out["tid"][i], tid = tid, tid + 1
-                    out["seed"][i], out["hi"][i], out["lo"][i] = seed[mine], hi[mine], lo[mine]
+                    out["seed"][i], out["span"][i] = seed[mine], span[mine]
                     out["at"][i] = _pack(first[mine] - begins[k], last[mine] - begins[k], place[mine] - begins[k])
             yield out
 
@@ -416,17 +416,19 @@ def passages(docs: DataFrame, least: int = LEAST, crowd: int = CROWD) -> DataFra
     """
     shape = Shape(least)
     scanned = materialise(scan(docs, shape))
-    each = scanned.where("tid is not null").select("tid", F.explode(F.arrays_zip("seed", "hi", "lo", "at")).alias("e")).select("tid", "e.*")
+    each = scanned.where("tid is not null").select("tid", F.explode(F.arrays_zip("seed", "span", "at")).alias("e")).select("tid", "e.*")
     shared = materialise(each.groupBy("seed").count().where("count > 1").select("seed"))
     # One number stands for a text, though several tasks may have met it.
     texts = materialise(scanned.where("n_bytes > 0").groupBy("digest").agg(F.min("tid").alias("tid"), F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes")))
     kept = materialise(each.join(shared, "seed").join(texts.select("tid"), "tid", "left_semi"))
 
-    by_span = materialise(kept.groupBy("seed", "hi", "lo").agg(F.count("*").alias("n"), F.min(F.struct("tid", "at")).alias("one")))
-    twice = by_span.where("n > 1").select("seed", "hi", "lo")
+    by_span = materialise(kept.groupBy("seed", "span").agg(F.count("*").alias("n"), F.min(F.struct("tid", "at")).alias("one")))
+    twice = by_span.where("n > 1").select("seed", "span")
     first, windows = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(255)
-    marks = kept.join(twice, ["seed", "hi", "lo"]).select("tid", first.alias("first"), (first + windows).alias("last"))
-    marks = materialise(marks)
+    marks = kept.join(twice, ["seed", "span"]).select("tid", first.alias("first"), (first + windows).alias("last"))
+    # Of a text that has a copy all goes anyway.
+    alone = texts.where("copies = 1").select("tid")
+    marks = materialise(marks.join(alone, "tid", "left_semi"))
     meet = by_span.groupBy("seed").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("seed")
     asked = by_span.join(materialise(meet), "seed").groupBy("one.tid").agg(F.collect_list("one.at").alias("ats"))
     wanted = materialise(marks.select("tid").distinct().join(asked, "tid", "full"))
@@ -434,16 +436,14 @@ def passages(docs: DataFrame, least: int = LEAST, crowd: int = CROWD) -> DataFra
     # The texts in question, each once; documents are joined by id and text, so that copies do not meet in one task.
     key = lambda doc_id, digest: F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("null")), digest))
     holders = materialise(scanned.select("tid", key(F.col("doc_id"), F.lower(F.hex("digest"))).alias("key")).join(wanted, "tid"))
-    keyed = docs.where("text is not null").select(key(F.col("doc_id").cast("long"), F.md5("text")).alias("key"), "text")
+    keyed = docs.where(F.octet_length("text") >= least).select(key(F.col("doc_id").cast("long"), F.md5("text")).alias("key"), "text")
     held = materialise(keyed.join(holders, "key").dropDuplicates(["key"]).select("tid", "text", "ats"))
 
     stretches = materialise(slices(held.where("ats is not null"), shape))
-    marks = marks.union(edges(stretches, shape, crowd))
+    marks = marks.union(edges(stretches, shape, crowd).join(alone, "tid", "left_semi"))
     listed = materialise(marks.groupBy("tid").agg(F.collect_set(F.struct("first", "last")).alias("marks")))
-    # Of texts that have a copy all goes; the others lose what the marks cover.
-    copied = F.col("copies") > 1
-    cuts = removed(held.select("tid", "text").join(listed, "tid").join(texts.where("copies = 1").select("tid"), "tid", "left_semi"), shape)
-    whole = texts.where(copied & (F.col("n_bytes") >= least)).select("digest", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))).alias("spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept"))
+    cuts = removed(held.select("tid", "text").join(listed, "tid"), shape)
+    whole = texts.where((F.col("copies") > 1) & (F.col("n_bytes") >= least)).select("digest", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))).alias("spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept"))
     changed = materialise(texts.select("digest", "tid").join(cuts, "tid").select("digest", "spans", "kept").union(whole))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     out = scanned.select("doc_id", "digest", "n_bytes", "whole").join(changed, "digest", "left")
