@@ -157,6 +157,38 @@ def test_vaults_continue_along_branching_chains(spark):
     }
 
 
+def test_vaults_along_trees_against_a_plain_fold(spark):
+    rng = random.Random(4)
+    links, children = [], {}
+    for i in range(400):
+        # Long chains, branches, wide families, and parents that no row has.
+        parent = None if i % 97 == 0 else -5 if i % 131 == 0 else i - 1 if rng.random() < 0.8 else rng.randrange(i)
+        links.append((i, parent))
+    links += [(1000 + i, 17) for i in range(60)]
+    found = [(i, rng.randrange(100), rng.choice("AB"), f"v{rng.randrange(30)}") for i, _ in links for _ in range(rng.randrange(4))]
+    parents, want = dict(links), {}
+    for i, _ in links:
+        chain, at = [], i
+        while at in parents:
+            chain.append(at)
+            at = parents[at]
+        root = chain[-1] if at is None else at
+        known, counts = {}, {}
+        for request in reversed(chain):
+            firsts = {}
+            for r, start, kind, value in found:
+                if r == request:
+                    firsts[value] = min(firsts.get(value, (start, kind)), (start, kind))
+            for (start, kind), value in sorted((f, v) for v, f in firsts.items()):
+                if value not in known:
+                    counts[kind] = counts.get(kind, 0) + 1
+                    known[value] = (request, kind, counts[kind])
+        want |= {(i, value): (root, kind, n) for value, (request, kind, n) in known.items() if request == i}
+    rows = vault.number_chains(spark.createDataFrame(found, "id long, start int, kind string, value string"), spark.createDataFrame(links, "id long, parent long")).collect()
+    got = {(r["id"], r["value"]): (r["root"], r["kind"], r["n"]) for r in rows}
+    assert len(rows) == len(got) and got == want
+
+
 def test_streaming_stores_equal_batch(spark, tmp_path):
     rng = random.Random(8)
     minutes = sorted(rng.sample(range(600), 150))

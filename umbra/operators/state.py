@@ -121,6 +121,43 @@ def chain_roots(links: DataFrame, child: str = "id", parent: str = "parent", rou
     return at.select("id", "root", "depth")
 
 
+def tree_order(links: DataFrame, id: str = "id", parent: str = "parent", rounds: int = 64) -> DataFrame:
+    """(id, root, tree, enter, leave): the places at which a walk around each tree of ``links``, named by its top, enters and leaves a node.
+
+    One node is an ancestor of another if it is entered before and left after it.  The walk is a
+    list, of which each element knows the next; its places are found by doubling, every round
+    over all elements, so that a tree, however deep or wide, is spread over all tasks.  A parent
+    that has no row of its own is the root of its children, but they are trees by themselves.
+    """
+    kind = links.schema[id].dataType
+    nodes = written(links.select(F.col(id).alias("id"), F.col(parent).alias("parent")))
+    ids = nodes.select(F.col("id").alias("held"))
+    nodes = written(nodes.join(ids, nodes["parent"] == ids["held"], "left"))
+    # Children are chained in ranges: a parent may have very many.
+    under = nodes.where("held is not null").select("id", "held").repartitionByRange("held", "id").withColumn("part", F.spark_partition_id())
+    under = written(under)
+    following = F.lead("id").over(Window.partitionBy("part", "held").orderBy("id"))
+    firsts = under.groupBy("held", "part").agg(F.min("id").alias("first"))
+    beyond = firsts.select("held", "part", F.lead("first").over(Window.partitionBy("held").orderBy("part")).alias("beyond"))
+    chained = under.withColumn("following", following).join(beyond, ["held", "part"]).select("id", "held", F.coalesce("following", "beyond").alias("following"))
+    first = under.groupBy("held").agg(F.min("id").alias("child")).select(F.col("held").alias("of"), "child")
+    enter = nodes.join(first, nodes["id"] == first["of"], "left").select("id", F.lit(0).alias("side"), F.coalesce("child", "id").alias("next"), F.when(F.col("child").isNull(), 1).otherwise(0).alias("next_side"), F.lit(1).cast("long").alias("far"))
+    exits = chained.select("id", F.lit(1).alias("side"), F.coalesce("following", "held").alias("next"), F.when(F.col("following").isNull(), 1).otherwise(0).alias("next_side"), F.lit(1).cast("long").alias("far"))
+    ends = nodes.where("held is null").select("id", F.lit(1).alias("side"), F.col("id").alias("next"), F.lit(1).alias("next_side"), F.lit(0).cast("long").alias("far"))
+    at = written(enter.union(exits).union(ends))
+    for _ in range(rounds):
+        up = at.select(F.col("id").alias("u"), F.col("side").alias("u_side"), F.col("next").alias("then"), F.col("next_side").alias("then_side"), F.col("far").alias("more"))
+        stepped = at.join(up, (F.col("next") == F.col("u")) & (F.col("next_side") == F.col("u_side")))
+        at = written(stepped.select("id", "side", F.col("then").alias("next"), F.col("then_side").alias("next_side"), (F.col("far") + F.col("more")).alias("far"), (F.col("more") > 0).alias("moved")))
+        moved = at.where("moved").limit(1).count()
+        at = at.drop("moved")
+        if not moved:
+            break
+    roots = nodes.where("held is null").select(F.col("id").alias("next"), F.coalesce("parent", "id").cast(kind).alias("root"))
+    placed = at.groupBy("id", "next").agg(F.min(F.when(F.col("side") == 0, -F.col("far"))).alias("enter"), F.min(F.when(F.col("side") == 1, -F.col("far"))).alias("leave"))
+    return placed.join(roots, "next").select("id", "root", F.col("next").alias("tree"), "enter", "leave")
+
+
 def authenticate(requests: DataFrame, tokens: DataFrame, token: str = "token") -> DataFrame:
     """``requests`` with the client whose token's digest matches (null: status 401); an empty token is nobody's."""
     digest = F.when(F.coalesce(F.col(token), F.lit("")) != "", F.sha2(token, 256))

@@ -6,7 +6,7 @@ first seen; numbers count per scope and kind.
 
 from __future__ import annotations
 
-from collections import ChainMap, Counter
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..sources.tables import settled, written
+from ..sources.tables import running, settled, written
 from .terms import Literals
 from ..functions.spans import FEW, SPAN, let, resolve, restore, substitute, value_of
 
@@ -171,34 +171,29 @@ def number_chains(found: DataFrame, links: DataFrame, key: str = "id", order: Se
     ``links(key, parent)`` says which request's vault a request continues (null: none), ``found``
     are the requests' appearances (key, order..., start, kind, value).  A request's vault is
     what is new in it and in the requests before it; its numbers go on from theirs, and two
-    requests that continue the same one count on independently.  A conversation, all that goes
-    back to one request, is handled as one group: the store that holds chains bounds it.
+    requests that continue the same one count on independently.
+
+    Conversations are trees, walked around once (``tree_order``): a value is new where no request
+    with it has been entered and not yet left, which the latest leaving so far tells, and what the
+    requests before have numbered is a running sum, added on entering and taken back on leaving.
+    Both run over range partitions, so that one long conversation is spread like many short ones.
     """
-    from .state import chain_roots
-
-    roots = chain_roots(links.select(F.col(key).alias("id"), F.col("parent")))
-    first = found.groupBy(key, "value").agg(F.min(F.struct(*order, "start", "kind")).alias("f"))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*[f"f.{c}" for c in order], "f.start", "value"))
-    values = first.select(F.col(key).alias("id"), F.struct(place.alias("at"), "value", F.col("f.kind").alias("kind")).alias("v")).groupBy("id").agg(F.sort_array(F.collect_list("v")).alias("values"))
-    rows = roots.join(links.select(F.col(key).alias("id"), "parent"), "id").join(values, "id", "left").select("id", "parent", "root", "depth", "values")
-    kind = dict(links.dtypes)[key]
-
-    def number(table: pa.Table) -> pa.Table:
-        vaults: dict = {}  # request -> (numbers by kind, values known), shared with what it continues
-        out: dict[str, list] = {c: [] for c in ("id", "root", "value", "kind", "n")}
-        for row in sorted(table.to_pylist(), key=lambda r: r["depth"]):
-            counts, known = vaults.get(row["parent"], ({}, ChainMap()))
-            counts, known = dict(counts), known.new_child()
-            for v in row["values"] or ():
-                if v["value"] not in known:
-                    known[v["value"]] = counts[v["kind"]] = counts.get(v["kind"], 0) + 1
-                    for c, x in zip(out.values(), (row["id"], row["root"], v["value"], v["kind"], counts[v["kind"]])):
-                        c.append(x)
-            vaults[row["id"]] = counts, known
-        return pa.table(out, pa.schema([("id", table.schema.field("id").type), ("root", table.schema.field("root").type), ("value", pa.string()), ("kind", pa.string()), ("n", pa.int32())]))
-
-    made = rows.groupBy("root").applyInArrow(number, f"id {kind}, root {kind}, value string, kind string, n int")
-    return made.withColumnRenamed("id", key).withColumn("placeholder", F.format_string("[REDACTED_%s_%d]", "kind", "n"))
+    from .state import tree_order
+
+    tree = written(tree_order(links.select(F.col(key).alias("id"), F.col("parent"))))
+    first = found.groupBy(key, "value").agg(F.min(F.struct(*order, "start", "kind")).alias("f")).withColumnRenamed(key, "id")
+    seen = first.join(tree, "id").select("*", F.col("leave").alias("covered"))
+    # Of earlier requests with the value one is an ancestor if and only if it is left later.
+    marked = running(seen, ["tree", "value"], ["enter"], {"covered": F.max})
+    fresh = written(marked.where("covered is null or covered < leave").select("id", "root", "tree", "enter", "leave", "value", F.col("f.kind").alias("kind"), F.struct(*[f"f.{c}" for c in order], "f.start", "value").alias("at")))
+    place = F.row_number().over(Window.partitionBy("id", "kind").orderBy("at"))
+    counts = fresh.groupBy("tree", "kind", "id", "enter", "leave").agg(F.count("*").alias("n"))
+    steps = counts.select("tree", "kind", "id", F.inline(F.array(F.struct(F.col("enter").alias("t"), F.col("n").alias("n")), F.struct(F.col("leave").alias("t"), (-F.col("n")).alias("n")))))
+    entered = F.col("t").alias("enter")
+    before = running(steps, ["tree", "kind"], ["t"], {"n": F.sum}).select("id", "kind", entered, F.coalesce("n", F.lit(0)).alias("before"))
+    made = fresh.withColumn("place", place).join(written(before), ["id", "kind", "enter"])
+    out = made.select(F.col("id").alias(key), "root", "value", "kind", (F.col("place") + F.col("before")).cast("int").alias("n"))
+    return out.withColumn("placeholder", F.format_string("[REDACTED_%s_%d]", "kind", "n"))
 
 
 def restored(docs: DataFrame, vault: DataFrame, scope: Sequence[str], text: str = "redacted", out: str = "restored") -> DataFrame:
