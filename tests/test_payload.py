@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,3 +117,29 @@ def test_streaming_state_equals_batch(spark, tmp_path):
     assert "".join(r["out"] for r in spark.table("restored").orderBy("seq").collect()) == 'x jo"@mail.com y ['
     batch = spark.createDataFrame(rows, schema).withColumn("values", F.from_json("values_json", "map<string,string>"))
     assert "".join(r["out"] for r in chunks.restore_batch(batch).orderBy("seq").collect()) == 'x jo"@mail.com y ['
+
+
+def test_long_streams_are_restored_in_segments(spark):
+    rng, values = random.Random(6), {"[REDACTED_EMAIL_1]": "joe@mail.com", "[REDACTED_SECRET_12]": "s3cr[t"}
+    rows, want = [], {}
+    for k in range(25):
+        words = ["[REDACTED_EMAIL_1]", "[REDACTED_SECRET_12]", "[REDACTED_EMAIL_9]", "[REDACTED_", "[", "x" * 70, "text ", "[REDACTED_A" + "B" * 60, "ä"]
+        whole = "".join(rng.choice(words) for _ in range(rng.randrange(60)))
+        pieces, at = [], 0
+        while at < len(whole):
+            n = rng.choice([0, 1, 1, 2, 5, 30])
+            pieces.append(whole[at : at + n])
+            at += n
+        pieces += [""] * rng.randrange(4) + [None] * (k % 2)
+        pending, out = "", []
+        for piece in pieces:
+            done, pending = chunks.feed(pending, piece or "", values)
+            out.append(done)
+        if out:
+            out[-1] += chunks.flush(pending, values)
+        want |= {(k, i): o for i, o in enumerate(out)}
+        rows += [(k, i, p, values if i == 0 else None) for i, p in enumerate(pieces)]
+    df = spark.createDataFrame(rows, "stream long, seq long, text string, values map<string,string>").repartition(5)
+    for segment in (1, 7, 8192):
+        got = [(r["stream"], r["seq"], r["out"]) for r in chunks.restore_batch(df, segment=segment).collect()]
+        assert len(got) == len(want) and {(s, i): o for s, i, o in got} == want

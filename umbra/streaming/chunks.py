@@ -13,15 +13,18 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.walk import restore_text
+from ..sources.tables import written
 
 PREFIX = "[REDACTED_"
 #: Longer texts are no placeholder in the making.
 LONGEST = 64
+#: Chunks of a stream that are folded together.
+SEGMENT = 8192
 _STARTED = re.compile(re.escape(PREFIX) + r"(?:[A-Z][A-Z0-9_]*)?\Z")
 
 
@@ -45,28 +48,44 @@ def flush(pending: str, values: dict[str, str], escaped: bool = False) -> str:
     return restore_text(pending, values, escaped)
 
 
-def restore_batch(chunks: DataFrame, stream: str = "stream", seq: str = "seq", text: str = "text", values: str = "values") -> DataFrame:
+def restore_batch(chunks: DataFrame, stream: str = "stream", seq: str = "seq", text: str = "text", values: str = "values", segment: int = SEGMENT) -> DataFrame:
     """(stream, seq, out) for ``chunks`` that carry their vault as a map; what is left at the end goes with the last chunk.
 
-    A stream's chunks become one row with its vault once, which is folded in order.
+    A stream is cut into segments by ``seq``, whole numbers of which none comes twice, so that a
+    long one is many rows.  What waits when a segment begins is the end of all text before it, of
+    which no more than 64 characters can matter: the segments' ends alone are put together in
+    order, then each segment is folded by itself.  Rows without a number come first, in a segment
+    of their own.
     """
 
-    def fold(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for parts, vaults in batches:
+    def fold(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for parts, vaults, befores, lasts in batches:
             done = []
-            for pieces, held in zip(parts.to_pylist(), vaults.to_pylist()):
-                known, pending, out = dict(held or ()), "", []
+            for pieces, held, before, last in zip(parts.to_pylist(), vaults.to_pylist(), befores.to_pylist(), lasts.to_pylist()):
+                known, pending, out = dict(held or ()), before[cut(before) :], []
                 for piece in pieces:
                     if pending or piece and "[" in piece:
                         piece, pending = feed(pending, piece or "", known)
                     out.append(piece or "")
-                out[-1] += flush(pending, known)
+                if last:
+                    out[-1] += flush(pending, known)
                 done.append(out)
             yield pa.array(done, pa.list_(pa.string()))
 
     ordered = F.sort_array(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(text).alias("text"))))
-    rows = chunks.groupBy(stream).agg(ordered.alias("__parts"), F.any_value(values, True).alias("__values"))
-    folded = rows.withColumn("__out", F.arrow_udf(fold, "array<string>")(F.col("__parts")["text"], F.col("__values")))
+    place = F.floor(F.col(seq) / segment).alias("__segment")
+    rows = written(chunks.groupBy(stream, place).agg(ordered.alias("__parts"), F.any_value(values, True).alias("__values")))
+    ends = rows.select(stream, "__segment", F.right(F.array_join(F.col("__parts")["text"], ""), F.lit(LONGEST)).alias("__end"), "__values")
+    # A stream's segments in order; of those with text the last 64 have all that can wait.
+    texted = Window.partitionBy(stream, F.col("__end") != "").orderBy("__segment").rowsBetween(1 - LONGEST, 0)
+    ends = ends.withColumn("__ends", F.when(F.col("__end") != "", F.right(F.array_join(F.collect_list("__end").over(texted), ""), F.lit(LONGEST))))
+    along = Window.partitionBy(stream).orderBy("__segment")
+    before = F.coalesce(F.last("__ends", True).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit("")).alias("__before")
+    vault = F.first("__values", True).over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__vault")
+    last = (F.row_number().over(along) == F.count("*").over(Window.partitionBy(stream))).alias("__last")
+    carried = ends.select(F.col(stream).alias("__stream"), F.col("__segment").alias("__at"), before, vault, last)
+    joined = rows.join(carried, F.col(stream).eqNullSafe(F.col("__stream")) & F.col("__segment").eqNullSafe(F.col("__at")))
+    folded = joined.withColumn("__out", F.arrow_udf(fold, "array<string>")(F.col("__parts")["text"], F.col("__vault"), F.col("__before"), F.col("__last")))
     return folded.select(stream, F.inline(F.arrays_zip(F.col("__parts")["seq"].alias("seq"), F.col("__out").alias("out")))).toDF(stream, seq, "out")
 
 
