@@ -67,13 +67,25 @@ def test_histogram_quantile_and_exposition(spark):
     q = {r["route"]: r["quantile"] for r in metrics.quantile(h.where("handling = 'local'"), ["route"], 0.5).collect()}
     assert q == {"/a": 300.0, "unmatched": 0.375}
     red = spark.createDataFrame([('/a"b', "EMAIL", 2)], "route string, kind string, n long")
-    lines = [r["line"] for r in metrics.exposition(metrics.requests_total(log), h, red).collect()]
-    assert lines[0] == 'umbra_http_requests_total{route="/a",method="GET",status="200",handling="forwarded"} 1'
+    lines = [r["line"] for r in metrics.exposition(metrics.requests_total(log), h, red, spark.range(7, 8).toDF("n")).collect()]
+    assert [x.split()[2] for x in lines if x.startswith("# TYPE")] == [f"umbra_{name}" for name, *_ in metrics.FAMILIES]
+    assert lines[1:3] == ["# TYPE umbra_http_requests_in_flight gauge", "umbra_http_requests_in_flight 7"]
+    assert lines[5] == 'umbra_http_requests_total{route="/a",method="GET",status="200",handling="forwarded"} 1'
+    first = [x.rpartition(" ") for x in lines if 'handling="local"' in x and 'route="/a"' in x and "duration" in x]
+    assert [name.partition("{")[0].rpartition("_")[2] for name, _, _ in first] == ["bucket"] * 14 + ["sum", "count"] and [n for *_, n in first][-3:] == ["1", "400", "1"]
     assert lines[-1] == 'umbra_redactions_total{route="/a\\"b",kind="EMAIL"} 2'
     flights = {r["t"]: r["in_flight"] for r in metrics.in_flight(log).collect()}
     assert flights[at(1)] == 2 and max(flights) == at(1) + dt.timedelta(seconds=400) and flights[max(flights)] == 0
 
 
+def test_doubles_in_their_fewest_digits(spark):
+    from umbra.functions import scalars
+
+    want = {0.0: "0", 1.0: "1", 0.3: "0.3", 400.25: "400.25", 999999.5: "999999.5", 1e6: "1e+06", 1234567.5: "1.2345675e+06", 1e7: "1e+07", 1.25e123: "1.25e+123", 0.001: "0.001", 0.00025: "0.00025", 0.0001: "0.0001", 0.00009: "9e-05", -1.5: "-1.5", -2500000.0: "-2.5e+06", float("inf"): "+Inf"}
+    got = spark.createDataFrame([(v,) for v in want], "v double").select("v", scalars.shortest(F.col("v")).alias("s")).collect()
+    assert {r["v"]: r["s"] for r in got} == want
+
+
 def test_admission_predicates(spark):
     row = spark.range(1).select(
         *[admission.is_loopback(F.lit(h)).alias(f"l{i}") for i, h in enumerate(("localhost", "127.0.0.9", "::1", "10.0.0.1", "127.0.0.300"))],

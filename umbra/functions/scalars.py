@@ -103,3 +103,24 @@ def strip_comment(line: Column) -> Column:
 def escape_label(value: Column) -> Column:
     """A metric label's value."""
     return F.replace(F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit('"'), F.lit('\\"'))
+
+
+def shortest(number: Column) -> Column:
+    """A double as the fewest digits that say it: plain from 0.0001 up to below a million, with a two-digit exponent beyond."""
+    text, size = number.cast("string"), F.abs(number)
+    head, power = F.substring_index(text, "E", 1), F.substring_index(text, "E", -1).cast("int")
+    plain = F.regexp_replace(head, r"\.0$", "")
+    sign = F.when(number < 0, "-").otherwise("")
+    digits = F.regexp_replace(F.regexp_replace(head, "[-.]", ""), "0+$", "")
+    whole = F.length(F.substring_index(F.ltrim(head, F.lit("-")), ".", 1))
+    tail = F.substring(digits, F.lit(2), F.length(digits))
+    mantissa = F.concat(sign, F.substring(digits, 1, 1), F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(""))
+    with_power = lambda p: F.concat(mantissa, F.when(p < 0, "e-").otherwise("e+"), F.when(F.abs(p) < 10, "0").otherwise(""), F.abs(p).cast("string"))
+    return (
+        F.when(number.isNull() | F.isnan(number) | (size == float("inf")), F.when(number == float("inf"), "+Inf").when(number == -float("inf"), "-Inf").when(F.isnan(number), "NaN"))
+        .when(number == 0, "0")
+        .when((size >= 1e-3) & (size < 1e6), plain)
+        .when((size >= 1e-4) & (size < 1e-3), F.concat(sign, F.lit("0.000"), digits))
+        .when((size >= 1e6) & (size < 1e7), with_power(whole - 1))
+        .otherwise(with_power(power))
+    )

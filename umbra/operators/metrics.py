@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import escape_label
+from ..functions.scalars import escape_label, shortest
 
 # Methods with series of their own, and the histogram's bounds in seconds.
 METHODS = ("GET", "HEAD", "POST", "PUT", "PATCH", "DELETE", "OPTIONS", "CONNECT", "TRACE")
@@ -33,9 +33,14 @@ def redactions_total(redactions: DataFrame, by: Sequence[str] = ("route", "kind"
     return redactions.groupBy(*by).agg(F.sum("n").alias("n")).where("n > 0")
 
 
+def exact_sum(seconds: Column) -> Column:
+    """A sum in whole nanoseconds, which is the same in whatever order tasks add."""
+    return F.sum(seconds.cast("decimal(28,9)")).cast("double")
+
+
 def duration_histogram(log: DataFrame, by: Sequence[str] = ("route", "handling"), seconds: str = "seconds") -> DataFrame:
     """Cumulative buckets in one aggregate: (by, le, count), ``le`` as text up to +Inf, with the sum and count of all."""
-    wide = labelled(log).groupBy(*by).agg(*[F.count_if(F.col(seconds) <= b).alias(f"b{i}") for i, b in enumerate(BOUNDS)], F.count("*").alias("total"), F.sum(seconds).alias("sum"))
+    wide = labelled(log).groupBy(*by).agg(*[F.count_if(F.col(seconds) <= b).alias(f"b{i}") for i, b in enumerate(BOUNDS)], F.count("*").alias("total"), exact_sum(F.col(seconds)).alias("sum"))
     rows = F.array(*[F.struct(F.lit(f"{b:g}").alias("le"), F.lit(float(b)).alias("bound"), F.col(f"b{i}").alias("count")) for i, b in enumerate(BOUNDS)], F.struct(F.lit("+Inf").alias("le"), F.lit(float("inf")).alias("bound"), F.col("total").alias("count")))
     return wide.select(*by, "sum", "total", F.inline(rows))
 
@@ -97,12 +102,50 @@ def by_kind_and_route(redactions: DataFrame) -> DataFrame:
     return redactions.groupingSets([[], [kind], [kind, route]], kind, route).agg(F.grouping_id(kind, route).alias("level"), F.sum("n").alias("n")).select("level", "kind", "route", "n")
 
 
-def exposition(requests: DataFrame, histogram: DataFrame, redactions: DataFrame, prefix: str = "umbra") -> DataFrame:
-    """(family, line) in the text format, ordered by family and labels."""
+# What the families of the text format are, in the order in which they are told.
+FAMILIES = (
+    ("http_requests_in_flight", "gauge", "Requests that are being handled."),
+    ("http_requests_total", "counter", "Requests that have been handled, rejected and failed ones too."),
+    ("http_request_duration_seconds", "histogram", "Time from a request to the end of its response."),
+    ("redactions_total", "counter", "Values replaced in requests."),
+)
+
+
+def exposition(requests: DataFrame, histogram: DataFrame, redactions: DataFrame, flying: DataFrame, prefix: str = "umbra") -> DataFrame:
+    """(family, key, place, line): everything as lines of the text format, in the order of the first three columns.
+
+    ``flying(n)`` is the number of requests in flight, a row.  Each family begins with two lines
+    that say what it is; a histogram's series are its buckets, then its sum and its count.  A row
+    for each series and bound is all that meets.
+    """
     label = lambda name: F.concat(F.lit(f'{name}="'), escape_label(F.col(name)), F.lit('"'))
-    series = lambda name, labels, value: F.concat(F.lit(f"{prefix}_{name}{{"), F.concat_ws(",", *labels), F.lit("} "), value.cast("string"))
+    own = lambda k, end="": f"{prefix}_{FAMILIES[k][0]}{end}"
+    series = lambda name, labels, value: F.concat(F.lit(f"{name}{{"), F.concat_ws(",", *labels), F.lit("} "), value.cast("string"))
+    rows = lambda df, k, key, place, line: df.select(F.lit(k).alias("family"), F.concat_ws("\0", *key).alias("key"), (place if isinstance(place, Column) else F.lit(place)).cast("int").alias("place"), line.alias("line"))
+    named = ("route", "method", "status", "handling")
     at = [label("route"), label("handling")]
-    first = requests.select(F.lit(1).alias("family"), F.concat_ws("\0", "route", "method", "status", "handling").alias("key"), F.lit(0.0).alias("bound"), series("http_requests_total", [label(k) for k in ("route", "method", "status", "handling")], F.col("n")).alias("line"))
-    second = histogram.select(F.lit(2).alias("family"), F.concat_ws("\0", "route", "handling").alias("key"), "bound", series("http_request_duration_seconds_bucket", [*at, label("le")], F.col("count")).alias("line"))
-    third = redactions.select(F.lit(3).alias("family"), F.concat_ws("\0", "route", "kind").alias("key"), F.lit(0.0).alias("bound"), series("redactions_total", [label("route"), label("kind")], F.col("n")).alias("line"))
-    return first.union(second).union(third).orderBy("family", "key", "bound").select("family", "line")
+    spark = requests.sparkSession
+    heads = [(k, None, i, text) for k, (name, kind, says) in enumerate(FAMILIES) for i, text in enumerate((f"# HELP {prefix}_{name} {says}", f"# TYPE {prefix}_{name} {kind}"))]
+    out = spark.createDataFrame(heads, "family int, key string, place int, line string")
+    out = out.union(rows(flying, 0, [F.lit("")], 0, F.concat(F.lit(own(0) + " "), F.col("n").cast("string"))))
+    out = out.union(rows(requests, 1, named, 0, series(own(1), [label(k) for k in named], F.col("n"))))
+    buckets = histogram.withColumn("__place", F.array_position(F.array(*[F.lit(f"{b:g}") for b in BOUNDS], F.lit("+Inf")), F.col("le")))
+    out = out.union(rows(buckets, 2, ["route", "handling"], F.col("__place"), series(own(2, "_bucket"), [*at, label("le")], F.col("count"))))
+    ends = histogram.where("le = '+Inf'")
+    out = out.union(rows(ends, 2, ["route", "handling"], len(BOUNDS) + 2, series(own(2, "_sum"), at, shortest(F.col("sum")))))
+    out = out.union(rows(ends, 2, ["route", "handling"], len(BOUNDS) + 3, series(own(2, "_count"), at, F.col("total"))))
+    out = out.union(rows(redactions, 3, ["route", "kind"], 0, series(own(3), [label("route"), label("kind")], F.col("n"))))
+    return out.orderBy(F.asc_nulls_first("family"), F.asc_nulls_first("key"), "place")
+
+
+def snapshot(log: DataFrame, at: Column, ts: str = "ts", seconds: str = "seconds", prefix: str = "umbra") -> DataFrame:
+    """The exposition as of a time: what has ended by then is counted, what has begun and not ended is in flight.
+
+    ``log(route, method, status, forwarded, ts, seconds, kind, n)``: requests with one kind of
+    redactions each; these count when a request begins, as they are made on the way in.
+    """
+    end = F.col(ts) + F.make_dt_interval(secs=F.round(seconds, 6).cast("decimal(18,6)"))
+    begun = log.where(F.col(ts) <= at)
+    done = begun.where(end <= at)
+    flying = begun.agg(F.count_if(end > at).alias("n"))
+    return exposition(requests_total(done), duration_histogram(done, seconds=seconds), redactions_total(labelled(begun)), flying, prefix)

@@ -601,15 +601,28 @@ def kind_by_route_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.by_kind_and_route(metrics.labelled(log(spark, sf_dir))).withColumn("level", F.col("level").cast("long"))
 
 
+_AT = "timestamp '2024-01-20 12:00:00'"
+_HEADS_SQL = ", ".join(f"({k}, null, {i}, '{text}')" for k, (name, kind, says) in enumerate(metrics.FAMILIES) for i, text in enumerate((f"# HELP umbra_{name} {says}", f"# TYPE umbra_{name} {kind}")))
+#: A double of at least 0.001 in its fewest digits.
+_SHORTEST_SQL = """case when total = 0 then '0' when total < 1e6 then regexp_replace(total::varchar, '\\.0$', '') else digits[1] || case when digits[2:] != '' then '.' || digits[2:] else '' end || 'e+' || lpad((length(split_part(total::varchar, '.', 1)) - 1)::varchar, 2, '0') end"""
+
+
 @query(f"""
-with {LOG_SQL}
-select 1 as family, 'umbra_http_requests_total{{route="' || route || '",method="' || method || '",status="' || status || '",handling="' || handling || '"}} ' || count(*) as line from log group by route, method, status, handling
-union all select 2, 'umbra_http_request_duration_seconds_bucket{{route="' || route || '",handling="' || handling || '",le="' || le || '"}} ' || count(*) filter (seconds <= bound) from log, {_BOUNDS_SQL} group by route, handling, le
-union all select 3, 'umbra_redactions_total{{route="' || route || '",kind="' || kind || '"}} ' || sum(n)::bigint from log group by route, kind having sum(n) > 0
+with {LOG_SQL}, begun as (select *, ts + to_microseconds((round(seconds * 1e6))::bigint) > {_AT} as flies from log where ts <= {_AT}), done as (select * from begun where not flies),
+ends as (select *, rtrim(replace(regexp_replace(total::varchar, '\\.0$', ''), '.', ''), '0') as digits from (select route, handling, sum(seconds::decimal(28,9))::double as total, count(*) as n from done group by all)),
+heads(family, key, place, line) as (values {_HEADS_SQL})
+select * from heads
+union all select 0, '', 0, 'umbra_http_requests_in_flight ' || (select count(*) from begun where flies)
+union all select 1, concat_ws(chr(0), route, method, status, handling), 0, 'umbra_http_requests_total{{route="' || route || '",method="' || method || '",status="' || status || '",handling="' || handling || '"}} ' || count(*) from done group by route, method, status, handling
+union all select 2, concat_ws(chr(0), route, handling), place, 'umbra_http_request_duration_seconds_bucket{{route="' || route || '",handling="' || handling || '",le="' || le || '"}} ' || count(*) filter (seconds <= bound)
+  from done, (select *, (row_number() over (order by bound))::int as place from {_BOUNDS_SQL}) group by route, handling, le, place
+union all select 2, concat_ws(chr(0), route, handling), {len(metrics.BOUNDS) + 2}, 'umbra_http_request_duration_seconds_sum{{route="' || route || '",handling="' || handling || '"}} ' || {_SHORTEST_SQL} from ends
+union all select 2, concat_ws(chr(0), route, handling), {len(metrics.BOUNDS) + 3}, 'umbra_http_request_duration_seconds_count{{route="' || route || '",handling="' || handling || '"}} ' || n from ends
+union all select 3, concat_ws(chr(0), route, kind), 0, 'umbra_redactions_total{{route="' || route || '",kind="' || kind || '"}} ' || sum(n)::bigint from begun group by route, kind having sum(n) > 0
 """)
 def exposition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = log(spark, sf_dir)
-    return metrics.exposition(metrics.requests_total(rows), metrics.duration_histogram(rows), metrics.redactions_total(metrics.labelled(rows)))
+    """All metrics at a time, in the text format."""
+    return metrics.snapshot(log(spark, sf_dir), F.expr(_AT))
 
 
 # ---- admission ---------------------------------------------------------------------------------------
