@@ -420,15 +420,14 @@ def passages(docs: DataFrame, least: int = LEAST, crowd: int = CROWD) -> DataFra
     shared = materialise(each.groupBy("seed").count().where("count > 1").select("seed"))
     # One number stands for a text, though several tasks may have met it.
     texts = materialise(scanned.where("n_bytes > 0").groupBy("digest").agg(F.min("tid").alias("tid"), F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes")))
-    kept = materialise(each.join(shared, "seed").join(texts.select("tid"), "tid", "left_semi"))
+    met = materialise(each.join(shared, "seed"))  # a table of its own, so that all stretches are shuffled once
+    kept = materialise(met.join(texts.select("tid", "copies"), "tid"))
 
     by_span = materialise(kept.groupBy("seed", "span").agg(F.count("*").alias("n"), F.min(F.struct("tid", "at")).alias("one")))
     twice = by_span.where("n > 1").select("seed", "span")
     first, windows = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(255)
-    marks = kept.join(twice, ["seed", "span"]).select("tid", first.alias("first"), (first + windows).alias("last"))
     # Of a text that has a copy all goes anyway.
-    alone = texts.where("copies = 1").select("tid")
-    marks = materialise(marks.join(alone, "tid", "left_semi"))
+    marks = materialise(kept.where("copies = 1").join(twice, ["seed", "span"]).select("tid", first.alias("first"), (first + windows).alias("last")))
     meet = by_span.groupBy("seed").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("seed")
     asked = by_span.join(materialise(meet), "seed").groupBy("one.tid").agg(F.collect_list("one.at").alias("ats"))
     wanted = materialise(marks.select("tid").distinct().join(asked, "tid", "full"))
@@ -440,6 +439,7 @@ def passages(docs: DataFrame, least: int = LEAST, crowd: int = CROWD) -> DataFra
     held = materialise(keyed.join(holders, "key").dropDuplicates(["key"]).select("tid", "text", "ats"))
 
     stretches = materialise(slices(held.where("ats is not null"), shape))
+    alone = texts.where("copies = 1").select("tid")
     marks = marks.union(edges(stretches, shape, crowd).join(alone, "tid", "left_semi"))
     listed = materialise(marks.groupBy("tid").agg(F.collect_set(F.struct("first", "last")).alias("marks")))
     cuts = removed(held.select("tid", "text").join(listed, "tid"), shape)
