@@ -7,7 +7,7 @@ the turns themselves stay within the budget.  Where a window ends follows from w
 this is worked out for every turn, page by page of turns, from token counts alone, and only the
 pages' transitions (from a first turn in the page to the first window behind it) are followed in
 order along a conversation.  Texts are then fetched by the turns' numbers and gathered window by
-window.  Each later window begins with the conversation's system turn and repeats at most
+window.  Each window behind the conversation's first system turn begins with it, wherever it stands, and repeats at most
 ``HISTORY_TURNS`` turns of at most ``HISTORY_TOKENS`` tokens before its own; repeated assistant
 turns are not targets again.
 
@@ -80,15 +80,15 @@ def numbered(turns: DataFrame, tokens=word_tokens) -> DataFrame:
 def spans(turns: DataFrame, budget: int, history_turns: int, history_tokens: int, page: int) -> DataFrame:
     """(conv_id, page, first, h, s, e, system): of each window the turns h..e-1 that it holds, of which s..e-1 are its own.
 
-    ``turns`` are numbered; first is the conversation's first number, system whether a system
-    turn is to be retained in front.  No text is touched.
+    ``turns`` are numbered; first is the conversation's first number, system that of the system
+    turn to be retained in front, the first one wherever it stands; null if there is none, or none
+    before the window.  No text is touched.
     """
     most = max(1, budget // MARKER_TOKENS)  # turns of a window, at least so long each
     page = max(page, most + 1)
     slim = turns.select("conv_id", "at", "k", (F.col("role") == "system").alias("is_system"))
-    convs = slim.groupBy("conv_id").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    opening = convs.join(slim.where("is_system").select(F.col("at").alias("first"), F.col("k").alias("system")), "first", "left")
-    opening = opening.select(F.col("conv_id").alias("c"), "first", "last", F.coalesce("system", F.lit(0).cast("long")).alias("system"))
+    convs = slim.groupBy("conv_id").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.min(F.when(F.col("is_system"), F.struct("at", "k"))).alias("y"))
+    opening = convs.select(F.col("conv_id").alias("c"), "first", "last", F.col("y.at").alias("system"), F.coalesce("y.k", F.lit(0).cast("long")).alias("system_k"))
     # A page also sees the turns before it that its first windows may repeat, and those that its last windows may reach.
     own, inside = F.floor(F.col("at") / page).cast("long"), F.pmod("at", F.lit(page))
     seen = F.concat(F.array(own), F.when(inside < most, F.array(own - 1)).otherwise(F.array().cast("array<bigint>")), F.when(inside >= page - history_turns, F.array(own + 1)).otherwise(F.array().cast("array<bigint>")))
@@ -98,12 +98,12 @@ def spans(turns: DataFrame, budget: int, history_turns: int, history_tokens: int
     begin, end = F.greatest(F.col("page") * page, "first"), F.least((F.col("page") + 1) * page - 1, "last") + 1
     pages = pages.where(begin < end).withColumn("low", F.get("t", F.lit(0))["at"]).withColumn("begin", (begin - F.col("low")).cast("int")).withColumn("end", (end - F.col("low")).cast("int"))
     sums = F.aggregate("t", F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["k"])))
-    pages = pages.select("conv_id", "page", "first", "last", "system", "low", "begin", "end", sums.alias("sums"))
+    pages = pages.select("conv_id", "page", "first", "last", "system", "system_k", "low", "begin", "end", sums.alias("sums"))
 
     def window(i: Column) -> Column:
-        """The window whose first own turn is in place i; its system turn needs no copy if its history reaches back to it."""
+        """The window whose first own turn is in place i; it needs no copy of a system turn that it begins with or that comes later."""
         upto = lambda x: F.get("sums", x)
-        held = lambda h: F.when(F.col("low") + h == F.col("first"), F.lit(0).cast("long")).otherwise(F.col("system"))
+        held = lambda h: F.when(F.col("low") + h <= F.col("system"), F.lit(0).cast("long")).otherwise(F.col("system_k"))
         options = F.sequence(F.greatest(F.lit(0), i - history_turns), i)
         fits = F.filter(options, lambda h: (h == i) | (upto(i) - upto(h) <= history_tokens) & (held(h) + upto(i + 1) - upto(h) <= budget))
         began = lambda h: F.struct(h.alias("h"), (budget - held(h) + upto(h)).alias("limit"))
@@ -141,7 +141,7 @@ def _followed(pages: DataFrame, page: int) -> DataFrame:
         lambda acc, x: F.when(x["s"] == acc["at"], F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(x)).alias("out"))).otherwise(acc),
         lambda acc: acc["out"],
     )
-    return placed.select("conv_id", "page", "first", "last", "system", F.inline(taken)).withColumn("system", (F.col("system") > 0) & (F.col("h") > F.col("first")))
+    return placed.select("conv_id", "page", "first", "last", "system", F.inline(taken)).withColumn("system", F.when(F.col("h") > F.col("system"), F.col("system")))
 
 
 def windows(
@@ -170,9 +170,9 @@ def windows(
     listed = cut.select("conv_id", "first", F.col("s").alias("own"), F.explode(F.sequence("h", F.col("e") - 1)).alias("at"))
     texts = listed.join(rows.select("at", "role", "text", "k"), "at").withColumn("mine", F.col("at") >= F.col("own"))
     # The system turn goes to every page of its conversation, and there to the windows.
-    kept = cut.where("system")
-    opening = kept.groupBy("first", "page").agg(F.count("*").alias("n")).select(F.col("first").alias("at"), "page").join(rows.select("at", "role", "text", "k"), "at").withColumnRenamed("at", "first")
-    system = kept.select("conv_id", "first", "page", F.col("s").alias("own")).join(opening, ["first", "page"])
+    kept = cut.where("system is not null")
+    opening = kept.select(F.col("system").alias("at"), "page").distinct().join(rows.select("at", "role", "text", "k"), "at").withColumnRenamed("at", "system")
+    system = kept.select("conv_id", "first", "system", "page", F.col("s").alias("own")).join(opening, ["system", "page"])
     pieces = texts.select("conv_id", "first", "own", "at", "role", "text", "k", "mine").unionByName(system.select("conv_id", "first", "own", F.lit(-1).cast("long").alias("at"), "role", "text", "k", F.lit(False).alias("mine")))
     gathered = pieces.groupBy("conv_id", "first", "own").agg(F.sort_array(F.collect_list(F.struct("at", "role", "text", "k", "mine"))).alias("t"))
     written = F.transform(
