@@ -1,5 +1,6 @@
 import hashlib
 import re
+from collections import Counter
 import textwrap
 
 import numpy as np
@@ -23,15 +24,15 @@ def docs(spark, rows):
 def plain_windows(turns, budget):
     """(first own turn, repeated turns, text) of each window of one conversation: (role, text, tokens) in order."""
     k = [t[2] for t in turns]
-    system = k[0] if turns[0][0] == "system" else 0
+    at = next((i for i, t in enumerate(turns) if t[0] == "system"), len(turns))
     out, s = [], 0
     while s < len(turns):
-        held = lambda h: 0 if h == 0 else system
+        held = lambda h: 0 if h <= at else k[at]
         h = next((h for h in range(max(0, s - 2), s) if sum(k[h:s]) <= 256 and held(h) + sum(k[h : s + 1]) <= budget), s)
         e = s + 1
         while e < len(turns) and held(h) + sum(k[h : e + 1]) <= budget:
             e += 1
-        front = [turns[0]] if system and h > 0 else []
+        front = [turns[at]] if h > at else []
         out.append((s, s - h + len(front), [(r, t) for r, t, _ in front + turns[h:e]]))
         s = e
     return out
@@ -59,6 +60,8 @@ def talks():
     rows += [(3, 5, *pick()) for _ in range(600)] + [(4, int(t), *pick()) for t in rng.integers(-(2**40), 2**40, 50)]
     rows += [(5, None, *pick()) for _ in range(20)] + [(None, t, "system" if t == 0 else "assistant", "nobody's") for t in range(40)]
     rows += [(6, t, "system" if t == 0 else "user", "same same") for t in range(30)] + [(7, 1, "assistant", "long " * 3000), (7, 2, "system", "late"), (8, 0, "system", "s " * 900), (8, 1, "user", "x"), (8, 2, "assistant", "y")]
+    rows += [(9, t, "system" if t == 1 else pick()[0], pick()[1]) for t in range(40)] + [(10, t, "system" if t in (300, 301) else pick()[0], pick()[1]) for t in range(600)]
+    rows += [(11, t, "system" if t == 0 else "user", "w " * 30) for t in range(20)] + [(11, None, "user", "before")]
     return rows
 
 
@@ -340,6 +343,38 @@ def test_every_language_is_learned(spark):
     assert {lang: model.predict(t, rates)[0] for lang, t in asked.items()} == {lang: lang for lang in own}
 
 
+def test_a_language_keeps_so_many_ngrams_and_no_more(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    letters = np.array([chr(c) for c in range(0x4E00, 0x9F00)])
+    # Long texts, whose n-grams all tie; common words in every text.
+    rows = [("zh", " ".join(["the and of"] + ["".join(rng.choice(letters, 6)) for _ in range(400)])) for _ in range(4)] + [("en", "the and of to in that")] * 4
+    seen = []
+    monkeypatch.setattr(langid.Model, "build", classmethod(lambda cls, held: seen.append(held) or cls(sorted(held), np.zeros(langid.POSITIONS, np.uint64))))
+    counts = Counter(g for lang, t in rows if lang == "zh" for g in np.unique(langid.grams(t)).view(np.int64).tolist())
+    most = max(counts.values())
+    ranked = sorted(counts, key=lambda g: (-counts[g], g))
+    for grams, least in ((10, 1), (len([g for g in counts if counts[g] == most]), 1), (1000, 1), (10**6, 1)):
+        monkeypatch.setattr(langid, "GRAMS", grams)
+        monkeypatch.setattr(langid, "LEAST_DOCS", least)
+        langid.train(docs(spark, [(i, t, lang) for i, (lang, t) in enumerate(rows)]))
+        assert sorted(seen[-1]["zh"].view(np.int64).tolist()) == sorted(ranked[:grams])
+
+
+def test_verdicts_against_a_plain_version():
+    rng = np.random.default_rng(14)
+    own = {"a": "ab abc abd ba".split(), "b": "ba bac bad ab".split(), "c": "xy xyz yx".split()}
+    model = langid.Model.build({lang: np.unique(langid.grams(" ".join(v))) for lang, v in own.items()})
+    rates = model.false_rates()
+    for _ in range(200):
+        text = " ".join(rng.choice(own["a"] + own["b"] + own["c"] + ["qq"], rng.integers(1, 9)))
+        hashes, share = langid.grams(text).tolist(), []
+        for i, lang in enumerate(model.languages):
+            held = [all(int(model.masks[int(p[0])]) >> i & 1 for p in langid._probes(np.array([h], np.uint64))) for h in hashes]
+            share.append(min(1.0, max(0.0, (sum(held) / len(hashes) - rates[i]) / (1 - rates[i]))))
+        best = share.index(max(share))
+        assert model.predict(text, rates) == (model.languages[best], pytest.approx(share[best]))
+
+
 def test_filter_finds_all_it_holds_and_few_others():
     rng = np.random.default_rng(0)
     held = {k: rng.integers(0, 2**63, 20_000).astype(np.uint64) for k in ("a", "b")}

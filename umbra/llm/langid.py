@@ -147,8 +147,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
 
     At most about ``sample_docs`` rows of each language are read, chosen by a hash of the text.
     Every language with letters in its rows is learned, however many there are and however few
-    rows one has.  Repeated rows are drawn together and count each; n-grams that tie at the last
-    place kept are left out together; rows without a language or a text teach nothing; an empty
+    rows one has.  Repeated rows are drawn together and count each; of n-grams that tie at the last
+    place kept those with the least hash stay, so that no language keeps more than ``GRAMS``; rows without a language or a text teach nothing; an empty
     table gives a model that knows no language.  Long texts are read whole; other columns,
     whatever their names, are ignored.
     """
@@ -165,7 +165,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
         for chunk in chunks:
             parts: dict[str, list[np.ndarray]] = {}
             for text, lang in zip(chunk["text"], chunk["lang"]):
-                parts.setdefault(lang, []).append(np.unique(grams(text)))
+                parts.setdefault(lang, []).append(np.unique(np.concatenate([np.unique(p) for p in gram_parts(text)])))
             out: dict[str, list] = {"lang": [], "gram": [], "docs": []}
             for lang, lists in parts.items():
                 gram, n = np.unique(np.concatenate(lists), return_counts=True)
@@ -180,23 +180,64 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     histogram: dict[str, list[tuple[int, int]]] = {}
     for lang, n, c in counted.groupBy("lang", "docs").count().orderBy(F.desc("docs")).collect():  # at most sample_docs rows a language
         histogram.setdefault(lang, []).append((n, c))
-    least = {}
+    least, rest = {}, {}
     for lang, steps in histogram.items():
         # A language of few or short documents, no n-gram of which is in as many, keeps what it has.
         enough = LEAST_DOCS if steps[0][0] >= LEAST_DOCS else 1
         total = 0
         for n, c in steps:
-            if n < enough or total and total + c > GRAMS:
+            if n < enough or total == GRAMS:
                 break
-            total, least[lang] = total + c, n
+            least[lang] = n
+            if total + c > GRAMS:
+                rest[lang] = (n, GRAMS - total)
+                break
+            total += c
     if not least:
         return Model(sorted(lang for lang, _ in per_lang), np.zeros(POSITIONS, np.uint64))
-    bound = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
-    kept = counted.where(F.col("docs") >= F.try_element_at(bound, F.col("lang"))).select("lang", "gram").toPandas()
+    bound = lambda values: F.try_element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("lang"))
+    fits = F.col("docs") >= bound(least)
+    if rest:
+        cuts = _least_hashes(counted, rest)
+        ties = F.coalesce(F.col("docs") == bound({lang: n for lang, (n, _) in rest.items()}), F.lit(False))
+        fits = fits & (~ties | (F.col("gram") <= bound(cuts)))
+    kept = counted.where(fits).select("lang", "gram").toPandas()  # at most GRAMS rows a language
     counted.unpersist()
     return Model.build({lang: g.to_numpy(np.int64).view(np.uint64) for lang, g in kept.groupby("lang")["gram"]})
 
 
+def _least_hashes(counted: DataFrame, rest: dict[str, tuple[int, int]]) -> dict[str, int]:
+    """For each language of ``rest`` (number of documents, how many) the hash up to which so many of its n-grams with that number lie.
+
+    Twelve bits of the hashes are told apart at a time, from the highest on, so that no more than
+    4096 counts of a language reach the driver in a round.
+    """
+    low, bits = {lang: (0, many) for lang, (_, many) in rest.items()}, 64
+    order = F.col("gram").bitwiseXOR(F.lit(-(2**63)))  # as unsigned numbers, in the order of signed ones
+    bound = lambda values: F.try_element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("lang"))
+    signed = lambda u: u - 2**64 if u >= 2**63 else u
+    ties = counted.where(F.col("docs") == bound({lang: n for lang, (n, _) in rest.items()}))
+    found = {}
+    while low and bits > 0:
+        step = min(12, bits)
+        held = ties.where(F.lit(True) if bits == 64 else F.shiftrightunsigned(order, bits) == bound({lang: p for lang, (p, _) in low.items()}))
+        bits -= step
+        counts: dict[str, dict[int, int]] = {}
+        for r in held.groupBy("lang", F.shiftrightunsigned(order, bits).alias("prefix")).count().collect():
+            counts.setdefault(r["lang"], {})[r["prefix"] % 2**64] = r["count"]
+        for lang, (_, many) in list(low.items()):
+            for prefix in sorted(counts[lang]):
+                if counts[lang][prefix] >= many:
+                    break
+                many -= counts[lang][prefix]
+            if counts[lang][prefix] == many or bits == 0:
+                found[lang] = signed((((prefix + 1) << bits) - 1) ^ 2**63)
+                del low[lang]
+            else:
+                low[lang] = (prefix if prefix < 2**63 else prefix - 2**64, many)
+    return found
+
+
 def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``keep`` columns with ``lang_pred`` and ``score`` of every whole text.
 
