@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics, state, vault
 from ..sources.tables import table
+from ..streaming import stores as streams
 from .catalogue import LOG_SQL, NODES, log, query
 
 
@@ -41,6 +42,48 @@ def known_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.groupBy("event_id").agg(F.count("*").alias("n_values"), F.sum(F.octet_length("value")).cast("long").alias("n_bytes"), F.max("last_seen").alias("last_seen"))
 
 
+_LATE = "2 hours"
+
+
+def _late(rows: DataFrame, key: str) -> DataFrame:
+    """Rows that arrive up to almost two hours after their time, not in its order."""
+    lag = F.make_interval(secs=F.pmod(F.xxhash64(key), F.lit(7000)))
+    return rows.withColumn("arrived", F.col("ts") + lag)
+
+
+@query("""
+with a as (select user_id % 50 as client, ts, 'value' || user_id as value from events where event_type != 'error'),
+r as (select event_id, user_id % 50 as client, ts from events where event_type = 'error'),
+last as (select r.event_id, a.value, max(a.ts) as last_seen, r.ts from r join a on a.client = r.client and a.ts <= r.ts
+  and not exists (select 1 from (select client, ts as t, lead(ts) over (partition by client order by ts) as nxt from a) g
+    where g.client = r.client and g.t >= a.ts and g.t < r.ts and g.t + interval 1 hour <= least(coalesce(case when g.nxt <= r.ts then g.nxt end, r.ts), r.ts)) group by all),
+k as (select *, row_number() over w as n, sum(strlen(value)) over (partition by event_id order by last_seen desc, value rows unbounded preceding) as b from last window w as (partition by event_id order by last_seen desc, value))
+select event_id, n::int as rank, value from k where n <= 4 and b <= 30
+""")
+def known_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sets kept as state by a streaming query, whose rows come late and which is started several times."""
+    events = table(spark, sf_dir, "events")
+    add = F.col("event_type") != "error"
+    rows = events.select("event_id", (F.col("user_id") % 50).cast("string").alias("client"), F.lit("/").alias("route"), "ts", F.when(add, F.concat(F.lit("value"), "user_id")).alias("value"), F.when(add, "SECRET").alias("kind"), F.when(~add, F.col("event_id")).alias("request"))
+    out = streams.replay(_late(rows, "event_id").drop("event_id"), lambda s: streams.known_values(s, _LATE, most_values=4, most_bytes=30))
+    return out.select(F.col("request").alias("event_id"), "rank", "value")
+
+
+@query("""
+with e as (select event_id, user_id % 20 as client, 'r' || (user_id % 40) as response_id, ts, event_type from events),
+g as (select * from e where event_type = 'view'), p as (select * from e where event_type = 'purchase')
+select g.event_id, max('vault' || p.event_id) filter (p.ts = (select max(q.ts) from p q where q.client = g.client and q.response_id = g.response_id and q.ts <= g.ts)) as vault
+from g left join p on g.client = p.client and g.response_id = p.response_id and p.ts <= g.ts and g.ts < p.ts + interval 1 hour group by g.event_id
+""")
+def chains_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of response chains kept as state by a streaming query, whose rows come late and which is started several times."""
+    events = table(spark, sf_dir, "events").where("event_type in ('view', 'purchase')")
+    put = F.col("event_type") == "purchase"
+    rows = events.select("event_id", (F.col("user_id") % 20).cast("string").alias("client"), F.lit("/").alias("route"), F.concat(F.lit("r"), F.col("user_id") % 40).alias("response_id"), "ts", F.when(put, F.concat(F.lit("vault"), "event_id")).alias("vault"), F.when(~put, F.col("event_id")).alias("request"))
+    out = streams.replay(_late(rows, "event_id").drop("event_id"), lambda s: streams.chain_vaults(s, _LATE))
+    return out.select(F.col("request").alias("event_id"), "vault")
+
+
 #: The spans of a node, one after another: each begins with the first failure that is not before the end of the last.
 SPANS_SQL = """
 f as (select distinct '10.0.0.' || (user_id % 5 + 1) as node, ts from events where event_type = 'error'),

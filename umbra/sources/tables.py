@@ -30,17 +30,21 @@ def settled(df: DataFrame) -> DataFrame:
     return df.observe(f"rows-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("n"))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table below ``spark.checkpoint.dir``, read back; only a local session without that setting gets a temporary folder."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``; only a local session without that setting gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="umbra-")
-    path = f"{root.rstrip('/')}/umbra-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/umbra-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, read back."""
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def running(df: DataFrame, by: Sequence[str], order: Sequence[str], steps: dict[str, Callable[[], Column]]) -> DataFrame:
