@@ -355,6 +355,34 @@ def test_chunks_that_many_tasks_store_are_kept_at_one_place(spark, tmp_path):
     assert places(lists) > 1 and places(done) == 1 and done.count() == 12
 
 
+def test_deduplicated_lists_against_a_plain_version(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(5)
+    common = words(rng, 3000)
+    texts = [common + words(rng, int(n)) for n in rng.integers(0, 3000, 30)] + ["", None, common, common, "z" * 70_000]
+    lists = media.store(docs(spark, [*enumerate(texts), (None, common)]).repartition(5), f"file://{tmp_path}/p")
+    rows = lists.collect()
+    least = {}
+    for r in rows:
+        for c in r["chunks"]:
+            place = (c["pack"], c["start"], c["stored"])
+            least[c["digest"]] = min(least.get(c["digest"], place), place)
+    want = sorted((r["home"], r["row"], [(c["digest"], c["length"], *least[c["digest"]]) for c in r["chunks"]]) for r in rows)
+    for readers in (20_000, 1):
+        monkeypatch.setattr(media, "MOST_READERS", readers)
+        monkeypatch.setattr(media, "READ_BYTES", 50_000)
+        done = media.deduplicate(lists)
+        assert sorted((r["home"], r["row"], [(c["digest"], c["length"], c["pack"], c["start"], c["stored"]) for c in r["chunks"]]) for r in done.collect()) == want
+    # Cuts are where the hash of the last 32 bytes says, found byte by byte.
+    gear, data = media._gear(), common.encode()[:40_000]
+    ends, h, at = [], 0, 0
+    for i, byte in enumerate(data):
+        h = ((h << 1) + int(gear[byte])) & 0xFFFFFFFF
+        if i + 1 - at >= media.LEAST and h >> (32 - media.BITS) == 0 or i + 1 - at == media.MOST or i + 1 == len(data):
+            ends.append(i + 1)
+            at = i + 1
+    assert media.cuts(data, gear) == ends
+
+
 def test_damaged_chunks_are_noticed(spark, tmp_path):
     lists = media.deduplicate(media.store(docs(spark, [(1, "abc " * 300)]), f"file://{tmp_path}/p"))
     (pack,) = [p for p in (tmp_path / "p").iterdir()]

@@ -30,6 +30,8 @@ PACK_BYTES = 256 << 20
 SEEN = 1_000_000
 #: Payload bytes that a reading task should rebuild, and rows of a list block that stay together.
 READ_BYTES, READ_ROWS = 32 << 20, 500
+#: Tasks that read back, at most; a task takes its blocks one after another, whatever their number.
+MOST_READERS = 20_000
 #: A text's bytes are filled up with 255 to a positive multiple of this.
 UNIT = 576
 MAGIC = b"CDC1"
@@ -144,7 +146,7 @@ def deduplicate(lists: DataFrame) -> DataFrame:
     placed = refs.join(moved, (F.col("home") == F.col("h")) & (F.col("c.digest") == F.col("moved")), "left")
     chunk = F.struct("pos", F.col("c.digest").alias("digest"), F.col("c.length").alias("length"), *[F.coalesce(F.col(f"at.{k}"), F.col(f"c.{k}")).alias(k) for k in ("pack", "start", "stored")])
     total = lists.agg(F.sum("payload_bytes")).first()[0] or 0
-    dealt = placed.withColumn("block", F.floor(F.col("row") / READ_ROWS)).repartition(max(1, -(-total // READ_BYTES)), "home", "block")
+    dealt = placed.withColumn("block", F.floor(F.col("row") / READ_ROWS)).repartition(min(MOST_READERS, max(1, -(-total // READ_BYTES))), "home", "block")
     facts = [F.first(c).alias(c) for c in ("doc_id", "n_bytes", "payload_bytes", "payload_digest")]
     whole = dealt.groupBy("home", "block", "row").agg(*facts, F.sort_array(F.collect_list(chunk)).alias("chunks"))
     return whole.sortWithinPartitions("home", "row")
