@@ -268,3 +268,29 @@ def test_texts_worth_scanning_are_all_that_hold_something(spark):
     worth = {r["i"] for r in df.where(rescans.worth_scanning(F.col("text"))).select("i").collect()}
     held = {i for i, t in enumerate(texts) if any(rescans.scan(t))}
     assert held <= worth and len(held) > 1000
+
+
+def test_dictionary_join_equals_the_automaton(spark):
+    import random
+
+    from umbra.operators import dictionary
+    from umbra.operators.terms import Literals
+
+    rng = random.Random(9)
+    letters = ["a", "b", "ab", "é", "😀", "_", " ", " ", "-", ".", "\n", "7"]
+    make = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [make(rng.randrange(400)) for _ in range(60)] + ["", None, "abab"]
+    values = {make(rng.choice([3, 4, 5, 8, 9, 17])) for _ in range(1500)} | {"abab", "ab a", "x" * 40}
+    for t in texts:
+        for _ in range(3):
+            if t:
+                at = rng.randrange(len(t))
+                values.add(t[at : at + rng.choice([4, 6, 10, 20, 50])])
+    literals = [(v, f"K{len(v) % 3}") for v in values]
+    automaton = Literals([(k, v) for v, k in literals])
+    want = {i: sorted((s, e, k) for s, e, k, _ in automaton(t)) for i, t in enumerate(texts) if t and automaton(t)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(4)
+    rows = spark.createDataFrame([*literals, *literals[:50]], "value string, kind string").repartition(3)
+    got = {r["i"]: sorted((h["start"], h["end"], h["kind"]) for h in r["hits"]) for r in dictionary.dictionary_hits(docs, rows, "i").collect()}
+    assert len(want) > 30 and got == want
+    assert dictionary.dictionary_hits(docs, rows.limit(0), "i").count() == 0

@@ -15,7 +15,7 @@ from ..functions import patterns as P
 from ..functions import scalars
 from ..functions.tlds import ROOT_ZONE
 from ..functions.spans import find_all, resolve, value_of
-from ..operators import admission, detect, metrics, state, vault, walk
+from ..operators import admission, detect, dictionary, metrics, state, vault, walk
 from ..operators.terms import Terms
 from ..sources import files
 from ..sources.tables import spread, table, written
@@ -156,6 +156,24 @@ def entropy_and_wordish(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", F.round(scalars.shannon(F.col("v")), 9).alias("entropy"), F.round(scalars.wordish(F.col("v")), 9).alias("wordish"))
 
 
+@query(r"""
+with w as (select item_id, string_split_regex(trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' ') as ws from benchmark),
+l as (select distinct array_to_string(ws[i:i + 2], ' ') as value from w, unnest(range(1, len(ws) - 1)) as r(i) where length(array_to_string(ws[i:i + 2], ' ')) >= 4),
+t as (select doc_id, string_split(text, ' ') as ts from documents),
+g as (select distinct doc_id, regexp_extract(ts[i], '(^|[^\pL\pM\p{Nd}_])([A-Za-z]+)$', 2) || ' ' || ts[i + 1] || ' ' || regexp_extract(ts[i + 2], '^([A-Za-z]+)($|[^\pL\pM\p{Nd}_])', 1) as value from t, unnest(range(1, len(ts) - 1)) as r(i))
+select value, count(*) as n_docs from l join g using (value) group by value
+""")
+def dictionary_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three words on end of the benchmark's items, looked for in all documents as a dictionary."""
+    words = F.split(F.trim(F.regexp_replace("text", "[^A-Za-z]+", " ")), " ")
+    items = table(spark, sf_dir, "benchmark").select(words.alias("ws")).where(F.size("ws") >= 3)
+    phrases = items.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - 2), lambda i: F.array_join(F.slice("ws", i, 3), " "))).alias("value"))
+    docs = _documents(spark, sf_dir)
+    hits = dictionary.dictionary_hits(docs, phrases.withColumn("kind", F.lit("PHRASE")), "doc_id")
+    found = docs.join(hits, "doc_id").select("doc_id", F.explode("hits").alias("s"), "text").select("doc_id", value_of(F.col("text"), F.col("s")).alias("value"))
+    return found.distinct().groupBy("value").agg(F.count("*").alias("n_docs"))
+
+
 # ---- detectors over texts put together ----------------------------------------------------------
 
 _HEX = "sha2(cast(c_custkey as string), 256)"
