@@ -113,7 +113,11 @@ def test_files(spark, tmp_path):
     with pytest.raises(ValueError, match="terms line 4: ALLOW entry looks like"):
         files.read_terms(spark, f"{tmp_path}/bad")
     (tmp_path / "terms").write_text("xx\n")
-    assert held.get().count == 1 and held.error
+    assert held.get().count == 1 and held.error and held.version == 1
+    (tmp_path / "terms").unlink()
+    assert held.get().count == 1 and held.error == "no such file"
+    (tmp_path / "terms").write_text("Orion\nVega 7\n")
+    assert held.get().count == 2 and held.error is None and held.version == 2
 
 
 def test_entropy_is_that_of_bytes(spark):

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import metrics, state, vault
-from ..sources.tables import table
+from ..operators import detect, metrics, state, vault
+from ..sources import files
+from ..sources.tables import shared_path, table
+from ..streaming import reload
 from ..streaming import stores as streams
 from .catalogue import LOG_SQL, NODES, log, query
 
@@ -136,3 +138,35 @@ def structured_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = F.array(F.struct(F.lit("EMAIL").alias("kind"), (F.col("user_id") % 4).alias("n")), F.struct(F.lit("TOKEN").alias("kind"), (F.col("user_id") % 3).alias("n")))
     counts = events.select("event_id", F.inline(pairs))
     return metrics.log_lines(rows, counts, "event_id")
+
+
+@query("""
+select c_custkey as k, (c_custkey % 2)::int as batch, (c_custkey % 2 + 1)::int as version, (case when c_custkey % 2 = 1 or n_nationkey % 5 = 0 then 1 else 0 end)::int as n_spans
+from customer join nation on c_nationkey = n_nationkey
+""")
+def reloaded_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in two parts through a stream of detection, whose terms file changes between them.
+
+    The first file has the names of every fifth nation, the second those of all; a file in between
+    that cannot be parsed changes nothing.
+    """
+    root = shared_path(spark)
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    customers = table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = customers.select(F.col("c_custkey").alias("k"), F.concat("c_name", F.lit(" lives in "), F.lower("n_name"), F.lit(".")).alias("text"))
+
+    def put(lines: DataFrame) -> None:
+        """The terms file anew, in one part."""
+        lines.agg(F.array_join(F.sort_array(F.collect_set("n_name")), "\n").alias("value")).coalesce(1).write.mode("overwrite").text(f"{root}/terms")
+
+    put(nations.where("n_nationkey % 5 = 0"))
+    held = files.Reloaded(spark, f"{root}/terms/part-*", lambda p: files.read_terms(spark, p))
+    for part in (0, 1):
+        rows.where(F.col("k") % 2 == part).write.parquet(f"{root}/in/{part}")
+        source = spark.readStream.schema(rows.schema).parquet(f"{root}/in/*")
+        found = lambda batch, content: detect.detect(batch, terms=content).select("k", F.size(F.filter("spans", lambda s: s["kind"] == "TERM")).alias("n_spans"))
+        reload.with_versions(source, held, found, f"{root}/out", f"{root}/progress", once=True).awaitTermination()
+        put(nations.withColumn("n_name", F.lit("x")))  # too short a term: the last good file stays
+        held.get()
+        put(nations)
+    return spark.read.schema("k long, n_spans int, version int, batch int").parquet(f"{root}/out").select("k", "batch", "version", "n_spans")
