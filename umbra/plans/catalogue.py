@@ -124,17 +124,29 @@ def detect_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""
 with m as (select doc_id, unnest(regexp_extract_all(text, '(?m)^[ \t]*(?:export[ \t]+)?([A-Za-z][A-Za-z0-9_.-]*)[ \t]*=[ \t]*("[^"\n]*"|''[^''\n]*''|[^\s#]*)', 1)) as k,
-    unnest(regexp_extract_all(text, '(?m)^[ \t]*(?:export[ \t]+)?([A-Za-z][A-Za-z0-9_.-]*)[ \t]*=[ \t]*("[^"\n]*"|''[^''\n]*''|[^\s#]*)', 2)) as v from documents),
+    unnest(regexp_extract_all(text, '(?m)^[ \t]*(?:export[ \t]+)?([A-Za-z][A-Za-z0-9_.-]*)[ \t]*=[ \t]*("[^"\n]*"|''[^''\n]*''|[^\s#]*)', 2)) as v from (select doc_id, concat(text, chr(10), 'export API_TOKEN=', sha256(text), chr(10)) as text from documents)),
 u as (select doc_id, case when length(v) >= 2 and left(v, 1) in ('"', '''') and right(v, 1) = left(v, 1) then substr(v, 2, length(v) - 2) else v end as v from m
   where regexp_matches(upper(k), '(^|[_.-])(KEY|SECRET|TOKEN|PASSWORD|PASSWD|PWD|CREDENTIAL|CREDENTIALS|AUTH|DSN|CONNECTION_STRING)$'))
 select doc_id, count(*) as n from u where v != '' and left(v, 1) not in ('$', '=') and lower(v) not in ('true', 'false', 'yes', 'no', 'null', '0', '1') group by doc_id
 """)
 def detect_dotenv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scanned = detect.with_scans(_documents(spark, sf_dir).where(F.col("text").contains("=")), "text", "c")
+    """Documents with a setting of their own behind them."""
+    docs = _documents(spark, sf_dir).select("doc_id", F.concat("text", F.lit("\nexport API_TOKEN="), F.sha2("text", 256), F.lit("\n")).alias("text"))
+    scanned = detect.with_scans(docs, "text", "c")
     own = scanned.select("doc_id", F.size(F.filter("c", lambda s: s["rule"] == "dotenv")).cast("long").alias("n"))
     return own.where("n > 0")
 
 
+@query(f"""
+with p as (select page_id, regexp_extract_all(html, {_q(P.BY_NAME['domain'].re2)}) as vs, regexp_split_to_array(html, {_q(P.BY_NAME['domain'].re2)}) as gs from pages),
+m as (select page_id, gs, unnest(vs) as v, unnest(range(len(vs))) as i from p),
+k as (select page_id, i, v, string_split(v, '.')[-1] as t, gs[i + 1] as b, left(gs[i + 2], 1) as a from m)
+select page_id, count(*) as n, string_agg(v, '|' order by i) as found from k where {_DOMAIN_KEEP} group by page_id
+""")
+def detect_domain_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _found(_html(spark, sf_dir), "page_id", ("domain",))
+
+
 @query(f"""
 with m as (select doc_id, regexp_extract_all(text, '[A-Z][a-z]+') as found, regexp_split_to_array(text, '[A-Z][a-z]+') as gaps from documents)
 select doc_id, len(found) as n, list_sum(list_transform(found, lambda x: length(x))) as chars,
