@@ -631,14 +631,14 @@ def kind_by_route_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.by_kind_and_route(metrics.labelled(log(spark, sf_dir))).withColumn("level", F.col("level").cast("long"))
 
 
-_AT = "timestamp '2024-01-20 12:00:00'"
+_SNAPSHOT = "timestamp '2024-01-20 12:00:00'"
 _HEADS_SQL = ", ".join(f"({k}, null, {i}, '{text}')" for k, (name, kind, says) in enumerate(metrics.FAMILIES) for i, text in enumerate((f"# HELP umbra_{name} {says}", f"# TYPE umbra_{name} {kind}")))
 #: A double of at least 0.001 in its fewest digits.
 _SHORTEST_SQL = """case when total = 0 then '0' when total < 1e6 then regexp_replace(total::varchar, '\\.0$', '') else digits[1] || case when digits[2:] != '' then '.' || digits[2:] else '' end || 'e+' || lpad((length(split_part(total::varchar, '.', 1)) - 1)::varchar, 2, '0') end"""
 
 
 @query(f"""
-with {LOG_SQL}, begun as (select *, ts + to_microseconds((round(seconds * 1e6))::bigint) > {_AT} as flies from log where ts <= {_AT}), done as (select * from begun where not flies),
+with {LOG_SQL}, begun as (select *, ts + to_microseconds((round(seconds * 1e6))::bigint) > {_SNAPSHOT} as flies from log where ts <= {_SNAPSHOT}), done as (select * from begun where not flies),
 ends as (select *, rtrim(replace(regexp_replace(total::varchar, '\\.0$', ''), '.', ''), '0') as digits from (select route, handling, sum(seconds::decimal(28,9))::double as total, count(*) as n from done group by all)),
 heads(family, key, place, line) as (values {_HEADS_SQL})
 select * from heads
@@ -652,7 +652,7 @@ union all select 3, concat_ws(chr(0), route, kind), 0, 'umbra_redactions_total{{
 """)
 def exposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All metrics at a time, in the text format."""
-    return metrics.snapshot(log(spark, sf_dir), F.expr(_AT))
+    return metrics.snapshot(log(spark, sf_dir), F.expr(_SNAPSHOT))
 
 
 # ---- admission ---------------------------------------------------------------------------------------
