@@ -24,7 +24,9 @@ PREFIX = "[REDACTED_"
 #: Longer texts are no placeholder in the making.
 LONGEST = 64
 #: Chunks of a stream that are folded together.
-SEGMENT = 8192
+SEGMENT = 1 << 16
+#: Segments of long streams whose ends, and vaults, may be broadcast.
+BROADCAST_SEGMENTS = 2000
 _STARTED = re.compile(re.escape(PREFIX) + r"(?:[A-Z][A-Z0-9_]*)?\Z")
 
 
@@ -73,20 +75,32 @@ def restore_batch(chunks: DataFrame, stream: str = "stream", seq: str = "seq", t
             yield pa.array(done, pa.list_(pa.string()))
 
     ordered = F.sort_array(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(text).alias("text"))))
-    place = F.floor(F.col(seq) / segment).alias("__segment")
-    rows = written(chunks.groupBy(stream, place).agg(ordered.alias("__parts"), F.any_value(values, True).alias("__values")))
+    if chunks.where((F.col(seq) >= segment) | (F.col(seq) < 0)).limit(1).count():
+        joined = _carried(chunks, stream, F.floor(F.col(seq) / segment), ordered, values)
+    else:  # no stream has a second segment
+        whole = chunks.groupBy(stream).agg(ordered.alias("__parts"), F.any_value(values, True).alias("__vault"))
+        joined = whole.withColumns({"__before": F.lit(""), "__last": F.lit(True)})
+    folded = joined.withColumn("__out", F.arrow_udf(fold, "array<string>")(F.col("__parts")["text"], F.col("__vault"), F.col("__before"), F.col("__last")))
+    return folded.select(stream, F.inline(F.arrays_zip(F.col("__parts")["seq"].alias("seq"), F.col("__out").alias("out")))).toDF(stream, seq, "out")
+
+
+def _carried(chunks: DataFrame, stream: str, place, ordered, values: str) -> DataFrame:
+    """A row for each segment, with the text before it that can matter, its stream's vault, and whether it is the last."""
+    rows = written(chunks.groupBy(stream, place.alias("__segment")).agg(ordered.alias("__parts"), F.any_value(values, True).alias("__values")))
     ends = rows.select(stream, "__segment", F.right(F.array_join(F.col("__parts")["text"], ""), F.lit(LONGEST)).alias("__end"), "__values")
     # A stream's segments in order; of those with text the last 64 have all that can wait.
     texted = Window.partitionBy(stream, F.col("__end") != "").orderBy("__segment").rowsBetween(1 - LONGEST, 0)
     ends = ends.withColumn("__ends", F.when(F.col("__end") != "", F.right(F.array_join(F.collect_list("__end").over(texted), ""), F.lit(LONGEST))))
-    along = Window.partitionBy(stream).orderBy("__segment")
-    before = F.coalesce(F.last("__ends", True).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit("")).alias("__before")
-    vault = F.first("__values", True).over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__vault")
-    last = (F.row_number().over(along) == F.count("*").over(Window.partitionBy(stream))).alias("__last")
-    carried = ends.select(F.col(stream).alias("__stream"), F.col("__segment").alias("__at"), before, vault, last)
-    joined = rows.join(carried, F.col(stream).eqNullSafe(F.col("__stream")) & F.col("__segment").eqNullSafe(F.col("__at")))
-    folded = joined.withColumn("__out", F.arrow_udf(fold, "array<string>")(F.col("__parts")["text"], F.col("__vault"), F.col("__before"), F.col("__last")))
-    return folded.select(stream, F.inline(F.arrays_zip(F.col("__parts")["seq"].alias("seq"), F.col("__out").alias("out")))).toDF(stream, seq, "out")
+    along, every = Window.partitionBy(stream).orderBy("__segment"), Window.partitionBy(stream)
+    before = F.coalesce(F.last("__ends", True).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit("")).alias("__earlier")
+    vault = F.first("__values", True).over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__held")
+    last = (F.row_number().over(along) == F.count("*").over(every)).alias("__ends_here")
+    # Only streams of several segments have something to carry.
+    carried = ends.select(F.col(stream).alias("__stream"), F.col("__segment").alias("__at"), before, vault, last, F.count("*").over(every).alias("__n")).where("__n > 1")
+    carried = written(carried.drop("__n"))
+    few = carried.limit(BROADCAST_SEGMENTS + 1).count() <= BROADCAST_SEGMENTS
+    joined = rows.join(F.broadcast(carried) if few else carried, F.col(stream).eqNullSafe(F.col("__stream")) & F.col("__segment").eqNullSafe(F.col("__at")), "left")
+    return joined.select(stream, "__parts", F.coalesce("__held", "__values").alias("__vault"), F.coalesce("__earlier", F.lit("")).alias("__before"), F.coalesce("__ends_here", F.lit(True)).alias("__last"))
 
 
 class Restorer(StatefulProcessor):
