@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from datetime import datetime, timedelta, timezone
 
 import numpy as np
 import pyarrow as pa
@@ -54,28 +55,106 @@ def live_values_at(adds: DataFrame, requests: DataFrame, scope: Sequence[str], r
     """What the sets hold at the time of each request: (request, value, kind, last_seen, rank).
 
     ``requests(scope, request, ts)`` see the additions up to their time, of the life that is then
-    current.  Each addition of a value holds until the value's next one, so that a request meets
-    every value of its set once; a value longer than ``most_bytes`` is not kept.
+    current; a value longer than ``most_bytes`` is not kept, but keeps the set alive.  Additions and
+    requests lie in one order of time, dealt to range partitions.  Of each partition only the
+    values that fit both bounds at its end, and the first that does not, are carried on; then each
+    is run through from what the ones before it have left.  No more pairs of requests and values
+    are made than come out, and a scope is as many rows of work as others.
     """
-    order = Window.partitionBy(*scope).orderBy(ts)
-    fresh = F.lag(ts).over(order).isNull() | (F.col(ts) >= F.lag(ts).over(order) + F.expr(idle))
-    kept = adds.where(F.octet_length(value) <= most_bytes)
+    held = Window.partitionBy("__part", *scope)
+    own, recent = held.orderBy("__at"), held.orderBy(F.desc("__seen"), "__value")
     # Equal times of one value are one addition.
-    lived = adds.withColumn("life", F.sum(fresh.cast("int")).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))).select(*scope, ts, "life").distinct()
-    once = kept.groupBy(*scope, value, ts).agg(F.max(kind).alias(kind)).join(lived, [*scope, ts])
-    until = F.lead(ts).over(Window.partitionBy(*scope, "life", value).orderBy(ts))
-    steps = once.withColumn("until", until).withColumnRenamed(ts, "last_seen")
-    lives = lived.groupBy(*scope, "life").agg(F.min(ts).alias("began"), F.max(ts).alias("last_add"))
-    following = F.lead("began").over(Window.partitionBy(*scope).orderBy("life"))
-    lives = lives.withColumn("following", following)
-    # A life is current from its first addition to the next life's; whether it still lives depends on the additions before the request.
-    asked = requests.select(*scope, request, F.col(ts).alias("asked")).join(lives, list(scope)).where((F.col("began") <= F.col("asked")) & (F.col("following").isNull() | (F.col("asked") < F.col("following"))))
-    met = asked.select(*scope, request, "asked", "life").join(steps, [*scope, "life"]).where((F.col("last_seen") <= F.col("asked")) & (F.col("until").isNull() | (F.col("asked") < F.col("until"))))
-    recent = Window.partitionBy(request).orderBy(F.desc("last_seen"), value)
-    latest = F.max("last_seen").over(Window.partitionBy(request))
-    alive = met.withColumn("latest", latest).where(F.col("asked") < F.col("latest") + F.expr(idle))
-    ranked = alive.withColumn("rank", F.row_number().over(recent)).withColumn("bytes", F.sum(F.octet_length(value)).over(recent.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return ranked.where((F.col("rank") <= most_values) & (F.col("bytes") <= most_bytes)).select(request, value, kind, "last_seen", "rank")
+    added = adds.groupBy(*scope, F.col(ts).alias("__at"), F.when(F.octet_length(value) <= most_bytes, F.col(value)).alias("__value")).agg(F.max(kind).alias("__kind"), F.lit(0).alias("__asks"))
+    asked = requests.select(*scope, F.col(ts).alias("__at"), F.col(request).alias("__request"), F.lit(1).alias("__asks"))
+    rows = added.unionByName(asked, allowMissingColumns=True).dropna(subset=[*scope, "__at"])
+    ranged = written(rows.repartitionByRange(*scope, "__at").withColumn("__part", F.spark_partition_id()))
+
+    fresh = F.coalesce(F.col("__at") >= F.lag("__at").over(own) + F.expr(idle), F.lit(False))
+    lived = ranged.where("__asks = 0").withColumn("__life", F.sum(fresh.cast("int")).over(own)).withColumn("__lives", F.max("__life").over(held))
+    ends = lived.groupBy("__part", *scope).agg(F.min("__at").alias("__first"), F.max("__at").alias("__last"), (F.max("__life") > 0).alias("__anew"))
+    seen = lived.where("__life = __lives and __value is not null").groupBy("__part", *scope, "__value").agg(F.max("__at").alias("__seen"), F.max_by("__kind", "__at").alias("__kind"))
+    above = F.coalesce(F.sum(F.octet_length("__value")).over(recent.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = seen.withColumns({"__rank": F.row_number().over(recent), "__above": above}).where((F.col("__rank") <= most_values + 1) & (F.col("__above") <= most_bytes))
+    lists = kept.groupBy("__part", *scope).agg(F.sort_array(F.collect_list(F.struct("__rank", "__value", "__kind", "__seen"))).alias("__held"))
+    left = ends.join(lists, ["__part", *scope], "left").select(*scope, "__part", "__first", "__last", "__anew", F.transform("__held", lambda x: F.struct(x["__value"].alias("value"), x["__kind"].alias("kind"), x["__seen"].alias("seen"))).alias("__held"))
+    left = left.repartition(*scope).sortWithinPartitions(*scope, "__part")
+    idle_us = adds.sparkSession.range(1).select(F.expr(idle)).first()[0] // timedelta(microseconds=1)
+
+    def micros(time: datetime) -> int:
+        return (time - datetime(1970, 1, 1, tzinfo=time.tzinfo and timezone.utc)) // timedelta(microseconds=1)
+
+    def fitting(values: Iterator[tuple]) -> Iterator[tuple]:
+        """Of (value, kind, seen), the most recent first, those that fit, and the first that does not."""
+        n = size = 0
+        for x in values:
+            yield x
+            n, size = n + 1, size + len(x[0].encode())
+            if n > most_values or size > most_bytes:
+                return
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What is left when each partition of a scope begins: the time of the last addition, and its values."""
+        at, last, values = None, None, []
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if at != (at := tuple(row[c] for c in scope)):
+                    last, values = None, []
+                if last is not None:
+                    out.append({**{c: row[c] for c in scope}, "__part": row["__part"], "__at": last, "__asks": -1, "__held": [dict(zip(("value", "kind", "seen"), v)) for v in values]})
+                mine = [(x["value"], x["kind"], x["seen"]) for x in row["__held"] or ()]
+                if last is not None and not row["__anew"] and micros(row["__first"]) < micros(last) + idle_us:
+                    again = {x[0] for x in mine}
+                    mine = [*fitting(x for x in (*mine, *(v for v in values if v[0] not in again)))]
+                last, values = row["__last"], mine
+            yield pa.RecordBatch.from_pylist(out, carried_schema)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last, values, grown = None, None, {}, 0
+        for batch in batches:
+            out: list[tuple] = []
+            columns = {c: batch.column(c) for c in batch.schema.names}
+            columns["__at"] = columns["__at"].cast(pa.int64())
+            keys = zip(columns["__part"].to_pylist(), *[columns[c].to_pylist() for c in scope])
+            for k, t, asks, v, kd, r, carried in zip(keys, *[columns[c].to_pylist() for c in ("__at", "__asks", "__value", "__kind", "__request", "__held")]):
+                if k != key:
+                    key, last, values, grown = k, None, {}, 0
+                if asks < 0:
+                    last, values = t, {x["value"]: (x["kind"], micros(x["seen"])) for x in reversed(carried)}
+                elif asks == 0:
+                    if last is not None and t >= last + idle_us:
+                        values, grown = {}, 0
+                    last = t
+                    if v is not None:
+                        values.pop(v, None)
+                        values[v] = (kd, t)
+                        grown += len(v) + 64
+                        if grown > 4 * most_bytes + 256 * most_values:  # what does not fit any more is dropped now and then
+                            values, grown = {x[0]: x[1:] for x in reversed([*fitting((v, *values[v]) for v in reversed(values))])}, 0
+                elif last is not None and t < last + idle_us:
+                    size = 0
+                    for n, v in enumerate(reversed(values), 1):
+                        size += len(v.encode())
+                        if n > most_values or size > most_bytes:
+                            break
+                        out.append((r, v, *values[v], n))
+                    if len(out) > 100_000:
+                        yield answered(out)
+                        out = []
+            yield answered(out)
+
+    def answered(out: list[tuple]) -> pa.RecordBatch:
+        r, v, kd, t, n = zip(*out) if out else ([],) * 5
+        return pa.RecordBatch.from_arrays([pa.array(r, out_schema.field(0).type), pa.array(v, pa.string()), pa.array(kd, pa.string()), pa.array(t, pa.int64()).cast(out_schema.field(3).type), pa.array(n, pa.int32())], schema=out_schema)
+
+    types = {f.name: f.dataType for f in ranged.schema.fields}
+    when = types["__at"].simpleString()
+    carried_type = StructType([*[f for f in left.schema.fields if f.name in (*scope, "__part")], *StructType.fromDDL(f"__at {when}, __asks int, __held array<struct<value:string,kind:string,seen:{when}>>").fields])
+    out_type = StructType([ranged.schema["__request"], *StructType.fromDDL(f"value string, kind string, last_seen {when}, rank int").fields])
+    carried_schema, out_schema = to_arrow_schema(carried_type), to_arrow_schema(out_type)
+    both = ranged.unionByName(left.mapInArrow(carry, carried_type), allowMissingColumns=True)
+    dealt = both.repartition("__part", *scope).sortWithinPartitions("__part", *scope, "__at", "__asks", F.desc("__value"))
+    return dealt.mapInArrow(answer, out_type).toDF(request, value, kind, "last_seen", "rank")
 
 
 def chain_hits(gets: DataFrame, puts: DataFrame, scope: Sequence[str], id: str = "response_id", ts: str = "ts", ttl: str = CHAIN_TTL) -> DataFrame:
