@@ -3,7 +3,12 @@
 import datetime as dt
 import random
 
+import duckdb
+
 from umbra.operators import state
+from umbra.plans.catalogue import ORACLE_SQL, QUERIES
+
+from .test_queries import rows
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -37,3 +42,25 @@ def test_sets_as_of_requests_against_a_plain_store(spark):
     every = spark.createDataFrame(rows, "client string, ts timestamp_ntz, value string, kind string, request long")
     got = state.live_values_at(every.where("request is null"), every.where("request is not null").select("client", "ts", "request"), ["client"], "request", most_values=4, most_bytes=30).collect()
     assert len(want) > 300 and len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+SETTINGS = [
+    "token = 5f0c9b7a1d\nexport API_KEY=\"two words\"\nDB_PASSWORD='x'\n",
+    "SECRET=true\nAUTH=$OTHER\nMONKEY=abcd and my token = 5f0c9b7a1d",
+    "MAIL_AUTH=jo@mail.com at 192.0.2.7\npassword: di@mail.com [REDACTED_EMAIL_1] jo@mail.com",
+    "API_KEY=[REDACTED_SECRET_1]\npassword=12.0.2.7, 12.0.2.7",
+    "nothing",
+]
+
+
+def test_settings_are_in_the_sql_of_all_spans(spark, tmp_path):
+    """Values of settings are secrets before they are passwords, in queries and SQL alike."""
+    docs = spark.createDataFrame([*enumerate(SETTINGS, 1)], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("explain_spans", "redact_counts_by_kind", "redact_text", "remembered_values", "scan_summary", "vault_numbering"):
+        got = QUERIES[name](spark, str(tmp_path)).toPandas()
+        assert len(got) and rows(got) == rows(con.execute(ORACLE_SQL[name]).df()), name
+    kinds = {r["kind"] for r in QUERIES["explain_spans"](spark, str(tmp_path)).collect()}
+    assert kinds == {"SECRET", "PASSWORD", "EMAIL", "IPV4"}

@@ -11,7 +11,7 @@ from ..operators import admission, detect, vault, walk
 from ..sources import files
 from ..sources.tables import spread, table, written
 from ..streaming import events
-from .catalogue import KINDS_SQL, detected, query
+from .catalogue import KINDS_SQL, _spans_sql, detected, query
 
 
 def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,7 +287,7 @@ def redact_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", hidden.cast("long").alias("n"), (F.col("restored") == F.col("text")).alias("whole"))
 
 
-@query(f"with {KINDS_SQL} select v as value, 'PASSWORD' as kind from kw group by v")
+@query(f"with {_spans_sql()} select v as value, arg_max(kind, (doc_id, pos)) as kind from spans where kind in ('PASSWORD', 'SECRET') group by v")
 def remembered_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the documents hold that is worth remembering: values of the kinds that context finds, under their latest kind."""
     return vault.found(vault.appearances(detected(spark, sf_dir), [], ["doc_id"]), [], ["doc_id"]).select("value", "kind")
