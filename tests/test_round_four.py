@@ -64,3 +64,16 @@ def test_settings_are_in_the_sql_of_all_spans(spark, tmp_path):
         assert len(got) and rows(got) == rows(con.execute(ORACLE_SQL[name]).df()), name
     kinds = {r["kind"] for r in QUERIES["explain_spans"](spark, str(tmp_path)).collect()}
     assert kinds == {"SECRET", "PASSWORD", "EMAIL", "IPV4"}
+
+
+def test_restoring_does_not_detect_again(spark):
+    """The spans are a table, which the vault and the texts share."""
+    plan = QUERIES["restore_roundtrip"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "CollectMetrics" not in plan
+
+
+def test_a_run_has_rows_of_documents_with_spans_alone(spark, tmp_path):
+    """A text may hold what looks like a placeholder of the run's vault, and have no span."""
+    docs = spark.createDataFrame([(1, "mail jo@mail.com"), (2, "see [REDACTED_EMAIL_1]")], "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in QUERIES["redact_run"](spark, str(tmp_path)).collect()] == [(1, 1, True)]
