@@ -2,10 +2,13 @@
 
 import datetime as dt
 import random
+import tracemalloc
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 
-from umbra.operators import state
+from umbra.operators import dictionary, state
 from umbra.plans.catalogue import ORACLE_SQL, QUERIES
 
 from .test_queries import rows
@@ -77,3 +80,19 @@ def test_a_run_has_rows_of_documents_with_spans_alone(spark, tmp_path):
     docs = spark.createDataFrame([(1, "mail jo@mail.com"), (2, "see [REDACTED_EMAIL_1]")], "doc_id long, text string")
     docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(r) for r in QUERIES["redact_run"](spark, str(tmp_path)).collect()] == [(1, 1, True)]
+
+
+def test_places_of_a_batch_are_plain_numbers():
+    """What a batch of texts holds beside its texts is a few bytes a place."""
+    held = np.full(1 << (dictionary.FILTER_BITS - 6), ~np.uint64(0), np.uint64)
+    texts = pa.array([None, "", "ab", *["some words of text " * 100] * 500])
+    dictionary.scanned(texts[:4], held, [4, 8])
+    tracemalloc.start()
+    out = dictionary.scanned(texts, held, [4, 8])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n = len(out.flatten())
+    assert out.type == pa.list_(pa.struct([("hash", pa.int64()), ("start", pa.int32())]))
+    assert [len(x) for x in out[:3]] == [0, 0, 0] and n > 700_000 / 2 and peak < 60 * n
+    h, s = dictionary.places(texts[3].as_py(), held, [4, 8])
+    assert out[3].as_py() == [{"hash": a, "start": b} for a, b in zip(h.tolist(), s.tolist())]

@@ -82,20 +82,29 @@ def _filter(table: DataFrame) -> np.ndarray:
     return out
 
 
-def places(text: str, held: np.ndarray, prefixes: Sequence[int]) -> tuple[list[int], list[int]]:
+def places(text: str, held: np.ndarray, prefixes: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and starts of the places in a text that the filter lets through."""
     points = _points(text)
     word = _word_table()[points]
     begins = np.flatnonzero(~(word & np.concatenate(([False], word[:-1])))) if len(points) else np.zeros(0, np.int64)
-    hashes, starts = [], []
+    hashes, starts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for prefix in prefixes:
         at = begins[begins + prefix <= len(points)]
         h = _hashes(points, at, prefix)
         bit = h.view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
         inside = (held[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
-        hashes += h[inside].tolist()
-        starts += at[inside].tolist()
-    return hashes, starts
+        hashes.append(h[inside])
+        starts.append(at[inside])
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
+def scanned(texts: pa.Array, held: np.ndarray, prefixes: Sequence[int]) -> pa.Array:
+    """The places of each text as lists of (hash, start); one text at a time is a Python value, and places are plain numbers."""
+    found = [places(t.as_py(), held, prefixes) if t.is_valid else (np.zeros(0, np.int64),) * 2 for t in texts]
+    ends = np.cumsum([0, *(len(h) for h, _ in found)]).astype(np.int32)
+    hashes, starts = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in (0, 1))
+    pairs = pa.StructArray.from_arrays([pa.array(hashes), pa.array(starts.astype(np.int32))], ["hash", "start"])
+    return pa.ListArray.from_arrays(pa.array(ends), pairs)
 
 
 def dictionary_hits(docs: DataFrame, literals: DataFrame, key: str, text: str = "text", value: str = "value", kind: str = "kind") -> DataFrame:
@@ -107,14 +116,10 @@ def dictionary_hits(docs: DataFrame, literals: DataFrame, key: str, text: str =
     table = written(keyed(literals, value, kind))
     prefixes = sorted(r["prefix"] for r in table.select("prefix").distinct().collect())  # four rows at most
     shared = docs.sparkSession.sparkContext.broadcast(_filter(table))
-    kinds = pa.list_(pa.struct([("hash", pa.int64()), ("start", pa.int32())]))
 
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out = []
-            for t in batch.to_pylist():
-                out.append([{"hash": h, "start": s} for h, s in zip(*places(t, shared.value, prefixes))] if t else [])
-            yield pa.array(out, kinds)
+            yield scanned(batch, shared.value, prefixes)
 
     found = docs.select(F.col(key).alias("key"), F.explode(F.arrow_udf(scan, "array<struct<hash:long,start:int>>")(F.col(text))).alias("p"))
     # Places that share a hash of no literal end here; a hash that very many places have is split by the join.
@@ -125,9 +130,9 @@ def dictionary_hits(docs: DataFrame, literals: DataFrame, key: str, text: str =
         shape = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("rule", pa.string()), ("priority", pa.int32()), ("ord", pa.int32())]))
         for texts, sets in batches:
             out = []
-            for t, candidates in zip(texts.to_pylist(), sets.to_pylist()):
-                true = []
-                for c in candidates:
+            for text, candidates in zip(texts, sets):
+                t, true = text.as_py(), []
+                for c in candidates.as_py():
                     start, end = c["start"], c["start"] + len(c["value"])
                     if t.startswith(c["value"], start) and whole_word(t, start, end):
                         true.append({"start": start, "end": end, "kind": c["kind"], "rule": "known", "priority": PRIORITY["literal"], "ord": 300})
