@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 from umbra.operators import dictionary, state
+from umbra.plans import catalogue
 from umbra.plans.catalogue import ORACLE_SQL, QUERIES
 
 from .test_queries import rows
@@ -96,3 +97,8 @@ def test_places_of_a_batch_are_plain_numbers():
     assert [len(x) for x in out[:3]] == [0, 0, 0] and n > 700_000 / 2 and peak < 60 * n
     h, s = dictionary.places(texts[3].as_py(), held, [4, 8])
     assert out[3].as_py() == [{"hash": a, "start": b} for a, b in zip(h.tolist(), s.tolist())]
+
+
+def test_customers_are_dealt_before_their_texts_are_made(spark):
+    plan = catalogue.synthesised(spark, "/root/testdata/sf0.1")._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.find("Generate") < plan.find("Repartition")
