@@ -123,7 +123,8 @@ def _known(text: Column, values: Column) -> Column:
         held, finder = None, None
         for texts, sets in batches:
             out = []
-            for t, pairs in zip(texts.to_pylist(), sets.to_pylist()):
+            for text, values in zip(texts, sets):  # a set is large and comes again with every text of its scope
+                t, pairs = text.as_py(), values.as_py()
                 if not t or not pairs:
                     out.append([])
                     continue

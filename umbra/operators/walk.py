@@ -235,26 +235,22 @@ def add_note(body, dialect: Dialect):
 def rebuild(requests: DataFrame, texts: DataFrame, key: str, body: str = "body", dialect: Dialect = MESSAGES, note: bool = True, out: str = "redacted_body") -> DataFrame:
     """``requests`` with the strings of ``texts(key, ord, new, hidden)`` put back in visiting order; ``hidden`` says that the vault holds something."""
 
-    def work(text: str, row) -> str | None:
+    def work(text: str, strings: Iterator[str], hidden: bool) -> str | None:
         try:
             value = _drop(decode(text), dialect)
         except ValueError:
             return None
-        strings = iter([] if row is None else list(row["new"]))
         # An unchanged string leaves an encoded body as it was written.
         value = Walk(dialect, lambda v: (lambda n: None if n is None or n == v.text else n)(next(strings, None)))(value)
-        return encode(add_note(value, dialect) if note and row is not None and row["hidden"] else value)
+        return encode(add_note(value, dialect) if note and hidden else value)
 
-    @F.pandas_udf("string")
-    def run(bodies, rows):
-        import pandas as pd
-
-        plain = rows.to_dict("records") if hasattr(rows, "to_dict") and rows.ndim == 2 else list(rows)
-        return pd.Series([None if b is None else work(b, r) for b, r in zip(bodies, plain)], dtype=object)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for bodies, news, hiddens in batches:  # a request at a time, so that a batch is held as Arrow alone
+            yield pa.array((None if not b.is_valid else work(b.as_py(), iter(n.as_py()), h.as_py()) for b, n, h in zip(bodies, news, hiddens)), pa.string())
 
     gathered = texts.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "new"))), lambda x: x["new"]).alias("new"), F.bool_or("hidden").alias("hidden"))
     joined = requests.join(gathered, key, "left")
-    return joined.withColumn(out, run(F.col(body), F.struct(F.coalesce("new", F.array().cast("array<string>")).alias("new"), F.coalesce("hidden", F.lit(False)).alias("hidden")))).drop("new", "hidden")
+    return joined.withColumn(out, F.arrow_udf(run, "string")(F.col(body), F.coalesce("new", F.array().cast("array<string>")), F.coalesce("hidden", F.lit(False)))).drop("new", "hidden")
 
 
 def redact_requests(requests: DataFrame, key: str, body: str = "body", dialect: Dialect = MESSAGES, **how) -> tuple[DataFrame, DataFrame, DataFrame]:
