@@ -262,34 +262,44 @@ _SETTING_SQL = r'''(?m)^[ \t]*(?:export[ \t]+)?([A-Za-z][A-Za-z0-9_.-]*)[ \t]*=[
 _DOTENV_SQL = rf"""regexp_matches(upper(k), '(^|[_.-])({"|".join(scalars.DOTENV_ENDS)})$') and v != '' and left(v, 1) not in ('$', '=') and lower(v) not in {_sql_list(scalars.FLAG_WORDS)}"""
 
 
+#: What else the rules ask of a match, as the detectors do: ``b`` are the three characters before the value, ``a`` the ten behind, ``c`` is the one before the match.
+_FREE_BEFORE_SQL = r"not regexp_matches(right(b, 1), '[0-9A-Za-z_./\\@#$%+=:-]')"
+_FREE_AFTER_SQL = r"not regexp_matches(a, '^(?:[0-9A-Za-z_@/-]|\.[0-9A-Za-z])')"
+_KEEP_SQL = {
+    "dotenv": _DOTENV_SQL,
+    "keyword": f"not regexp_matches(v, {_q(P.VARIABLE)})",
+    "entropy": f"regexp_matches(v, '[A-Z]') and regexp_matches(v, '[a-z]') and regexp_matches(v, '[0-9]') and not (contains(v, '/') and regexp_matches(v, '(^|/)[a-z]{{3,}}(/|$)')) and {_ENTROPY_SQL} >= 4.0 and {_WORDISH_SQL} < 0.6",
+    "email": f"(select {_TLD_SQL} from (select string_split(v, '.')[-1] as t))",
+    "ipv4": f"regexp_matches(v, {_q(P.STRICT_IPV4)}) and v not in {_sql_list(P.ALLOWED_IPS)}",
+    "domain": f"(select {_DOMAIN_KEEP} from (select string_split(v, '.')[-1] as t))",
+    "home-path": f"not regexp_matches(c, '[0-9A-Za-z._~\\-\\x{{80}}-\\x{{10FFFF}}]') and lower(v) not in {_sql_list(P.HOME_SKIP)} and not (lower(v) = 'all' and lower(left(a, 6)) = ' users')",
+    "address/us-city-line": f"regexp_extract(v, ',[ \\t]+([A-Z]{{2}})[ \\t]', 1) in {_sql_list(P.US_STATES)} and {_FREE_BEFORE_SQL}",
+    "address/uk-postcode": f"regexp_extract(v, '^[A-Z]+') in {_sql_list(P.UK_AREAS)} and not regexp_matches(v, '(?:[CIKMOV].|[CIKMOV])$') and {_FREE_BEFORE_SQL} and {_FREE_AFTER_SQL}",
+    "address/ca-postcode": f"(regexp_matches(v, '[ \\t]') or regexp_matches(array_to_string(string_split(substr(text, 1, (stop - length(v))::bigint), chr(10))[-2:], chr(10)), '\\b(?:{'|'.join(P.PROVINCES)})\\b')) and {_FREE_BEFORE_SQL} and {_FREE_AFTER_SQL}",
+}
+
+
 def _spans_sql() -> str:
-    """spans(doc_id, text, pos, len, v, kind, rule): where the kinds stand that the tables' documents hold; positions are sums of the lengths of matches and gaps before.
+    """spans(doc_id, text, pos, len, v, kind, rule): where all rules of one pattern match, and settings; positions are sums of the lengths of matches and gaps before.
 
-    Rules in order of priority: what overlaps a span of a rule before is none.
+    Candidates are taken by priority, length, start and order of rules, unless they overlap one that is taken.
     """
-    keep = {
-        "placeholder": "true",
-        "dotenv": _DOTENV_SQL,
-        "keyword": f"not regexp_matches(v, {_q(P.VARIABLE)})",
-        "email": f"(select {_TLD_SQL} from (select string_split(v, '.')[-1] as t))",
-        "ipv4": f"regexp_matches(v, {_q(P.STRICT_IPV4)}) and v not in {_sql_list(P.ALLOWED_IPS)}",
-    }
-    parts, names = [], []
-    for rule, holds in keep.items():
-        if rule == "dotenv":
-            pattern, kind, keys, values = _q(_SETTING_SQL), "SECRET", 1, 2
-        else:
-            r = P.BY_NAME[rule]
-            pattern, kind, keys, values = _q(r.re2), r.kind, 0, 1 if r.group else 0
-        quoted = "length(v) >= 2 and left(v, 1) in ('\"', '\'\'') and right(v, 1) = left(v, 1)" if rule == "dotenv" else "false"
-        free = "".join(f" and not exists (select 1 from {n}_taken t where t.doc_id = c.doc_id and t.pos < c.pos + c.len and t.pos + t.len > c.pos)" for n in names)
+    setting = P.Rule("dotenv", "SECRET", P.PRIORITY["secret-doc"], "", _SETTING_SQL, group=True)
+    parts = []
+    for i, r in enumerate((*P.RULES, setting)):
+        pattern, keys, values = _q(r.re2), int(r.group), 2 if r is setting else int(r.group)
+        quoted = "length(v) >= 2 and left(v, 1) in ('\"', '\'\'') and right(v, 1) = left(v, 1)" if r is setting else "false"
         parts.append(f"""
-{rule}_found as (select doc_id, text, regexp_extract_all(text, {pattern}) as m, regexp_extract_all(text, {pattern}, {keys}) as ks, regexp_extract_all(text, {pattern}, {values}) as vs, regexp_split_to_array(text, {pattern}) as gaps from documents),
-{rule}_raw as (select doc_id, text, unnest(ks) as k, unnest(vs) as v, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(gaps[1:i], lambda g: length(g))) + list_sum(list_transform(m[1:i], lambda x: length(x))))) as stop from {rule}_found where len(m) > 0),
-{rule}_each as (select doc_id, text, k, case when {quoted} then substr(v, 2, length(v) - 2) else v end as v, case when {quoted} then stop - 1 else stop end as stop from {rule}_raw),
-{rule}_taken as (select * from (select doc_id, text, stop - length(v) as pos, length(v) as len, v, '{kind}' as kind, '{rule}' as rule from {rule}_each where {holds}) c where true{free})""")
-        names.append(rule)
-    return ",".join(parts).strip() + ",\nspans as (" + " union all ".join(f"select * from {n}_taken" for n in names if n != "placeholder") + ")"
+found{i} as (select doc_id, text, regexp_extract_all(text, {pattern}) as m, regexp_extract_all(text, {pattern}, {keys}) as ks, regexp_extract_all(text, {pattern}, {values}) as vs, regexp_split_to_array(text, {pattern}) as gaps from documents where regexp_matches(text, {pattern})),
+raw{i} as (select doc_id, text, unnest(m) as m, unnest(ks) as k, unnest(vs) as v, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(gaps[1:i], lambda g: length(g))) + list_sum(list_transform(m[1:i], lambda x: length(x))))) as until from found{i} where len(m) > 0),
+bare{i} as (select doc_id, text, k, until - length(m) as begin, case when {quoted} then substr(v, 2, length(v) - 2) else v end as v, until - {r.tail} - case when {quoted} then 1 else 0 end as stop from raw{i}),
+each{i} as (select *, substr(text, begin::bigint, 1) as c, substr(text, greatest(1, stop - length(v) - 2)::bigint, least(3, stop - length(v))::bigint) as b, substr(text, (stop + 1)::bigint, 10) as a from bare{i}),
+kept{i} as (select doc_id, text, stop - length(v) as pos, stop, v, '{r.kind}' as kind, '{r.name}' as rule, {r.priority} as priority, {i} as ord from each{i} where v != '' and {_KEEP_SQL.get(r.name, 'true')})""")
+    every = " union all ".join(f"select * from kept{i}" for i in range(len(parts)))
+    return f"""{",".join(parts).strip()},
+ranked as (select doc_id, any_value(text) as text, list([{{'pos': pos, 'stop': stop, 'v': v, 'kind': kind, 'rule': rule}}] order by priority, pos - stop, pos, ord) as cs from ({every}) group by doc_id),
+taken as (select doc_id, text, unnest(list_reduce(cs, lambda done, x: case when len(list_filter(done, lambda d: d.pos < x[1].stop and d.stop > x[1].pos)) > 0 then done else list_concat(done, x) end)) as s from ranked),
+spans as (select doc_id, text, s.pos as pos, s.stop - s.pos as len, s.v as v, s.kind as kind, s.rule as rule from taken where s.kind != '')"""
 
 
 def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,7 +330,7 @@ _MAIN_RULES = ("keyword", "email", "ipv4")
 
 @query(f"with {_spans_sql()} select kind, count(*) as n from spans group by kind")
 def redact_counts_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of all rules by kind; the SQL knows the four kinds that the tables' documents hold."""
+    """Spans of all rules by kind; the SQL knows settings and the rules of one pattern."""
     return files.kind_counts(detected(spark, sf_dir))
 
 
