@@ -29,3 +29,9 @@ def test_the_sql_of_all_spans_knows_every_rule_of_one_pattern(spark, tmp_path):
         assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.execute(ORACLE_SQL[name]).df()), name
     found = {r["rule"] for r in QUERIES["explain_spans"](spark, str(tmp_path)).select("rule").distinct().collect()}
     assert {"known-token/aws", "entropy", "domain", "home-path", "url-password", "address/uk-postcode", "address/ca-postcode", "address/us-city-line", "bearer", "private-key"} <= found
+
+
+def test_the_second_pass_does_not_detect_again(spark):
+    """Spans and vault are tables, which the passes share."""
+    plan = QUERIES["literal_join_back"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "ArrowEvalPython" in plan

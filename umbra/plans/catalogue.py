@@ -18,7 +18,7 @@ from ..functions.spans import find_all, resolve, value_of
 from ..operators import admission, detect, dictionary, metrics, state, vault, walk
 from ..operators.terms import Terms
 from ..sources import files
-from ..sources.tables import spread, table, written
+from ..sources.tables import settled, spread, table, written
 from ..streaming import chunks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -399,8 +399,9 @@ def literal_join_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.concat(F.lit("hunter"), "c_custkey", F.lit("x"))
     text = F.concat(F.lit("password="), value, F.lit(" then "), value, F.lit(" but "), value, F.lit("y"))
     docs = spread(table(spark, sf_dir, "customer")).select("c_custkey", text.alias("text"))
-    found = docs.withColumn("candidates", detect.pattern_candidates(F.col("text"), _MAIN_RULES)).withColumn("spans", resolve(F.col("candidates")))
-    numbered = vault.number(vault.appearances(found, ["c_custkey"], []), ["c_custkey"], [])
+    candidates = settled(docs.withColumn("candidates", detect.pattern_candidates(F.col("text"), _MAIN_RULES)))
+    found = written(candidates.withColumn("spans", resolve(F.col("candidates"))))  # the vault and the second pass share it
+    numbered = written(vault.number(vault.appearances(found, ["c_custkey"], []), ["c_custkey"], []))
     again = vault.second_pass(found, numbered, ["c_custkey"])
     return vault.redact(again, numbered, ["c_custkey"]).select("c_custkey", "redacted")
 
