@@ -3,6 +3,7 @@
 import duckdb
 
 from umbra.plans.catalogue import ORACLE_SQL, QUERIES
+from umbra.streaming import chunks
 
 from .test_queries import rows
 
@@ -35,3 +36,17 @@ def test_the_second_pass_does_not_detect_again(spark):
     """Spans and vault are tables, which the passes share."""
     plan = QUERIES["literal_join_back"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan and "ArrowEvalPython" in plan
+
+
+def test_chunks_are_shuffled_in_packs(spark):
+    """Chunks that follow one another are one row; gaps, vaults that come later and segments begin another."""
+    told = [("a", i, "[REDACTED_EMAIL_1] ä"[i % 20 :][:3] or None, None if i < 5 else {"x": "y"}) for i in range(40)]
+    told += [("b", i, "é", None) for i in (0, 1, 3, 4, None, None)]
+    df = spark.createDataFrame(told, "stream string, seq int, text string, values map<string,string>").coalesce(1)
+    got = [(r["stream"], r["__first"], r["__text"], r["__lengths"], r["values"]) for r in chunks.packed(df, values="values", segment=32).collect()]
+    text = lambda a, b: "".join(t[2] or "" for t in told[a:b])
+    sizes = lambda a, b: [len(t[2] or "") for t in told[a:b]]
+    want = [("a", 0, 0, 5, None), ("a", 5, 5, 32, {"x": "y"}), ("a", 32, 32, 40, {"x": "y"}), ("b", 0, 40, 42, None), ("b", 3, 42, 44, None), ("b", None, 44, 45, None), ("b", None, 45, 46, None)]
+    assert got == [(s, n, text(i, j), sizes(i, j), v) for s, n, i, j, v in want]
+    plan = QUERIES["stream_chunks_restore"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2

@@ -739,6 +739,6 @@ def stream_chunks_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = F.create_map(F.lit("[REDACTED_EMAIL_1]"), F.concat(F.lit("a"), "doc_id", F.lit("@mail.com")))
     pieces = F.regexp_extract_all(text, F.lit("(?s).{1,11}"), F.lit(0))
     cut = docs.select(F.col("doc_id").alias("stream"), values.alias("values"), F.posexplode(pieces).alias("seq", "text"))
-    whole = chunks.restore_batch(cut).groupBy("stream").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "out"))), lambda x: x["out"]), "").alias("text"))
+    whole = chunks.gathered(chunks.restore_batch(cut), text="out")
     return whole.select(F.col("stream").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
 
