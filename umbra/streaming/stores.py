@@ -10,6 +10,7 @@ them, a timer of event time handles them in order, and another one drops what ha
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
@@ -22,6 +23,8 @@ from ..operators.state import MOST_BYTES, MOST_VALUES
 from ..sources.tables import shared_path
 
 IDLE = dt.timedelta(hours=1)
+#: Rows of a key that wait as one value of its state.
+PACK = 2000
 _MICRO = dt.timedelta(microseconds=1)
 
 
@@ -42,32 +45,35 @@ class InOrder(StatefulProcessor):
         self.handle = handle
         self.fields = [f.split()[0] for f in self.waiting.split(", ")]
         if self.late:
-            self.rows = handle.getListState("rows", self.waiting)
+            # Rows wait in packs in order of time: state is read and written a pack, not a row, at a time.
+            self.rows = handle.getListState("rows", "first long, last long, packed string")
         self.open(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         arrived = pd.concat(list(rows))[self.fields]
         # Whole numbers with nulls among them come as floating point ones.
         whole = {c for c in self.fields if self.waiting.startswith(f"{c} long") or f", {c} long" in self.waiting}
-        clean = lambda c, v: None if pd.isna(v) else int(v) if c in whole else v
-        came = [tuple(clean(c, v) for c, v in zip(self.fields, r)) for r in arrived.itertuples(index=False)]
+        columns = [[None if gone else int(v) if c in whole else v for v, gone in zip(arrived[c].tolist(), arrived[c].isna().tolist())] for c in self.fields]
+        came = list(zip(*columns))
         if not self.late:
             yield from self.handled(came)
             return
-        self.rows.appendList(came)
-        self.handle.registerTimer(self._due(min(r[self.fields.index("us")] for r in came)))
+        packs = self._packs(came)
+        self.rows.appendList(packs)
+        self.handle.registerTimer(self._due(packs[0][0]))
         yield pd.DataFrame([], columns=self.columns)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        held = list(self.rows.get()) if self.rows.exists() else []
-        due = [r for r in held if r[self.fields.index("us")] <= passed]
-        rest = [r for r in held if r[self.fields.index("us")] > passed]
+        held = [tuple(p) for p in self.rows.get()] if self.rows.exists() else []
+        at, opened = self.fields.index("us"), [r for first, _, packed in held if first <= passed for r in json.loads(packed)]
+        due = [r for r in opened if r[at] <= passed]
         if due:
             yield from self.handled(due)
+            rest = [p for p in held if p[0] > passed] + self._packs([r for r in opened if r[at] > passed])
             if rest:
                 self.rows.put(rest)
-                self.handle.registerTimer(self._due(min(r[self.fields.index("us")] for r in rest)))
+                self.handle.registerTimer(self._due(min(p[0] for p in rest)))
             else:
                 self.rows.clear()
         end = self.expires()
@@ -76,6 +82,13 @@ class InOrder(StatefulProcessor):
         elif end is not None:
             self.handle.registerTimer(self._due(end))
 
+    def _packs(self, rows: list[tuple]) -> list[tuple[int, int, str]]:
+        """Rows in order of time, ``PACK`` of them together: the times of the first and the last, and all of them."""
+        at = self.fields.index("us")
+        rows = sorted(rows, key=lambda r: r[at])
+        parts = [rows[k : k + PACK] for k in range(0, len(rows), PACK)]
+        return [(p[0][at], p[-1][at], json.dumps(p)) for p in parts]
+
     @staticmethod
     def _due(us: int) -> int:
         """The first whole millisecond that is not before a time."""
