@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..sources.tables import written
+from ..sources.tables import extended, written
 
 # The bounds of the stores.
 MOST_VALUES, MOST_BYTES = 4096, 1 << 20
@@ -200,18 +200,82 @@ def chain_roots(links: DataFrame, child: str = "id", parent: str = "parent", rou
     return at.select("id", "root", "depth")
 
 
-def tree_order(links: DataFrame, id: str = "id", parent: str = "parent", rounds: int = 64) -> DataFrame:
+#: Nodes of a tree that one task walks around; the walk around a larger one is a list, placed by doubling.
+WALKED = 50_000
+
+
+def tree_order(links: DataFrame, id: str = "id", parent: str = "parent", rounds: int = 64, walked: int = WALKED) -> DataFrame:
     """(id, root, tree, enter, leave): the places at which a walk around each tree of ``links``, named by its top, enters and leaves a node.
 
-    One node is an ancestor of another if it is entered before and left after it.  The walk is a
-    list, of which each element knows the next; its places are found by doubling, every round
-    over all elements, so that a tree, however deep or wide, is spread over all tasks.  A parent
-    that has no row of its own is the root of its children, but they are trees by themselves.
+    One node is an ancestor of another if it is entered before and left after it.  Pointer jumping
+    finds each node's top; trees of up to ``walked`` nodes are then walked around whole, many in a
+    task.  The walk around a larger one is a list, of which each element knows the next; its
+    places are found by doubling, every round over all elements, so that a tree, however deep or
+    wide, is spread over all tasks.  A parent that has no row of its own is the root of its
+    children, but they are trees by themselves.
     """
     kind = links.schema[id].dataType
     nodes = written(links.select(F.col(id).alias("id"), F.col(parent).alias("parent")))
     ids = nodes.select(F.col("id").alias("held"))
-    nodes = written(nodes.join(ids, nodes["parent"] == ids["held"], "left"))
+    nodes = written(nodes.join(ids, nodes["parent"] == ids["held"], "left").withColumn("root", F.when(F.col("held").isNull(), F.coalesce("parent", "id").cast(kind))))
+    tops = chain_roots(nodes, "id", "held").select(F.col("id").alias("of"), F.col("root").alias("tree"))
+    sizes = tops.groupBy("tree").count()
+    large = written(sizes.where(F.col("count") > walked).select("tree"))
+    some = bool(large.limit(1).count())
+    rest = tops.join(large, "tree", "left_anti") if some else tops
+    both = nodes.join(rest, nodes["id"] == rest["of"]).select("id", "held", "root", "tree")
+    schema = extended(StructType([both.schema["id"], both.schema["root"], both.schema["tree"]]), "enter long, leave long")
+    arrow = to_arrow_schema(schema)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        tree, top, under, n = None, None, {}, 0
+
+        def around() -> None:
+            """The tree that is held; children in order."""
+            if top is None:
+                return
+            (first, root), at, entered = top, 1 - 2 * n, {}
+            path = [(first, False)]
+            while path:
+                node, done = path.pop()
+                if done:
+                    out.append((node, root, tree, entered[node], at))
+                else:
+                    entered[node] = at
+                    path.append((node, True))
+                    path += [(c, False) for c in sorted(under.get(node, ()), reverse=True)]
+                at += 1
+
+        def told() -> pa.RecordBatch:
+            columns = list(zip(*out)) if out else [()] * 5
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+        for batch in batches:
+            for node, held, root, of in zip(*[batch.column(c).to_pylist() for c in ("id", "held", "root", "tree")]):
+                if of != tree:
+                    around()
+                    tree, top, under, n = of, None, {}, 0
+                n += 1
+                if held is None:
+                    top = (node, root)
+                else:
+                    under.setdefault(held, []).append(node)
+            if len(out) > 10_000:
+                yield told()
+        around()
+        yield told()
+
+    small = both.repartition("tree").sortWithinPartitions("tree").mapInArrow(walk, schema)
+    if not some:
+        return small
+    of_large = tops.join(large, "tree").select("of")
+    return small.union(_toured(written(nodes.join(of_large, nodes["id"] == of_large["of"]).select("id", "held", "root")), rounds))
+
+
+def _toured(nodes: DataFrame, rounds: int) -> DataFrame:
+    """``tree_order`` of whole trees of ``nodes(id, held, root)`` by doubling."""
     # Children are chained in ranges: a parent may have very many.
     under = nodes.where("held is not null").select("id", "held").repartitionByRange("held", "id").withColumn("part", F.spark_partition_id())
     under = written(under)
@@ -232,7 +296,7 @@ def tree_order(links: DataFrame, id: str = "id", parent: str = "parent", rounds:
         at = at.drop("moved")
         if not moved:
             break
-    roots = nodes.where("held is null").select(F.col("id").alias("next"), F.coalesce("parent", "id").cast(kind).alias("root"))
+    roots = nodes.where("held is null").select(F.col("id").alias("next"), "root")
     placed = at.groupBy("id", "next").agg(F.min(F.when(F.col("side") == 0, -F.col("far"))).alias("enter"), F.min(F.when(F.col("side") == 1, -F.col("far"))).alias("leave"))
     return placed.join(roots, "next").select("id", "root", F.col("next").alias("tree"), "enter", "leave")
 
