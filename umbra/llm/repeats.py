@@ -21,6 +21,10 @@ order; each member points to the previous suffix of a smaller group, whose Lyndo
 extends, and suffixes so extended, by how many members, move to groups of their own behind their
 old group.  In the end the order within groups is emitted from the smallest suffix on: each
 places, next in their groups, the suffixes whose Lyndon prefix ends where it begins.
+
+Strings of a number of words may be looked for as well, however few bytes they have.  They are anchored
+like windows of bytes, by the least of their grams of 16 words, and their stretches go the same
+way; where different stretches meet under a gram, windows are told apart by digest.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ from .common import arrow_pass, materialise, own_worker
 from .common import _arrow_schema as arrow_schema
 
 LEAST = 400
+#: Words of the strings that ``digest`` reports beside what is removed.
+WORDS = 50
 #: Windows that may share an anchor; fits into a byte.
 MOST_WINDOWS = 151
 #: Bytes that are searched for anchors at once.
@@ -47,8 +53,14 @@ PIECE = 1 << 22
 CROWD, SYMBOLS = 128, 1 << 13
 #: Symbols that one task should sort.
 TASK_SYMBOLS = 3_000_000
+#: Words of the grams that anchor strings of words, at most.
+GRAM_WORDS = 16
+#: Set in the place of a stretch of words.
+WORDS_FLAG = 1 << 62
 _BASE = 0x9E3779B97F4A7C15
 _PLACE_BITS = 24
+_IN_WORD = np.ones(256, bool)
+_IN_WORD[[*range(9, 14), 32]] = False
 
 
 @dataclass(frozen=True)
@@ -79,13 +91,23 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
+def _least_of(h: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of each ``width`` hashes in a row is, by doubling; a key holds its place."""
+    low = np.uint64((1 << _PLACE_BITS) - 1)
+    key, span = (h & ~low) | np.arange(len(h), dtype=np.uint64), 1
+    while 2 * span <= width:
+        key, span = np.minimum(key[:-span], key[span:]), 2 * span
+    if span < width:
+        key = np.minimum(key[: len(key) - (width - span)], key[width - span :])
+    return (key & low).astype(np.int64)
+
+
 def anchors(data: bytes, ends: np.ndarray, shape: Shape = Shape()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Stretches of texts laid end to end: hash of the anchor's gram, its place, first and last window.
 
     Of equal hashes in a window the first is the anchor.
     """
     raw, width = np.frombuffer(data, np.uint8), shape.windows
-    low = np.uint64((1 << _PLACE_BITS) - 1)
     found = []
     for lo in range(0, max(0, len(raw) - shape.least + 1), PIECE):
         b = raw[lo : lo + PIECE + shape.least - 1].astype(np.uint64)
@@ -94,13 +116,8 @@ def anchors(data: bytes, ends: np.ndarray, shape: Shape = Shape()) -> tuple[np.n
             sums = np.zeros(n + 1, np.uint64)
             np.cumsum((b + np.uint64(1)) * _powers(_BASE, n), out=sums[1:])
             h = _mix((sums[shape.gram :] - sums[: -shape.gram]) * _powers(pow(_BASE, -1, 1 << 64), n - shape.gram + 1))
-        # The least key of each window, by doubling; a key holds its place.
-        key, span = (h & ~low) | np.arange(len(h), dtype=np.uint64), 1
-        while 2 * span <= width:
-            key, span = np.minimum(key[:-span], key[span:]), 2 * span
-        if span < width:
-            key = np.minimum(key[: len(key) - (width - span)], key[width - span :])
-        at, x = (key & low).astype(np.int64), np.arange(len(key)) + lo
+        at = _least_of(h, width)
+        x = np.arange(len(at)) + lo
         inside = x + shape.least <= ends[np.minimum(np.searchsorted(ends, x, side="right"), len(ends) - 1)]
         x, at = x[inside], at[inside]
         if len(x):
@@ -112,6 +129,49 @@ def anchors(data: bytes, ends: np.ndarray, shape: Shape = Shape()) -> tuple[np.n
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
+def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word, and the one behind its last; words end at ASCII whitespace."""
+    inside = _IN_WORD[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
+    return edges[::2], edges[1::2]
+
+
+def word_anchors(data: bytes, starts: np.ndarray, stops: np.ndarray, ends: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``anchors``, of strings of ``words`` words: places count words, ``ends`` says with which a text ends."""
+    gram = min(words, GRAM_WORDS)
+    if len(starts) < words:
+        return (np.zeros(0, np.int64),) * 4
+    raw, inverse = np.frombuffer(data, np.uint8), pow(_BASE, -1, 1 << 64)
+    up, down = (_powers(x, min(PIECE, len(raw))) for x in (_BASE, inverse))
+    before, behind, back, total = (np.zeros(n, np.uint64) for n in (len(starts), len(stops), len(starts), 1))
+    # Sums of all bytes before each word's ends, a piece of the bytes at a time.
+    for lo in range(0, len(raw), PIECE):
+        b = raw[lo : lo + PIECE].astype(np.uint64)
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([total, total + np.cumsum((b + np.uint64(1)) * up[: len(b)] * np.uint64(pow(_BASE, lo, 1 << 64)), dtype=np.uint64)])
+            i, j = np.searchsorted(starts, [lo, lo + len(b)])
+            before[i:j] = sums[starts[i:j] - lo]
+            back[i:j] = down[starts[i:j] - lo] * np.uint64(pow(inverse, lo, 1 << 64))
+            i, j = np.searchsorted(stops, [lo + 1, lo + len(b) + 1])
+            behind[i:j] = sums[stops[i:j] - lo]
+        total = sums[-1:]
+    with np.errstate(over="ignore"):
+        # Other sums than those of bytes: grams of words and of bytes do not meet.
+        h = _mix((behind[gram - 1 :] - before[: len(before) - gram + 1]) * back[: len(back) - gram + 1] ^ np.uint64(0xD6E8FEB86659FD93))
+    found = []
+    for lo in range(0, len(starts) - words + 1, PIECE):
+        at = _least_of(h[lo : lo + PIECE + words - gram], words - gram + 1)
+        x = np.arange(len(at)) + lo
+        inside = x + words <= ends[np.searchsorted(ends, x, side="right")]
+        x, at = x[inside], at[inside] + lo
+        if len(x):
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            found.append((h[at[first]].view(np.int64), at[first], x[first], np.concatenate([x[first[1:] - 1], x[-1:]])))
+    if not found:
+        return (np.zeros(0, np.int64),) * 4
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
 def suffix_array(text: list[int]) -> list[int]:
     """The order of a sequence's suffixes, by grouping."""
     n = len(text)
@@ -232,30 +292,51 @@ def _pack(first: np.ndarray, last: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def unpack(at: int) -> tuple[int, int, int]:
-    return at >> 16, ((at >> 8) & 255) + 1, at & 255
+    return (at & ~WORDS_FLAG) >> 16, ((at >> 8) & 255) + 1, at & 255
 
 
-SCANNED = "doc_id long, digest binary, n_bytes long, whole string, tid long, seed array<long>, span array<long>, at array<long>"
+SCANNED = "doc_id long, digest binary, n_bytes long, n_words long, whole string, tid long, seed array<long>, span array<long>, at array<long>"
 
 
-def scan(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
-    """Per row: digests of the text (MD5, and SHA-256 in hex), its length in bytes and its stretches; tid numbers the texts that have any.
+def _shortest(shape: Shape, words: int) -> int:
+    """Bytes without which a text holds no window, of bytes or of words."""
+    return min(shape.least, 2 * words - 1) if words else shape.least
+
+
+def scan(docs: DataFrame, shape: Shape = Shape(), words: int = 0) -> DataFrame:
+    """Per row: digests of the text (MD5, and SHA-256 in hex), its length in bytes and its stretches; tid numbers the texts that may have any.
+
+    With ``words``, stretches of strings of so many words as well, and the texts' words (else null).
 
     A task lists the stretches of a text once; it remembers 300,000 texts, and lists copies of others again, which
     only costs time.
     """
 
+    def add_words(out: dict[str, list], fresh: list[int], data: bytes, ends: np.ndarray) -> None:
+        starts, stops = word_places(data)
+        ends = np.searchsorted(starts, ends)
+        seed, place, first, last = word_anchors(data, starts, stops, ends, words)
+        spans = b"".join(hashlib.blake2b(data[a:b], digest_size=8).digest() for a, b in zip(starts[first].tolist(), stops[last + words - 1].tolist()))
+        span, begins = np.frombuffer(spans, np.int64), np.concatenate([[0], ends[:-1]])
+        cuts = np.concatenate([np.searchsorted(first, begins), [len(first)]])
+        for k, i in enumerate(fresh):
+            mine = slice(cuts[k], cuts[k + 1])
+            at = _pack(first[mine] - begins[k], last[mine] - begins[k], place[mine] - begins[k]) | WORDS_FLAG
+            for c, v in (("seed", seed[mine]), ("span", span[mine]), ("at", at)):
+                out[c][i] = np.concatenate([out[c][i], v])
+            out["n_words"][i] = int(ends[k] - begins[k])
+
     def rows(chunks: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        tid, seen = TaskContext.get().partitionId() << 34, set()
+        tid, seen, shortest = TaskContext.get().partitionId() << 34, set(), _shortest(shape, words)
         for chunk in chunks:
             raw = [(t or "").encode("utf-8", "surrogatepass") for t in chunk["text"]]
             n = len(raw)
             digests = [hashlib.md5(r).digest() for r in raw]
             out: dict[str, list] = {"doc_id": chunk["doc_id"], "digest": digests, "n_bytes": [len(r) for r in raw], "whole": [hashlib.sha256(r).hexdigest() for r in raw]}
-            out |= {c: [None] * n for c in ("tid", "seed", "span", "at")}
+            out |= {c: [None] * n for c in ("tid", "seed", "span", "at", "n_words")}
             fresh = []
             for i, r in enumerate(raw):
-                if len(r) >= shape.least and digests[i] not in seen:
+                if len(r) >= shortest and digests[i] not in seen:
                     if len(seen) < 300_000:
                         seen.add(digests[i])
                     fresh.append(i)
@@ -272,6 +353,8 @@ def scan(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
                     out["tid"][i], tid = tid, tid + 1
                     out["seed"][i], out["span"][i] = seed[mine], span[mine]
                     out["at"][i] = _pack(first[mine] - begins[k], last[mine] - begins[k], place[mine] - begins[k])
+                if words:
+                    add_words(out, fresh, b"\n".join(raw[i] for i in fresh), ends + np.arange(len(ends)))
             yield out
 
     return arrow_pass(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows, SCANNED)
@@ -379,6 +462,27 @@ def edges(stretches: DataFrame, shape: Shape = Shape(), crowd: int = CROWD) -> D
     return out
 
 
+def same_strings(texts: DataFrame, words: int) -> DataFrame:
+    """(tid, first, last): the strings of ``words`` words that repeat among the stretches ``texts(tid, text, ats)`` asks for."""
+
+    def rows(chunks: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        for chunk in chunks:
+            out: dict[str, list] = {"digest": [], "tid": [], "first": []}
+            for tid, text, ats in zip(chunk["tid"], chunk["text"], chunk["ats"]):
+                data = text.encode("utf-8", "surrogatepass")
+                starts, stops = word_places(data)
+                at = sorted({i for first, n, _ in map(unpack, ats) for i in range(first, first + n)})
+                found = b"".join(hashlib.blake2b(data[a:b], digest_size=8).digest() for a, b in zip(starts[at].tolist(), stops[np.array(at) + words - 1].tolist()))
+                out["digest"] += np.frombuffer(found, np.int64).tolist()
+                out["tid"] += [tid] * len(at)
+                out["first"] += at
+            yield out
+
+    each = materialise(arrow_pass(texts, rows, "digest long, tid long, first long"))
+    twice = materialise(each.groupBy("digest").count().where("count > 1").select("digest"))
+    return each.join(twice, "digest").select("tid", "first", F.col("first").alias("last"))
+
+
 def removed(texts: DataFrame, shape: Shape = Shape()) -> DataFrame:
     """(tid, spans, kept): of ``texts(tid, text, marks)`` the byte spans that repeated windows cover, and the SHA-256 of the other bytes."""
 
@@ -404,7 +508,19 @@ def removed(texts: DataFrame, shape: Shape = Shape()) -> DataFrame:
     return arrow_pass(texts, rows, "tid long, spans array<struct<start:long,end:long>>, kept string")
 
 
-def passages(docs: DataFrame, least: int = LEAST, crowd: int = CROWD) -> DataFrame:
+def covered(strings: DataFrame, words: int) -> DataFrame:
+    """(tid, n_repeated): how many words the strings of ``words`` words that begin with ``strings(tid, first, last)`` cover."""
+    nothing = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
+
+    def add(acc, m):
+        end = F.greatest(acc["end"], m["last"] + words)
+        return F.struct((acc["n"] + end - F.greatest(acc["end"], m["first"])).alias("n"), end.alias("end"))
+
+    lists = strings.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("marks"))
+    return lists.select("tid", F.aggregate("marks", nothing, add, lambda acc: acc["n"]).alias("n_repeated"))
+
+
+def passages(docs: DataFrame, least: int = LEAST, crowd: int = CROWD, words: int = 0) -> DataFrame:
     """Repeated passages of ``docs(doc_id, text)``: (doc_id, n_bytes, spans, kept_sha256), a row per document.
 
     spans are the byte ranges (end exclusive, apart from one another) that strings of ``least``
@@ -413,21 +529,29 @@ def passages(docs: DataFrame, least: int = LEAST, crowd: int = CROWD) -> DataFra
     nothing; of copies, and of repeated rows, every byte goes; null ids are kept.  Texts are
     taken whole, a few of them at a time; an empty table gives no rows, and further columns,
     whatever their names, are ignored.
+
+    With ``words`` (at most 64), n_repeated_words follows: how many words of the document are covered by strings of
+    so many words that also start at another place, in the same text or another, whatever their length in
+    bytes.  Strings are equal if their bytes are, blanks between words included; they change nothing in what is removed.
     """
     shape = Shape(least)
-    scanned = materialise(scan(docs, shape))
+    if not 0 <= words <= 64:
+        raise ValueError("words must be from 0 to 64")
+    scanned = materialise(scan(docs, shape, words))
     each = scanned.where("tid is not null").select("tid", F.explode(F.arrays_zip("seed", "span", "at")).alias("e")).select("tid", "e.*")
     shared = materialise(each.groupBy("seed").count().where("count > 1").select("seed"))
     # One number stands for a text, though several tasks may have met it.
-    texts = materialise(scanned.where("n_bytes > 0").groupBy("digest").agg(F.min("tid").alias("tid"), F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes")))
+    texts = materialise(scanned.where("n_bytes > 0").groupBy("digest").agg(F.min("tid").alias("tid"), F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes"), F.max("n_words").alias("n_words")))
     met = materialise(each.join(shared, "seed"))  # a table of its own, so that all stretches are shuffled once
     kept = materialise(met.join(texts.select("tid", "copies"), "tid"))
 
     by_span = materialise(kept.groupBy("seed", "span").agg(F.count("*").alias("n"), F.min(F.struct("tid", "at")).alias("one")))
     twice = by_span.where("n > 1").select("seed", "span")
-    first, windows = F.shiftright("at", 16), F.shiftright("at", 8).bitwiseAND(255)
+    of_words, at = F.col("at") >= WORDS_FLAG, F.col("at").bitwiseAND(WORDS_FLAG - 1)
+    first, windows = F.shiftright(at, 16), F.shiftright(at, 8).bitwiseAND(255)
     # Of a text that has a copy all goes anyway.
-    marks = materialise(kept.where("copies = 1").join(twice, ["seed", "span"]).select("tid", first.alias("first"), (first + windows).alias("last")))
+    settled = materialise(kept.where("copies = 1").join(twice, ["seed", "span"]).select("tid", of_words.alias("of_words"), first.alias("first"), (first + windows).alias("last")))
+    marks, strings = (settled.where(c).drop("of_words") for c in ("not of_words", "of_words"))
     meet = by_span.groupBy("seed").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("seed")
     asked = by_span.join(materialise(meet), "seed").groupBy("one.tid").agg(F.collect_list("one.at").alias("ats"))
     wanted = materialise(marks.select("tid").distinct().join(asked, "tid", "full"))
@@ -435,22 +559,34 @@ def passages(docs: DataFrame, least: int = LEAST, crowd: int = CROWD) -> DataFra
     # The texts in question, each once; documents are joined by id and text, so that copies do not meet in one task.
     key = lambda doc_id, digest: F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("null")), digest))
     holders = materialise(scanned.select("tid", key(F.col("doc_id"), F.lower(F.hex("digest"))).alias("key")).join(wanted, "tid"))
-    keyed = docs.where(F.octet_length("text") >= least).select(key(F.col("doc_id").cast("long"), F.md5("text")).alias("key"), "text")
+    keyed = docs.where(F.octet_length("text") >= _shortest(shape, words)).select(key(F.col("doc_id").cast("long"), F.md5("text")).alias("key"), "text")
     held = materialise(keyed.join(holders, "key").dropDuplicates(["key"]).select("tid", "text", "ats"))
 
-    stretches = materialise(slices(held.where("ats is not null"), shape))
+    asks = lambda c: held.withColumn("ats", F.filter("ats", c)).where("size(ats) > 0")
+    stretches = materialise(slices(asks(lambda a: a < WORDS_FLAG), shape))
     alone = texts.where("copies = 1").select("tid")
     marks = marks.union(edges(stretches, shape, crowd).join(alone, "tid", "left_semi"))
     listed = materialise(marks.groupBy("tid").agg(F.collect_set(F.struct("first", "last")).alias("marks")))
     cuts = removed(held.select("tid", "text").join(listed, "tid"), shape)
-    whole = texts.where((F.col("copies") > 1) & (F.col("n_bytes") >= least)).select("digest", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end"))).alias("spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept"))
-    changed = materialise(texts.select("digest", "tid").join(cuts, "tid").select("digest", "spans", "kept").union(whole))
+    goes, repeated = F.col("n_bytes") >= least, F.lit(None).cast("long")
+    if words:
+        strings = strings.union(same_strings(asks(lambda a: a >= WORDS_FLAG), words).join(alone, "tid", "left_semi"))
+        cuts = cuts.join(covered(strings, words), "tid", "full")
+        repeated = F.when(F.col("n_words") >= words, F.col("n_words"))
+    else:
+        cuts = cuts.withColumn("n_repeated", repeated)
+    all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
+    whole = texts.where((F.col("copies") > 1) & (F.col("n_bytes") >= _shortest(shape, words))).select(
+        "digest", F.when(goes, all_of_it).alias("spans"), F.when(goes, hashlib.sha256(b"").hexdigest()).alias("kept"), repeated.alias("n_repeated")
+    )
+    changed = materialise(texts.select("digest", "tid").join(cuts, "tid").select("digest", "spans", "kept", "n_repeated").union(whole))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     out = scanned.select("doc_id", "digest", "n_bytes", "whole").join(changed, "digest", "left")
-    return out.select("doc_id", "n_bytes", F.coalesce("spans", none).alias("spans"), F.coalesce("kept", "whole").alias("kept_sha256"))
+    more = [F.coalesce("n_repeated", F.lit(0).cast("long")).alias("n_repeated_words")] if words else []
+    return out.select("doc_id", "n_bytes", F.coalesce("spans", none).alias("spans"), F.coalesce("kept", "whole").alias("kept_sha256"), *more)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Per document what was removed, and the digest of what is left."""
+    """Per document what was removed, the digest of what is left, and the words of strings of 50 words that repeat, shorter ones than 400 bytes included."""
     lengths = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
-    return passages(docs).select("doc_id", "n_bytes", lengths.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    return passages(docs, words=WORDS).select("doc_id", "n_bytes", lengths.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "n_repeated_words")
