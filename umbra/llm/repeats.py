@@ -47,8 +47,8 @@ LEAST = 400
 WORDS = 50
 #: Windows that may share an anchor; fits into a byte.
 MOST_WINDOWS = 151
-#: Bytes that are searched for anchors at once.
-PIECE = 1 << 22
+#: Bytes that are searched for anchors at once; so few that they stay in a core's cache.
+PIECE = 1 << 16
 #: Stretches of one gram that are sorted together at most, and symbols after which a suffix array is made.
 CROWD, SYMBOLS = 128, 1 << 13
 #: Symbols that one task should sort.
@@ -102,6 +102,23 @@ def _least_of(h: np.ndarray, width: int) -> np.ndarray:
     return (key & low).astype(np.int64)
 
 
+def _within(ends: np.ndarray, lo: int, n: int, least: int) -> np.ndarray:
+    """Which of ``n`` windows from ``lo`` on lie in one text."""
+    inside = np.ones(n, bool)
+    for end in ends[np.searchsorted(ends, lo, side="right") : np.searchsorted(ends, lo + n + least)].tolist():
+        inside[max(0, end - least + 1 - lo) : max(0, end - lo)] = False
+    return inside
+
+
+def _joined(found: list[tuple]) -> tuple[np.ndarray, ...]:
+    """The stretches of all pieces; one that goes on in the next piece is one."""
+    if not found:
+        return (np.zeros(0, np.int64),) * 4
+    seed, place, first, last = (np.concatenate(c) for c in zip(*found))
+    begins = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    return seed[begins], place[begins], first[begins], last[np.concatenate([begins[1:] - 1, [len(last) - 1]])]
+
+
 def anchors(data: bytes, ends: np.ndarray, shape: Shape = Shape()) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Stretches of texts laid end to end: hash of the anchor's gram, its place, first and last window.
 
@@ -118,15 +135,13 @@ def anchors(data: bytes, ends: np.ndarray, shape: Shape = Shape()) -> tuple[np.n
             h = _mix((sums[shape.gram :] - sums[: -shape.gram]) * _powers(pow(_BASE, -1, 1 << 64), n - shape.gram + 1))
         at = _least_of(h, width)
         x = np.arange(len(at)) + lo
-        inside = x + shape.least <= ends[np.minimum(np.searchsorted(ends, x, side="right"), len(ends) - 1)]
+        inside = _within(ends, lo, len(at), shape.least)
         x, at = x[inside], at[inside]
         if len(x):
             first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
             last = np.concatenate([first[1:] - 1, [len(x) - 1]])
             found.append((h[at[first]].view(np.int64), at[first] + lo, x[first], x[last]))
-    if not found:
-        return (np.zeros(0, np.int64),) * 4
-    return tuple(np.concatenate(c) for c in zip(*found))
+    return _joined(found)
 
 
 def word_places(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -162,14 +177,12 @@ def word_anchors(data: bytes, starts: np.ndarray, stops: np.ndarray, ends: np.nd
     for lo in range(0, len(starts) - words + 1, PIECE):
         at = _least_of(h[lo : lo + PIECE + words - gram], words - gram + 1)
         x = np.arange(len(at)) + lo
-        inside = x + words <= ends[np.searchsorted(ends, x, side="right")]
+        inside = _within(ends, lo, len(at), words)
         x, at = x[inside], at[inside] + lo
         if len(x):
             first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
             found.append((h[at[first]].view(np.int64), at[first], x[first], np.concatenate([x[first[1:] - 1], x[-1:]])))
-    if not found:
-        return (np.zeros(0, np.int64),) * 4
-    return tuple(np.concatenate(c) for c in zip(*found))
+    return _joined(found)
 
 
 def suffix_array(text: list[int]) -> list[int]:
