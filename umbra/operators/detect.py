@@ -93,7 +93,8 @@ def detect(docs: DataFrame, text: str = "text", out: str = "spans", terms: Terms
     held = candidates or "__candidates"
     scanned = with_scans(docs, text, "__scanned", terms)
     allowed = sorted({a.lower() for a in allow} | (terms.allow if terms else set()))
-    both = scanned.withColumn(held, F.coalesce(F.concat(pattern_candidates(F.col(text), tlds=tlds, more=more), F.col("__scanned")), no_spans())).drop("__scanned")
+    # Settled, so that the pass that resolves many candidates has a column to read: with the scan inside its argument Spark leaves it where it can't run.
+    both = settled(scanned.withColumn(held, F.coalesce(F.concat(pattern_candidates(F.col(text), tlds=tlds, more=more), F.col("__scanned")), no_spans())).drop("__scanned"))
     done = settled(both.withColumn(out, F.coalesce(drop_allowed(F.col(text), resolve(F.col(held)), allowed), no_spans())))
     return done if candidates else done.drop(held)
 

@@ -148,7 +148,7 @@ def literal_hits(docs: DataFrame, vault: DataFrame, scope: Sequence[str], key: S
 def second_pass(docs: DataFrame, vault: DataFrame, scope: Sequence[str], text: str = "text", candidates: str = "candidates", spans: str = "spans") -> DataFrame:
     """``docs`` with spans resolved anew from the candidates and the vault's literals; texts meet their scope's values once."""
     joined = docs.join(scope_values(vault, scope), list(scope), "left")
-    found = joined.withColumn("__known", _known(F.col(text), F.col("known_values"))).drop("known_values")
+    found = settled(joined.withColumn("__known", _known(F.col(text), F.col("known_values"))).drop("known_values"))  # as in ``detect``
     return settled(found.withColumn(spans, F.when(F.size("__known") == 0, F.col(spans)).otherwise(resolve(F.concat(candidates, "__known")))).drop("__known"))
 
 
