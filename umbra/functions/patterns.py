@@ -2,7 +2,7 @@
 
 Word boundaries, white space and line anchors are ASCII and newline only, as linear-time engines
 have them: Java's own ``\\b``, ``\\s`` and ``(?m)`` see more.  Quoted values are matched with
-possessive loops, so that a long one cannot exhaust the stack.
+possessive loops, so that a long one cannot exhaust the stack, and so are the labels of hosts.
 """
 
 from __future__ import annotations
@@ -43,6 +43,20 @@ def _token(name: str, body: str, hint: tuple[str, ...], end: str = "") -> Rule:
     return Rule(f"known-token/{name}", "TOKEN", PRIORITY["known-token"], B + body + (E if end else ""), r"\b" + body + end, hint)
 
 
+_TLD = rf"[a-z]{{2,63}}{E}"
+_LABEL = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\."
+_MAIL_LABEL = r"[a-z0-9-]++\."
+
+
+def _host(label: str) -> str:
+    """As ``(?:label)+`` and a top-level domain, with possessive loops: each round goes on to the next place where such a domain may stand, and the last one ends the host."""
+    return rf"(?:{label}(?:(?!{_TLD}){label})*+(?={_TLD}))++{_TLD}"
+
+
+# Starts inside a chain of labels that has been tried are left out: what begins there would have been found from the chain's start.
+_HOST_START = rf"{B}(?>(?<![a-z0-9]\.)|(?<!{B}{_LABEL}))"
+_MAILBOX = r"(?:\G|(?<![a-z0-9._%+-]))[a-z0-9._%+-]++"
+
 _KEYWORDS = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|client[_-]?secret|auth)"
 
 # What the rules match.  The order breaks ties between equal spans.
@@ -63,9 +77,9 @@ RULES = (
     Rule("url-password", "PASSWORD", PRIORITY["url-password"], rf"(?i){B}[a-z][a-z0-9+.-]*://[^ \t\n\f\r/:@]+:([^ \t\n\f\r/@]+)@", r"(?i)\b[a-z][a-z0-9+.-]*://[^\s/:@]+:([^\s/@]+)@", ("://",), True, 1),
     Rule("keyword", "PASSWORD", PRIORITY["keyword"], rf"(?i)(?:{B}|_){_KEYWORDS}{E}[\"']?{S}*[:=]{S}*[\"']?([^ \t\n\f\r\"',;]{{4,}})", rf"(?i)(?:\b|_){_KEYWORDS}\b[\"']?\s*[:=]\s*[\"']?([^\s\"',;]{{4,}})", ("=", ":"), True),
     Rule("entropy", "TOKEN", PRIORITY["entropy"], r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{32,}+", r"[A-Za-z0-9+/=_-]{32,}"),
-    Rule("email", "EMAIL", PRIORITY["email"], rf"(?i)[a-z0-9._%+-]+@((?:[a-z0-9-]+\.)+([a-z]{{2,63}})){E}", r"(?i)[a-z0-9._%+-]+@((?:[a-z0-9-]+\.)+([a-z]{2,63}))\b", ("@",)),
+    Rule("email", "EMAIL", PRIORITY["email"], rf"(?i){_MAILBOX}@{_host(_MAIL_LABEL)}", r"(?i)[a-z0-9._%+-]+@((?:[a-z0-9-]+\.)+([a-z]{2,63}))\b", ("@",)),
     Rule("ipv4", "IPV4", PRIORITY["ip"], rf"{B}[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}{E}", r"\b\d{1,3}(?:\.\d{1,3}){3}\b", (".",)),
-    Rule("domain", "DOMAIN", PRIORITY["domain"], rf"(?i){B}(?:[a-z0-9](?:[a-z0-9-]{{0,61}}[a-z0-9])?\.)+[a-z]{{2,63}}{E}", r"(?i)\b(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}\b", (".",)),
+    Rule("domain", "DOMAIN", PRIORITY["domain"], rf"(?i){_HOST_START}{_host(_LABEL)}", r"(?i)\b(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,63}\b", (".",)),
     Rule("address/us-city-line", "ADDRESS", PRIORITY["address"], rf"{B}[A-Z][A-Za-z.'’-]*(?:[ \t]+[A-Z][A-Za-z.'’-]*){{0,2}},[ \t]+[A-Z]{{2}}[ \t]+[0-9]{{5}}(?:-[0-9]{{4}})?{E}", r"\b[A-Z][A-Za-z.'’-]*(?:[ \t]+[A-Z][A-Za-z.'’-]*){0,2},[ \t]+[A-Z]{2}[ \t]+\d{5}(?:-\d{4})?\b", (", ", ",\t")),
     Rule("address/uk-postcode", "ADDRESS", PRIORITY["address"], rf"{B}[A-Z]{{1,2}}[0-9][A-Z0-9]?[ ]?[0-9][A-Z]{{2}}{E}", r"\b[A-Z]{1,2}\d[A-Z\d]?[ ]?\d[A-Z]{2}\b"),
     Rule("address/ca-postcode", "ADDRESS", PRIORITY["address"], rf"{B}[ABCEGHJ-NPRSTVXY][0-9][ABCEGHJ-NPRSTV-Z][ \t]?[0-9][ABCEGHJ-NPRSTV-Z][0-9]{E}", r"\b[ABCEGHJ-NPRSTVXY]\d[ABCEGHJ-NPRSTV-Z][ \t]?\d[ABCEGHJ-NPRSTV-Z]\d\b"),
